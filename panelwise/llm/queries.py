@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwise.llm import exact_dedup, mixing, quality, warc
+import public_tokenizers
+
+from panelwise.llm import bpe, exact_dedup, mixing, quality, toxicity, warc
 from panelwise.llm.common import table
 
 
@@ -19,6 +21,23 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    tokens = bpe.encoded(docs, ranks, public_tokenizers.PATTERN).select("doc_id", "ids")
+    return tokens.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                         F.sha2(bpe.ids_bytes(F.col("ids"), ranks), 256).alias("ids_sha256"),
+                         F.sha2(bpe.decoded(F.col("ids"), ranks), 256).alias("decoded_sha256"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    grammar = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.with_scores(docs, grammar).select(
+        "doc_id", quality.held_out(F.col("doc_id"), toxicity.FOLDS, toxicity.HELD_OUT).alias("held_out"), "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_classes(table(spark, sf_dir, "documents"))
 
@@ -62,6 +81,8 @@ FROM f
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_classifier": op1_quality_classifier,
+        "op3_byte_bpe": op3_byte_bpe,
+        "op4_toxicity": op4_toxicity,
         "op5_exact_dedup": op5_exact_dedup,
         "op8_source_mix": op8_source_mix,
         "op10_warc_index": op10_warc_index,
