@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from panelwise.llm import bpe, exact_dedup, mixing, quality, toxicity, warc
+from panelwise.llm import bpe, embeddings, exact_dedup, minhash, mixing, quality, toxicity, warc
 from panelwise.llm.common import table
 
 
@@ -42,11 +42,19 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_classes(table(spark, sf_dir, "documents"))
 
 
+def op7_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.mixed(table(spark, sf_dir, "documents"))
     return mix.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     _, shards = warc.archive(pages)
@@ -84,7 +92,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_byte_bpe": op3_byte_bpe,
         "op4_toxicity": op4_toxicity,
         "op5_exact_dedup": op5_exact_dedup,
+        "op7_cross_polytope": op7_cross_polytope,
         "op8_source_mix": op8_source_mix,
+        "op9_minhash": op9_minhash,
         "op10_warc_index": op10_warc_index,
     }
 
