@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from panelwise.llm import bpe, embeddings, exact_dedup, minhash, mixing, quality, toxicity, warc
+from panelwise.llm import bpe, embeddings, exact_dedup, minhash, mixing, pii, quality, toxicity, warc
 from panelwise.llm.common import table
 
 
@@ -21,6 +21,12 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op2_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = pii.personal_data(table(spark, sf_dir, "documents"))
+    counts = [F.size(pii.of_kind(F.col("base"), k)).cast("long").alias(f"n_{k}") for k in pii.BASE_KINDS]
+    return spans.select("doc_id", *counts, F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -89,6 +95,7 @@ FROM f
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_classifier": op1_quality_classifier,
+        "op2_weak_supervision_pii": op2_weak_supervision_pii,
         "op3_byte_bpe": op3_byte_bpe,
         "op4_toxicity": op4_toxicity,
         "op5_exact_dedup": op5_exact_dedup,
