@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from panelwise.llm import bpe, embeddings, exact_dedup, minhash, mixing, pii, quality, toxicity, warc
+from panelwise.llm import bpe, embeddings, exact_dedup, minhash, mixing, pii, quality, suffix, toxicity, warc
 from panelwise.llm.common import table
 
 
@@ -48,6 +48,11 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_classes(table(spark, sf_dir, "documents"))
 
 
+def op6_prefix_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix.without_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -99,6 +104,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_byte_bpe": op3_byte_bpe,
         "op4_toxicity": op4_toxicity,
         "op5_exact_dedup": op5_exact_dedup,
+        "op6_prefix_doubling": op6_prefix_doubling,
         "op7_cross_polytope": op7_cross_polytope,
         "op8_source_mix": op8_source_mix,
         "op9_minhash": op9_minhash,
