@@ -1 +1,8 @@
 """Longitudinal cohort operators on Spark DataFrames."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to executors by value, so it need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
