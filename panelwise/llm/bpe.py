@@ -1,9 +1,9 @@
 """Byte-level BPE with Spark's higher-order functions.
 
-A word's bytes are held as characters 0..255 (ISO-8859-1), so pieces are strings and a merge is a
-concatenation. A fold over the word merges, step by step, the leftmost adjacent pair of the lowest
-rank. Ranks come from a literal map, cut by CRC-32 into small buckets since Spark searches a map
-from its first key on.
+A word's bytes become tokens, and each token is held as one character that sorts as its rank does,
+so a word is a string and a merge puts one character in the place of two. A fold over the word
+merges, step by step, the leftmost adjacent pair of the lowest rank. Ranks come from a literal map,
+cut by CRC-32 into small buckets since Spark searches a map from its first key on.
 
 The distinct words of all texts are counted with map-side aggregation. The most frequent ones, at
 most FREQUENT_WORDS whatever the input's size, are folded once each and their ids become a second
@@ -23,12 +23,11 @@ from pyspark.sql import functions as F
 from panelwise.llm.common import dropped, written
 
 FREQUENT_WORDS = 1 << 17
-RANK_BUCKETS = 1 << 13
+PAIR_BUCKETS = 1 << 15
 WORD_BUCKETS = 1 << 15
 #: Words longer than this (in characters) are not kept in the literal map.
 LONGEST_FREQUENT = 64
 
-
 def load_ranks(path: str) -> dict[bytes, int]:
     """Rank file: a base64 piece and its rank on each line."""
     with open(path, "rb") as f:
@@ -44,11 +43,6 @@ def words_of(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(java_pattern(pattern)), F.lit(0))
 
 
-def as_bytes(word: Column) -> Column:
-    """The word's UTF-8 bytes as a string of characters 0..255."""
-    return F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
-
-
 def _bucketed(entries: dict[str, object], buckets: int, value: str) -> Column:
     """A literal ``array<map<string, value>>`` in which a key lies in the bucket of its CRC-32."""
     cut: list[dict[str, object]] = [{} for _ in range(buckets)]
@@ -61,8 +55,26 @@ def _get(table: Column, buckets: int, key: Column) -> Column:
     return F.get(table, (F.crc32(key.cast("binary")) % buckets).cast("int"))[key]
 
 
-def rank_table(ranks: dict[bytes, int]) -> Column:
-    return _bucketed({piece.decode("latin-1"): rank for piece, rank in ranks.items()}, RANK_BUCKETS, "int")
+def token_char(rank: int) -> str:
+    """The character that stands for a token in a fold: higher ranks sort later, surrogates are left out."""
+    return chr(rank + 0x100 if rank + 0x100 < 0xD800 else rank + 0x900)
+
+
+def token_rank(char: Column) -> Column:
+    point = F.ascii(char)
+    return F.when(point < 0xD800, point - 0x100).otherwise(point - 0x900)
+
+
+def pair_table(ranks: dict[bytes, int]) -> Column:
+    """Ranks of merges: two adjacent tokens (as two characters) -> the token they make, for every
+    way to cut a token into two tokens."""
+    pairs = {}
+    for piece, rank in ranks.items():
+        for k in range(1, len(piece)):
+            left, right = ranks.get(piece[:k]), ranks.get(piece[k:])
+            if left is not None and right is not None:
+                pairs[token_char(left) + token_char(right)] = token_char(rank)
+    return _bucketed(pairs, PAIR_BUCKETS, "string")
 
 
 def _let(value: Column, body) -> Column:  # noqa: ANN001
@@ -70,39 +82,31 @@ def _let(value: Column, body) -> Column:  # noqa: ANN001
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-_NONE = 1 << 30
+def byte_tokens(word: Column, ranks: dict[bytes, int]) -> Column:
+    """The word's UTF-8 bytes, each as the character of its token."""
+    known = [b for b in range(256) if bytes([b]) in ranks]
+    return F.translate(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), "".join(map(chr, known)), "".join(token_char(ranks[bytes([b])]) for b in known))
 
 
-def fold_word(word: Column, table: Column) -> Column:
-    """The ids of one word (a string of bytes, not empty) as ``array<int>``."""
+def fold_word(tokens: Column, pairs: Column) -> Column:
+    """The ids (``array<int>``) that the ranked merges make of a word's byte tokens.
 
-    def rank(piece: Column) -> Column:
-        return F.coalesce(_get(table, RANK_BUCKETS, piece), F.lit(_NONE))
+    Each step looks up all adjacent pairs and merges the leftmost of the lowest rank; a word of n
+    bytes is done after n - 1 steps at most. A minimum over characters is one over ranks.
+    """
 
     def step(acc: Column, _: Column) -> Column:
-        def merge(p: Column) -> Column:
-            pieces, ranks = acc["pieces"], acc["ranks"]
+        made = F.transform(F.sequence(F.lit(1), F.length(acc) - 1), lambda i: _get(pairs, PAIR_BUCKETS, F.substr(acc, i, F.lit(2))))
 
-            def put(merged: Column) -> Column:
-                n = F.size(pieces)
-                left = F.when(p > 1, F.array(rank(F.concat(F.get(pieces, p - 2), merged)))).otherwise(F.slice(ranks, 1, 0))
-                right = F.when(p + 1 < n, F.array(rank(F.concat(merged, F.get(pieces, p + 1))))).otherwise(F.slice(ranks, 1, 0))
-                return F.struct(
-                    F.concat(F.slice(pieces, F.lit(1), p - 1), F.array(merged), F.slice(pieces, p + 2, n)).alias("pieces"),
-                    F.concat(F.slice(ranks, F.lit(1), F.greatest(p - 2, F.lit(0))), left, right, F.slice(ranks, p + 2, n)).alias("ranks"))
+        def merge(found: Column) -> Column:
+            return _let(F.struct(F.array_min(found).alias("low")), lambda x: F.when(x["low"].isNull(), acc).otherwise(
+                _let(F.array_position(found, x["low"]).cast("int"), lambda p: F.concat(F.substr(acc, F.lit(1), p - 1), x["low"], F.substr(acc, p + 2)))))
 
-            return _let(F.concat(F.get(pieces, p - 1), F.get(pieces, p)), put)
+        return F.when(F.length(acc) < 2, acc).otherwise(_let(made, merge))
 
-        low = F.array_min(acc["ranks"])
-        return F.when(F.coalesce(low, F.lit(_NONE)) == _NONE, acc).otherwise(_let(F.array_position(acc["ranks"], low).cast("int"), merge))
-
-    n = F.length(word)
-    start = F.struct(F.transform(F.sequence(F.lit(1), n), lambda i: F.substr(word, i, F.lit(1))).alias("pieces"),
-                     F.transform(F.sequence(F.lit(1), n - 1), lambda i: rank(F.substr(word, i, F.lit(2)))).alias("ranks"))
-    folded = F.aggregate(F.sequence(F.lit(2), n), start, step)["pieces"]
-    ids = F.when(n == 1, F.array(rank(word))).otherwise(F.transform(folded, rank))
-    whole = _get(table, RANK_BUCKETS, word)
-    return F.when(whole.isNotNull(), F.array(whole)).otherwise(ids)
+    n = F.length(tokens)
+    folded = F.when(n < 2, tokens).otherwise(F.aggregate(F.sequence(F.lit(2), n), tokens, step))
+    return _let(folded, lambda done: F.transform(F.sequence(F.lit(1), F.length(done)), lambda i: token_rank(F.substr(done, i, F.lit(1)))))
 
 
 def frequent_words(docs: DataFrame, pattern: str) -> DataFrame:
@@ -125,21 +129,26 @@ def encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, column: str
 
     Null and empty texts have no ids. Special tokens are ordinary text. Empty tables stay empty.
     """
-    table = rank_table(ranks)
+    pairs = pair_table(ranks)
     known = frequent_words(docs, pattern)
-    folded = known.select("word", F.get(F.transform(F.array(table), lambda t: fold_word(as_bytes(F.col("word")), t)), F.lit(0)).alias("ids"))
+    folded = known.select("word", _let(pairs, lambda t: _let(byte_tokens(F.col("word"), ranks), lambda b: fold_word(b, t))).alias("ids"))
     frequent = {r["word"]: r["ids"] for r in folded.collect()}
     dropped(known)
+    # A word that is itself a token is that token, however its merges would go.
+    for piece, rank in ranks.items():
+        try:
+            frequent[piece.decode()] = [rank]
+        except UnicodeDecodeError:
+            continue
     words = _bucketed(frequent, WORD_BUCKETS, "array<int>")
 
     def of_text(tables: Column) -> Column:
         def of_word(w: Column) -> Column:
-            return F.coalesce(_get(tables["words"], WORD_BUCKETS, w), _let(as_bytes(w), lambda b: fold_word(b, tables["ranks"])))
+            return F.coalesce(_get(tables["words"], WORD_BUCKETS, w), _let(byte_tokens(w, ranks), lambda b: fold_word(b, tables["pairs"])))
 
         return F.flatten(F.transform(words_of(F.col("text"), pattern), of_word))
 
-    both = F.array(F.struct(words.alias("words"), table.alias("ranks")))
-    return docs.withColumn(column, F.get(F.transform(both, of_text), F.lit(0)))
+    return docs.withColumn(column, _let(F.struct(words.alias("words"), pairs.alias("pairs")), of_text))
 
 
 def _looked_up(ids: Column, hexes: list[str]) -> Column:

@@ -13,7 +13,6 @@ than two blocks and no pair of a bucket is left out.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -31,7 +30,6 @@ TABLES, HASHES = 6, 2
 BLOCK = 256
 
 
-@lru_cache(maxsize=64)
 def _signs(size: int, table: int, k: int) -> np.ndarray:
     return np.random.default_rng([size, table, k]).choice([-1.0, 1.0], (3, size))
 

@@ -7,7 +7,8 @@ equal bands share a bucket. Documents with equal sets are one class, represented
 
 Every bucket proposes a star: each member against one centre, so a bucket of m documents gives m - 1
 pairs. Pairs are confirmed on the full sets. Buckets whose members are then still in different
-components get more centres, until each has had as many as it has members or is one component.
+components get more centres, until each has had as many as it has members or is one component; in
+these rounds a sketch of four bits a bin spares the full sets of pairs that are far too unlike.
 """
 
 from __future__ import annotations
@@ -35,6 +36,10 @@ MORE_CENTRES = 32
 BROADCAST_IDS = 500_000
 
 _BINS = BANDS * ROWS
+SKETCH = _BINS // 16
+#: A pair of later rounds whose sketches differ by more than a linked pair's would, this many standard
+#: deviations out (3 in a million), is not compared on the full sets.
+DEVIATIONS = 4.5
 _SHIFT = np.uint64(64 - int(_BINS - 1).bit_length())
 _ORDERS = np.array([np.random.default_rng(1000 + j).permutation(_BINS) for j in range(_BINS)])
 _STARTS = np.arange(_BINS, dtype=np.uint64) << _SHIFT
@@ -72,8 +77,8 @@ def shingle_set(text: str | None, known: WordHashes) -> np.ndarray:
     return np.unique(_mixed(h))
 
 
-def band_keys(shingles: np.ndarray) -> np.ndarray:
-    """One 64-bit key for each band of a sorted, not empty set of hashes."""
+def signature(shingles: np.ndarray) -> np.ndarray:
+    """The densified bins of a sorted, not empty set of hashes, one row for each band."""
     first = np.searchsorted(shingles, _STARTS)
     bins = np.minimum(first, len(shingles) - 1)
     occupied = (shingles[bins] >> _SHIFT == np.arange(_BINS, dtype=np.uint64)) & (first < len(shingles))
@@ -82,30 +87,62 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
     if empty.any():
         orders = _ORDERS[empty]
         donor[empty] = orders[np.arange(len(orders)), occupied[orders].argmax(axis=1)]
-    signature = shingles[bins[donor]].reshape(BANDS, ROWS)
+    return shingles[bins[donor]].reshape(BANDS, ROWS)
+
+
+def sketch(bins: np.ndarray) -> np.ndarray:
+    """Four bits of each bin, in SKETCH 64-bit words."""
+    low = (bins.ravel() & np.uint64(15)).astype(np.uint8)
+    return (low[0::2] | (low[1::2] << 4)).view(np.int64)
+
+
+def most_mismatches(n: F.Column) -> F.Column:
+    """Bins of two sketches that may differ if the sets, of n shingles, reach the similarity: the
+    expected number and DEVIATIONS standard deviations, with as many draws as n shingles fill bins."""
+    agree = SIMILARITY / 100 + (1 - SIMILARITY / 100) / 16
+    filled = _BINS * (1 - F.exp(-n / _BINS))
+    return _BINS * (1 - agree + DEVIATIONS * F.sqrt(agree * (1 - agree) / filled))
+
+
+def mismatches(a: str, b: str) -> F.Column:
+    """How many bins of two sketches differ."""
+    total = F.lit(0)
+    for i in range(SKETCH):
+        x = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        total = total + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+    return total
+
+
+def band_keys(bins: np.ndarray) -> np.ndarray:
+    """One 64-bit key for each band of a signature."""
     key = np.arange(1, BANDS + 1, dtype=np.uint64)
     for k in range(ROWS):
-        key = _mixed(key * np.uint64(0x9E3779B97F4A7C15) + signature[:, k])
+        key = _mixed(key * np.uint64(0x9E3779B97F4A7C15) + bins[:, k])
     return key
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, set_key, bands``; set_key is null and bands are empty for an empty set."""
+    """``doc_id, n_shingles, set_key, bands, sketch``; set_key is null and the lists are empty for an empty set."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
-            n, keys, bands = [], [], []
+            n, keys, bands, sketches = [], [], [], []
+            none = np.empty(0, np.int64)
             for text in batch.column(1):
                 s = shingle_set(text.as_py(), known)
+                bins = signature(s) if len(s) else None
                 n.append(len(s))
                 keys.append(xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None)
-                bands.append(band_keys(s).view(np.int64) if len(s) else np.empty(0, np.int64))
+                bands.append(band_keys(bins).view(np.int64) if len(s) else none)
+                sketches.append(sketch(bins) if len(s) else none)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.string()), pa.array(bands, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "set_key", "bands"])
+                [batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.string()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))],
+                ["doc_id", "n_shingles", "set_key", "bands", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(describe, "doc_id bigint, n_shingles bigint, set_key string, bands array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(describe, "doc_id bigint, n_shingles bigint, set_key string, bands array<bigint>, sketch array<bigint>")
 
 
 def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -158,19 +195,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     rows = written(described(docs), "described")
     classes = (rows.where(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull()).groupBy("set_key")
-               .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
+               .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
     classes = written(classes, "classes")
     member = F.explode("bands").alias("key")
-    buckets = (classes.select(member, "rep", "n").groupBy("key")
-               .agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("rep", "n")).alias("centre")).where("size > 1"))
-    buckets = written(buckets, "buckets")
-    rows_in = written(classes.select(member, "rep", "n").join(buckets.select("key", "size", "centre"), "key"), "members")
+    sizes = written(classes.select(member).groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "bucket_sizes")
+    crowd = classes.select(member, "rep", "n").join(sizes, "key")
+    # The document an edited family was made from lies in the family's large buckets in every band,
+    # its edited copies in some of them: the member with the most company is the centre.
+    company = crowd.groupBy("rep").agg(F.sum("size").alias("company"))
+    crowd = written(crowd.join(company, "rep"), "crowd")
+    buckets = crowd.groupBy("key").agg(F.max_by(F.struct("rep", "n"), F.struct("company", -F.col("rep"))).alias("centre"))
+    rows_in = written(crowd.join(written(buckets, "buckets"), "key"), "members")
 
     def fits(n1: str, n2: str) -> F.Column:
         return 100 * F.least(n1, n2) >= SIMILARITY * F.greatest(n1, n2)
 
     star = (rows_in.where(F.col("rep") != F.col("centre.rep")).where(fits("n", "centre.n"))
-            .select(F.col("centre.rep").alias("a"), F.col("rep").alias("b")).distinct())
+            .select(F.least("centre.rep", "rep").alias("a"), F.greatest("centre.rep", "rep").alias("b")).distinct())
     links = confirmed(written(star, "pairs"), docs)
     centres, largest = 1, rows_in.agg(F.max("size").alias("m")).first()["m"] or 0
     while True:
@@ -182,10 +223,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         # in the bucket is among the lowest centres / size: all members once centres >= size.
         named = rows_in.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep"))
         mixed = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-        named = written(named.join(written(mixed, "mixed"), "key", "left_semi").select("key", "rep", "n", "c", "size"), "named")
+        named = written(named.join(written(mixed, "mixed"), "key", "left_semi").join(classes.select("rep", "sketch"), "rep").select("key", "rep", "n", "c", "size", "sketch"), "named")
         share = F.pmod(F.xxhash64("rep", "key"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-        chosen = named.where(share * F.col("size") < centres).select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-        pairs = (named.join(chosen, "key").where("rep <> a AND c <> ca").where(fits("n", "na"))
+        chosen = named.where(share * F.col("size") < centres).select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), F.col("sketch").alias("sa"))
+        alike = mismatches("sketch", "sa") <= F.greatest(most_mismatches(F.col("n")), most_mismatches(F.col("na")))
+        pairs = (named.join(chosen, "key").where("rep <> a AND c <> ca").where(fits("n", "na")).where(alike)
                  .select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct())
         pairs = written(pairs, "pairs")
         if not pairs.limit(1).count():

@@ -144,12 +144,9 @@ def with_scores(docs: DataFrame, model: CompressionModel, column: str = "score")
 
     Null text is the empty text, which has a score like any other. Empty tables stay empty.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        m = sent.value
-        compressors, w = m.compressors(), np.array(m.weights)
+        compressors, w = model.compressors(), np.array(model.weights)
         for texts in batches:
             x = np.array([features(t, compressors) for t in texts]).reshape(-1, len(w))
             yield pd.Series(1 / (1 + np.exp(-np.clip(x @ w, -30, 30))))

@@ -187,14 +187,11 @@ def with_scores(docs: DataFrame, grammar: Grammar, column: str = "score") -> Dat
 
     Null text is the empty text, which has a score like any other. Empty tables stay empty.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(grammar)
-
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        g = sent.value
-        w = np.array(g.weights)
+        w = np.array(grammar.weights)
         for texts in batches:
-            x = np.array([g.features(t) for t in texts]).reshape(-1, len(w))
+            x = np.array([grammar.features(t) for t in texts]).reshape(-1, len(w))
             yield pd.Series(1 / (1 + np.exp(-np.clip(x @ w, -30, 30))))
 
     return docs.withColumn(column, score(F.coalesce(F.col("text"), F.lit(""))))
