@@ -19,6 +19,7 @@ Every row that is sorted belongs to one anchor, block or window, never to a pair
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -179,8 +180,10 @@ def _ranges(rows: DataFrame) -> DataFrame:
 
 def _release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of rounds that are over, before the next round's are made."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(3):  # plans are let go of by Python first, then by the JVM, then by Spark's cleaner
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.7)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
