@@ -6,9 +6,9 @@ random order names first among those that are not empty. ROWS bins make a band,
 equal bands share a bucket. Documents with equal sets are one class, represented once.
 
 Every bucket proposes a star: each member against one centre, so a bucket of m documents gives m - 1
-pairs. Pairs are confirmed on the full sets. Buckets whose members are then still in different
-components get more centres, until each has had as many as it has members or is one component; in
-these rounds a sketch of four bits a bin spares the full sets of pairs that are far too unlike.
+pairs. Pairs are confirmed on the full sets. The documents of buckets whose members are then still
+in different components are compared once more, by a join on their rarest shingles that loses no
+link between them; a sketch of four bits a bin spares the full sets of pairs that are far too unlike.
 """
 
 from __future__ import annotations
@@ -30,14 +30,12 @@ WORDS = 5
 SIMILARITY = 75
 #: A pair at the threshold shares no bucket with probability (1 - 0.75 ** ROWS) ** BANDS = 5e-6.
 BANDS, ROWS = 32, 4
-#: Centres of a bucket grow by this factor from round to round.
-MORE_CENTRES = 32
 #: Ids of candidates up to this many (8 bytes each) are sent to the scan of the documents.
 BROADCAST_IDS = 500_000
 
 _BINS = BANDS * ROWS
 SKETCH = _BINS // 16
-#: A pair of later rounds whose sketches differ by more than a linked pair's would, this many standard
+#: A pair beyond the stars whose sketches differ by more than a linked pair's would, this many standard
 #: deviations out (3 in a million), is not compared on the full sets.
 DEVIATIONS = 4.5
 _SHIFT = np.uint64(64 - int(_BINS - 1).bit_length())
@@ -184,6 +182,34 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return links
 
 
+def prefix_pairs(named: DataFrame, docs: DataFrame) -> DataFrame:
+    """All pairs (a, b) of ``named`` (rep, c, n, sketch) in different components c that may be linked.
+
+    Sets are put in one order, rarest shingles first. Two sets that reach the similarity t share one of
+    the first n - ceil(t * n) + 1 shingles of each; so only those are joined, and what many documents
+    share, a line or a passage, makes no pairs unless it is most of them.
+    """
+    known = written(full_sets(docs, named.select(F.col("rep").alias("doc_id"))), "rest_sets")
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = pa.array([np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(1)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["rep", "hs"])
+
+    one = known.mapInArrow(unpack, "rep bigint, hs array<bigint>").select("rep", F.explode("hs").alias("h"))
+    common = written(one.groupBy("h").agg(F.count(F.lit(1)).alias("f")).where("f > 1"), "shingle_counts")
+    ranked = one.join(common, "h", "left").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("f", F.lit(1)).alias("f"), "h"))).alias("hs"))
+    size = F.size("hs")
+    prefix = F.slice("hs", F.lit(1), size - F.ceil(size * SIMILARITY / 100).cast("int") + 1)
+    rows = ranked.select("rep", F.explode(F.filter(prefix, lambda x: x["f"] > 1)).alias("x")).select("rep", "x.h")
+    rows = written(rows.join(named, "rep"), "prefixes")
+    other = rows.select("h", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), F.col("sketch").alias("sa"))
+    alike = mismatches("sketch", "sa") <= F.greatest(most_mismatches(F.col("n")), most_mismatches(F.col("na")))
+    fits = 100 * F.least("n", "na") >= SIMILARITY * F.greatest("n", "na")
+    pairs = rows.join(other, "h").where((F.col("a") < F.col("rep")) & (F.col("c") != F.col("ca")) & fits & alike).select("a", F.col("rep").alias("b")).distinct()
+    return written(pairs, "rest_pairs")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): ``doc_id, n_shingles, component_id, kept``.
 
@@ -213,26 +239,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     star = (rows_in.where(F.col("rep") != F.col("centre.rep")).where(fits("n", "centre.n"))
             .select(F.least("centre.rep", "rep").alias("a"), F.greatest("centre.rep", "rep").alias("b")).distinct())
     links = confirmed(written(star, "pairs"), docs)
-    centres, largest = 1, rows_in.agg(F.max("size").alias("m")).first()["m"] or 0
-    while True:
+    label = connected_components(links)
+    # Only documents of buckets whose members are in different components go on.
+    named = rows_in.select("key", "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep"))
+    mixed = written(named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key"), "mixed_buckets")
+    named = named.join(mixed, "key", "left_semi").groupBy("rep").agg(F.first("c").alias("c"))
+    named = written(named.join(classes.select("rep", "n", "sketch"), "rep"), "named")
+    rest = prefix_pairs(named, docs)
+    if rest.limit(1).count():
+        links = written(links.unionByName(confirmed(rest, docs)), "all_links")
         label = connected_components(links)
-        if centres >= 2 * largest or largest <= 2:
-            break
-        centres *= MORE_CENTRES
-        # Only buckets with members in different components go on. A member is a centre if its hash
-        # in the bucket is among the lowest centres / size: all members once centres >= size.
-        named = rows_in.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep"))
-        mixed = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-        named = written(named.join(written(mixed, "mixed"), "key", "left_semi").join(classes.select("rep", "sketch"), "rep").select("key", "rep", "n", "c", "size", "sketch"), "named")
-        share = F.pmod(F.xxhash64("rep", "key"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-        chosen = named.where(share * F.col("size") < centres).select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), F.col("sketch").alias("sa"))
-        alike = mismatches("sketch", "sa") <= F.greatest(most_mismatches(F.col("n")), most_mismatches(F.col("na")))
-        pairs = (named.join(chosen, "key").where("rep <> a AND c <> ca").where(fits("n", "na")).where(alike)
-                 .select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct())
-        pairs = written(pairs, "pairs")
-        if not pairs.limit(1).count():
-            break
-        links = written(links.unionByName(confirmed(pairs, docs)), "links")
     reps = classes.select("set_key", "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
     joined = rows.select("doc_id", "n_shingles", "set_key").join(reps, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
