@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import json
 import zlib
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,12 +44,14 @@ def words_of(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(java_pattern(pattern)), F.lit(0))
 
 
-def _bucketed(entries: dict[str, object], buckets: int, value: str) -> Column:
-    """A literal ``array<map<string, value>>`` in which a key lies in the bucket of its CRC-32."""
-    cut: list[dict[str, object]] = [{} for _ in range(buckets)]
-    for key, v in entries.items():
-        cut[zlib.crc32(key.encode()) % buckets][key] = v
-    return F.from_json(F.lit(json.dumps(cut, ensure_ascii=False, separators=(",", ":"))), f"array<map<string,{value}>>")
+def _bucketed(entries: Iterable[tuple[str, str]], buckets: int, value: str) -> Column:
+    """A literal ``array<map<string, value>>`` from (key, value as JSON) in which a key lies in the
+    bucket of its CRC-32."""
+    cut: list[list[str]] = [[] for _ in range(buckets)]
+    for key, v in entries:
+        cut[zlib.crc32(key.encode()) % buckets].append(f"{json.dumps(key, ensure_ascii=False)}:{v}")
+    text = "[" + ",".join("{" + ",".join(c) + "}" for c in cut) + "]"
+    return F.from_json(F.lit(text), f"array<map<string,{value}>>")
 
 
 def _get(table: Column, buckets: int, key: Column) -> Column:
@@ -74,7 +77,7 @@ def pair_table(ranks: dict[bytes, int]) -> Column:
             left, right = ranks.get(piece[:k]), ranks.get(piece[k:])
             if left is not None and right is not None:
                 pairs[token_char(left) + token_char(right)] = token_char(rank)
-    return _bucketed(pairs, PAIR_BUCKETS, "string")
+    return _bucketed(((k, json.dumps(v, ensure_ascii=False)) for k, v in pairs.items()), PAIR_BUCKETS, "string")
 
 
 def _let(value: Column, body) -> Column:  # noqa: ANN001
@@ -132,15 +135,16 @@ def encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, column: str
     pairs = pair_table(ranks)
     known = frequent_words(docs, pattern)
     folded = known.select("word", _let(pairs, lambda t: _let(byte_tokens(F.col("word"), ranks), lambda b: fold_word(b, t))).alias("ids"))
-    frequent = {r["word"]: r["ids"] for r in folded.collect()}
+    frequent = {r["word"]: r["ids"] for r in folded.select("word", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids")).toLocalIterator()}
     dropped(known)
     # A word that is itself a token is that token, however its merges would go.
     for piece, rank in ranks.items():
         try:
-            frequent[piece.decode()] = [rank]
+            frequent[piece.decode()] = str(rank)
         except UnicodeDecodeError:
             continue
-    words = _bucketed(frequent, WORD_BUCKETS, "array<int>")
+    words = _bucketed(((w, f"[{ids}]") for w, ids in frequent.items()), WORD_BUCKETS, "array<int>")
+    del frequent
 
     def of_text(tables: Column) -> Column:
         def of_word(w: Column) -> Column:
