@@ -212,8 +212,11 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     of_window = Window.partitionBy("p", "q")
     windows = (window_rows(able, _ranges(blocks.where("doc_id = first"))).withColumn("first", F.min("doc_id").over(of_window))
                .where("doc_id > first").select("doc_id", "start", F.lit(1).cast("long").alias("n")))
+    windows = written(windows, "window_starts")
+    _release(spark)
     gone = written(_ranges(blocks.where("doc_id > first").select("doc_id", "start", "n").unionByName(windows)), "removed_ranges")
     dropped(blocks)
+    dropped(windows)
     _release(spark)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
