@@ -29,6 +29,12 @@ def io5(c: Chain) -> DataFrame:
     return io.resolve_roles(e, {"person": ("person_id", "user_id"), "at": ("time(stamp)?", "ts")})
 
 
+@query("io5b_resolve_all", "SELECT user_id AS person, ts AS at FROM events")
+def io5b(c: Chain) -> DataFrame:
+    """io5 over every row of events."""
+    return io.resolve_roles(c.spark.read.parquet(f"{c.sf}/events.parquet"), {"person": ("person_id", "user_id"), "at": ("time(stamp)?", "ts")})
+
+
 @query("io14_stamp", sql("SELECT episode_id, (SELECT max(procedure_date) FROM records) AS source_cutoff FROM episodes", "episodes"))
 def io14(c: Chain) -> DataFrame:
     return io.stamped(c.episodes.select("episode_id"), c.records, "procedure_date").drop("built_at")
