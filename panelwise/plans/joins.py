@@ -17,6 +17,12 @@ def io1(c: Chain) -> DataFrame:
     return io.scan(c.spark, f"{c.sf}/events.parquet", ["event_id", "user_id", "value"]).where("value > 99").drop("value")
 
 
+@query("io1b_scan_all", "SELECT event_id, user_id FROM events")
+def io1b(c: Chain) -> DataFrame:
+    """The column list of io1 over every row of events."""
+    return io.scan(c.spark, f"{c.sf}/events.parquet", ["event_id", "user_id"])
+
+
 @query("io3_table_rows", "SELECT 'events' AS \"table\", count(*) AS n_rows FROM events UNION ALL SELECT 'orders', count(*) FROM orders")
 def io3(c: Chain) -> DataFrame:
     read = lambda n: c.spark.read.parquet(f"{c.sf}/{n}.parquet")

@@ -70,6 +70,12 @@ def pf10(c: Chain) -> DataFrame:
     return c.zones.where("minute_in_zone > 590").drop("zone")
 
 
+@query("pf10b_all_but_whole", sql("SELECT * EXCLUDE (zone) FROM zones", "zones"))
+def pf10b(c: Chain) -> DataFrame:
+    """pf10 over every zone row."""
+    return c.zones.drop("zone")
+
+
 @query("pf11_plausible_range", sql("SELECT count(*) AS n, count_if(value_as_number BETWEEN 10 AND 80) AS n_plausible FROM measurements", "measurements"))
 def pf11(c: Chain) -> DataFrame:
     return c.measurements.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("value_as_number").between(10, 80)).alias("n_plausible"))
