@@ -152,6 +152,12 @@ def fit_logit(rows: DataFrame, x: Sequence[str], y: str, weight: str | None = No
     return out
 
 
+def with_fitted(rows: DataFrame, x: Sequence[str], beta: Sequence[float], name: str) -> DataFrame:
+    """Rows with the probability that a fit gives them, kept off 0 and 1 by 1e-6."""
+    eta = sum((F.lit(float(b)) * F.col(c) for b, c in zip(beta, x, strict=True)), F.lit(0.0))
+    return rows.withColumn(name, F.least(F.lit(1 - 1e-6), F.greatest(F.lit(1e-6), expit(eta))))
+
+
 def set_terms(frame: pd.DataFrame, x: Sequence[str], beta: np.ndarray) -> np.ndarray:
     """Log likelihood, gradient and information of whole matched sets, in one row."""
     p, out = len(x), np.zeros(1 + len(x) + len(x) ** 2)

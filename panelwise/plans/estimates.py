@@ -175,9 +175,78 @@ def e24(c: Chain) -> DataFrame:
     return c.features.groupBy(F.concat_ws("_", two, F.when(F.col("sex") == "F", "f").otherwise("m")).alias("four"), two.alias("two")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("e28_bounds_bracket", sql(f"SELECT count(*) AS n_outside FROM (SELECT region, avg(s) AS lo, avg(s + miss) AS hi, avg(p) AS est FROM (SELECT episode_id, region, coalesce(sum(deficit), 0) AS s, count_if(deficit IS NULL) AS miss, sum(coalesce(deficit, {_PRED})) AS p FROM {_DAYS} GROUP BY ALL) GROUP BY region) WHERE est < lo OR est > hi", "panel"))
-def e28(c: Chain) -> DataFrame:
-    d = _predicted(c)
+def _outside(d: DataFrame) -> DataFrame:
     b = E.worst_case_bounds(d, "episode_id", "region", "deficit")
     est = d.groupBy("episode_id", "region").agg(F.sum(F.coalesce("deficit", "pred")).alias("p")).groupBy("region").agg(F.avg("p").alias("est"))
     return b.join(est, "region").where("est < lower OR est > upper").agg(F.count(F.lit(1)).alias("n_outside"))
+
+
+@query("e28_bounds_bracket", sql(f"SELECT count(*) AS n_outside FROM (SELECT region, avg(s) AS lo, avg(s + miss) AS hi, avg(p) AS est FROM (SELECT episode_id, region, coalesce(sum(deficit), 0) AS s, count_if(deficit IS NULL) AS miss, sum(coalesce(deficit, {_PRED})) AS p FROM {_DAYS} GROUP BY ALL) GROUP BY region) WHERE est < lo OR est > hi", "panel"))
+def e28(c: Chain) -> DataFrame:
+    return _outside(_predicted(c))
+
+
+#: Terms of the two fitted models. The observation model has the deficit model's and what predicts wear.
+_DEFICIT_X = ("one", "day", "day_squared", "weekend", "log_los", "fusion")
+_OBSERVED_X = (*_DEFICIT_X, "valid_days", "lag", "lag_missing")
+
+
+def _design(c: Chain) -> DataFrame:
+    """All days of the accrual window with the terms of both models; a missing lag is its median."""
+    d = _days(c)
+    mid = d.agg(F.coalesce(F.median("lagged_wear_fraction"), F.lit(0.0)).alias("_mid"))
+    d = d.join(c.features.select("episode_id", "is_fusion"), "episode_id").join(c.baseline.select("episode_id", "n_valid_baseline_days"), "episode_id", "left").join(F.broadcast(mid))
+    day = (F.col("post_day") - 5) / 5.0
+    return d.withColumns({
+        "one": F.lit(1.0), "day": day, "day_squared": day * day, "weekend": F.col("day_of_week").isin(1, 7).cast("double"), "log_los": F.log1p(F.coalesce("los_days", F.lit(0))), "fusion": F.coalesce("is_fusion", F.lit(False)).cast("double"),
+        "valid_days": F.coalesce("n_valid_baseline_days", F.lit(0)) / 10.0, "lag": F.coalesce("lagged_wear_fraction", "_mid"), "lag_missing": F.col("lagged_wear_fraction").isNull().cast("double"), "y": F.col("is_analyzable").cast("double"),
+    }).drop("_mid")
+
+
+def _weighted(c: Chain) -> DataFrame:
+    """Days with ``observed``, the fitted probability that a day is observed, and the weight from it."""
+    d = _design(c)
+    return E.inverse_weights(E.with_fitted(d, _OBSERVED_X, E.fit_logit(d, _OBSERVED_X, "y")["beta"], "observed"), "is_analyzable", "observed", "region")
+
+
+def _deficit_fit(c: Chain) -> tuple[DataFrame, np.ndarray]:
+    """Days and the coefficients of the deficit model, weighted by the observation model."""
+    d = _weighted(c)
+    return d, E.fit_logit(d.where("deficit IS NOT NULL"), _DEFICIT_X, "deficit", weight="weight")["beta"]
+
+
+def _fitted(c: Chain) -> DataFrame:
+    d, beta = _deficit_fit(c)
+    return E.with_fitted(d, _DEFICIT_X, beta, "pred")
+
+
+@query("e03b_fitted_weights")
+def e03b(c: Chain) -> DataFrame:
+    """Weights from the fitted observation model, where e03 has a given formula."""
+    return rounded(_weighted(c), "weight").select("episode_id", "post_day", "weight")
+
+
+@query("e08b_fitted_g_computation")
+def e08b(c: Chain) -> DataFrame:
+    d, beta = _deficit_fit(c)
+    return rounded(E.under_exposure(d, "episode_id", _DEFICIT_X, beta, "fusion", (0, 1)), "mean_total")
+
+
+@query("e12c_fitted_shift")
+def e12c(c: Chain) -> DataFrame:
+    return rounded(E.logit_shift(_fitted(c), "episode_id", "pred", "deficit", _SHIFTS), "mean_total")
+
+
+@query("e12d_fitted_crossing")
+def e12d(c: Chain) -> DataFrame:
+    return E.crossings(E.logit_shift(_fitted(c), "episode_id", "pred", "deficit", _SHIFTS), "shift", "mean_total", 4.0)
+
+
+@query("e21c_fitted_variation")
+def e21c(c: Chain) -> DataFrame:
+    return rounded(E.explained(_fitted(c).where("deficit IS NOT NULL"), "deficit", "pred", "weight"), "r2")
+
+
+@query("e28b_fitted_bracket")
+def e28b(c: Chain) -> DataFrame:
+    return _outside(_fitted(c))
