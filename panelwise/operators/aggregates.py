@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,9 +51,27 @@ def quartiles(value: Column) -> list[Column]:
 
 
 def table_digest(rows: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """MD5 of the sorted row keys. For small tables: all keys meet in one row."""
+    """MD5 of the sorted row keys, joined by "~". Keys are sorted by range in parallel and packed into pieces;
+    one task then reads the pieces in order and holds one batch at a time. An empty table has no digest."""
     key = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols])
-    return rows.select(key.alias("k")).agg(F.count(F.lit(1)).alias("n"), F.md5(F.array_join(F.array_sort(F.collect_list("k")), "~")).alias("digest"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                keys = batch.column("k").to_pylist()
+                yield pa.RecordBatch.from_pydict({"n": pa.array([len(keys)], pa.int64()), "piece": pa.array(["~".join(keys).encode()], pa.binary())})
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, h = 0, hashlib.md5(usedforsecurity=False)
+        for batch in batches:
+            for count, piece in zip(batch.column("n"), batch.column("piece"), strict=True):
+                h.update(b"~" * (n > 0) + piece.as_py())
+                n += count.as_py()
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64()), "digest": pa.array([h.hexdigest() if n else None], pa.string())})
+
+    pieces = rows.select(key.alias("k")).sort("k").mapInArrow(pack, "n long, piece binary")
+    piece = pieces.withColumn("i", F.monotonically_increasing_id()).repartition(1).sortWithinPartitions("i").select("n", "piece")
+    return piece.mapInArrow(digest, "n long, digest string").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.max("digest").alias("digest"))
 
 
 def big_digest(rows: DataFrame, cols: Sequence[str]) -> DataFrame:

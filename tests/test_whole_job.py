@@ -1,8 +1,11 @@
 """Queries over whole tables, where a sibling of an earlier round returns a part."""
 
+import hashlib
+
 import duckdb
 import numpy as np
 
+from panelwise.operators import aggregates
 from panelwise.plans import registry
 
 DIR = "/root/testdata/sf0.001"
@@ -55,3 +58,12 @@ def test_deficits_are_fitted(spark):
     d = X._fitted(Chain(spark, DIR)).where("deficit IS NOT NULL").toPandas()
     x = d[list(X._DEFICIT_X)].to_numpy(float)
     assert len(d) > 20 and np.abs(x.T @ (d["weight"] * (d["deficit"] - d["pred"])).to_numpy(float)).max() < 1e-4
+
+
+def test_digest_keeps_no_table_in_a_row(spark):
+    rows = spark.range(30_000, numPartitions=7).selectExpr("id", "IF(id % 3 = 0, NULL, concat('é', id * 7919 % 30011)) AS s")
+    keys = sorted(f"{i}|" + ("" if i % 3 == 0 else f"é{i * 7919 % 30011}") for i in range(30_000))
+    got = aggregates.table_digest(rows, ["id", "s"])
+    assert "collect_list" not in got._jdf.queryExecution().toString()
+    assert tuple(got.first()) == (30_000, hashlib.md5("~".join(keys).encode()).hexdigest())
+    assert tuple(aggregates.table_digest(rows.where("id < 0"), ["id", "s"]).first()) == (0, None)
