@@ -18,7 +18,10 @@ from panelwise.llm.common import table, written
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier gives THRESHOLD or more."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.with_scores(docs, model, "_score").where(F.col("_score") >= quality.THRESHOLD).drop("_score")
+    score = "_score"
+    while score.lower() in {c.lower() for c in docs.columns}:
+        score += "_"
+    return quality.with_scores(docs, model, score).where(F.col(score) >= quality.THRESHOLD).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -155,5 +155,7 @@ def repeated(docs: DataFrame, seed: int = 17) -> DataFrame:
     cols = docs.columns
     copies = mixed(docs.select("doc_id", "source", "text"), seed).where("copies > 0")
     copies = copies.groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies"))
-    kept = docs.join(copies.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(copies["_id"]))
-    return kept.withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*[F.col(f"`{c}`") for c in cols])
+    packed = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols)]).alias("_row"))
+    kept = packed.join(copies.hint("shuffle_hash"), F.col(f"_row.c{cols.index('doc_id')}").eqNullSafe(F.col("_id")))
+    kept = kept.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_c"))
+    return kept.select(*[F.col(f"_row.c{i}").alias(c) for i, c in enumerate(cols)])
