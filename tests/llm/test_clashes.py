@@ -29,3 +29,15 @@ def test_extra_columns_stay(spark, tmp_path):
         assert out.columns == docs.columns, name
         rows = out.collect()
         assert rows and all(r[n] == f"{n}{r['doc_id']}" for r in rows for n in NAMES), name
+
+
+def test_run_with_labels(spark, tmp_path):
+    docs = fixture(spark, tmp_path)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    want = {*range(2, 22)}
+    got = docs
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        got = stage(spark, got, str(tmp_path))
+    assert {r["doc_id"] for r in got.collect()} == want
+    out = [(r["doc_id"], r["decodes"]) for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "decodes").collect()]
+    assert {i for i, _ in out} == want and all(d for _, d in out)
