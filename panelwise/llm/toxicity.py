@@ -1,8 +1,9 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
 A text is cut into clauses and each word becomes a symbol: insult, threat, target, negation,
-report or other. Five small transducers read the symbols of a clause together. The insult and
-threat transducers emit the weight of their word; the target transducer raises what stands in a
+report or other. Insults and threats get the weight of their word from a dictionary. Three small
+transducers then read the symbols of a clause side by side, not composed into one machine, and their
+factors are multiplied onto that weight: the target transducer raises what stands in a
 clause that addresses someone (and a threat needs a target to count); the negation transducer
 lowers what follows a negation closely; the reported-speech transducer lowers what is quoted or
 told of others. A document's features are sums over its matched clauses, not over words.
@@ -68,7 +69,7 @@ TARGET = Transducer({(0, "t"): (0, 0.0), (1, "i"): (1, 1.5), (1, "t"): (1, 1.0)}
 
 
 def clause_factors(symbols: str, reported: bool) -> list[float]:
-    """What the composed negation, report and target transducers make of each symbol's weight."""
+    """The product of the factors that the negation, report and target transducers give each symbol."""
     states = [0, int(reported), int("y" in symbols)]
     out = []
     for x in symbols:
