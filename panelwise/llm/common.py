@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +19,9 @@ HEAVY_TRACKED = 8192
 #: Sources (or any other dimension) up to this many rows are joined by broadcast.
 BROADCAST_ROWS = 10_000
 
+#: Text that a Python worker takes up at a time.
+PIECE_BYTES = 4 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -64,6 +71,26 @@ def heavy_values(df: DataFrame, column: str) -> DataFrame:
     return top.select(F.explode("t.item").alias(column))
 
 
+def mixed_bits(x: np.ndarray) -> np.ndarray:
+    """Unsigned 64-bit integers, mixed one to one so that every bit depends on every other."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def pieces(batches: Iterator[pa.RecordBatch], column: int = 1) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in pieces of PIECE_BYTES of ``column`` (or one row, if that is longer) and
+    1,024 rows at most, so that what is made of a piece stays small whatever the texts' lengths."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        ends, start = np.cumsum(sizes, dtype=np.int64), 0
+        while start < batch.num_rows:
+            stop = int(np.searchsorted(ends, (ends[start - 1] if start else 0) + PIECE_BYTES, "right"))
+            stop = min(max(stop, start + 1), start + 1024)
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 def words_count(text: Column) -> Column:
     """Number of runs of characters that are no ASCII white space; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")

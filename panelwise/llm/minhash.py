@@ -8,7 +8,7 @@ equal bands share a bucket. Documents with equal sets are one class, represented
 Every bucket proposes a star: each member against one centre, so a bucket of m documents gives m - 1
 pairs. Pairs are confirmed on the full sets. The documents of buckets whose members are then still
 in different components are compared once more, by a join on their rarest shingles that loses no
-link between them; a sketch of four bits a bin spares the full sets of pairs that are far too unlike.
+link between them and that leaves out, before it joins, what is in one component already.
 """
 
 from __future__ import annotations
@@ -16,13 +16,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwise.llm.common import dropped, written
+from panelwise.llm.common import dropped, mixed_bits, pieces, written
 from panelwise.llm.components import connected_components
 
 WORDS = 5
@@ -34,26 +33,16 @@ BANDS, ROWS = 32, 4
 BROADCAST_IDS = 500_000
 
 _BINS = BANDS * ROWS
-SKETCH = _BINS // 16
-#: A pair beyond the stars whose sketches differ by more than a linked pair's would, this many standard
-#: deviations out (3 in a million), is not compared on the full sets.
-DEVIATIONS = 4.5
 _SHIFT = np.uint64(64 - int(_BINS - 1).bit_length())
 _ORDERS = np.array([np.random.default_rng(1000 + j).permutation(_BINS) for j in range(_BINS)])
 _STARTS = np.arange(_BINS, dtype=np.uint64) << _SHIFT
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 class WordHashes(dict):
     """64-bit hashes of words, remembered up to a fixed number of words."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 100_000:
             self.clear()
         self[word] = found = xxhash.xxh3_64_intdigest(word)
         return found
@@ -72,7 +61,7 @@ def shingle_set(text: str | None, known: WordHashes) -> np.ndarray:
     h = np.full(len(w) - n + 1, n, dtype=np.uint64)
     for k in range(n):
         h = h * np.uint64(0x9E3779B97F4A7C15) + w[k : len(w) - n + 1 + k]
-    return np.unique(_mixed(h))
+    return np.unique(mixed_bits(h))
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
@@ -88,125 +77,110 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return shingles[bins[donor]].reshape(BANDS, ROWS)
 
 
-def sketch(bins: np.ndarray) -> np.ndarray:
-    """Four bits of each bin, in SKETCH 64-bit words."""
-    low = (bins.ravel() & np.uint64(15)).astype(np.uint8)
-    return (low[0::2] | (low[1::2] << 4)).view(np.int64)
-
-
-def most_mismatches(n: F.Column) -> F.Column:
-    """Bins of two sketches that may differ if the sets, of n shingles, reach the similarity: the
-    expected number and DEVIATIONS standard deviations, with as many draws as n shingles fill bins."""
-    agree = SIMILARITY / 100 + (1 - SIMILARITY / 100) / 16
-    filled = _BINS * (1 - F.exp(-n / _BINS))
-    return _BINS * (1 - agree + DEVIATIONS * F.sqrt(agree * (1 - agree) / filled))
-
-
-def mismatches(a: str, b: str) -> F.Column:
-    """How many bins of two sketches differ."""
-    total = F.lit(0)
-    for i in range(SKETCH):
-        x = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-        total = total + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
-    return total
-
-
 def band_keys(bins: np.ndarray) -> np.ndarray:
     """One 64-bit key for each band of a signature."""
     key = np.arange(1, BANDS + 1, dtype=np.uint64)
     for k in range(ROWS):
-        key = _mixed(key * np.uint64(0x9E3779B97F4A7C15) + bins[:, k])
+        key = mixed_bits(key * np.uint64(0x9E3779B97F4A7C15) + bins[:, k])
     return key
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, set_key, bands, sketch``; set_key is null and the lists are empty for an empty set."""
+    """``doc_id, n_shingles, set_key, bands``; set_key is null and bands are empty for an empty set."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
-        for batch in batches:
-            n, keys, bands, sketches = [], [], [], []
+        for batch in pieces(batches):
+            n, keys, bands = [], [], []
             none = np.empty(0, np.int64)
             for text in batch.column(1):
                 s = shingle_set(text.as_py(), known)
-                bins = signature(s) if len(s) else None
                 n.append(len(s))
                 keys.append(xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None)
-                bands.append(band_keys(bins).view(np.int64) if len(s) else none)
-                sketches.append(sketch(bins) if len(s) else none)
+                bands.append(band_keys(signature(s)).view(np.int64) if len(s) else none)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.string()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "set_key", "bands", "sketch"])
+                [batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.string()), pa.array(bands, pa.list_(pa.int64()))],
+                ["doc_id", "n_shingles", "set_key", "bands"])
 
-    return docs.select("doc_id", "text").mapInArrow(describe, "doc_id bigint, n_shingles bigint, set_key string, bands array<bigint>, sketch array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(describe, "doc_id bigint, n_shingles bigint, set_key string, bands array<bigint>")
 
 
 def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``doc_id, shingles`` (sorted 64-bit hashes as bytes) of the documents in ``ids`` (doc_id, distinct)."""
+    """``doc_id, hs`` (the 64-bit shingle hashes, sorted as unsigned) of the documents in ``ids`` (doc_id, distinct)."""
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     chosen = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids.hint("shuffle_hash"), "doc_id", "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
-        for whole in batches:
-            for start in range(0, whole.num_rows, 256):
-                ids, texts = whole.column(0).slice(start, 256), whole.column(1).slice(start, 256)
-                made = pa.array([shingle_set(t.as_py(), known).tobytes() for t in texts], pa.binary())
-                yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), made], ["doc_id", "shingles"])
+        for batch in pieces(batches):
+            made = pa.array([shingle_set(t.as_py(), known).view(np.int64) for t in batch.column(1)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), made], ["doc_id", "hs"])
 
-    return chosen.mapInArrow(sets, "doc_id bigint, shingles binary")
+    return chosen.mapInArrow(sets, "doc_id bigint, hs array<bigint>")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those ``pairs`` (a, b) whose full sets reach the similarity."""
+    """Those ``pairs`` (a, b) whose full sets reach the similarity. Where rows repeat an id with other
+    texts, a pair is confirmed if it is for any of the rows."""
     ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "candidate_ids")
-    # A document that repeats an id has the set of its first row here; see near_duplicates.
     sets = written(full_sets(docs, ids), "sets")
-
-    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch["sa"], batch["sb"], strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= SIMILARITY * (len(x) + len(y) - both))
-            yield batch.loc[keep, ["a", "b"]]
-
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
-    links = written(pairs.join(right, "b").join(left, "a").mapInPandas(check, "a bigint, b bigint"), "confirmed")
+    left = sets.select(F.col("doc_id").alias("a"), F.col("hs").alias("sa"))
+    right = sets.select(F.col("doc_id").alias("b"), F.col("hs").alias("sb"))
+    both, total = F.size(F.array_intersect("sa", "sb")), F.size("sa") + F.size("sb")
+    links = written(pairs.join(right, "b").join(left, "a").where((100 + SIMILARITY) * both >= SIMILARITY * total).select("a", "b"), "confirmed")
     dropped(ids)
     dropped(sets)
     return links
 
 
-def prefix_pairs(named: DataFrame, docs: DataFrame) -> DataFrame:
-    """All pairs (a, b) of ``named`` (rep, c, n, sketch) in different components c that may be linked.
+def prefixes(named: DataFrame, docs: DataFrame) -> DataFrame:
+    """``h, rep, c, n, most``: the shingles of ``named`` documents (rep, c) by which they can be found.
 
-    Sets are put in one order, rarest shingles first. Two sets that reach the similarity t share one of
-    the first n - ceil(t * n) + 1 shingles of each; so only those are joined, and what many documents
-    share, a line or a passage, makes no pairs unless it is most of them.
+    Sets are put in one order, rarest shingles first. With i shingles of a set of n before it, a first
+    common shingle leaves n - i common ones at most, and a link to a set of m needs
+    SIMILARITY / (100 + SIMILARITY) * (n + m) of them; so ``most`` is the largest m that the shingle
+    may link to, and shingles that cannot link to a set as small as SIMILARITY % of n are left out.
     """
-    known = written(full_sets(docs, named.select(F.col("rep").alias("doc_id"))), "rest_sets")
+    sets = written(full_sets(docs, named.select(F.col("rep").alias("doc_id"))), "rest_sets")
+    one = sets.select(F.col("doc_id").alias("rep"), F.xxhash64("hs").alias("set"), F.explode("hs").alias("h"))
+    common = written(one.groupBy("h").agg(F.count(F.lit(1)).alias("f")).where("f > 1"), "shingle_counts")
+    ranked = one.join(common, "h", "left").groupBy("rep", "set").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("f", F.lit(1)).alias("f"), "h"))).alias("hs"))
+    n = F.size("hs")
+    prefix = F.slice("hs", F.lit(1), n - F.ceil(n * SIMILARITY / 100).cast("int") + 1)
+    placed = ranked.select("rep", n.alias("n"), F.posexplode(prefix).alias("i", "x")).where("x.f > 1")
+    most = F.floor(F.expr(f"(n - i) * {100 + SIMILARITY} / {SIMILARITY}")) - F.col("n")
+    return placed.select("x.h", "rep", "n", most.alias("most")).join(named, "rep")
 
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = pa.array([np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(1)], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["rep", "hs"])
 
-    one = known.mapInArrow(unpack, "rep bigint, hs array<bigint>").select("rep", F.explode("hs").alias("h"))
-    common = written(one.groupBy("h").agg(F.count(F.lit(1)).alias("f")).where("f > 1"), "shingle_counts")
-    ranked = one.join(common, "h", "left").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("f", F.lit(1)).alias("f"), "h"))).alias("hs"))
-    size = F.size("hs")
-    prefix = F.slice("hs", F.lit(1), size - F.ceil(size * SIMILARITY / 100).cast("int") + 1)
-    rows = ranked.select("rep", F.explode(F.filter(prefix, lambda x: x["f"] > 1)).alias("x")).select("rep", "x.h")
-    rows = written(rows.join(named, "rep"), "prefixes")
-    other = rows.select("h", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), F.col("sketch").alias("sa"))
-    alike = mismatches("sketch", "sa") <= F.greatest(most_mismatches(F.col("n")), most_mismatches(F.col("na")))
-    fits = 100 * F.least("n", "na") >= SIMILARITY * F.greatest("n", "na")
-    pairs = rows.join(other, "h").where((F.col("a") < F.col("rep")) & (F.col("c") != F.col("ca")) & fits & alike).select("a", F.col("rep").alias("b")).distinct()
+def fruitful(rows: DataFrame) -> DataFrame:
+    """The ``rows`` of ``prefixes`` whose shingle also stands in another component, for a set that is
+    small enough for the row and that may link to one as large as the row's.
+
+    All it needs of a shingle is the smallest n and the largest ``most`` of any component and of any
+    other one, so a family of any size whose members are linked already costs one row a component.
+    """
+    by = rows.groupBy("h", "c").agg(F.min("n").alias("n"), F.max("most").alias("most"))
+    lowest, highest = F.struct("n", "c"), F.struct("most", "c")
+    ends = by.groupBy("h").agg(F.min(lowest).alias("low"), F.max(highest).alias("high"), F.count(F.lit(1)).alias("components")).where("components > 1")
+    other = by.join(ends, "h").groupBy("h").agg(
+        F.first("low").alias("low"), F.first("high").alias("high"),
+        F.min(F.when(F.col("c") != F.col("low.c"), F.col("n"))).alias("low2"), F.max(F.when(F.col("c") != F.col("high.c"), F.col("most"))).alias("high2"))
+    smallest = F.when(F.col("low.c") != F.col("c"), F.col("low.n")).otherwise(F.col("low2"))
+    widest = F.when(F.col("high.c") != F.col("c"), F.col("high.most")).otherwise(F.col("high2"))
+    return rows.join(other, "h").where((smallest <= F.col("most")) & (widest >= F.col("n"))).select(*rows.columns)
+
+
+def prefix_pairs(named: DataFrame, docs: DataFrame) -> DataFrame:
+    """All pairs (a, b) of ``named`` (rep, c) in different components c that may be linked.
+
+    No link is lost: a linked pair's first common shingle, in the order of ``prefixes``, passes every test.
+    """
+    rows = written(prefixes(named, docs), "prefixes")
+    for _ in range(2):  # what the first pass drops leaves fewer components for the second
+        rows = written(fruitful(rows), "fruitful")
+    other = rows.select("h", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), F.col("most").alias("mosta"))
+    fits = (F.col("n") <= F.col("mosta")) & (F.col("na") <= F.col("most"))
+    pairs = rows.join(other, "h").where((F.col("a") < F.col("rep")) & (F.col("c") != F.col("ca")) & fits).select("a", F.col("rep").alias("b")).distinct()
     return written(pairs, "rest_pairs")
 
 
@@ -221,7 +195,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     rows = written(described(docs), "described")
     classes = (rows.where(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull()).groupBy("set_key")
-               .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
+               .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
     classes = written(classes, "classes")
     member = F.explode("bands").alias("key")
     sizes = written(classes.select(member).groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "bucket_sizes")
@@ -243,8 +217,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # Only documents of buckets whose members are in different components go on.
     named = rows_in.select("key", "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep"))
     mixed = written(named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key"), "mixed_buckets")
-    named = named.join(mixed, "key", "left_semi").groupBy("rep").agg(F.first("c").alias("c"))
-    named = written(named.join(classes.select("rep", "n", "sketch"), "rep"), "named")
+    named = written(named.join(mixed, "key", "left_semi").groupBy("rep").agg(F.first("c").alias("c")), "named")
     rest = prefix_pairs(named, docs)
     if rest.limit(1).count():
         links = written(links.unionByName(confirmed(rest, docs)), "all_links")
