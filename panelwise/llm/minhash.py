@@ -142,7 +142,8 @@ def prefixes(named: DataFrame, docs: DataFrame) -> DataFrame:
     may link to, and shingles that cannot link to a set as small as SIMILARITY % of n are left out.
     """
     sets = written(full_sets(docs, named.select(F.col("rep").alias("doc_id"))), "rest_sets")
-    one = sets.select(F.col("doc_id").alias("rep"), F.xxhash64("hs").alias("set"), F.explode("hs").alias("h"))
+    keyed = sets.select(F.col("doc_id").alias("rep"), F.xxhash64("hs").alias("set"), "hs")
+    one = keyed.select("rep", "set", F.explode("hs").alias("h"))
     common = written(one.groupBy("h").agg(F.count(F.lit(1)).alias("f")).where("f > 1"), "shingle_counts")
     ranked = one.join(common, "h", "left").groupBy("rep", "set").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("f", F.lit(1)).alias("f"), "h"))).alias("hs"))
     n = F.size("hs")
