@@ -1,14 +1,12 @@
 """Byte-level BPE with Spark's higher-order functions.
 
-A word's bytes become tokens, and each token is held as one character that sorts as its rank does,
-so a word is a string and a merge puts one character in the place of two. A fold over the word
-merges, step by step, the leftmost adjacent pair of the lowest rank. Ranks come from a literal map,
-cut by CRC-32 into small buckets since Spark searches a map from its first key on.
-
-The distinct words of all texts are counted with map-side aggregation. The most frequent ones, at
-most FREQUENT_WORDS whatever the input's size, are folded once each and their ids become a second
-literal map; every other word is rare and is folded where it stands. So no text is shuffled and
-nothing that grows with the input is broadcast.
+Texts go through in pieces of bounded size. A first pass splits a piece's texts into words and gives
+out one row for each distinct word of the piece, as its bytes, and then one row for each text, as the
+places of its words among them. On the word rows a fold merges, step by step, the leftmost adjacent
+pair of the lowest rank; ranks come from a literal map, cut into small buckets since Spark searches a
+map from its first key on, and a token is held as one character that sorts as its rank does. A second pass puts the ids of the words in the
+places of the texts. The three follow each other in one task: nothing is shuffled or sent to the
+driver, and what a task holds is one piece's words.
 """
 
 from __future__ import annotations
@@ -16,18 +14,29 @@ from __future__ import annotations
 import base64
 import json
 import zlib
-from collections.abc import Iterable
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from panelwise.llm.common import dropped, written
+from panelwise.llm.common import pieces
 
-FREQUENT_WORDS = 1 << 17
 PAIR_BUCKETS = 1 << 15
-WORD_BUCKETS = 1 << 15
-#: Words longer than this (in characters) are not kept in the literal map.
-LONGEST_FREQUENT = 64
+#: Text whose distinct words are folded together: more text gives fewer words a text.
+TEXT_BYTES = 16 << 20
+#: Word rows of one Arrow batch.
+WORD_ROWS = 20_000
+#: Words of more bytes are merged in rounds; the tokens are the same.
+LONG_WORD = 64
+#: Marks of a merge that is made at one place at a time and of a word in which nothing merges; no token's character.
+MARK, DONE = "!", "."
+
 
 def load_ranks(path: str) -> dict[bytes, int]:
     """Rank file: a base64 piece and its rank on each line."""
@@ -35,27 +44,9 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-def java_pattern(pattern: str) -> str:
-    """The split pattern for Java, whose \\s must be told to take Unicode's white space."""
-    return "(?U)" + pattern
-
-
-def words_of(text: Column, pattern: str) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(java_pattern(pattern)), F.lit(0))
-
-
-def _bucketed(entries: Iterable[tuple[str, str]], buckets: int, value: str) -> Column:
-    """A literal ``array<map<string, value>>`` from (key, value as JSON) in which a key lies in the
-    bucket of its CRC-32."""
-    cut: list[list[str]] = [[] for _ in range(buckets)]
-    for key, v in entries:
-        cut[zlib.crc32(key.encode()) % buckets].append(f"{json.dumps(key, ensure_ascii=False)}:{v}")
-    text = "[" + ",".join("{" + ",".join(c) + "}" for c in cut) + "]"
-    return F.from_json(F.lit(text), f"array<map<string,{value}>>")
-
-
-def _get(table: Column, buckets: int, key: Column) -> Column:
-    return F.get(table, (F.crc32(key.cast("binary")) % buckets).cast("int"))[key]
+def _let(value: Column, body) -> Column:  # noqa: ANN001
+    """``body(value)``, with value evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def token_char(rank: int) -> str:
@@ -63,113 +54,188 @@ def token_char(rank: int) -> str:
     return chr(rank + 0x100 if rank + 0x100 < 0xD800 else rank + 0x900)
 
 
-def token_rank(char: Column) -> Column:
-    point = F.ascii(char)
-    return F.when(point < 0xD800, point - 0x100).otherwise(point - 0x900)
+def char_ranks(points: np.ndarray) -> np.ndarray:
+    """The ranks that code points of ``token_char`` stand for."""
+    return points - np.where(points < 0xD800, 0x100, 0x900)
 
 
 def pair_table(ranks: dict[bytes, int]) -> Column:
-    """Ranks of merges: two adjacent tokens (as two characters) -> the token they make, for every
-    way to cut a token into two tokens."""
-    pairs = {}
+    """Ranks of merges as a literal map, cut into buckets by CRC-32: two adjacent tokens, as two
+    characters, give the character of the token they make, for every way to cut a token into two.
+
+    A mark follows the character where the merge may not be made everywhere at once: where the new token
+    is part of a merge of lower rank, which then comes before the next place, or where two cuts of one
+    token can overlap.
+    """
+    cuts: dict[int, list[tuple[int, int]]] = {}
+    alone = set()
     for piece, rank in ranks.items():
         for k in range(1, len(piece)):
             left, right = ranks.get(piece[:k]), ranks.get(piece[k:])
             if left is not None and right is not None:
-                pairs[token_char(left) + token_char(right)] = token_char(rank)
-    return _bucketed(((k, json.dumps(v, ensure_ascii=False)) for k, v in pairs.items()), PAIR_BUCKETS, "string")
+                cuts.setdefault(rank, []).append((left, right))
+                alone |= {x for x in (left, right) if rank < x}
+    buckets: list[dict[str, str]] = [{} for _ in range(PAIR_BUCKETS)]
+    for rank, found in cuts.items():
+        if len(found) > 1 and {a for a, _ in found} & {b for _, b in found}:
+            alone.add(rank)
+        for left, right in found:
+            key = token_char(left) + token_char(right)
+            buckets[zlib.crc32(key.encode()) % PAIR_BUCKETS][key] = token_char(rank) + (MARK if rank in alone else "")
+    return F.from_json(F.lit(json.dumps(buckets, ensure_ascii=False, separators=(",", ":"))), "array<map<string,string>>")
 
 
-def _let(value: Column, body) -> Column:  # noqa: ANN001
-    """``body(value)``, with value evaluated once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def pair_token(pairs: Column, pair: Column) -> Column:
+    """What the table has for two adjacent tokens; null if they do not merge."""
+    return F.get(pairs, (F.crc32(pair.cast("binary")) % PAIR_BUCKETS).cast("int"))[pair]
 
 
 def byte_tokens(word: Column, ranks: dict[bytes, int]) -> Column:
-    """The word's UTF-8 bytes, each as the character of its token."""
+    """A word's bytes (binary), each as the character of its token."""
     known = [b for b in range(256) if bytes([b]) in ranks]
-    return F.translate(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), "".join(map(chr, known)), "".join(token_char(ranks[bytes([b])]) for b in known))
+    return F.translate(F.decode(word, "ISO-8859-1"), "".join(map(chr, known)), "".join(token_char(ranks[bytes([b])]) for b in known))
 
 
-def fold_word(tokens: Column, pairs: Column) -> Column:
-    """The ids (``array<int>``) that the ranked merges make of a word's byte tokens.
+def _merge_one(acc: Column, pairs: Column) -> Column:
+    """One step of the fold: all adjacent pairs are looked up and the leftmost of the lowest rank merged."""
+    made = F.transform(F.sequence(F.lit(1), F.length(acc) - 1), lambda i: pair_token(pairs, F.substr(acc, i, F.lit(2))))
 
-    Each step looks up all adjacent pairs and merges the leftmost of the lowest rank; a word of n
-    bytes is done after n - 1 steps at most. A minimum over characters is one over ranks.
-    """
+    def merge(found: Column) -> Column:
+        return _let(F.array_min(found), lambda low: F.when(low.isNull(), F.concat(F.lit(DONE), acc)).otherwise(
+            _let(F.array_position(found, low).cast("int"), lambda p: F.concat(F.substr(acc, F.lit(1), p - 1), F.left(low, F.lit(1)), F.substr(acc, p + 2)))))
 
-    def step(acc: Column, _: Column) -> Column:
-        made = F.transform(F.sequence(F.lit(1), F.length(acc) - 1), lambda i: _get(pairs, PAIR_BUCKETS, F.substr(acc, i, F.lit(2))))
+    return _let(made, merge)
 
-        def merge(found: Column) -> Column:
-            return _let(F.struct(F.array_min(found).alias("low")), lambda x: F.when(x["low"].isNull(), acc).otherwise(
-                _let(F.array_position(found, x["low"]).cast("int"), lambda p: F.concat(F.substr(acc, F.lit(1), p - 1), x["low"], F.substr(acc, p + 2)))))
 
-        return F.when(F.length(acc) < 2, acc).otherwise(_let(made, merge))
+def _merge_round(acc: Column, pairs: Column) -> Column:
+    """The same for long words: each different pair is looked up once, and where the table allows it the
+    merge is made everywhere at once, so a round's cost is in proportion to the word."""
+    different = F.array_distinct(F.regexp_extract_all(acc, F.lit("(?s)(?=(..))"), F.lit(1)))
 
-    n = F.length(tokens)
-    folded = F.when(n < 2, tokens).otherwise(F.aggregate(F.sequence(F.lit(2), n), tokens, step))
-    return _let(folded, lambda done: F.transform(F.sequence(F.lit(1), F.length(done)), lambda i: token_rank(F.substr(done, i, F.lit(1)))))
+    def merge(x: Column) -> Column:
+        def one(low: Column) -> Column:
+            pair = F.get(x["pairs"], F.array_position(x["made"], low).cast("int") - 1)
+            token = F.left(low, F.lit(1))
+            here = _let(F.instr(acc, pair), lambda at: F.concat(F.substr(acc, F.lit(1), at - 1), token, F.substr(acc, at + 2)))
+            return F.when(low.isNull(), F.concat(F.lit(DONE), acc)).when(F.length(low) == 1, F.replace(acc, pair, token)).otherwise(here)
 
+        return _let(F.array_min(x["made"]), one)
 
-def frequent_words(docs: DataFrame, pattern: str) -> DataFrame:
-    """The most frequent words of all texts, at most FREQUENT_WORDS: those whose count reaches the
-    smallest count with which the bound holds."""
-    counts = (docs.select(F.explode(words_of(F.col("text"), pattern)).alias("word"))
-              .groupBy("word").count().where((F.col("count") > 1) & (F.length("word") <= LONGEST_FREQUENT)))
-    counts = written(counts, "words")
-    total, least = 0, None
-    for r in counts.groupBy("count").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("count")).toLocalIterator():
-        total += r["n"]
-        if total > FREQUENT_WORDS:
-            break
-        least = r["count"]
-    return counts.where(F.col("count") >= F.lit(least))
+    return _let(different, lambda d: _let(F.struct(d.alias("pairs"), F.transform(d, lambda p: pair_token(pairs, p)).alias("made")), merge))
 
 
-def encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, column: str = "ids") -> DataFrame:
-    """All rows and columns of ``docs`` and the token ids of their whole text, ``array<int>``.
+def fold_word(tokens: Column, pairs: Column) -> Column:
+    """The tokens, as characters, that the ranked merges make of a word's byte tokens: a word of n bytes
+    is done after n - 1 steps at most, and what is left of the fold once nothing merges only looks at a
+    mark. A minimum over characters is one over ranks."""
 
-    Null and empty texts have no ids. Special tokens are ordinary text. Empty tables stay empty.
-    """
-    pairs = pair_table(ranks)
-    known = frequent_words(docs, pattern)
-    folded = known.select("word", _let(pairs, lambda t: _let(byte_tokens(F.col("word"), ranks), lambda b: fold_word(b, t))).alias("ids"))
-    frequent = {r["word"]: r["ids"] for r in folded.select("word", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids")).toLocalIterator()}
-    dropped(known)
-    # A word that is itself a token is that token, however its merges would go.
-    for piece, rank in ranks.items():
-        try:
-            frequent[piece.decode()] = str(rank)
-        except UnicodeDecodeError:
-            continue
-    words = _bucketed(((w, f"[{ids}]") for w, ids in frequent.items()), WORD_BUCKETS, "array<int>")
-    del frequent
+    def fold(step) -> Column:  # noqa: ANN001
+        over = lambda acc: F.startswith(acc, F.lit(DONE)) | (F.length(acc) < 2)
+        steps = F.sequence(F.lit(2), F.length(tokens))
+        return F.aggregate(steps, tokens, lambda acc, _: F.when(over(acc), acc).otherwise(step(acc, pairs)), lambda acc: F.replace(acc, F.lit(DONE), F.lit("")))
 
-    def of_text(tables: Column) -> Column:
-        def of_word(w: Column) -> Column:
-            return F.coalesce(_get(tables["words"], WORD_BUCKETS, w), _let(byte_tokens(w, ranks), lambda b: fold_word(b, tables["pairs"])))
+    return F.when(F.length(tokens) < 2, tokens).when(F.length(tokens) > LONG_WORD, fold(_merge_round)).otherwise(fold(_merge_one))
 
-        return F.flatten(F.transform(words_of(F.col("text"), pattern), of_word))
 
-    return docs.withColumn(column, _let(F.struct(words.alias("words"), pairs.alias("pairs")), of_text))
+class _Places(dict):
+    """Each new word gets the next place."""
 
+    def __missing__(self, word: str) -> int:
+        self[word] = place = len(self)
+        return place
 
-def _looked_up(ids: Column, hexes: list[str]) -> Column:
-    """The concatenated bytes of ``hexes[i]`` for each id (none for null)."""
-    table = F.from_json(F.lit(json.dumps(hexes, separators=(",", ":"))), "array<string>")
-    known = F.coalesce(ids, F.array().cast("array<int>"))
-    return F.unhex(F.get(F.transform(F.array(table), lambda t: F.array_join(F.transform(known, lambda i: F.get(t, i)), "")), F.lit(0)))
+
+def _lists(flat: np.ndarray, sizes: list[int] | np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(flat, pa.int32()))
+
+
+def encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, column: str = "ids") -> DataFrame:
+    """All rows and columns of ``docs`` (which has ``text``) and the token ids of their whole text,
+    ``array<int>``; a column that has the result's name is replaced, any other stays as it is.
+
+    Null and empty texts have no ids. Special tokens are ordinary text. Rows that repeat, and rows with
+    a null doc_id, are encoded one by one. Empty tables stay empty.
+    """
+    keep = [c for c in docs.columns if c.lower() != column.lower()]
+    text_at = [c.lower() for c in keep].index("text")
+    packed = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)])
+    columns = [T.StructField(f.name, f.dataType, True) for f in packed.schema.fields]
+    numbers = T.ArrayType(T.IntegerType(), True)
+    split_schema = T.StructType([*columns, T.StructField("word", T.BinaryType()), T.StructField("own", T.StringType()), T.StructField("places", numbers)])
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = regex.compile(pattern).findall
+        for batch in pieces(batches, text_at, TEXT_BYTES):
+            known = _Places()
+            found = (find(t.as_py() or "") for t in batch.column(text_at))
+            places = [np.fromiter(map(known.__getitem__, words), np.int32, len(words)) for words in found]
+            raw = [w.encode() for w in known]
+            for start in range(0, len(raw), WORD_ROWS):
+                part = raw[start : start + WORD_ROWS]
+                # A word that is itself a token is that token, however its merges would go.
+                own = [token_char(ranks[w]) if w in ranks else None for w in part]
+                nulls = [pa.nulls(len(part), f.type) for f in batch.schema]
+                yield pa.RecordBatch.from_arrays([*nulls, pa.array(part, pa.binary()), pa.array(own, pa.string()), pa.nulls(len(part), pa.list_(pa.int32()))], names)
+            flat = np.concatenate(places) if places else np.empty(0, np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.nulls(batch.num_rows, pa.binary()), pa.nulls(batch.num_rows, pa.string()), _lists(flat, [len(p) for p in places])], names)
+
+    names = [f.name for f in split_schema.fields]
+    n = len(columns)
+
+    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words_of: list[pa.Array] = []
+        flat = starts = lengths = None
+        for batch in batches:
+            places = batch.column(n + 1)
+            is_word = places.is_null().to_numpy(zero_copy_only=False)
+            cuts = np.r_[0, np.flatnonzero(np.diff(is_word)) + 1, len(is_word)] if len(is_word) else [0]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if is_word[lo]:
+                    if flat is not None:  # the words of the next piece
+                        words_of, flat = [], None
+                    words_of.append(batch.column(n).slice(lo, hi - lo))
+                    continue
+                if flat is None:
+                    tokens = pa.chunked_array(words_of, pa.string())
+                    points = "".join(tokens.to_pylist()).encode("utf-32-le")
+                    flat = char_ranks(np.frombuffer(points, "<u4").astype(np.int32))
+                    lengths = pc.utf8_length(tokens).to_numpy()
+                    starts = np.cumsum(lengths) - lengths
+                for at in range(lo, hi, 256):
+                    part = places.slice(at, min(256, hi - at))
+                    words = part.flatten().to_numpy(zero_copy_only=False)
+                    each = lengths[words]
+                    ends = np.cumsum(each)
+                    found = flat[np.repeat(starts[words] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)]
+                    bounds = np.r_[0, ends][np.r_[0, np.cumsum(part.value_lengths().to_numpy(zero_copy_only=False))]]
+                    rows = [batch.column(i).slice(at, len(part)) for i in range(n)]
+                    yield pa.RecordBatch.from_arrays([*rows, _lists(found, np.diff(bounds))], [*names[:n], "ids"])
+
+    words = packed.mapInArrow(split, split_schema)
+    tokens = _let(byte_tokens(F.col("word"), ranks), lambda t: fold_word(t, pair_table(ranks)))
+    folded = words.select(*names[:n], F.when(F.col("word").isNotNull(), F.coalesce("own", tokens)).alias("word"), "places")
+    out = folded.mapInArrow(assemble, T.StructType([*columns, T.StructField("ids", numbers)]))
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], F.col("ids").alias(column))
+
+
+def _joined(ids: Column, table: list[bytes]) -> Column:
+    """The concatenation of ``table[i]`` for each id (empty for null and for no ids)."""
+
+    @F.pandas_udf("binary")
+    def join(batch: pd.Series) -> pd.Series:
+        return pd.Series([b"".join([table[i] for i in x.tolist()]) for x in batch])
+
+    return join(F.coalesce(ids, F.array().cast("array<int>")))
 
 
 def decoded(ids: Column, ranks: dict[bytes, int]) -> Column:
     """The bytes that ids stand for: the concatenation of their binary pieces (empty for null)."""
-    pieces = [""] * (max(ranks.values(), default=-1) + 1)
+    table = [b""] * (max(ranks.values(), default=-1) + 1)
     for piece, rank in ranks.items():
-        pieces[rank] = piece.hex()
-    return _looked_up(ids, pieces)
+        table[rank] = piece
+    return _joined(ids, table)
 
 
 def ids_bytes(ids: Column, ranks: dict[bytes, int]) -> Column:
-    """Ids as little-endian unsigned 32-bit integers, one after the other."""
-    return _looked_up(ids, [i.to_bytes(4, "little").hex() for i in range(max(ranks.values(), default=-1) + 1)])
+    """Ids as little-endian unsigned 32-bit integers, one after the other (empty for null)."""
+    return _joined(ids, [i.to_bytes(4, "little") for i in range(max(ranks.values(), default=-1) + 1)])

@@ -78,15 +78,14 @@ def mixed_bits(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: int = 1) -> Iterator[pa.RecordBatch]:
-    """The rows of ``batches`` in pieces of PIECE_BYTES of ``column`` (or one row, if that is longer) and
-    1,024 rows at most, so that what is made of a piece stays small whatever the texts' lengths."""
+def pieces(batches: Iterator[pa.RecordBatch], column: int = 1, size: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in pieces of ``size`` bytes of ``column``, or of one row if that is longer, so
+    that what is made of a piece stays small whatever the texts' lengths."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         ends, start = np.cumsum(sizes, dtype=np.int64), 0
         while start < batch.num_rows:
-            stop = int(np.searchsorted(ends, (ends[start - 1] if start else 0) + PIECE_BYTES, "right"))
-            stop = min(max(stop, start + 1), start + 1024)
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + size, "right")))
             yield batch.slice(start, stop - start)
             start = stop
 
