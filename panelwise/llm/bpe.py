@@ -29,7 +29,7 @@ from panelwise.llm.common import pieces
 
 PAIR_BUCKETS = 1 << 15
 #: Text whose distinct words are folded together: more text gives fewer words a text.
-TEXT_BYTES = 16 << 20
+TEXT_BYTES = 8 << 20
 #: Word rows of one Arrow batch.
 WORD_ROWS = 20_000
 #: Words of more bytes are merged in rounds; the tokens are the same.
