@@ -1,6 +1,6 @@
 """The pipeline stage by stage on a small table."""
 
-from test_operators import ROWS, docs, near_brute
+from test_llm_operators import ROWS, docs, near_brute
 
 import corpus_pipeline
 
