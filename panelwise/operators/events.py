@@ -65,17 +65,18 @@ def landmark_panel(panel: DataFrame, ev: DataFrame, grid: DataFrame, p: CohortPa
     """For each panel day the valid and existing days of the landmark window before it, and the share of
     valid days in the week before the landmark, on the panel and on the calendar.
 
-    The panel's days are dense, so the window is a range over the day number, not a self join.
+    The panel's days are dense, so the window is a range over the day number, not a self join; so are the
+    grid's days, whose week is a range over the date and meets the panel on its last day.
     """
     near = Window.partitionBy("episode_id").orderBy("post_day").rangeBetween(*p.landmark)
     at = Window.partitionBy("episode_id").orderBy("post_day").rangeBetween(p.landmark[1], p.landmark[1])
     good = (F.col("valid_wear") & F.col("steps").isNotNull()).cast("int")
     w = panel.select("episode_id", "person_id", "post_day", "calendar_date", "is_censored", "valid_wear", "steps", "lagged_wear_fraction").withColumns({
         "n_valid": F.coalesce(F.sum(good).over(near), F.lit(0)), "n_days": F.count("post_day").over(near), "landmark_lag": F.max("lagged_wear_fraction").over(at)})
-    back = window_join(w.select("episode_id", "person_id", "post_day", "calendar_date"), grid.select("person_id", "activity_date", F.col("valid_wear").alias("_v")), "person_id", "calendar_date", "activity_date", p.landmark[1] - p.lag_days, p.landmark[1] - 1)
-    back = back.groupBy("episode_id", "post_day").agg(F.avg(F.col("_v").cast("double")).alias("calendar_lag"), F.count(F.lit(1)).alias("n_calendar_days"))
+    week = Window.partitionBy("person_id").orderBy(F.unix_date("activity_date")).rangeBetween(1 - p.lag_days, 0)
+    back = grid.select("person_id", F.date_add("activity_date", 1 - p.landmark[1]).alias("calendar_date"), F.avg(F.col("valid_wear").cast("double")).over(week).alias("calendar_lag"), F.count(F.lit(1)).over(week).alias("n_calendar_days"))
     days = ev.groupBy("episode_id", F.col("event_day").alias("post_day")).agg(F.lit(True).alias("is_event"), F.bool_or("is_first_event").alias("is_first"))
-    out = w.drop("valid_wear", "steps", "lagged_wear_fraction").join(back, ["episode_id", "post_day"], "left").join(days, ["episode_id", "post_day"], "left")
+    out = w.drop("valid_wear", "steps", "lagged_wear_fraction").join(back, ["person_id", "calendar_date"], "left").join(days, ["episode_id", "post_day"], "left")
     least = p.least_window_days
     return out.withColumns({"has_landmark": F.col("n_valid") >= least, "no_window": F.col("n_days") < least, "no_signal": (F.col("n_days") >= least) & (F.col("n_valid") < least),
                             "n_calendar_days": F.coalesce("n_calendar_days", F.lit(0)), "is_event": F.coalesce("is_event", F.lit(False)), "is_first": F.coalesce("is_first", F.lit(False))})
@@ -87,32 +88,40 @@ def landmark_disagreements(lm: DataFrame, ev: DataFrame) -> DataFrame:
     return lm.join(a, ["episode_id", "post_day"]).where("n_valid <> ev_valid").select("episode_id", "post_day", "n_valid", "ev_valid")
 
 
-def risk_sets(features: DataFrame, ev: DataFrame, p: CohortParams, reach: int = 2) -> DataFrame:
+def risk_sets(features: DataFrame, ev: DataFrame, p: CohortParams, reach: int = 2, salts: int = 32) -> DataFrame:
     """Incidence-density sampling in long form, one case and its controls per set.
 
-    A control is at risk, without an event up to then, on a day within ``reach`` of the case's. Cases
-    are exploded over those days and meet the pool's at-risk days by an equality on the day, so the
-    join is hashed and no pair is made that is not a candidate. The best day per control, the strictest
-    of three matching rungs that leaves two controls, then five per set, then three per person, each
-    in the order of an MD5 fingerprint.
+    A control is at risk, without an event up to then, on a day within ``reach`` of the case's; of its
+    days the one that matches best counts: the case's day and weekday, then the same part of the week,
+    then any, then the nearest, then by fingerprint. A set takes the strictest rung that leaves two
+    controls, five of them, and a person serves three times, in the order of an MD5 fingerprint.
+
+    The pool is dealt over ``salts`` tasks by episode, and every case meets each part of it once. A part
+    gives a set the first few of each rung only, which is all that the set's own ranking can use, so what
+    is shuffled after that grows with the cases and not with cases times pool.
     """
     c = ev.where("is_first_event AND NOT no_window").select(F.col("event_id").alias("set_id"), F.col("episode_id").alias("case_episode"), F.col("person_id").alias("case_person"), F.col("event_day").alias("case_day"), F.col("landmark_dow").alias("case_dow"))
     first = ev.groupBy("episode_id").agg(F.min("event_day").alias("first_event"))
     last = F.least(F.col("at_risk_last_day"), F.coalesce(F.col("first_event") - 1, F.col("at_risk_last_day")))
-    pool = features.select("episode_id", "person_id", "discharge_date", "at_risk_last_day").join(first, "episode_id", "left").withColumn("_last", last).where("_last >= 1")
-    pool = pool.select("episode_id", "person_id", "discharge_date", F.explode(F.sequence(F.lit(1), F.col("_last"))).alias("day"))
-    asked = c.withColumn("day", F.explode(F.sequence(F.col("case_day") - reach, F.col("case_day") + reach)))
-    m = asked.join(pool, "day").where("episode_id <> case_episode")
-    dow = F.dayofweek(F.date_add("discharge_date", F.col("day") + p.landmark[1]))
-    m = m.withColumns({"dow": dow, "fingerprint": F.md5(F.concat_ws("|", F.lit(p.salt), F.lit(str(p.seed)), "set_id", "episode_id", F.col("day").cast("string")))})
-    m = m.withColumns({"rung1": (F.col("day") == F.col("case_day")) & (F.col("dow") == F.col("case_dow")), "rung2": F.col("dow").isin(1, 7) == F.col("case_dow").isin(1, 7)})
-    best = latest_first(m, ["set_id", "episode_id"], [F.col("rung1").desc(), F.col("rung2").desc(), F.abs(F.col("day") - F.col("case_day")).asc(), F.col("fingerprint").asc()])
-    rung = best.groupBy("set_id").agg(F.when(F.count_if("rung1") >= 2, 1).when(F.count_if("rung2") >= 2, 2).otherwise(3).alias("match_rung"))
-    ok = best.join(rung, "set_id").where("match_rung = 3 OR (match_rung = 1 AND rung1) OR (match_rung = 2 AND rung2)")
-    chosen = latest_first(latest_first(ok, ["set_id"], [F.col("fingerprint").asc()], p.per_set), ["person_id"], [F.col("fingerprint").asc()], p.per_person)
+    pool = features.select("episode_id", "person_id", "discharge_date", "at_risk_last_day").join(first, "episode_id", "left").withColumn("last", last).where("last >= 1")
+    pool = pool.select("episode_id", "person_id", "discharge_date", "last", F.pmod(F.xxhash64("episode_id"), F.lit(salts)).cast("int").alias("salt")).repartition(salts, "salt")
+    asked = c.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).repartition(salts, "salt")
+    met = asked.join(pool.hint("shuffle_hash"), "salt").where((F.col("episode_id") != F.col("case_episode")) & (F.col("last") >= F.greatest(F.lit(1), F.col("case_day") - reach)))
+
+    def offer(day: Column) -> Column:
+        dow = F.dayofweek(F.date_add("discharge_date", day + p.landmark[1]))
+        rung = F.when((day == F.col("case_day")) & (dow == F.col("case_dow")), 1).when(dow.isin(1, 7) == F.col("case_dow").isin(1, 7), 2).otherwise(3)
+        fingerprint = F.md5(F.concat_ws("|", F.lit(p.salt), F.lit(str(p.seed)), "set_id", "episode_id", day.cast("string")))
+        return F.struct(rung.alias("rung"), F.abs(day - F.col("case_day")).alias("gap"), fingerprint.alias("fingerprint"), day.alias("day"))
+
+    days = F.sequence(F.greatest(F.lit(1), F.col("case_day") - reach), F.least("last", F.col("case_day") + reach))
+    best = met.select("salt", "set_id", "episode_id", "person_id", F.array_min(F.transform(days, offer)).alias("o")).select("salt", "set_id", "episode_id", "person_id", "o.rung", "o.fingerprint", "o.day")
+    few = latest_first(best, ["salt", "set_id", "rung"], [F.col("fingerprint").asc()], max(p.per_set, 2))
+    ranked = few.withColumn("match_rung", F.coalesce(F.get(F.array_sort(F.collect_list("rung").over(Window.partitionBy("set_id"))), F.lit(1)), F.lit(3)))
+    chosen = latest_first(ranked.where("rung <= match_rung"), ["set_id"], [F.col("fingerprint").asc()], p.per_set)
+    chosen = latest_first(chosen, ["person_id"], [F.col("fingerprint").asc()], p.per_person)
     cases = c.select("set_id", F.lit("case").alias("role"), F.col("case_episode").alias("episode_id"), F.col("case_person").alias("person_id"), F.col("case_day").alias("day"), F.lit(1).alias("match_rung"))
-    controls = chosen.select("set_id", F.lit("control").alias("role"), "episode_id", "person_id", "day", "match_rung")
-    return cases.unionByName(controls)
+    return cases.unionByName(chosen.select("set_id", F.lit("control").alias("role"), "episode_id", "person_id", "day", "match_rung"))
 
 
 def member_exposure(members: DataFrame, features: DataFrame, grid: DataFrame, window: tuple[int, int], least: int) -> DataFrame:

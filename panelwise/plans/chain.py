@@ -112,32 +112,46 @@ def _baseline_sql() -> str:
 
 _SQL["baseline"] = (("episodes", "grid"), _baseline_sql())
 _SQL["cens"] = (("episodes", "deaths", "observation"), "SELECT episode_id, death_date, repeat_date, least(death_date, repeat_date, observation_period_end_date) AS censor_date, CASE WHEN least(death_date, repeat_date, observation_period_end_date) IS NULL THEN 'none' WHEN death_date = least(death_date, repeat_date, observation_period_end_date) THEN 'death' WHEN repeat_date = least(death_date, repeat_date, observation_period_end_date) THEN 'repeat_operation' ELSE 'observation_end' END AS censor_reason FROM (SELECT e.episode_id, d.death_date, o.observation_period_end_date, (SELECT min(x.index_date) FROM episodes x WHERE x.person_id = e.person_id AND x.index_date > coalesce(e.discharge_date, e.index_date)) AS repeat_date FROM episodes e LEFT JOIN deaths d USING (person_id) LEFT JOIN observation o USING (person_id))")
-_SQL["elig"] = (("episodes", "baseline", "conditions", "visits", "cens", "grid"), f"""
-SELECT *, CASE WHEN x_indication THEN 3 WHEN x_ed_not_elective THEN 4 WHEN x_prior_operation THEN 5 WHEN x_two_regions THEN 6 WHEN x_unspecified THEN 7 WHEN x_thoracic THEN 8 WHEN x_add_on_only THEN 9 WHEN x_no_discharge THEN 10 WHEN x_no_wearable THEN 11 WHEN x_baseline THEN 12 WHEN x_not_first THEN 13 WHEN x_no_window THEN 14 WHEN x_truncated THEN 15 END AS first_fail_step
-FROM (SELECT *, passes AND sum(CAST(passes AS INTEGER)) OVER (PARTITION BY person_id ORDER BY index_date ROWS UNBOUNDED PRECEDING) > 1 AS x_not_first FROM (
- SELECT *, NOT (x_indication OR x_ed_not_elective OR x_prior_operation OR x_two_regions OR x_unspecified OR x_thoracic OR x_add_on_only OR x_no_discharge OR x_no_wearable OR x_baseline) AS passes FROM (
-  SELECT e.*, b.baseline_steps, b.n_valid_baseline_days, b.baseline_span_days, c.censor_date, c.censor_reason,
-   EXISTS (SELECT 1 FROM conditions k WHERE k.person_id = e.person_id AND k.category IN ('trauma', 'malignancy', 'spinal_infection') AND k.condition_start_date BETWEEN e.index_date - {P.look_back} AND e.index_date) AS x_indication,
-   EXISTS (SELECT 1 FROM visits v WHERE v.person_id = e.person_id AND v.visit_kind = 'emergency' AND coalesce(v.visit_end_date, v.visit_start_date) BETWEEN e.index_date - {P.ed_days} AND e.index_date)
-    AND NOT (EXISTS (SELECT 1 FROM visits v WHERE v.visit_occurrence_id = e.index_visit_id AND lower(v.origin) IN ('ambulatory clinic', 'outpatient', 'home'))
-      OR EXISTS (SELECT 1 FROM conditions k WHERE k.person_id = e.person_id AND k.category = 'degenerative' AND k.condition_start_date BETWEEN e.index_date - {P.prior_days} AND e.index_date - 1)) AS x_ed_not_elective,
-   EXISTS (SELECT 1 FROM episodes o WHERE o.person_id = e.person_id AND o.index_date BETWEEN e.index_date - {P.prior_days} AND e.index_date - 1) AS x_prior_operation,
-   e.region = 'cervical_and_lumbar' AS x_two_regions, e.region = 'unspecified' AS x_unspecified, e.region = 'thoracic' AS x_thoracic, e.n_primary_records = 0 AS x_add_on_only, e.discharge_date IS NULL AS x_no_discharge, NOT b.has_any_wearable AS x_no_wearable,
-   b.baseline_steps IS NULL OR b.n_valid_baseline_days < {P.least_baseline_days} OR b.baseline_span_days < {P.least_baseline_span} AS x_baseline,
-   coalesce(w.n_at_risk_days, 0) AS n_at_risk_days, coalesce(w.n_analyzable_days, 0) AS n_analyzable_days, coalesce(w.n_analyzable_days, 0) = 0 OR coalesce(w.n_at_risk_days, 0) = 0 AS x_no_window,
-   coalesce(c.censor_reason IN ('death', 'repeat_operation') AND c.censor_date <= e.discharge_date + {P.accrual[1]}, FALSE) AS x_truncated
-  FROM episodes e JOIN baseline b USING (episode_id) LEFT JOIN cens c USING (episode_id)
-  LEFT JOIN (SELECT e.episode_id, count(*) AS n_at_risk_days, count_if(g.is_analyzable) AS n_analyzable_days FROM episodes e JOIN cens c USING (episode_id) JOIN grid g ON g.person_id = e.person_id AND g.activity_date BETWEEN e.discharge_date + {P.accrual[0]} AND e.discharge_date + {P.accrual[1]} WHERE c.censor_date IS NULL OR g.activity_date <= c.censor_date GROUP BY e.episode_id) w USING (episode_id))))""")
+#: The exclusion rules in the order of the ladder, which begins at step 3.
+_RULES = {
+    "indication": "ind", "ed_not_elective": "ed AND NOT coalesce(clinic, FALSE) AND NOT coalesce(deg, FALSE)", "prior_operation": "prior",
+    "two_regions": "region = 'cervical_and_lumbar'", "unspecified": "region = 'unspecified'", "thoracic": "region = 'thoracic'", "add_on_only": "n_primary_records = 0",
+    "no_discharge": "discharge_date IS NULL", "no_wearable": "NOT has_any_wearable",
+    "baseline": f"baseline_steps IS NULL OR n_valid_baseline_days < {P.least_baseline_days} OR baseline_span_days < {P.least_baseline_span}",
+}
+_LATE = {"no_window": "least(n_at_risk_days, n_analyzable_days) = 0", "truncated": f"coalesce(censor_reason IN ('death', 'repeat_operation') AND censor_date <= discharge_date + {P.accrual[1]}, FALSE)"}
+_ORDER = [*_RULES, "not_first", *_LATE]
+_SQL["looks"] = (("episodes", "conditions", "visits"), f"""
+SELECT e.episode_id, coalesce(max(CAST(c.grave AS INTEGER)), 0) = 1 AS ind, coalesce(max(CAST(c.deg AS INTEGER)), 0) = 1 AS deg, coalesce(max(CAST(v.ed AS INTEGER)), 0) = 1 AS ed, coalesce(max(CAST(v.clinic AS INTEGER)), 0) = 1 AS clinic
+FROM episodes e
+LEFT JOIN LATERAL (SELECT bool_or(category <> 'degenerative' AND e.index_date - condition_start_date BETWEEN 0 AND {P.look_back}) AS grave, bool_or(category = 'degenerative' AND e.index_date - condition_start_date BETWEEN 1 AND {P.prior_days}) AS deg FROM conditions WHERE person_id = e.person_id AND category IS NOT NULL) c ON TRUE
+LEFT JOIN LATERAL (SELECT bool_or(visit_kind = 'emergency' AND e.index_date - coalesce(visit_end_date, visit_start_date) BETWEEN 0 AND {P.ed_days}) AS ed, bool_or(visit_occurrence_id = e.index_visit_id AND origin IN ('Ambulatory Clinic', 'Home')) AS clinic FROM visits WHERE person_id = e.person_id) v ON TRUE
+GROUP BY e.episode_id""")
+_SQL["wear"] = (("episodes", "cens", "grid"), f"""
+SELECT e.episode_id, count(*) AS n_at_risk_days, count_if(g.is_analyzable) AS n_analyzable_days
+FROM episodes e, cens c, grid g
+WHERE c.episode_id = e.episode_id AND g.person_id = e.person_id AND g.activity_date - e.discharge_date BETWEEN {P.accrual[0]} AND {P.accrual[1]} AND g.activity_date <= coalesce(c.censor_date, g.activity_date) GROUP BY e.episode_id""")
+_SQL["elig"] = (("episodes", "baseline", "looks", "cens", "wear"), f"""
+SELECT *, nullif(coalesce(list_position([{', '.join(f'x_{n}' for n in _ORDER)}], TRUE), 0), 0) + 2 AS first_fail_step
+FROM (SELECT *, clear AND row_number() OVER (PARTITION BY person_id, clear ORDER BY index_date) > 1 AS x_not_first
+ FROM (SELECT *, NOT list_contains([{', '.join(f'x_{n}' for n in _RULES)}], TRUE) AS clear
+  FROM (SELECT *, {', '.join(f'{e} AS x_{n}' for n, e in (_RULES | _LATE).items())}
+   FROM (SELECT e.*, b.baseline_steps, b.n_valid_baseline_days, b.baseline_span_days, b.has_any_wearable, l.ind, l.deg, l.ed, l.clinic, c.censor_date, c.censor_reason,
+          coalesce(e.index_date - lag(e.index_date) OVER (PARTITION BY e.person_id ORDER BY e.index_date) <= {P.prior_days}, FALSE) AS prior,
+          coalesce(w.n_at_risk_days, 0) AS n_at_risk_days, coalesce(w.n_analyzable_days, 0) AS n_analyzable_days
+         FROM episodes e JOIN baseline b USING (episode_id) JOIN looks l USING (episode_id) JOIN cens c USING (episode_id) LEFT JOIN wear w USING (episode_id)))))""")
 _SQL["features"] = (("elig", "persons"), f"SELECT e.episode_id, e.person_id, e.index_date, e.discharge_date, e.los_days, e.region, e.is_fusion, e.baseline_steps, round((e.index_date - p.birth_date) / 365.25, 6) AS age, p.sex, greatest(0, least({P.panel_days}, coalesce(e.censor_date - e.discharge_date, {P.panel_days}))) AS at_risk_last_day FROM elig e LEFT JOIN persons p USING (person_id) WHERE e.discharge_date IS NOT NULL AND e.baseline_steps > 0")
-_SQL["panel"] = (("features", "grid", "visits"), f"""
-SELECT *, CASE WHEN is_censored THEN 'censored' WHEN is_analyzable THEN 'observed' ELSE 'missing' END AS day_kind,
- CASE WHEN is_censored THEN 'censored' WHEN is_inpatient THEN 'inpatient' WHEN is_analyzable THEN 'observed' ELSE 'missing' END AS day_kind_four,
- CASE WHEN is_analyzable THEN steps / baseline_steps END AS normalized_activity, CASE WHEN is_analyzable THEN greatest(0, 1 - steps / baseline_steps) END AS deficit, CASE WHEN is_analyzable THEN 1 - steps / baseline_steps END AS deficit_untruncated,
- avg(CASE WHEN valid_wear THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY episode_id ORDER BY post_day ROWS BETWEEN {P.lag_days} PRECEDING AND 1 PRECEDING) AS lagged_wear_fraction
-FROM (SELECT f.episode_id, f.person_id, f.discharge_date, f.los_days, f.baseline_steps, f.at_risk_last_day, f.region, d.post_day, f.discharge_date + CAST(d.post_day AS INTEGER) AS calendar_date, g.steps, g.wear_minutes, coalesce(g.valid_wear, FALSE) AS valid_wear,
- EXISTS (SELECT 1 FROM visits v WHERE v.person_id = f.person_id AND v.visit_kind = 'inpatient' AND v.visit_start_date BETWEEN f.discharge_date + 1 AND f.discharge_date + {P.panel_days} AND f.discharge_date + CAST(d.post_day AS INTEGER) BETWEEN v.visit_start_date AND coalesce(v.visit_end_date, v.visit_start_date)) AS is_inpatient,
- d.post_day > f.at_risk_last_day AS is_censored, coalesce(g.is_analyzable, FALSE) AND d.post_day <= f.at_risk_last_day AS is_analyzable, d.post_day BETWEEN {P.accrual[0]} AND {P.accrual[1]} AS in_accrual_window, f.los_days + d.post_day AS postoperative_day
- FROM features f CROSS JOIN (SELECT unnest(generate_series(1, {P.panel_days})) AS post_day) d LEFT JOIN grid g ON g.person_id = f.person_id AND g.activity_date = f.discharge_date + CAST(d.post_day AS INTEGER))""")
+_SQL["in_hospital"] = (("visits",), "SELECT DISTINCT person_id, visit_start_date, CAST(unnest(generate_series(visit_start_date, coalesce(visit_end_date, visit_start_date), INTERVAL 1 DAY)) AS DATE) AS night FROM visits WHERE visit_kind = 'inpatient'")
+_SQL["panel"] = (("features", "grid", "in_hospital"), f"""
+WITH days AS (SELECT episode_id, person_id, discharge_date, los_days, baseline_steps, at_risk_last_day, region, unnest(range(1, {P.panel_days} + 1)) AS post_day FROM features),
+stay AS (SELECT f.episode_id, h.night - f.discharge_date AS post_day FROM features f JOIN in_hospital h USING (person_id) WHERE h.visit_start_date - f.discharge_date BETWEEN 1 AND {P.panel_days} GROUP BY ALL),
+seen AS (SELECT d.*, d.discharge_date + CAST(d.post_day AS INTEGER) AS calendar_date, d.los_days + d.post_day AS postoperative_day, d.post_day BETWEEN {P.accrual[0]} AND {P.accrual[1]} AS in_accrual_window,
+  (d.episode_id, d.post_day) IN (SELECT (episode_id, post_day) FROM stay) AS is_inpatient, d.post_day > d.at_risk_last_day AS is_censored FROM days d),
+worn AS (SELECT s.*, g.steps, g.wear_minutes, g.valid_wear IS TRUE AS valid_wear, NOT s.is_censored AND g.is_analyzable IS TRUE AS is_analyzable, CASE WHEN NOT s.is_censored AND g.is_analyzable THEN g.steps / s.baseline_steps END AS normalized_activity FROM seen s LEFT JOIN grid g ON (g.person_id, g.activity_date) = (s.person_id, s.calendar_date)),
+named AS (SELECT *, CASE WHEN is_censored THEN 'censored' WHEN is_analyzable THEN 'observed' ELSE 'missing' END AS day_kind FROM worn)
+SELECT *, CASE WHEN is_inpatient AND day_kind <> 'censored' THEN 'inpatient' ELSE day_kind END AS day_kind_four, 1 - normalized_activity AS deficit_untruncated, CASE WHEN normalized_activity IS NOT NULL THEN greatest(0, 1 - normalized_activity) END AS deficit,
+ avg(CAST(valid_wear AS INTEGER)) OVER (PARTITION BY episode_id ORDER BY post_day ROWS BETWEEN {P.lag_days} PRECEDING AND 1 PRECEDING) AS lagged_wear_fraction
+FROM named""")
 
 
 def _good(lo: int, hi: int) -> str:
@@ -145,7 +159,13 @@ def _good(lo: int, hi: int) -> str:
 
 
 _near = f"g.activity_date - k.event_date BETWEEN {P.landmark[0]} AND {P.landmark[1]} AND g.activity_date > k.discharge_date"
-_SQL["enc"] = (("features", "visits"), "SELECT f.episode_id, f.person_id, f.discharge_date, f.baseline_steps, v.visit_start_date AS event_date, v.visit_start_date - f.discharge_date AS event_day, min(v.visit_occurrence_id) AS visit_occurrence_id, CASE WHEN bool_or(v.visit_kind = 'emergency') AND bool_or(v.visit_kind = 'inpatient') THEN 'ed_then_inpatient' WHEN bool_or(v.visit_kind = 'emergency') THEN 'emergency_department' ELSE 'inpatient' END AS event_kind FROM features f JOIN visits v ON v.person_id = f.person_id AND v.visit_start_date > f.discharge_date GROUP BY f.episode_id, f.person_id, f.discharge_date, f.baseline_steps, v.visit_start_date HAVING NOT bool_and(CASE WHEN v.visit_start_date - f.discharge_date > f.at_risk_last_day THEN FALSE ELSE lower(v.origin) IN ('ambulatory clinic', 'outpatient', 'home') END)")
+_SQL["enc"] = (("features", "visits"), """
+SELECT episode_id, person_id, discharge_date, baseline_steps, event_date, event_date - discharge_date AS event_day, first_visit AS visit_occurrence_id,
+ CASE len(kinds) WHEN 2 THEN 'ed_then_inpatient' ELSE replace(kinds[1], 'emergency', 'emergency_department') END AS event_kind
+FROM (SELECT f.episode_id, f.person_id, f.discharge_date, f.baseline_steps, v.visit_start_date AS event_date, min(v.visit_occurrence_id) AS first_visit, list(DISTINCT v.visit_kind) AS kinds,
+       count_if(v.origin NOT IN ('Ambulatory Clinic', 'Home') OR v.visit_start_date - f.discharge_date > f.at_risk_last_day) AS unplanned
+      FROM features f JOIN visits v USING (person_id) WHERE v.visit_start_date > f.discharge_date GROUP BY ALL)
+WHERE unplanned > 0""")
 _SQL["ev"] = (("enc", "grid"), f"""
 SELECT *, event_rank = 1 AS is_first_event, n_valid >= {P.least_window_days} AS has_landmark, n_days < {P.least_window_days} AS no_window, n_days >= {P.least_window_days} AND n_valid < {P.least_window_days} AS no_signal,
  near_steps / baseline_steps AS r_near, last_steps / baseline_steps AS r_last, reference_steps / baseline_steps AS r_reference, control_steps / baseline_steps AS r_control, CASE WHEN near_steps > 0 AND reference_steps > 0 THEN ln(near_steps / reference_steps) END AS local_change
@@ -154,23 +174,28 @@ FROM (SELECT k.episode_id, k.person_id, k.discharge_date, k.baseline_steps, k.ev
  median(CASE WHEN {_good(-3, -1)} THEN g.steps END) AS last_steps, median(CASE WHEN {_good(*P.reference)} THEN g.steps END) AS reference_steps, median(CASE WHEN {_good(*P.control)} THEN g.steps END) AS control_steps
  FROM enc k LEFT JOIN grid g ON g.person_id = k.person_id AND g.activity_date BETWEEN k.event_date - {-P.control[0]} AND k.event_date - 1
  GROUP BY k.episode_id, k.person_id, k.discharge_date, k.baseline_steps, k.event_date, k.event_day, k.visit_occurrence_id, k.event_kind)""")
-_SQL["lm"] = (("panel", "grid", "ev"), f"""
-SELECT w.*, coalesce(b.n_calendar_days, 0) AS n_calendar_days, b.calendar_lag, coalesce(e.is_event, FALSE) AS is_event, coalesce(e.is_first, FALSE) AS is_first, n_valid >= {P.least_window_days} AS has_landmark, n_days < {P.least_window_days} AS no_window, n_days >= {P.least_window_days} AND n_valid < {P.least_window_days} AS no_signal
-FROM (SELECT d.episode_id, d.person_id, d.post_day, d.calendar_date, d.is_censored, count_if(x.valid_wear AND x.steps IS NOT NULL) AS n_valid, count(x.post_day) AS n_days, max(CASE WHEN x.post_day = d.post_day + {P.landmark[1]} THEN x.lagged_wear_fraction END) AS landmark_lag
- FROM panel d LEFT JOIN panel x ON x.episode_id = d.episode_id AND x.post_day BETWEEN d.post_day + {P.landmark[0]} AND d.post_day + {P.landmark[1]} GROUP BY ALL) w
-LEFT JOIN (SELECT d.episode_id, d.post_day, avg(CAST(g.valid_wear AS DOUBLE)) AS calendar_lag, count(*) AS n_calendar_days FROM panel d JOIN grid g ON g.person_id = d.person_id AND g.activity_date BETWEEN d.calendar_date - {P.lag_days - P.landmark[1]} AND d.calendar_date - {1 - P.landmark[1]} GROUP BY ALL) b USING (episode_id, post_day)
-LEFT JOIN (SELECT episode_id, event_day AS post_day, TRUE AS is_event, bool_or(is_first_event) AS is_first FROM ev GROUP BY ALL) e USING (episode_id, post_day)""")
+_SQL["weeks"] = (("grid",), f"SELECT person_id, activity_date AS last_day, avg(CAST(valid_wear AS DOUBLE)) OVER week AS calendar_lag, count(*) OVER week AS n_calendar_days FROM grid WINDOW week AS (PARTITION BY person_id ORDER BY activity_date ROWS BETWEEN {P.lag_days - 1} PRECEDING AND CURRENT ROW)")
+_SQL["lm"] = (("panel", "weeks", "ev"), f"""
+WITH counted AS (SELECT episode_id, person_id, post_day, calendar_date, is_censored, count(*) FILTER (WHERE valid_wear AND steps IS NOT NULL) OVER before AS n_valid, count(*) OVER before AS n_days, max(lagged_wear_fraction) OVER landmark AS landmark_lag
+ FROM panel WINDOW before AS (PARTITION BY episode_id ORDER BY post_day RANGE BETWEEN {-P.landmark[0]} PRECEDING AND {-P.landmark[1]} PRECEDING), landmark AS (PARTITION BY episode_id ORDER BY post_day RANGE BETWEEN {-P.landmark[1]} PRECEDING AND {-P.landmark[1]} PRECEDING)),
+marks AS (SELECT episode_id, map(list(event_day), list(is_first_event)) AS at FROM (SELECT episode_id, event_day, bool_or(is_first_event) AS is_first_event FROM ev GROUP BY ALL) GROUP BY episode_id)
+SELECT c.*, w.calendar_lag, coalesce(w.n_calendar_days, 0) AS n_calendar_days, coalesce(map_contains(m.at, c.post_day), FALSE) AS is_event, coalesce(m.at[c.post_day], FALSE) AS is_first,
+ n_valid >= {P.least_window_days} AS has_landmark, n_days < {P.least_window_days} AS no_window, n_valid < {P.least_window_days} AND n_days >= {P.least_window_days} AS no_signal
+FROM counted c LEFT JOIN weeks w ON w.person_id = c.person_id AND w.last_day = c.calendar_date - {1 - P.landmark[1]} LEFT JOIN marks m USING (episode_id)""")
+#: A candidacy's rank is 1 on the case's day and weekday, 2 on a day of the same part of the week, else
+#: 3. A set takes the candidates up to its second best rank: the strictest that leaves two of them.
 _SQL["sets"] = (("features", "ev"), f"""
-WITH c AS (SELECT event_id AS set_id, episode_id AS case_episode, person_id AS case_person, event_day AS case_day, landmark_dow AS case_dow FROM ev WHERE is_first_event AND NOT no_window),
-pool AS (SELECT f.*, (SELECT min(event_day) FROM ev x WHERE x.episode_id = f.episode_id) AS first_event FROM features f),
-cand AS (SELECT c.*, p.episode_id, p.person_id, c.case_day + o.k AS day, dayofweek(p.discharge_date + CAST(c.case_day + o.k + {P.landmark[1]} AS INTEGER)) + 1 AS dow, md5(concat_ws('|', '{P.salt}', '{P.seed}', c.set_id, p.episode_id, c.case_day + o.k)) AS fingerprint FROM c JOIN pool p ON p.episode_id <> c.case_episode CROSS JOIN (SELECT unnest(generate_series(-2, 2)) AS k) o WHERE c.case_day + o.k >= 1 AND p.at_risk_last_day >= c.case_day + o.k AND (p.first_event IS NULL OR p.first_event > c.case_day + o.k)),
-rung AS (SELECT *, day = case_day AND dow = case_dow AS rung1, (dow IN (1, 7)) = (case_dow IN (1, 7)) AS rung2 FROM cand),
-best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY set_id, episode_id ORDER BY rung1 DESC, rung2 DESC, abs(day - case_day), fingerprint) AS rn FROM rung) WHERE rn = 1),
-pick AS (SELECT set_id, CASE WHEN count_if(rung1) >= 2 THEN 1 WHEN count_if(rung2) >= 2 THEN 2 ELSE 3 END AS match_rung FROM best GROUP BY set_id),
-ok AS (SELECT b.*, p.match_rung FROM best b JOIN pick p USING (set_id) WHERE p.match_rung = 3 OR (p.match_rung = 1 AND b.rung1) OR (p.match_rung = 2 AND b.rung2)),
-s1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY set_id ORDER BY fingerprint) AS r1 FROM ok) WHERE r1 <= {P.per_set}),
-s2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY person_id ORDER BY fingerprint) AS r2 FROM s1) WHERE r2 <= {P.per_person})
-SELECT set_id, 'case' AS role, case_episode AS episode_id, case_person AS person_id, case_day AS day, 1 AS match_rung FROM c UNION ALL SELECT set_id, 'control', episode_id, person_id, day, match_rung FROM s2""")
+WITH cases AS (SELECT event_id AS set_id, episode_id AS own, person_id, event_day, landmark_dow FROM ev WHERE is_first_event AND NOT no_window),
+free AS (SELECT f.episode_id, f.person_id, f.discharge_date, least(f.at_risk_last_day, min(e.event_day) - 1) AS last_day FROM features f LEFT JOIN ev e USING (episode_id) GROUP BY f.episode_id, f.person_id, f.discharge_date, f.at_risk_last_day),
+offers AS (SELECT set_id, episode_id, person_id, day, abs(day - event_day) AS gap, md5(concat_ws('|', '{P.salt}', '{P.seed}', set_id, episode_id, day)) AS fingerprint,
+  CASE WHEN day = event_day AND dow = landmark_dow THEN 1 WHEN (dow % 6 = 1) = (landmark_dow % 6 = 1) THEN 2 ELSE 3 END AS rank
+ FROM (SELECT c.set_id, c.event_day, c.landmark_dow, p.episode_id, p.person_id, t.day, 1 + dayofweek(p.discharge_date + CAST(t.day + {P.landmark[1]} AS INTEGER)) AS dow
+       FROM cases c JOIN range(1, {P.panel_days} + 1) t(day) ON t.day BETWEEN c.event_day - 2 AND c.event_day + 2 JOIN free p ON p.last_day >= t.day AND p.episode_id <> c.own)),
+best AS (SELECT set_id, unnest(arg_min(o, (rank, gap, fingerprint))) FROM (SELECT set_id, episode_id, person_id, rank, gap, fingerprint, {{'episode_id': episode_id, 'person_id': person_id, 'day': day, 'rank': rank, 'fingerprint': fingerprint}} AS o FROM offers) GROUP BY set_id, episode_id),
+allowed AS (SELECT set_id, coalesce(list_sort(list(rank))[2], 3) AS match_rung FROM best GROUP BY set_id),
+taken AS (SELECT b.*, a.match_rung FROM best b JOIN allowed a ON a.set_id = b.set_id AND b.rank <= a.match_rung QUALIFY row_number() OVER (PARTITION BY b.set_id ORDER BY b.fingerprint) <= {P.per_set})
+SELECT set_id, 'case' AS role, own AS episode_id, person_id, event_day AS day, 1 AS match_rung FROM cases
+UNION ALL FROM (SELECT set_id, 'control', episode_id, person_id, day, match_rung FROM taken QUALIFY row_number() OVER (PARTITION BY person_id ORDER BY fingerprint) <= {P.per_person})""")
 
 
 def with_tables(body: str, *names: str) -> str:
