@@ -14,7 +14,7 @@ from __future__ import annotations
 import base64
 import json
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -29,9 +29,9 @@ from panelwise.llm.common import pieces
 
 PAIR_BUCKETS = 1 << 15
 #: Text whose distinct words are folded together: more text gives fewer words a text.
-TEXT_BYTES = 8 << 20
+TEXT_BYTES = 4 << 20
 #: Word rows of one Arrow batch.
-WORD_ROWS = 20_000
+WORD_ROWS = 5_000
 #: Words of more bytes are merged in rounds; the tokens are the same.
 LONG_WORD = 64
 #: Marks of a merge that is made at one place at a time and of a word in which nothing merges; no token's character.
@@ -149,17 +149,22 @@ def _lists(flat: np.ndarray, sizes: list[int] | np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(flat, pa.int32()))
 
 
-def encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, column: str = "ids") -> DataFrame:
-    """All rows and columns of ``docs`` (which has ``text``) and the token ids of their whole text,
-    ``array<int>``; a column that has the result's name is replaced, any other stays as it is.
+def encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, column: str = "ids", keep: Sequence[str] | None = None, also: Sequence[str] = ()) -> DataFrame:
+    """All rows and columns of ``docs`` (which has ``text``), or those named in ``keep``, and the token ids of
+    their whole text, ``array<int>``; a column that has the result's name is replaced, any other stays.
+    ``also`` may ask for "raw", the ids as ``ids_bytes`` gives them, and "back", the text's bytes ``decoded``
+    from the ids, in columns of the result's name with ``_raw`` and ``_back`` behind it.
 
     Null and empty texts have no ids. Special tokens are ordinary text. Rows that repeat, and rows with
     a null doc_id, are encoded one by one. Empty tables stay empty.
     """
-    keep = [c for c in docs.columns if c.lower() != column.lower()]
-    text_at = [c.lower() for c in keep].index("text")
-    packed = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)])
-    columns = [T.StructField(f.name, f.dataType, True) for f in packed.schema.fields]
+    made = {column.lower(), *(f"{column}_{x}".lower() for x in also)}
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in made]
+    text = next(c for c in docs.columns if c.lower() == "text")
+    packed = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], F.col(f"`{text}`").alias("text"))
+    columns = [T.StructField(f.name, f.dataType, True) for f in packed.schema.fields[:-1]]
+    text_at = len(columns)
+    tables = [byte_table(ranks) if x == "back" else id_table(ranks) for x in also]
     numbers = T.ArrayType(T.IntegerType(), True)
     split_schema = T.StructType([*columns, T.StructField("word", T.BinaryType()), T.StructField("own", T.StringType()), T.StructField("places", numbers)])
 
@@ -174,10 +179,10 @@ def encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, column: str
                 part = raw[start : start + WORD_ROWS]
                 # A word that is itself a token is that token, however its merges would go.
                 own = [token_char(ranks[w]) if w in ranks else None for w in part]
-                nulls = [pa.nulls(len(part), f.type) for f in batch.schema]
+                nulls = [pa.nulls(len(part), f.type) for f in batch.schema][:-1]
                 yield pa.RecordBatch.from_arrays([*nulls, pa.array(part, pa.binary()), pa.array(own, pa.string()), pa.nulls(len(part), pa.list_(pa.int32()))], names)
             flat = np.concatenate(places) if places else np.empty(0, np.int32)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.nulls(batch.num_rows, pa.binary()), pa.nulls(batch.num_rows, pa.string()), _lists(flat, [len(p) for p in places])], names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.nulls(batch.num_rows, pa.binary()), pa.nulls(batch.num_rows, pa.string()), _lists(flat, [len(p) for p in places])], names)
 
     names = [f.name for f in split_schema.fields]
     n = len(columns)
@@ -186,7 +191,7 @@ def encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, column: str
         words_of: list[pa.Array] = []
         flat = starts = lengths = None
         for batch in batches:
-            places = batch.column(n + 1)
+            places = batch.column(n + 1)  # after the columns kept and the words
             is_word = places.is_null().to_numpy(zero_copy_only=False)
             cuts = np.r_[0, np.flatnonzero(np.diff(is_word)) + 1, len(is_word)] if len(is_word) else [0]
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
@@ -209,33 +214,49 @@ def encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, column: str
                     found = flat[np.repeat(starts[words] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)]
                     bounds = np.r_[0, ends][np.r_[0, np.cumsum(part.value_lengths().to_numpy(zero_copy_only=False))]]
                     rows = [batch.column(i).slice(at, len(part)) for i in range(n)]
-                    yield pa.RecordBatch.from_arrays([*rows, _lists(found, np.diff(bounds))], [*names[:n], "ids"])
+                    lists = [found[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)] if tables else []
+                    more = [pa.array([_join(x, table) for x in lists], pa.binary()) for table in tables]
+                    yield pa.RecordBatch.from_arrays([*rows, _lists(found, np.diff(bounds)), *more], out_names)
 
+    result = T.StructType([*columns, T.StructField("ids", numbers), *[T.StructField(f"ids_{x}", T.BinaryType()) for x in also]])
+    out_names = [f.name for f in result.fields]
     words = packed.mapInArrow(split, split_schema)
     tokens = _let(byte_tokens(F.col("word"), ranks), lambda t: fold_word(t, pair_table(ranks)))
     folded = words.select(*names[:n], F.when(F.col("word").isNotNull(), F.coalesce("own", tokens)).alias("word"), "places")
-    out = folded.mapInArrow(assemble, T.StructType([*columns, T.StructField("ids", numbers)]))
-    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], F.col("ids").alias(column))
+    out = folded.mapInArrow(assemble, result)
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], F.col("ids").alias(column), *[F.col(f"ids_{x}").alias(f"{column}_{x}") for x in also])
 
 
-def _joined(ids: Column, table: list[bytes]) -> Column:
-    """The concatenation of ``table[i]`` for each id (empty for null and for no ids)."""
+def byte_table(ranks: dict[bytes, int]) -> list[bytes]:
+    """The binary piece of each id."""
+    table = [b""] * (max(ranks.values(), default=-1) + 1)
+    for piece, rank in ranks.items():
+        table[rank] = piece
+    return table
+
+
+def id_table(ranks: dict[bytes, int]) -> list[bytes]:
+    """Each id as a little-endian unsigned 32-bit integer."""
+    return [i.to_bytes(4, "little") for i in range(max(ranks.values(), default=-1) + 1)]
+
 
+def _join(ids: np.ndarray, table: list[bytes]) -> bytes:
+    return b"".join([table[i] for i in ids.tolist()])
+
+
+def _joined(ids: Column, table: list[bytes]) -> Column:
     @F.pandas_udf("binary")
     def join(batch: pd.Series) -> pd.Series:
-        return pd.Series([b"".join([table[i] for i in x.tolist()]) for x in batch])
+        return pd.Series([_join(x, table) for x in batch])
 
     return join(F.coalesce(ids, F.array().cast("array<int>")))
 
 
 def decoded(ids: Column, ranks: dict[bytes, int]) -> Column:
     """The bytes that ids stand for: the concatenation of their binary pieces (empty for null)."""
-    table = [b""] * (max(ranks.values(), default=-1) + 1)
-    for piece, rank in ranks.items():
-        table[rank] = piece
-    return _joined(ids, table)
+    return _joined(ids, byte_table(ranks))
 
 
 def ids_bytes(ids: Column, ranks: dict[bytes, int]) -> Column:
     """Ids as little-endian unsigned 32-bit integers, one after the other (empty for null)."""
-    return _joined(ids, [i.to_bytes(4, "little") for i in range(max(ranks.values(), default=-1) + 1)])
+    return _joined(ids, id_table(ranks))

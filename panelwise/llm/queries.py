@@ -30,10 +30,8 @@ def op2_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    tokens = bpe.encoded(docs, ranks, public_tokenizers.PATTERN).select("doc_id", "ids")
-    return tokens.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
-                         F.sha2(bpe.ids_bytes(F.col("ids"), ranks), 256).alias("ids_sha256"),
-                         F.sha2(bpe.decoded(F.col("ids"), ranks), 256).alias("decoded_sha256"))
+    tokens = bpe.encoded(docs, ranks, public_tokenizers.PATTERN, keep=["doc_id"], also=["raw", "back"])
+    return tokens.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2("ids_raw", 256).alias("ids_sha256"), F.sha2("ids_back", 256).alias("decoded_sha256"))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
