@@ -43,10 +43,10 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, source, n_tokens, ids, decodes``: the token ids of each document of the mix, and
     whether they decode to its text."""
     ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    encoded = bpe.encoded(docs.select("doc_id", "source", "text"), ranks, public_tokenizers.PATTERN)
-    text = F.coalesce("text", F.lit("")).cast("binary")
+    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    encoded = bpe.encoded(docs.select("doc_id", "source", "text", digest.alias("digest")), ranks, public_tokenizers.PATTERN, keep=["doc_id", "source", "digest"], also=["back"])
     return encoded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids",
-                          (bpe.decoded(F.col("ids"), ranks) == text).alias("decodes"))
+                          (F.sha2("ids_back", 256) == F.col("digest")).alias("decodes"))
 
 
 STAGES = [
