@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from panelwise.functions.columns import expit, logit
 from panelwise.operators.aggregates import weighted_mean
+from panelwise.sources.shared import shared_folder
 
 #: Fits whose coefficients pass this in size are refused.
 CEILING = 10.0
@@ -175,63 +177,70 @@ def set_terms(frame: pd.DataFrame, x: Sequence[str], beta: np.ndarray) -> np.nda
     return out
 
 
-def fit_conditional_logit(rows: DataFrame, x: Sequence[str], steps: int = 30) -> dict:
+def fit_conditional_logit(rows: DataFrame, x: Sequence[str], steps: int = 30, ridge: float = 0.0) -> dict:
     """Conditional logistic regression over ``set_id, is_case`` and covariates.
 
-    Sets are kept whole by one partitioning on set_id; every Newton step sends back one row of sums
-    for each partition, and steps are halved while the likelihood falls.
+    Sets are kept whole by one partitioning on set_id and come sorted, so a task holds one set at a time;
+    the dealt rows are written once to the shared folder, as every Newton step reads them again. A step
+    sends back one row of sums for each partition, and is halved while the likelihood falls. ``ridge``
+    is a penalty on the squared coefficients, for data with few informative sets.
     """
     p = len(x)
-    dealt = rows.select("set_id", "is_case", *x).dropna().repartition("set_id").sortWithinPartitions("set_id").persist()
+    path = f"{shared_folder(rows.sparkSession)}/sets-{uuid.uuid4().hex}"
+    rows.select("set_id", "is_case", *x).dropna().repartition("set_id").sortWithinPartitions("set_id").write.parquet(path)
+    dealt = rows.sparkSession.read.parquet(path).repartition("set_id").sortWithinPartitions("set_id")
 
     def at(beta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
         def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            held = list(batches)
-            total = set_terms(pd.concat(held), x, beta) if held else np.zeros(1 + p + p * p)
+            total, rest = np.zeros(1 + p + p * p), None
+            for batch in batches:
+                batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+                last = (batch["set_id"] == batch["set_id"].iloc[-1]).to_numpy() if len(batch) else np.zeros(0, bool)
+                rest = batch[last]  # its other rows may come with the next batch
+                total += set_terms(batch[~last], x, beta)
+            if rest is not None:
+                total += set_terms(rest, x, beta)
             yield pd.DataFrame({"k": np.arange(len(total)), "v": total})
 
         v = np.zeros(1 + p + p * p)
         for r in dealt.mapInPandas(sums, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():
             v[r["k"]] = r["v"]
-        return v[0], v[1 : 1 + p], v[1 + p :].reshape(p, p)
-
-    try:
-        beta = np.zeros(p)
-        value, g, h = at(beta)
-        for _ in range(steps):
-            step = np.linalg.solve(h + 1e-10 * np.eye(p), g)
-            size = 1.0
-            while True:
-                new = at(beta + size * step)
-                if new[0] >= value - 1e-12 or size < 1e-4:
-                    break
-                size /= 2
-            beta, (value, g, h) = beta + size * step, new
-            if np.abs(beta).max() > CEILING:
-                raise ValueError("separated: a coefficient passes the ceiling")
-            if np.abs(size * step).max() < 1e-8:
+        return v[0] - ridge * beta @ beta / 2, v[1 : 1 + p] - ridge * beta, v[1 + p :].reshape(p, p) + ridge * np.eye(p)
+
+    beta = np.zeros(p)
+    value, g, h = at(beta)
+    for _ in range(steps):
+        step = np.linalg.solve(h + 1e-10 * np.eye(p), g)
+        size = 1.0
+        while True:
+            new = at(beta + size * step)
+            if new[0] >= value - 1e-12 or size < 1e-4:
                 break
-        return {"beta": beta, "cov": np.linalg.pinv(h), "loglik": value}
-    finally:
-        dealt.unpersist()
+            size /= 2
+        beta, (value, g, h) = beta + size * step, new
+        if np.abs(beta).max() > CEILING:
+            raise ValueError("separated: a coefficient passes the ceiling")
+        if np.abs(size * step).max() < 1e-8:
+            break
+    return {"beta": beta, "cov": np.linalg.pinv(h), "loglik": value}
 
 
 def replicates(units: DataFrame, unit: str, b: int, seed: int = 1) -> DataFrame:
-    """Bootstrap multiplicities ``b, unit, multiplicity`` by a Poisson draw that hashes (b, unit, seed), so
-    reruns and partitions agree; additive statistics take the multiplicity as a weight."""
-    u = F.pmod(F.xxhash64("b", unit, F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
+    """Bootstrap multiplicities ``b, unit, multiplicity`` by a Poisson draw from an MD5 of (b, unit, seed), so
+    reruns, partitions and engines agree; additive statistics take the multiplicity as a weight."""
+    drawn = F.substring(F.md5(F.concat_ws("|", F.col("b").cast("string"), F.col(unit).cast("string"), F.lit(str(seed)))), 1, 8)
     m = F.lit(0)
     total, term = 0.0, np.exp(-1.0)
     for k in range(8):
         total += term
-        m = m + (u > total).cast("int")
         term /= k + 1
+        m = m + (drawn > f"{min(int(total * 2**32), 2**32 - 1):08x}").cast("int")
     return units.select(unit).distinct().withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(b)))).withColumn("multiplicity", m).where("multiplicity > 0")
 
 
 def bootstrap_mean(rows: DataFrame, unit: str, group: str, value: str, b: int, seed: int = 1) -> DataFrame:
-    """Percentile interval of a group mean of unit totals, whole units resampled."""
-    u = rows.groupBy(unit, group).agg(F.sum(value).alias("total"))
+    """Percentile interval of a group mean of unit totals, whole units resampled; units without a value drop out."""
+    u = rows.groupBy(unit, group).agg(F.sum(value).alias("total")).where("total IS NOT NULL")
     r = replicates(u, unit, b, seed).join(u, unit)
     means = r.groupBy("b", group).agg((F.sum(F.col("total") * F.col("multiplicity")) / F.sum("multiplicity")).alias("mean"))
     point = u.groupBy(group).agg(F.avg("total").alias("mean"))
@@ -239,12 +248,113 @@ def bootstrap_mean(rows: DataFrame, unit: str, group: str, value: str, b: int, s
     return point.join(q, group).select(group, "mean", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"), "n_replicates")
 
 
+def fit_logit_each(rows: DataFrame, by: str, x: Sequence[str], y: str, weight: str, steps: int = 14) -> dict[int, np.ndarray | None]:
+    """``fit_logit`` for every value of ``by`` (a replicate number), all in step: each Newton step is one
+    aggregate that returns a row of sums for each replicate. None where a fit is singular or passes CEILING."""
+    p = len(x)
+    pairs = [(i, j) for i in range(p) for j in range(i, p)]
+    keys = [r[by] for r in rows.select(by).distinct().collect()]
+    beta: dict[int, np.ndarray | None] = {k: np.zeros(p) for k in keys}
+    for _ in range(steps):
+        now = rows.sparkSession.createDataFrame([(k, *map(float, v)) for k, v in beta.items() if v is not None], f"{by} int, " + ", ".join(f"_b{i} double" for i in range(p)))
+        mu = expit(sum((F.col(f"_b{i}") * F.col(c) for i, c in enumerate(x)), F.lit(0.0)))
+        w = F.col(weight)
+        sums = [F.sum(w * F.col("_m") * (1 - F.col("_m")) * F.col(x[i]) * F.col(x[j])).alias(f"h{i}_{j}") for i, j in pairs] + [F.sum(w * (F.col(y) - F.col("_m")) * F.col(c)).alias(f"g{i}") for i, c in enumerate(x)]
+        moved = 0.0
+        for r in rows.join(F.broadcast(now), by).withColumn("_m", mu).groupBy(by).agg(*sums).collect():
+            h = np.zeros((p, p))
+            for i, j in pairs:
+                h[i, j] = h[j, i] = r[f"h{i}_{j}"]
+            try:
+                step = np.linalg.solve(h, np.array([r[f"g{i}"] for i in range(p)]))
+            except np.linalg.LinAlgError:
+                beta[r[by]] = None
+                continue
+            new = beta[r[by]] + step
+            beta[r[by]] = new if np.abs(new).max() <= CEILING else None
+            moved = max(moved, np.abs(step).max())
+        if moved < 1e-9:
+            break
+    return beta
+
+
+def bootstrap_fit(rows: DataFrame, unit: str, x: Sequence[str], y: str, weight: str, b: int, seed: int = 1) -> list[tuple]:
+    """Refits with whole units resampled: per term the estimate, percentile interval, two-sided p-value, share
+    of refits that failed and number of replicates. The replicate table is a join, so rows are weighted, not copied by hand."""
+    full = fit_logit(rows, x, y, weight)["beta"]
+    cols = [unit, *x, y, weight]
+    many = rows.select(*cols).join(replicates(rows, unit, b, seed), unit).withColumn("_w", F.col(weight) * F.col("multiplicity"))
+    found = fit_logit_each(many.select("b", *x, y, "_w"), "b", x, y, "_w")
+    good = np.array([v for v in found.values() if v is not None])
+    failed = 1 - len(good) / max(b, 1)
+    out = []
+    for i, name in enumerate(x):
+        v = good[:, i] if len(good) else np.array([np.nan])
+        low, high = np.percentile(v, [2.5, 97.5])
+        out.append((name, float(full[i]), float(low), float(high), float(min(1.0, 2 * min((v <= 0).mean(), (v >= 0).mean()))), float(failed), b))
+    return out
+
+
 def inverse_weights(rows: DataFrame, observed: str, fitted: str, group: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
-    """Stabilised weights of observed rows, clipped at two percentiles."""
+    """Stabilised weights of observed rows, clipped at two percentiles. A row that was not observed has none;
+    a fitted probability outside (0, 1] of a row that was is refused when the rows are computed."""
     share = rows.groupBy(group).agg(F.avg(F.col(observed).cast("double")).alias("_share"))
-    d = rows.join(share, group).withColumn("_w", F.when(F.col(observed), F.col("_share") / F.greatest(fitted, F.lit(1e-6))))
+    inside = (F.col(fitted) > 0) & (F.col(fitted) <= 1)
+    raw = F.when(inside, F.col("_share") / F.col(fitted)).otherwise(F.raise_error(F.lit("a fitted probability lies outside (0, 1]")).cast("double"))
+    d = rows.join(share, group).withColumn("_w", F.when(F.col(observed), raw))
     cut = d.agg(F.percentile("_w", F.array(F.lit(low), F.lit(high))).alias("_q"))
-    return d.join(F.broadcast(cut)).withColumn("weight", F.greatest(F.col("_q")[0], F.least(F.col("_q")[1], F.col("_w")))).drop("_share", "_w", "_q")
+    clipped = F.when(F.col("_w").isNotNull(), F.greatest(F.col("_q")[0], F.least(F.col("_q")[1], F.col("_w"))))
+    return d.join(F.broadcast(cut)).withColumn("weight", clipped).drop("_share", "_w", "_q")
+
+
+def weight_summary(rows: DataFrame, weight: str) -> DataFrame:
+    """What a set of weights looks like: n, mean, extremes (the truncation points) and effective size."""
+    w = F.col(weight)
+    return rows.agg(F.count(w).alias("n"), F.avg(w).alias("mean"), F.min(w).alias("least"), F.max(w).alias("most"), (F.sum(w) * F.sum(w) / F.sum(w * w)).alias("effective_n"))
+
+
+def straight_line(rows: DataFrame, x: str, y: str) -> DataFrame:
+    """Least squares of y on x from one pass of sums: intercept, slope, residual deviation, n."""
+    d = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    one = d.agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_syy(y, x).alias("syy"), F.regr_sxy(y, x).alias("sxy"), F.count(F.lit(1)).alias("n"))
+    left = F.col("syy") - F.col("slope") * F.col("sxy")
+    return one.select("intercept", "slope", F.when(F.col("n") > 2, F.sqrt(F.greatest(left, F.lit(0.0)) / (F.col("n") - 2))).alias("deviation"), "n")
+
+
+def normal_draw(*parts: Column) -> Column:
+    """A standard normal draw from an MD5 of the parts, by Box and Muller's formula."""
+    digest = F.md5(F.concat_ws("|", *[x.cast("string") for x in parts]))
+    u = [(F.conv(F.substring(digest, k, 8), 16, 10).cast("double") + 0.5) / float(2**32) for k in (1, 9)]
+    return F.sqrt(-2 * F.ln(u[0])) * F.cos(2 * np.pi * u[1])
+
+
+def imputed_mean(rows: DataFrame, unit: str, day: str, value: str, m: int = 20, seed: int = 1) -> DataFrame:
+    """Multiple imputation of missing days from a line in the day, with normal residuals and clipped to 0..1:
+    the pooled mean unit total, and its variance within and between the ``m`` imputations."""
+    line = straight_line(rows, day, value)
+    d = rows.select(unit, day, value).join(F.broadcast(line)).withColumn("imputation", F.explode(F.sequence(F.lit(1), F.lit(m))))
+    drawn = F.col("intercept") + F.col("slope") * F.col(day) + F.col("deviation") * normal_draw(F.col("imputation"), F.col(unit), F.col(day), F.lit(seed))
+    filled = F.coalesce(F.col(value), F.greatest(F.lit(0.0), F.least(F.lit(1.0), drawn)))
+    each = d.groupBy("imputation", unit).agg(F.sum(filled).alias("total")).groupBy("imputation").agg(F.avg("total").alias("mean"), (F.var_samp("total") / F.count("total")).alias("within"))
+    out = each.agg(F.avg("mean").alias("pooled"), F.avg("within").alias("within"), F.var_samp("mean").alias("between"))
+    return out.withColumn("total", F.col("within") + (1 + 1 / F.lit(float(m))) * F.col("between"))
+
+
+def horizon_interval(rows: DataFrame, p: str, cluster: str, days: int, z: float = 1.959963984540054) -> DataFrame:
+    """``horizon_risk`` with an interval: the delta method on the logit of the daily probability, its variance
+    robust to clusters."""
+    mean = rows.agg(F.avg(p).alias("daily"), F.count(F.lit(1)).alias("n"))
+    u = rows.join(F.broadcast(mean)).groupBy(cluster).agg(F.sum(F.col(p) - F.col("daily")).alias("s"), F.first("daily").alias("daily"), F.first("n").alias("n"))
+    v = u.agg(F.first("daily").alias("daily"), (F.sqrt(F.sum(F.col("s") * F.col("s"))) / F.first("n")).alias("se"))
+    eta, width = F.ln(F.col("daily") / (1 - F.col("daily"))), F.lit(z) * F.col("se") / (F.col("daily") * (1 - F.col("daily")))
+    risk = lambda q: 1 - F.pow(1 - q, F.lit(float(days)))
+    return v.select("daily", "se", risk(F.col("daily")).alias("risk"), risk(expit(eta - width)).alias("low"), risk(expit(eta + width)).alias("high"))
+
+
+def alert_burden(rows: DataFrame, score: str, outcome: str, threshold: DataFrame) -> DataFrame:
+    """Alerts at a threshold: how many, per 100 days, and per event that they catch."""
+    d = rows.join(F.broadcast(threshold.select("threshold"))).agg(F.count(F.lit(1)).alias("n_days"), F.count_if(F.col(score) >= F.col("threshold")).alias("n_alerts"), F.count_if((F.col(score) >= F.col("threshold")) & (F.col(outcome) == 1)).alias("n_caught"))
+    return d.withColumns({"per_100_days": F.try_divide(100.0 * F.col("n_alerts"), F.col("n_days")), "per_caught": F.try_divide("n_alerts", "n_caught")})
 
 
 def marginal_mean(rows: DataFrame, linear: str, sd: float, draws: Sequence[float]) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from panelwise.operators import daily, episodes, events
 from panelwise.params import SCALED as P
+from panelwise.plans.fits import newton_sql
 from panelwise.sources import adapters as A
 from panelwise.sources.io import shared_folder
 
@@ -198,6 +199,13 @@ SELECT set_id, 'case' AS role, own AS episode_id, person_id, event_day AS day, 1
 UNION ALL FROM (SELECT set_id, 'control', episode_id, person_id, day, match_rung FROM taken QUALIFY row_number() OVER (PARTITION BY person_id ORDER BY fingerprint) <= {P.per_person})""")
 
 
+_SQL["days"] = (("panel", "features"), "SELECT p.*, p.wear_minutes / 1440.0 AS w, (p.post_day - 5) / 5.0 AS day, CAST(dayofweek(p.calendar_date) IN (0, 6) AS DOUBLE) AS weekend, CAST(f.is_fusion AS DOUBLE) AS fusion, CAST(p.is_analyzable AS DOUBLE) AS y FROM panel p JOIN features f ON f.episode_id = p.episode_id WHERE p.in_accrual_window AND NOT p.is_censored")
+_SQL["observed_fit"] = (("days",), newton_sql("days", ["1", "day", "weekend"], "y"))
+_SQL["weighted"] = (("days", "observed_fit"), "SELECT *, CASE WHEN is_analyzable THEN greatest(quantile_cont(raw, 0.01) OVER (), least(quantile_cont(raw, 0.99) OVER (), raw)) END AS weight FROM (SELECT *, CASE WHEN is_analyzable THEN avg(y) OVER (PARTITION BY region) / observed END AS raw FROM (SELECT d.*, 1 / (1 + exp(-(b0 + b1 * day + b2 * weekend))) AS observed FROM days d, observed_fit))")
+_SQL["deficit_fit"] = (("weighted",), newton_sql("weighted WHERE deficit IS NOT NULL", ["1", "day", "fusion"], "deficit", "weight"))
+_SQL["fitted"] = (("weighted", "deficit_fit"), "SELECT w.*, 1 / (1 + exp(-(b0 + b1 * day + b2 * fusion))) AS pred FROM weighted w, deficit_fit")
+
+
 def with_tables(body: str, *names: str) -> str:
     """``body`` behind the common table expressions of the named tables and all they read."""
     order: list[str] = []
@@ -210,6 +218,8 @@ def with_tables(body: str, *names: str) -> str:
 
     for n in names:
         visit(n)
+    if body.lstrip().startswith("WITH"):
+        body = f"SELECT * FROM ({body})"
     return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({_SQL[n][1]})" for n in order) + "\n" + body
 
 

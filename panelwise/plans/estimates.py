@@ -7,21 +7,62 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelwise.operators import estimators as E
+from panelwise.params import SCALED as P
 from panelwise.plans.chain import Chain, rounded
 from panelwise.plans.chain import with_tables as sql
+from panelwise.plans.fits import conditional_sql, covariance_sql, multiplicity_sql, newton_sql
 from panelwise.plans.registry import query
 
 
+def _lost(base: str, steps: str = "steps") -> str:
+    return f"CASE WHEN {base} > 0 THEN greatest(0.0, 1 - {steps} / {base}) END"
+
+
+#: Re-definitions of the deficit, as expressions over a panel day with its flags and baselines.
+VARIANTS = {
+    "primary": "CASE WHEN in_accrual_window THEN deficit END",
+    "after_operation": f"CASE WHEN postoperative_day BETWEEN {P.accrual[0] + 2} AND {P.accrual[1] + 2} THEN deficit END",
+    "inpatient_censored": "CASE WHEN in_accrual_window AND NOT is_inpatient THEN deficit END",
+    **{f"wear_{r}": f"CASE WHEN in_accrual_window AND NOT is_censored AND valid_wear_{r} THEN {_lost('baseline_steps')} END" for r in ("s1", "s2", "s3", "s4")},
+    "baseline_early": f"CASE WHEN in_accrual_window AND is_analyzable THEN {_lost('baseline_steps_early')} END",
+    "baseline_late": f"CASE WHEN in_accrual_window AND is_analyzable THEN {_lost('baseline_steps_late')} END",
+    "baseline_by_week_part": f"CASE WHEN in_accrual_window AND is_analyzable THEN CASE WHEN dayofweek(calendar_date) IN (WEEKEND) THEN {_lost('baseline_steps_weekend')} ELSE {_lost('baseline_steps_weekday')} END END",
+    "baseline_floor": f"CASE WHEN in_accrual_window AND baseline_steps >= {P.baseline_floor} THEN deficit END",
+    "not_truncated": "CASE WHEN in_accrual_window THEN deficit_untruncated END",
+    "truncated_at_most": "CASE WHEN in_accrual_window THEN CASE WHEN is_censored AND censor_reason IN ('death', 'repeat_operation') THEN 1.0 ELSE deficit END END",
+    "weekdays": "CASE WHEN in_accrual_window AND dayofweek(calendar_date) NOT IN (WEEKEND) THEN deficit END",
+}
+
+
 def _days(c: Chain) -> DataFrame:
     return c.panel.where("in_accrual_window AND NOT is_censored").withColumn("w", F.col("wear_minutes") / 1440.0)
 
 
 _DAYS = "(SELECT *, wear_minutes / 1440.0 AS w FROM panel WHERE in_accrual_window AND NOT is_censored)"
-_PRED = "round(least(0.95, greatest(0.05, 0.3 + 0.04 * (post_day % 7))), 6)"
+#: Terms of the two small models that have SQL twins: whether a day is observed, and its deficit.
+_SEEN, _LOST = ("one", "day", "weekend"), ("one", "day", "fusion")
+
+
+def _terms(c: Chain) -> DataFrame:
+    d = _days(c).join(c.features.select("episode_id", "is_fusion"), "episode_id")
+    return d.withColumns({"one": F.lit(1.0), "day": (F.col("post_day") - 5) / 5.0, "weekend": F.col("day_of_week").isin(1, 7).cast("double"), "fusion": F.col("is_fusion").cast("double"), "y": F.col("is_analyzable").cast("double")})
+
+
+def _observed(c: Chain) -> DataFrame:
+    """Days with the probability of being observed, from the fitted observation model, and their weight."""
+    d = _terms(c)
+    return E.inverse_weights(E.with_fitted(d, _SEEN, E.fit_logit(d, _SEEN, "y")["beta"], "observed"), "is_analyzable", "observed", "region")
+
+
+def _modelled(c: Chain) -> tuple[DataFrame, np.ndarray]:
+    """Weighted days and the coefficients of the deficit model."""
+    d = _observed(c)
+    return d, E.fit_logit(d.where("deficit IS NOT NULL"), _LOST, "deficit", weight="weight")["beta"]
 
 
 def _predicted(c: Chain) -> DataFrame:
-    return _days(c).withColumn("pred", F.round(F.least(F.lit(0.95), F.greatest(F.lit(0.05), 0.3 + 0.04 * (F.col("post_day") % 7))), 6))
+    d, beta = _modelled(c)
+    return E.with_fitted(d, _LOST, beta, "pred")
 
 
 @query("e01_design_columns", sql("SELECT min(age) <> max(age) AS age_varies, min(x) <> max(x) AS constant_varies, round(avg(CAST(sex = 'F' AS INTEGER)), 6) AS share_f, round(avg(ln(1 + los_days)), 6) AS mean_log_los FROM (SELECT *, 1 AS x FROM features)", "features"))
@@ -30,22 +71,36 @@ def e01(c: Chain) -> DataFrame:
     return d.agg((F.min("age") != F.max("age")).alias("age_varies"), (F.min("x") != F.max("x")).alias("constant_varies"), F.round(F.avg((F.col("sex") == "F").cast("int")), 6).alias("share_f"), F.round(F.avg(F.log1p("los_days")), 6).alias("mean_log_los"))
 
 
-@query("e03_inverse_weights", sql(f"SELECT episode_id, post_day, round(CASE WHEN is_analyzable THEN greatest(lo, least(hi, share / {_PRED})) ELSE greatest(lo, hi) END, 6) AS weight FROM (SELECT *, quantile_cont(CASE WHEN is_analyzable THEN share / {_PRED} END, 0.01) OVER () AS lo, quantile_cont(CASE WHEN is_analyzable THEN share / {_PRED} END, 0.99) OVER () AS hi FROM (SELECT *, avg(CAST(is_analyzable AS DOUBLE)) OVER (PARTITION BY region) AS share FROM {_DAYS}))", "panel"))
+@query("e03_inverse_weights", sql("SELECT episode_id, post_day, round(weight, 6) AS weight FROM weighted", "weighted"))
 def e03(c: Chain) -> DataFrame:
-    return rounded(E.inverse_weights(_predicted(c), "is_analyzable", "pred", "region"), "weight").select("episode_id", "post_day", "weight")
+    return rounded(_observed(c), "weight").select("episode_id", "post_day", "weight")
+
+
+@query("e03c_weight_summary", sql("SELECT count(weight) AS n, round(avg(weight), 6) AS mean, round(min(weight), 6) AS least, round(max(weight), 6) AS most, round(sum(weight) * sum(weight) / sum(weight * weight), 6) AS effective_n FROM weighted", "weighted"))
+def e03c(c: Chain) -> DataFrame:
+    return rounded(E.weight_summary(_observed(c), "weight"), "mean", "least", "most", "effective_n")
 
 
-@query("e04_logit_fit")
+_LOGIT = covariance_sql("days", ["1", "day", "weekend"], "y", "observed_fit", "episode_id")
+
+
+@query("e04_logit_fit", sql(f"SELECT unnest(['one', 'day', 'weekend']) AS term, round(unnest([b0, b1, b2]), 6) AS beta, round(unnest([sqrt(r00), sqrt(r11), sqrt(r22)]), 6) AS robust_se FROM ({_LOGIT})", "observed_fit"))
 def e04(c: Chain) -> DataFrame:
     """Coefficients and robust standard errors of whether a day is observed."""
-    d = _days(c).select("episode_id", F.col("is_analyzable").cast("double").alias("y"), F.lit(1.0).alias("one"), ((F.col("post_day") - 5) / 5.0).alias("day"), F.col("day_of_week").isin(1, 7).cast("double").alias("weekend"))
-    x = ["one", "day", "weekend"]
-    fit = E.fit_logit(d, x, "y", cluster="episode_id")
+    fit = E.fit_logit(_terms(c), _SEEN, "y", cluster="episode_id")
     se = np.sqrt(np.diag(fit["robust"]))
-    return c.spark.createDataFrame([(n, float(round(b, 6)), float(round(s, 6))) for n, b, s in zip(x, fit["beta"], se, strict=True)], "term string, beta double, robust_se double")
+    return c.spark.createDataFrame([(n, float(round(b, 6)), float(round(s, 6))) for n, b, s in zip(_SEEN, fit["beta"], se, strict=True)], "term string, beta double, robust_se double")
+
 
+@query("e22_contrast", sql(f"SELECT kind, round(est, 6) AS estimate, round(est - 1.959963984540054 * sqrt(v), 6) AS low, round(est + 1.959963984540054 * sqrt(v), 6) AS high FROM (SELECT b1 + b2 AS est, unnest(['naive', 'robust']) AS kind, unnest([v11 + v22 + 2 * v12, r11 + r22 + 2 * r12]) AS v FROM ({_LOGIT}))", "observed_fit"))
+def e22(c: Chain) -> DataFrame:
+    """Day and weekend together, with the naive and the robust interval."""
+    fit = E.fit_logit(_terms(c), _SEEN, "y", cluster="episode_id")
+    found = [(k, E.contrast(fit["beta"], fit[m], np.array([0.0, 1.0, 1.0]))) for k, m in (("naive", "cov"), ("robust", "robust"))]
+    return c.spark.createDataFrame([(k, *(float(round(x[n], 6)) for n in ("estimate", "low", "high"))) for k, x in found], "kind string, estimate double, low double, high double")
 
-@query("e05_fractional_logit")
+
+@query("e05_fractional_logit", sql("SELECT unnest(['one', 'day']) AS term, round(unnest([b0, b1]), 6) AS beta FROM (" + newton_sql("days WHERE deficit IS NOT NULL", ["1", "day"], "deficit") + ")", "days"))
 def e05(c: Chain) -> DataFrame:
     d = _days(c).where("deficit IS NOT NULL").select("episode_id", "deficit", F.lit(1.0).alias("one"), ((F.col("post_day") - 5) / 5.0).alias("day"))
     fit = E.fit_logit(d, ["one", "day"], "deficit", cluster="episode_id")
@@ -57,24 +112,28 @@ def e06(c: Chain) -> DataFrame:
     return rounded(E.cell_means(_days(c), "region", "post_day", "deficit", "w"), "mean")
 
 
-@query("e07_conditional_logit")
+_TENTHS = """(SELECT m.set_id, m.role = 'case' AS is_case, 10 * least(3, median(g.steps) / any_value(f.baseline_steps)) AS tenths
+ FROM sets m JOIN features f USING (episode_id) JOIN grid g ON g.person_id = m.person_id AND g.activity_date - f.discharge_date - m.day BETWEEN {lo} AND {hi} AND g.activity_date > f.discharge_date AND g.valid_wear AND g.steps IS NOT NULL
+ GROUP BY m.set_id, m.episode_id, m.role, m.day)"""
+
+
+@query("e07_conditional_logit", sql("SELECT 'tenths' AS term, round(b, 6) AS beta, round(1 / sqrt(h), 6) AS se FROM (" + conditional_sql(_TENTHS.format(lo=P.landmark[0], hi=P.landmark[1]), "tenths", 1.0) + ")", "sets", "grid"))
 def e07(c: Chain) -> DataFrame:
     from panelwise.operators.events import member_exposure
-    from panelwise.params import SCALED as P
 
     m = member_exposure(c.sets, c.features, c.grid, P.landmark, 1).where("ratio IS NOT NULL")
     d = m.select("set_id", (F.col("role") == "case").alias("is_case"), (10 * F.least("ratio", F.lit(3.0))).alias("tenths"))
-    fit = E.fit_conditional_logit(d, ["tenths"])
+    fit = E.fit_conditional_logit(d, ["tenths"], ridge=1.0)
     return c.spark.createDataFrame([("tenths", float(round(fit["beta"][0], 6)), float(round(np.sqrt(fit["cov"][0, 0]), 6)))], "term string, beta double, se double")
 
 
-_BETA = (-0.5, 0.3, 0.8)
-
-
-@query("e08_g_computation", sql("SELECT level, round(avg(total), 6) AS mean_total FROM (SELECT level, episode_id, sum(1 / (1 + exp(-(-0.5 + 0.3 * (post_day - 5) / 5.0 + 0.8 * level)))) AS total FROM (SELECT *, unnest([0.0, 1.0]) AS level FROM " + _DAYS + ") GROUP BY ALL) GROUP BY level", "panel"))
+@query("e08_g_computation", sql("SELECT level, round(mean_total, 6) AS mean_total, round(mean_total - first(mean_total) OVER (ORDER BY level), 6) AS contrast FROM (SELECT level, avg(total) AS mean_total FROM (SELECT level, episode_id, sum(1 / (1 + exp(-(b0 + b1 * day + b2 * level)))) AS total FROM (SELECT episode_id, day, unnest([0.0::DOUBLE, 1.0::DOUBLE]) AS level FROM weighted), deficit_fit GROUP BY ALL) GROUP BY level)", "deficit_fit"))
 def e08(c: Chain) -> DataFrame:
-    d = _days(c).select("episode_id", F.lit(1.0).alias("one"), ((F.col("post_day") - 5) / 5.0).alias("day"), F.lit(0.0).alias("exposed"))
-    return rounded(E.under_exposure(d, "episode_id", ["one", "day", "exposed"], _BETA, "exposed", (0, 1)), "mean_total")
+    """Mean unit totals had every row each level of exposure, and their difference from the first level."""
+    d, beta = _modelled(c)
+    out = E.under_exposure(d, "episode_id", _LOST, beta, "fusion", (0, 1))
+    first = out.agg(F.min_by("mean_total", "level").alias("_first"))
+    return rounded(out.join(F.broadcast(first)).withColumn("contrast", F.col("mean_total") - F.col("_first")), "mean_total", "contrast").drop("_first")
 
 
 @query("e09_marginal_mean", sql("SELECT episode_id, round(avg(m), 6) AS marginal FROM (SELECT episode_id, (1 / (1 + exp(-(e - 0.5))) + 1 / (1 + exp(-e)) + 1 / (1 + exp(-(e + 0.5)))) / 3 AS m FROM (SELECT episode_id, (post_day - 5) / 5.0 AS e FROM " + _DAYS + ")) GROUP BY episode_id", "panel"))
@@ -83,9 +142,25 @@ def e09(c: Chain) -> DataFrame:
     return E.marginal_mean(d, "e", 0.5, (-1.0, 0.0, 1.0)).groupBy("episode_id").agg(F.round(F.avg("marginal"), 6).alias("marginal"))
 
 
-@query("e10_cluster_bootstrap")
+_DRAWS = 100
+_B = f"(SELECT unit, CAST(b AS INTEGER) AS b FROM (SELECT DISTINCT {{}} AS unit FROM {{}}), range(1, {_DRAWS + 1}) t(b))"
+
+
+@query("e10_cluster_bootstrap", sql(f"WITH u AS (SELECT person_id, region, sum(deficit) AS total FROM days GROUP BY ALL HAVING sum(deficit) IS NOT NULL), r AS (SELECT unit, b, {multiplicity_sql('b', 'unit')} AS k FROM {_B.format('person_id', 'u')}), means AS (SELECT b, region, sum(total * k) / sum(k) AS mean FROM u JOIN r ON unit = person_id WHERE k > 0 GROUP BY ALL) SELECT region, round(any_value(p.mean), 6) AS mean, round(quantile_cont(m.mean, 0.025), 6) AS low, round(quantile_cont(m.mean, 0.975), 6) AS high, count(m.mean) AS n_replicates FROM means m JOIN (SELECT region, avg(total) AS mean FROM u GROUP BY region) p USING (region) GROUP BY region", "days"))
 def e10(c: Chain) -> DataFrame:
-    return rounded(E.bootstrap_mean(_days(c), "person_id", "region", "deficit", 100), "mean", "low", "high")
+    return rounded(E.bootstrap_mean(_days(c), "person_id", "region", "deficit", _DRAWS), "mean", "low", "high")
+
+
+_REFIT = newton_sql("(SELECT r.b, r.k * w.weight AS kw, w.* EXCLUDE (weight) FROM weighted w JOIN reps r ON r.unit = w.person_id WHERE w.deficit IS NOT NULL AND r.k > 0)", ["1", "day", "fusion"], "deficit", "kw", by="b")
+
+
+@query("e10b_bootstrap_refit", sql(f"WITH reps AS MATERIALIZED (SELECT unit, b, {multiplicity_sql('b', 'unit')} AS k FROM {_B.format('person_id', 'weighted WHERE deficit IS NOT NULL')}), refit AS MATERIALIZED ({_REFIT}), long AS (SELECT unnest(['one', 'day', 'fusion']) AS term, unnest([r.b0, r.b1, r.b2]) AS v, unnest([f.b0, f.b1, f.b2]) AS estimate FROM refit r, deficit_fit f) SELECT term, round(any_value(estimate), 5) AS estimate, round(quantile_cont(v, 0.025), 5) AS low, round(quantile_cont(v, 0.975), 5) AS high, round(least(1, 2 * least(avg(CAST(v <= 0 AS INTEGER)), avg(CAST(v >= 0 AS INTEGER)))), 6) AS p_value, round(1 - count(*) / {_DRAWS}, 6) AS failed, {_DRAWS} AS n_replicates FROM long GROUP BY term", "deficit_fit"))
+def e10b(c: Chain) -> DataFrame:
+    """The deficit model fitted again in every resample of whole persons."""
+    d = _observed(c).where("deficit IS NOT NULL")
+    found = E.bootstrap_fit(d, "person_id", _LOST, "deficit", "weight", _DRAWS)
+    rows = [(r[0], *(round(v, 5) for v in r[1:4]), round(r[4], 6), round(r[5], 6), r[6]) for r in found]
+    return c.spark.createDataFrame(rows, "term string, estimate double, low double, high double, p_value double, failed double, n_replicates int")
 
 
 @query("e11_worst_case_bounds", sql(f"SELECT region, count(*) AS n_units, round(avg(s), 6) AS lower, round(avg(s + miss), 6) AS upper FROM (SELECT episode_id, region, coalesce(sum(deficit), 0) AS s, count_if(deficit IS NULL) AS miss FROM {_DAYS} GROUP BY ALL) GROUP BY region", "panel"))
@@ -94,15 +169,15 @@ def e11(c: Chain) -> DataFrame:
 
 
 _SHIFTS = (-1.0, -0.5, 0.0, 0.5, 1.0)
-_SHIFT_SQL = f"SELECT shift, avg(total) AS mean_total FROM (SELECT shift, episode_id, sum(coalesce(deficit, 1 / (1 + exp(-(ln({_PRED} / (1 - {_PRED})) + shift))))) AS total FROM (SELECT *, unnest([-1.0, -0.5, 0.0, 0.5, 1.0]) AS shift FROM {_DAYS}) GROUP BY ALL) GROUP BY shift"
+_SHIFT_SQL = "SELECT shift, avg(total) AS mean_total FROM (SELECT shift, episode_id, sum(coalesce(deficit, 1 / (1 + exp(-(ln(pred / (1 - pred)) + shift))))) AS total FROM (SELECT episode_id, deficit, pred, unnest([-1.0, -0.5, 0.0, 0.5, 1.0]) AS shift FROM fitted) GROUP BY ALL) GROUP BY shift"
 
 
-@query("e12_logit_shift", sql(f"SELECT CAST(shift AS DOUBLE) AS shift, round(mean_total, 6) AS mean_total FROM ({_SHIFT_SQL})", "panel"))
+@query("e12_logit_shift", sql(f"SELECT CAST(shift AS DOUBLE) AS shift, round(mean_total, 6) AS mean_total FROM ({_SHIFT_SQL})", "fitted"))
 def e12(c: Chain) -> DataFrame:
     return rounded(E.logit_shift(_predicted(c), "episode_id", "pred", "deficit", _SHIFTS), "mean_total")
 
 
-@query("e12b_crossing", sql(f"SELECT CAST(min(CASE WHEN last < 4 AND mean_total >= 4 THEN shift END) AS DOUBLE) AS first_crossing, bool_and(mean_total >= coalesce(last, mean_total)) AS rising FROM (SELECT *, lag(mean_total) OVER (ORDER BY shift) AS last FROM ({_SHIFT_SQL}))", "panel"))
+@query("e12b_crossing", sql(f"SELECT CAST(min(CASE WHEN last < 4 AND mean_total >= 4 THEN shift END) AS DOUBLE) AS first_crossing, bool_and(mean_total >= coalesce(last, mean_total)) AS rising FROM (SELECT *, lag(mean_total) OVER (ORDER BY shift) AS last FROM ({_SHIFT_SQL}))", "fitted"))
 def e12b(c: Chain) -> DataFrame:
     return E.crossings(E.logit_shift(_predicted(c), "episode_id", "pred", "deficit", _SHIFTS), "shift", "mean_total", 4.0)
 
@@ -159,7 +234,7 @@ def e20(c: Chain) -> DataFrame:
     return E.lead_time(c.ev, c.lm.where("no_signal"))
 
 
-@query("e21_explained_variation", sql(f"SELECT round(1 - sum(w * pow(deficit - {_PRED}, 2)) / (sum(w * deficit * deficit) - sum(w * deficit) * sum(w * deficit) / sum(w)), 6) AS r2 FROM {_DAYS} WHERE deficit IS NOT NULL AND w IS NOT NULL", "panel"))
+@query("e21_explained_variation", sql("SELECT round(1 - sum(w * pow(deficit - pred, 2)) / (sum(w * deficit * deficit) - sum(w * deficit) * sum(w * deficit) / sum(w)), 6) AS r2 FROM fitted WHERE deficit IS NOT NULL AND w IS NOT NULL", "fitted"))
 def e21(c: Chain) -> DataFrame:
     return rounded(E.explained(_predicted(c).where("deficit IS NOT NULL AND w IS NOT NULL"), "deficit", "pred", "w"), "r2")
 
@@ -181,7 +256,7 @@ def _outside(d: DataFrame) -> DataFrame:
     return b.join(est, "region").where("est < lower OR est > upper").agg(F.count(F.lit(1)).alias("n_outside"))
 
 
-@query("e28_bounds_bracket", sql(f"SELECT count(*) AS n_outside FROM (SELECT region, avg(s) AS lo, avg(s + miss) AS hi, avg(p) AS est FROM (SELECT episode_id, region, coalesce(sum(deficit), 0) AS s, count_if(deficit IS NULL) AS miss, sum(coalesce(deficit, {_PRED})) AS p FROM {_DAYS} GROUP BY ALL) GROUP BY region) WHERE est < lo OR est > hi", "panel"))
+@query("e28_bounds_bracket", sql("SELECT count(*) AS n_outside FROM (SELECT region, avg(s) AS lo, avg(s + miss) AS hi, avg(p) AS est FROM (SELECT episode_id, region, coalesce(sum(deficit), 0) AS s, count_if(deficit IS NULL) AS miss, sum(coalesce(deficit, pred)) AS p FROM fitted GROUP BY ALL) GROUP BY region) WHERE est < lo OR est > hi", "fitted"))
 def e28(c: Chain) -> DataFrame:
     return _outside(_predicted(c))
 
@@ -250,3 +325,66 @@ def e21c(c: Chain) -> DataFrame:
 @query("e28b_fitted_bracket")
 def e28b(c: Chain) -> DataFrame:
     return _outside(_fitted(c))
+
+
+@query("e13b_all_variants", sql("""
+WITH v AS (SELECT p.*, f.is_fusion, g.valid_wear_s1, g.valid_wear_s2, g.valid_wear_s3, g.valid_wear_s4, b.baseline_steps_early, b.baseline_steps_late, b.baseline_steps_weekday, b.baseline_steps_weekend, e.censor_reason
+ FROM panel p JOIN features f ON f.episode_id = p.episode_id JOIN baseline b ON b.episode_id = p.episode_id JOIN elig e ON e.episode_id = p.episode_id LEFT JOIN grid g ON g.person_id = p.person_id AND g.activity_date = p.calendar_date),
+long AS (SELECT unnest([{names}]) AS variant, unnest([{values}]) AS v FROM v)
+SELECT variant, count(v) AS n, round(avg(v), 6) AS mean FROM long GROUP BY variant""".format(
+    names=", ".join(f"'{n}'" for n in VARIANTS), values=", ".join(f"CAST({e.replace('WEEKEND', '0, 6')} AS DOUBLE)" for e in VARIANTS.values())), "panel", "baseline", "elig"))
+def e13b(c: Chain) -> DataFrame:
+    """Every re-definition of the deficit at once: window, wear rule, baseline, exclusion, truncation."""
+    flags = c.grid.select("person_id", F.col("activity_date").alias("calendar_date"), *[f"valid_wear_{r}" for r in ("s1", "s2", "s3", "s4")])
+    base = c.baseline.select("episode_id", *[f"baseline_steps_{n}" for n in ("early", "late", "weekday", "weekend")])
+    d = c.panel.join(flags, ["person_id", "calendar_date"], "left").join(base, "episode_id").join(c.elig.select("episode_id", "censor_reason"), "episode_id")
+    pairs = F.array(*[F.struct(F.lit(n).alias("variant"), F.expr(e.replace("WEEKEND", "1, 7")).cast("double").alias("v")) for n, e in VARIANTS.items()])
+    return d.select(F.explode(pairs).alias("x")).groupBy("x.variant").agg(F.count("x.v").alias("n"), F.round(F.avg("x.v"), 6).alias("mean"))
+
+
+@query("e14b_direct_regression", sql("SELECT round(regr_intercept(s, fusion), 6) AS intercept, round(regr_slope(s, fusion), 6) AS slope, round(sqrt(greatest(0, regr_syy(s, fusion) - regr_slope(s, fusion) * regr_sxy(s, fusion)) / (count(*) - 2)), 6) AS deviation, count(*) AS n FROM (SELECT episode_id, fusion, sum(deficit) AS s FROM days GROUP BY ALL HAVING count(deficit) >= 5)", "days"))
+def e14b(c: Chain) -> DataFrame:
+    u = _terms(c).groupBy("episode_id", "fusion").agg(F.sum("deficit").alias("s"), F.count("deficit").alias("k")).where("k >= 5")
+    return rounded(E.straight_line(u, "fusion", "s"), "intercept", "slope", "deviation")
+
+
+_U = "(CAST('0x' || substr(md5(concat_ws('|', i, episode_id, post_day, 1)), {}, 8) AS BIGINT) + 0.5) / 4294967296"
+
+
+@query("e15_imputation", sql(f"WITH line AS (SELECT regr_intercept(deficit, post_day) AS a, regr_slope(deficit, post_day) AS b, sqrt(greatest(0, regr_syy(deficit, post_day) - regr_slope(deficit, post_day) * regr_sxy(deficit, post_day)) / (count(*) - 2)) AS s FROM days WHERE deficit IS NOT NULL), filled AS (SELECT i, episode_id, coalesce(deficit, greatest(0, least(1, a + b * post_day + s * sqrt(-2 * ln({_U.format(1)})) * cos(2 * pi() * {_U.format(9)})))) AS v FROM days, line, range(1, 21) t(i)), each AS (SELECT i, avg(total) AS mean, var_samp(total) / count(*) AS within FROM (SELECT i, episode_id, sum(v) AS total FROM filled GROUP BY ALL) GROUP BY i) SELECT round(avg(mean), 6) AS pooled, round(avg(within), 6) AS within, round(var_samp(mean), 6) AS between, round(avg(within) + 1.05 * var_samp(mean), 6) AS total FROM each", "days"))
+def e15(c: Chain) -> DataFrame:
+    return rounded(E.imputed_mean(_days(c), "episode_id", "post_day", "deficit"), "pooled", "within", "between", "total")
+
+
+_RECOVERED = "(SELECT p.episode_id, CAST(median(p.normalized_activity) >= 0.8 AS DOUBLE) AS y, CAST(any_value(f.is_fusion) AS DOUBLE) AS fusion, any_value((f.age - 50) / 10) AS age FROM panel p JOIN features f ON f.episode_id = p.episode_id WHERE p.post_day BETWEEN 8 AND 15 GROUP BY p.episode_id HAVING median(p.normalized_activity) IS NOT NULL)"
+
+
+@query("e16b_recovery_standardised", sql("SELECT level, round(avg(1 / (1 + exp(-(b0 + b1 * level + b2 * age)))), 6) AS share FROM (SELECT age, unnest([0.0::DOUBLE, 1.0::DOUBLE]) AS level FROM " + _RECOVERED + "), (" + newton_sql(_RECOVERED, ["1", "fusion", "age"], "y") + ") GROUP BY level", "panel", "features"))
+def e16b(c: Chain) -> DataFrame:
+    """Share recovered by a logistic model, standardised over the units for each level of exposure."""
+    u = c.panel.where("post_day BETWEEN 8 AND 15").groupBy("episode_id").agg(F.median("normalized_activity").alias("m")).where("m IS NOT NULL").join(c.features.select("episode_id", "is_fusion", "age"), "episode_id")
+    u = u.select("episode_id", F.lit(1.0).alias("one"), F.col("is_fusion").cast("double").alias("fusion"), ((F.col("age") - 50) / 10).alias("age"), (F.col("m") >= 0.8).cast("double").alias("y"))
+    beta = E.fit_logit(u, ("one", "fusion", "age"), "y")["beta"]
+    return rounded(E.under_exposure(u, "episode_id", ("one", "fusion", "age"), beta, "fusion", (0, 1)).withColumnRenamed("mean_total", "share"), "share")
+
+
+@query("e18b_horizon_interval", sql("SELECT round(d, 6) AS daily, round(se, 6) AS se, round(1 - pow(1 - d, 30), 6) AS risk, round(1 - pow(1 - 1 / (1 + exp(-(ln(d / (1 - d)) - k))), 30), 6) AS low, round(1 - pow(1 - 1 / (1 + exp(-(ln(d / (1 - d)) + k))), 30), 6) AS high FROM (SELECT *, 1.959963984540054 * se / (d * (1 - d)) AS k FROM (SELECT any_value(d) AS d, sqrt(sum(s * s)) / any_value(n) AS se FROM (SELECT episode_id, sum(CAST(is_event AS INTEGER) - d) AS s, any_value(d) AS d, any_value(n) AS n FROM (SELECT *, avg(CAST(is_event AS INTEGER)) OVER () AS d, count(*) OVER () AS n FROM lm WHERE NOT is_censored) GROUP BY episode_id)))", "lm"))
+def e18b(c: Chain) -> DataFrame:
+    return rounded(E.horizon_interval(c.lm.where("NOT is_censored").withColumn("p", F.col("is_event").cast("int")), "p", "episode_id", 30), "daily", "se", "risk", "low", "high")
+
+
+_CALIBRATION = f"(SELECT y, ln(s / (1 - s)) AS x FROM (SELECT y, least(greatest(score, 0.000001), 0.999999) AS s FROM {_SCORED}))"
+
+
+@query("e19c_calibration", sql("SELECT round(b0, 4) AS intercept, round(b1, 4) AS slope FROM (" + newton_sql(_CALIBRATION, ["1", "x"], "y") + ")", "lm"))
+def e19c(c: Chain) -> DataFrame:
+    """The outcome fitted on the logit of the score: a calibrated score has intercept 0 and slope 1."""
+    d = _scored(c).select(F.lit(1.0).alias("one"), E.logit(F.col("score")).alias("x"), F.col("y").cast("double").alias("y"))
+    b = E.fit_logit(d, ("one", "x"), "y")["beta"]
+    return c.spark.createDataFrame([(float(round(b[0], 4)), float(round(b[1], 4)))], "intercept double, slope double")
+
+
+@query("e19d_alert_burden", sql(f"SELECT n_days, n_alerts, n_caught, round(100.0 * n_alerts / n_days, 6) AS per_100_days, round(n_alerts / nullif(n_caught, 0), 6) AS per_caught FROM (SELECT count(*) AS n_days, count_if(score >= t) AS n_alerts, count_if(score >= t AND y = 1) AS n_caught FROM {_SCORED} CROSS JOIN (SELECT quantile_disc(score, 0.25) AS t FROM {_SCORED} WHERE y = 1))", "lm"))
+def e19d(c: Chain) -> DataFrame:
+    d = _scored(c)
+    return rounded(E.alert_burden(d, "score", "y", E.confusion_at(d, "score", "y", 0.75)), "per_100_days", "per_caught")

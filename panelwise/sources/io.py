@@ -2,23 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelwise.operators.disclosure import export_violations
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where the session names none."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", "") or sc.getConf().get("spark.checkpoint.dir", "")
-    if not found:
-        found = getattr(sc, "_panelwise_tables", None) or tempfile.mkdtemp(prefix="panelwise-tables-")
-        sc._panelwise_tables = found
-    return found.rstrip("/")
+from panelwise.sources.shared import shared_folder  # noqa: F401
 
 
 def scan(spark: SparkSession, path: str, cols: Sequence[str]) -> DataFrame:
