@@ -50,22 +50,22 @@ def quartiles(value: Column) -> list[Column]:
     return [q[0].alias("q1"), q[1].alias("median"), q[2].alias("q3")]
 
 
-def table_digest(rows: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """MD5 of the sorted row keys, joined by "~". Keys are sorted by range in parallel and packed into pieces;
+def table_digest(rows: DataFrame, cols: Sequence[str], within: str = "|", between: str = "~") -> DataFrame:
+    """MD5 of the sorted row keys, joined by ``between``. Keys are sorted by range in parallel and packed into pieces;
     one task then reads the pieces in order and holds one batch at a time. An empty table has no digest."""
-    key = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols])
+    key = F.concat_ws(within, *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in cols])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 keys = batch.column("k").to_pylist()
-                yield pa.RecordBatch.from_pydict({"n": pa.array([len(keys)], pa.int64()), "piece": pa.array(["~".join(keys).encode()], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"n": pa.array([len(keys)], pa.int64()), "piece": pa.array([between.join(keys).encode()], pa.binary())})
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, h = 0, hashlib.md5(usedforsecurity=False)
         for batch in batches:
             for count, piece in zip(batch.column("n"), batch.column("piece"), strict=True):
-                h.update(b"~" * (n > 0) + piece.as_py())
+                h.update(between.encode() * (n > 0) + piece.as_py())
                 n += count.as_py()
         yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64()), "digest": pa.array([h.hexdigest() if n else None], pa.string())})
 
@@ -75,11 +75,20 @@ def table_digest(rows: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def big_digest(rows: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """An order-free digest of a table of any size: hashes are added up map-side."""
-    h = F.xxhash64(*[F.col(c) for c in cols])
+    """An order-free digest of a table of any size: 60 bits of each row's MD5 are combined map-side."""
+    key = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols])
+    h = F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long")
     return rows.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(h).alias("xor"), F.sum(F.pmod(h, F.lit(1 << 31))).alias("total"))
 
 
+def digests_agree(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Whether two one-row digests are the same in every column."""
+    same = F.lit(True)
+    for c in a.columns:
+        same = same & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    return a.alias("a").join(F.broadcast(b.alias("b"))).select(F.col("a.n").alias("n_a"), F.col("b.n").alias("n_b"), same.alias("equal"))
+
+
 def hierarchical_score(hits: DataFrame, key: str, category: str, weights: dict[str, int], trumps: dict[str, str]) -> DataFrame:
     """One hit per category; a category that trumps another takes its place; the weights of those left add up."""
     table = F.create_map(*[x for c, w in weights.items() for x in (F.lit(c), F.lit(w))])

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from panelwise.functions.columns import expit, logit
 from panelwise.operators.aggregates import weighted_mean
+from panelwise.operators.running import running_sums
 from panelwise.sources.shared import shared_folder
 
 #: Fits whose coefficients pass this in size are refused.
@@ -60,11 +61,11 @@ def standardised_rates(rows: DataFrame, stratum: Column, exposed: str, outcome:
 
 def roc_panel(rows: DataFrame, score: str, outcome: str, key: str) -> DataFrame:
     """ROC area, average precision and Brier score. Ties share their mean rank; the running sums are
-    over distinct scores, so the global windows see one row per score value."""
+    over distinct scores, range by range, so no task sees them all."""
     s = rows.groupBy(score).agg(F.count(F.lit(1)).alias("n"), F.sum(outcome).alias("hits"))
-    up = Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    down = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    s = s.withColumns({"before": F.coalesce(F.sum("n").over(up), F.lit(0)), "top": F.sum("n").over(down), "top_hits": F.sum("hits").over(down)})
+    s = running_sums(s, [], [F.col(score).asc()], {"upto": F.col("n"), "hits_upto": F.col("hits")})
+    total = s.agg(F.sum("n").alias("_n"), F.sum("hits").alias("_hits"))
+    s = s.join(F.broadcast(total)).withColumns({"before": F.col("upto") - F.col("n"), "top": F.col("_n") - F.col("upto") + F.col("n"), "top_hits": F.col("_hits") - F.col("hits_upto") + F.col("hits")})
     s = s.withColumn("rank", F.col("before") + (F.col("n") + 1) / 2)
     a = s.agg(F.sum("n").alias("n"), F.sum("hits").alias("n1"), F.sum(F.col("rank") * F.col("hits")).alias("ranks"), F.sum(F.col("hits") * F.col("top_hits") / F.col("top")).alias("ap"))
     b = rows.agg(F.avg(F.pow(F.col(score) - F.col(outcome), F.lit(2.0))).alias("brier"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwise.functions.disclosure import FLOOR
+from panelwise.operators.running import running_sums
 
 
 def collapse_level(rows: DataFrame, a: str, b: str) -> DataFrame:
@@ -24,14 +25,8 @@ def tier_for_count(n: Column) -> Column:
 def with_surrogate(rows: DataFrame, key: str, name: str) -> DataFrame:
     """Numbers 1.. in the order of the key in place of an identifier.
 
-    Keys are ranked in range partitions and each range's offset is a sum over the partitions' counts,
-    so no single task sees all keys.
+    Keys are numbered in ranges, written once, so neither one task nor a second, differing sampling of
+    the ranges decides a number.
     """
-    keys = rows.select(key).distinct()
-    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranged = keys.repartitionByRange(parts, key).withColumn("_p", F.spark_partition_id())
-    ranged = ranged.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(key)))
-    sizes = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.withColumn("_off", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    numbered = ranged.join(F.broadcast(before.select("_p", "_off")), "_p").select(key, (F.col("_r") + F.col("_off")).alias(name))
-    return rows.join(numbered, key)
+    numbered = running_sums(rows.select(key).distinct(), [], [F.col(key).asc()], {name: F.lit(1)})
+    return rows.join(numbered.select(key, F.col(name).cast("long").alias(name)), key)

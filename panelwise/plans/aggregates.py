@@ -94,7 +94,10 @@ def a22(c: Chain) -> DataFrame:
     return A.table_digest(c.sets, ["set_id", "role", "episode_id", "day"])
 
 
-@query("a22b_big_digest")
+_H = "CAST('0x' || substr(md5(concat_ws('|', coalesce(CAST(person_id AS VARCHAR), ''), coalesce(CAST(activity_date AS VARCHAR), ''), coalesce(CAST(steps AS VARCHAR), ''), coalesce(CAST(wear_minutes AS VARCHAR), ''))), 1, 15) AS BIGINT)"
+
+
+@query("a22b_big_digest", sql(f'SELECT count(*) AS n, bit_xor({_H}) AS "xor", CAST(sum({_H} % 2147483648) AS BIGINT) AS total FROM grid', "grid"))
 def a22b(c: Chain) -> DataFrame:
     return A.big_digest(c.grid, ["person_id", "activity_date", "steps", "wear_minutes"])
 
@@ -102,3 +105,10 @@ def a22b(c: Chain) -> DataFrame:
 @query("a23_evidence_path", sql("SELECT path, count(*) AS n_persons FROM (SELECT person_id, CASE WHEN bool_or(category = 'trauma') THEN 'trauma' WHEN bool_or(category = 'malignancy') THEN 'malignancy' WHEN bool_or(category = 'degenerative') THEN 'degenerative' ELSE 'none' END AS path FROM conditions GROUP BY person_id) GROUP BY path", "conditions"))
 def a23(c: Chain) -> DataFrame:
     return A.evidence_path(c.conditions, "person_id", {n: F.col("category") == n for n in ("trauma", "malignancy", "degenerative")})
+
+
+@query("q20_digests_agree", sql("SELECT n AS n_a, n AS n_b, d = e AS equal FROM (SELECT count(*) AS n, bit_xor(hash(set_id, role, episode_id)) AS d FROM sets), (SELECT bit_xor(hash(set_id, role, episode_id)) AS e FROM (SELECT * FROM sets ORDER BY episode_id DESC))", "sets"))
+def q20(c: Chain) -> DataFrame:
+    """Membership of the sets, digested as built and in another order and partitioning."""
+    cols = ["set_id", "role", "episode_id"]
+    return A.digests_agree(A.big_digest(c.sets, cols), A.big_digest(c.sets.orderBy(F.desc("episode_id")), cols))

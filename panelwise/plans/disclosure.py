@@ -50,7 +50,16 @@ def dc07(c: Chain) -> DataFrame:
     return D.complementary(_cells(c), ["region"], "n", ["code"])
 
 
-@query("dc07b_complementary_grid")
+def _grid_sql(passes: int = 8) -> str:
+    """The passes unrolled: each hides the smallest shown cell of every row, then column, with a lone hidden one."""
+    t = "SELECT visit_kind, origin, count(*) AS n, NOT (count(*) = 0 OR count(*) > 20) AS hidden FROM visits GROUP BY ALL"
+    for k in range(2 * passes):
+        line, other = ("visit_kind", "origin") if k % 2 == 0 else ("origin", "visit_kind")
+        t = f"SELECT visit_kind, origin, n, hidden OR (count_if(hidden) OVER w = 1 AND count_if(NOT hidden AND n > 0) OVER w > 0 AND row_number() OVER (PARTITION BY {line} ORDER BY NOT hidden AND n > 0 DESC, n, {other}) = 1) AS hidden FROM ({t}) WINDOW w AS (PARTITION BY {line})"
+    return t
+
+
+@query("dc07b_complementary_grid", sql(_grid_sql(), "visits"))
 def dc07b(c: Chain) -> DataFrame:
     cells = c.visits.groupBy("visit_kind", "origin").agg(F.count(F.lit(1)).alias("n"))
     return D.complementary_grid(cells, "visit_kind", "origin", "n")

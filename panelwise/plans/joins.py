@@ -162,15 +162,20 @@ def w09(c: Chain) -> DataFrame:
 
 @query("w10_average_rank", sql("SELECT episode_id, rank() OVER (PARTITION BY region ORDER BY los_days NULLS FIRST) + (count(*) OVER (PARTITION BY region, los_days) - 1) / 2 AS mean_rank FROM episodes", "episodes"))
 def w10(c: Chain) -> DataFrame:
-    w = Window.partitionBy("region")
-    return c.episodes.select("episode_id", (F.rank().over(w.orderBy(F.col("los_days").asc_nulls_first())) + (F.count(F.lit(1)).over(Window.partitionBy("region", "los_days")) - 1) / 2).alias("mean_rank"))
+    from panelwise.operators.running import running_sums
+
+    ties = c.episodes.groupBy("region", "los_days").agg(F.count(F.lit(1)).alias("n"))
+    upto = running_sums(ties, ["region"], [F.col("los_days").asc_nulls_first()], {"upto": F.col("n")})
+    mean = upto.select(F.col("region").alias("_region"), F.col("los_days").alias("_los"), (F.col("upto") - F.col("n") + (F.col("n") + 1) / 2).alias("mean_rank"))
+    return c.episodes.join(mean, F.col("region").eqNullSafe(F.col("_region")) & F.col("los_days").eqNullSafe(F.col("_los"))).select("episode_id", "mean_rank")
 
 
 @query("w11_precision_at_rank", sql("SELECT episode_id, CAST(sum(CAST(is_fusion AS INTEGER)) OVER w AS BIGINT) AS hits, round(sum(CAST(is_fusion AS INTEGER)) OVER w / row_number() OVER w, 6) AS prec FROM episodes WINDOW w AS (PARTITION BY region ORDER BY n_records DESC, episode_id ROWS UNBOUNDED PRECEDING)", "episodes"))
 def w11(c: Chain) -> DataFrame:
-    w = Window.partitionBy("region").orderBy(F.desc("n_records"), "episode_id").rowsBetween(Window.unboundedPreceding, 0)
-    hits = F.sum(F.col("is_fusion").cast("int")).over(w)
-    return c.episodes.select("episode_id", hits.alias("hits"), F.round(hits / F.count(F.lit(1)).over(w), 6).alias("prec"))
+    from panelwise.operators.running import running_sums
+
+    d = running_sums(c.episodes.select("episode_id", "region", "n_records", "is_fusion"), ["region"], [F.desc("n_records"), F.asc("episode_id")], {"hits": F.col("is_fusion").cast("int"), "place": F.lit(1)})
+    return d.select("episode_id", "hits", F.round(F.col("hits") / F.col("place"), 6).alias("prec"))
 
 
 @query("w12_gaps_and_islands", sql("SELECT person_id, segment, min(date) AS first_day, max(date) AS last_day, count(*) AS n FROM (SELECT person_id, date, sum(jump) OVER (PARTITION BY person_id ORDER BY date) AS segment FROM (SELECT person_id, date, CASE WHEN date - lag(date) OVER (PARTITION BY person_id ORDER BY date) = 1 THEN 0 ELSE 1 END AS jump FROM activity)) GROUP BY ALL", "activity"))

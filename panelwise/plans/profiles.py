@@ -85,7 +85,7 @@ def q10(c: Chain) -> DataFrame:
     return c.panel.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("episode_id", "post_day").alias("n_keys"), F.count_if(F.col("baseline_steps").isNull() | (F.col("baseline_steps") <= 0)).alias("n_bad_baseline"))
 
 
-@query("q11_availability_reconciled", "SELECT unnest(['only_a', 'only_b', 'differs_n_analyzable']) AS metric, 0 AS n")
+@query("q11_availability_reconciled", sql("SELECT unnest(['only_a', 'only_b', 'differs_n_analyzable']) AS metric, unnest([count_if(b.post_day IS NULL), count_if(a.post_day IS NULL), count_if(a.n <> b.n)]) AS n FROM (SELECT post_day, sum(n) AS n FROM (SELECT post_day, region, dayofweek(calendar_date) IN (0, 6) AS wk, count_if(is_analyzable) AS n FROM panel GROUP BY ALL) GROUP BY post_day) a FULL JOIN (SELECT post_day, sum(CAST(is_analyzable AS INTEGER)) AS n FROM panel GROUP BY post_day) b USING (post_day)", "panel"))
 def q11(c: Chain) -> DataFrame:
     ledger = ledgers.availability_by_day(c.panel.withColumn("wk", F.col("day_of_week").isin(1, 7)), "region", "wk").where("region = 'all' AND wk = 'all'").select("post_day", "n_analyzable")
     direct = c.panel.groupBy("post_day").agg(F.count_if("is_analyzable").alias("n_analyzable"))
@@ -141,7 +141,10 @@ def q21(c: Chain) -> DataFrame:
     return A.sums_to_total(c.zones.join(top, "person_id"), ["person_id"], "minute_in_zone", "total")
 
 
-@query("q22_ladder_problems", "SELECT CAST(NULL AS INTEGER) AS step, CAST(NULL AS VARCHAR) AS problem WHERE FALSE")
+_LADDER = "(SELECT step, coalesce(k, 0) AS n_dropped, total - sum(coalesce(k, 0)) OVER (ORDER BY step) + coalesce(k, 0) AS n_in, total - sum(coalesce(k, 0)) OVER (ORDER BY step) AS n_out FROM (SELECT unnest(range(3, 16)) AS step) s LEFT JOIN (SELECT first_fail_step AS step, count(*) AS k FROM elig GROUP BY ALL) USING (step), (SELECT count(*) AS total FROM elig))"
+
+
+@query("q22_ladder_problems", sql(f"SELECT CAST(step AS INTEGER) AS step, problem FROM (SELECT step, unnest(['closes', 'carries', 'not_negative', 'falls']) AS problem, unnest([n_in - n_dropped = n_out, coalesce(lag(n_out) OVER (ORDER BY step), n_in) = n_in, least(n_in, n_dropped, n_out) >= 0, n_out <= n_in]) AS holds FROM {_LADDER}) WHERE NOT holds", "elig"))
 def q22(c: Chain) -> DataFrame:
     return ledgers.ladder_problems(ledgers.attrition(c.elig))
 
@@ -188,7 +191,7 @@ def q28(c: Chain) -> DataFrame:
     return A.weighted_quantiles(ledgers.set_size_ledger(c.sets), [], "n_controls", "n_sets")
 
 
-@query("q29_gate_monotone", "SELECT 0 AS n_rising")
+@query("q29_gate_monotone", sql("SELECT CAST(count_if(n > before) AS INTEGER) AS n_rising FROM (SELECT n, lag(n) OVER (ORDER BY stage) AS before FROM (SELECT 1 AS stage, count(*) AS n FROM ev UNION ALL SELECT 2, count(DISTINCT episode_id) FROM ev UNION ALL SELECT 3, count(*) FROM ev WHERE event_rank = 1 AND n_days >= 2 UNION ALL SELECT 4, count(DISTINCT set_id) FROM sets WHERE role <> 'case'))", "ev", "sets"))
 def q29(c: Chain) -> DataFrame:
     from panelwise.plans.cohort import cp25
 

@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelwise.operators.aggregates import table_digest
 from panelwise.operators.disclosure import export_violations
 from panelwise.sources.shared import shared_folder  # noqa: F401
 
@@ -117,8 +118,7 @@ def manifest(tables: dict[str, DataFrame], counts: dict[str, str]) -> DataFrame:
     out = None
     for name, df in tables.items():
         c = F.col(counts[name])
-        key = F.concat_ws(",", *[F.coalesce(F.col(f"`{x}`"), F.lit("")) for x in df.columns])
-        row = csv_text(df).select(key.alias("k"), F.lit(0).alias("_")).agg(F.md5(F.array_join(F.array_sort(F.collect_list("k")), "\n")).alias("md5"))
+        row = table_digest(csv_text(df), df.columns, ",", "\n").select(F.col("digest").alias("md5"))
         facts = df.agg(F.lit(name).alias("file"), F.count(F.lit(1)).alias("n_rows"), F.count_if(c.isNull()).alias("n_hidden"), F.min(F.when(c > 0, c)).alias("least_count"))
         one = facts.join(F.broadcast(row))
         out = one if out is None else out.unionByName(one)
