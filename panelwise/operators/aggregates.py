@@ -132,3 +132,15 @@ def column_coverage(rows: DataFrame, cols: Sequence[str], pattern: str) -> DataF
 def sums_to_total(rows: DataFrame, by: Sequence[str], part: str, total: str) -> DataFrame:
     """Partitions whose parts do not add up to the total they name."""
     return rows.groupBy(*by).agg(F.sum(part).alias("parts"), F.max(total).alias("total")).where(~F.col("parts").eqNullSafe(F.col("total")))
+
+
+def evidence_split(rows: DataFrame, person: str, variants: dict[str, dict[str, Column]], threshold: float) -> DataFrame:
+    """``evidence_path`` under several orders of evidence, with each path's share of persons and whether the
+    share calls for a response."""
+    out = None
+    for name, flags in variants.items():
+        paths = evidence_path(rows, person, flags)
+        total = paths.agg(F.sum("n_persons").alias("_t"))
+        share = paths.join(F.broadcast(total)).select(F.lit(name).alias("variant"), "path", "n_persons", (F.col("n_persons") / F.col("_t")).alias("share"))
+        out = share if out is None else out.unionByName(share)
+    return out.withColumn("response", F.when(F.col("share") >= threshold, "report").otherwise("note"))

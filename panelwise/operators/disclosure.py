@@ -87,3 +87,80 @@ def fold_levels(rows: DataFrame, col: str, other: str = "other_or_unknown") -> D
     """Levels of a category with FLOOR rows or fewer, and null, become one."""
     n = rows.groupBy(F.col(col).alias("_c")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > FLOOR).drop("_n").where("_c IS NOT NULL")
     return rows.join(n, rows[col] == n["_c"], "left").withColumn(col, F.coalesce("_c", F.lit(other))).drop("_c")
+
+
+#: File kinds that may leave, by extension.
+KINDS = {"csv": "table", "json": "results"}
+
+
+def export_refusals(table: DataFrame, file: str, kind: str, counts: Sequence[str] = (), percents: dict[str, str] | None = None, partitions: dict[str, Sequence[str]] | None = None, texts: Sequence[str] = (), identifiers: Sequence[str] = ("person_id", "episode_id", "user_id")) -> DataFrame:
+    """``class, column, n`` for each of the seven refusal classes that finds something; all are evaluated.
+
+    1 extension, 2 illegal count, 3 percentage beside a hidden count, 4 lone hidden member of a partition,
+    5 banned characters, 6 kind that does not fit the extension, 7 identifiers, dates and near-unique columns.
+    """
+    spark = table.sparkSession
+    extension = file.rsplit(".", 1)[-1]
+    named = [("7_identifier", c, 1) for c in table.columns if c.lower() in identifiers]
+    if extension not in KINDS:
+        named.append(("1_extension", file, 1))
+    elif KINDS[extension] != kind:
+        named.append(("6_kind", kind, 1))
+    out = spark.createDataFrame(named, "class string, column string, n long")
+    names = {"illegal_count": "2_illegal_count", "percent_beside_hidden": "3_percent_beside_hidden", "banned_character": "5_banned_character", "date": "7_date", "near_unique": "7_near_unique"}
+    if counts or percents or texts:
+        found = export_violations(table, counts, percents, texts)
+        out = out.unionByName(found.select(F.element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), F.col("rule")).alias("class"), "column", "n"))
+    for count, by in (partitions or {}).items():
+        lone = table.groupBy(*by).agg(F.count_if(F.col(count).isNull()).alias("h"), F.count_if(F.col(count) > 0).alias("s")).where("h = 1 AND s > 0")
+        out = out.unionByName(lone.agg(F.lit("4_lone_hidden").alias("class"), F.lit(count).alias("column"), F.count(F.lit(1)).alias("n")).where("n > 0"))
+    return out
+
+
+def strata_both_ways(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """A table of strata with its exact margins taken first: cells hidden until no row and no column has a lone
+    hidden one, then rounded; every line says whether its shown cells stay within its own margin."""
+    cells = complementary_grid(rows.groupBy(a, b).agg(F.count(F.lit(1)).alias("n")), a, b, "n")
+    shown = cells.withColumn("shown", F.when(~F.col("hidden"), round20(F.col("n"))))
+    by = {x: shown.groupBy(x).agg(round20(F.sum("n")).alias(f"total_{x}"), F.sum(F.when(~F.col("hidden"), F.col("n"))).alias("_kept"), F.sum("n").alias("_all")) for x in (a, b)}
+    out = shown
+    for x, t in by.items():
+        out = out.join(t.select(x, f"total_{x}", (F.coalesce("_kept", F.lit(0)) <= F.col("_all")).alias(f"checks_{x}")), x)
+    return out.drop("n")
+
+
+def nodes(table: DataFrame, path: Column, kind: Column, value: Column, count: Column) -> DataFrame:
+    """``path, kind, value, display, suppressed, reason``: a value with its display text, or nothing and why.
+    Counts are rounded, percentages whole, quantiles and bounds kept to three digits; a value that rests on a
+    count below the floor is suppressed."""
+    ok = disclosable(count)
+    rounded = F.when(kind == "count", round20(count).cast("double")).when(kind == "percentage", F.round(value)).otherwise(F.round(value, 3))
+    display = F.when(kind == "count", F.format_number(rounded, 0)).when(kind == "percentage", F.concat(F.format_number(rounded, 0), F.lit("%"))).when((kind == "p") & (value < 0.001), "<0.001").otherwise(F.format_number(rounded, 3))
+    return table.select(path.alias("path"), kind.alias("kind"), F.when(ok, rounded).alias("value"), F.when(ok, display).alias("display"), (~ok).alias("suppressed"), F.when(~ok, HIDDEN).alias("reason"))
+
+
+def suppression_log(found: DataFrame) -> DataFrame:
+    """How many nodes of each kind were suppressed, and why."""
+    return found.groupBy("kind", F.coalesce("reason", F.lit("shown")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def with_gaps(rows: DataFrame, by: str, x: str, value: str) -> DataFrame:
+    """Numbers the stretches of a curve that have a value: a missing or hidden point begins a new one."""
+    w = Window.partitionBy(by).orderBy(x)
+    jump = F.when(F.col(value).isNull(), 0).when(F.lag(value).over(w).isNull(), 1).otherwise(0)
+    return rows.withColumn("_jump", jump).withColumn("segment", F.when(F.col(value).isNotNull(), F.sum("_jump").over(w))).drop("_jump")
+
+
+def contract_problems(table: DataFrame, columns: Sequence[str], spellings: dict[str, Sequence[str]], parts: dict[str, tuple[str, str]]) -> DataFrame:
+    """``check, column, n``: columns that are missing or were not declared, values outside their spellings, and
+    partitions (column -> value, group) whose parts pass the whole named "all"."""
+    spark = table.sparkSession
+    named = [("missing_column", c, 1) for c in columns if c not in table.columns] + [("undeclared_column", c, 1) for c in table.columns if c not in columns]
+    out = spark.createDataFrame(named, "check string, column string, n long")
+    for c, allowed in spellings.items():
+        if c in table.columns:
+            out = out.unionByName(table.agg(F.lit("spelling").alias("check"), F.lit(c).alias("column"), F.count_if(F.col(c).isNotNull() & ~F.col(c).isin(*allowed)).alias("n")))
+    for c, (value, group) in parts.items():
+        sums = table.groupBy(group).agg(F.sum(F.when(F.col(c) != "all", F.col(value))).alias("p"), F.max(F.when(F.col(c) == "all", F.col(value))).alias("w"))
+        out = out.unionByName(sums.agg(F.lit("partition").alias("check"), F.lit(c).alias("column"), F.count_if(F.col("p") > F.col("w")).alias("n")))
+    return out.where("n > 0")

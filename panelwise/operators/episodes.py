@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwise.functions.columns import earliest_of, first_fail, is_in_ci
+from panelwise.operators.aggregates import hierarchical_score
 from panelwise.operators.joins import contained_join, in_list, latest_first, neighbours, window_join
 from panelwise.params import CohortParams
 
@@ -105,3 +106,41 @@ def features(elig: DataFrame, persons: DataFrame, p: CohortParams, only_eligible
     last = F.greatest(F.lit(0), F.least(F.lit(p.panel_days), F.coalesce(F.datediff("censor_date", "discharge_date"), F.lit(p.panel_days))))
     return (e.join(persons, "person_id", "left").select("episode_id", "person_id", "index_date", "discharge_date", "los_days", "region", "is_fusion", "baseline_steps",
             F.round(F.datediff("index_date", "birth_date") / 365.25, 6).alias("age"), "sex", last.alias("at_risk_last_day")))
+
+
+#: Comorbidity weights and which category takes the place of which (inputs of ``full_features``).
+WEIGHTS = {"malignancy": 2, "trauma": 6, "spinal_infection": 3, "degenerative": 1}
+TRUMPS = {"trauma": "malignancy", "spinal_infection": "degenerative"}
+#: A measurement outside this range is an error of transcription.
+PLAUSIBLE = (10, 80)
+
+
+def full_features(elig: DataFrame, persons: DataFrame, base: DataFrame, conditions: DataFrame, measurements: DataFrame, devices: DataFrame, p: CohortParams, era: tuple[str, str], days: int = 365) -> DataFrame:
+    """The covariates of eligible episodes: comorbidity score and its ordinal, the nearest plausible measurement
+    with the median in place of a missing one, the device family at baseline and whether it changed, year, era,
+    week-part baselines, the share of the window observed and the last day at risk.
+
+    Each look-back is one join on the person; a score or flag that no row supports says so in its own column.
+    """
+    e = features(elig, persons, p).join(elig.select("episode_id", "n_analyzable_days", "n_at_risk_days", "censor_reason"), "episode_id")
+    key = e.select("episode_id", "person_id", "index_date", "discharge_date")
+    hits = window_join(key.drop("discharge_date"), conditions.select("person_id", "condition_start_date", "category"), "person_id", "index_date", "condition_start_date", -days, 0)
+    score = hierarchical_score(hits, "episode_id", "category", WEIGHTS, TRUMPS).select("episode_id", "score")
+    near = window_join(key.drop("discharge_date"), measurements.where(F.col("value_as_number").between(*PLAUSIBLE)), "person_id", "index_date", "measurement_date", -days, 0)
+    value = latest_first(near, ["episode_id"], [F.desc("measurement_date"), F.asc("measurement_id")]).select("episode_id", F.col("value_as_number").alias("bmi"))
+    middle = value.agg(F.median("bmi").alias("_median"))
+    family = devices.select("person_id", "device_date", F.regexp_extract(F.upper("model"), "[A-Z]+", 0).alias("family"))
+    lo = -p.look_back
+    seen = window_join(key, family, "person_id", "index_date", "device_date", lo, p.panel_days * 3)
+    at_base = seen.where("rel_day <= 0").groupBy("episode_id", "family").agg(F.count(F.lit(1)).alias("n"), F.max("device_date").alias("last"))
+    mode = latest_first(at_base, ["episode_id"], [F.desc("n"), F.desc("last"), F.asc("family")]).select("episode_id", F.col("family").alias("device_family"))
+    changed = seen.where(F.col("device_date") <= F.date_add("discharge_date", p.panel_days)).groupBy("episode_id").agg((F.countDistinct("family") > 1).alias("device_changed"))
+    parts = base.select("episode_id", "n_valid_baseline_days", "baseline_band", "meets_baseline_floor", *[f"{a}_{w}" for w in ("weekday", "weekend") for a in ("baseline_steps", "n_valid_baseline_days")])
+    for part in (score, value, mode, changed, parts):
+        e = e.join(part, "episode_id", "left")
+    points = F.coalesce("score", F.lit(0))
+    width = p.accrual[1] - p.accrual[0] + 1
+    return e.join(F.broadcast(middle)).withColumns({
+        "score_missing": F.col("score").isNull(), "score_ordinal": F.when(points >= 3, "3_or_more").otherwise(points.cast("string")), "bmi_missing": F.col("bmi").isNull(), "bmi_imputed": F.coalesce("bmi", "_median"),
+        "index_year": F.year("index_date"), "in_era": F.col("index_date").between(*[F.lit(x).cast("date") for x in era]), "device_family": F.coalesce("device_family", F.lit("other_or_unknown")), "device_changed": F.coalesce("device_changed", F.lit(False)),
+        "share_window_observed": F.col("n_analyzable_days") / width, "near_complete_window": F.col("n_analyzable_days") >= 0.8 * width}).withColumn("score", points).drop("_median")

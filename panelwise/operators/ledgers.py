@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwise.operators.aggregates import overlap_groups
@@ -71,3 +71,41 @@ def set_problems(members: DataFrame, p) -> DataFrame:  # noqa: ANN001
 
 def availability_totals(panel: DataFrame, a: str, b: str) -> DataFrame:
     return overlap_groups(panel, a, b, [F.count(F.lit(1)).alias("n")])
+
+
+#: Rungs around those of LADDER: step, slug, kind, unit.
+FRAME = ((1, "program_participants", "exclusion", "persons"), (2, "episode_construction", "conversion", "persons to episodes"), (16, "analytic_cohort", "terminal", "episodes"),
+         (17, "events_identified", "conversion", "episodes to events"), (18, "event_without_landmark", "exclusion", "events"), (19, "events_analyzable", "terminal", "events"))
+
+
+def full_ladder(elig: DataFrame, persons: DataFrame, ev: DataFrame) -> DataFrame:
+    """The whole ladder, persons to episodes to events: per rung in, dropped, out and whether it closes with
+    the rung before. Conversions change the unit and drop nothing; terminal rungs repeat what is left."""
+    spark = elig.sparkSession
+    own = ev.join(elig.where("is_eligible").select("episode_id"), "episode_id", "left_semi")
+    counts = (persons.agg(F.count(F.lit(1)).alias("all_persons")).join(F.broadcast(elig.agg(F.countDistinct("person_id").alias("with_records"), F.count(F.lit(1)).alias("episodes"), F.count_if("is_eligible").alias("analytic"))))
+              .join(F.broadcast(own.agg(F.count(F.lit(1)).alias("events"), F.count_if("has_landmark").alias("computable")))))
+    n = {1: ("all_persons", "with_records"), 2: ("with_records", "episodes"), 16: ("analytic", "analytic"), 17: ("analytic", "events"), 18: ("events", "computable"), 19: ("computable", "computable")}
+    framed = counts.select(F.explode(F.array(*[F.struct(F.lit(i).alias("step"), F.lit(slug).alias("slug"), F.lit(kind).alias("kind"), F.lit(unit).alias("unit"), F.col(n[i][0]).alias("n_in"), F.col(n[i][1]).alias("n_out")) for i, slug, kind, unit in FRAME])).alias("x")).select("x.*")
+    middle = attrition(elig).select("step", F.col("rung").alias("slug"), F.lit("exclusion").alias("kind"), F.lit("episodes").alias("unit"), "n_in", "n_out")
+    rows = framed.unionByName(middle).withColumn("n_dropped", F.when(F.col("kind") == "exclusion", F.col("n_in") - F.col("n_out")))
+    before = F.lag("n_out").over(Window.orderBy("step"))
+    carries = F.coalesce(before == F.col("n_in"), F.lit(True))
+    return rows.withColumn("closes", carries & F.coalesce(F.col("n_dropped") >= 0, F.lit(True)) & ((F.col("kind") != "terminal") | (F.col("n_in") == F.col("n_out"))))
+
+
+def reasons_by_rung(elig: DataFrame, reasons: dict[tuple[str, str], tuple[Column, Column]]) -> DataFrame:
+    """``slug, reason, n, n_denominator``: overlapping reasons below the ladder's rungs, each with the rows it is
+    counted among; all in one aggregate."""
+    aggs = [F.struct(F.lit(s).alias("slug"), F.lit(r).alias("reason"), F.count_if(c).alias("n"), F.count_if(d).alias("n_denominator")) for (s, r), (c, d) in reasons.items()]
+    one = elig.agg(*[a.alias(f"r{i}") for i, a in enumerate(aggs)])
+    return one.select(F.explode(F.array(*one.columns)).alias("x")).select("x.*")
+
+
+def identities(pairs: dict[str, tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """Numbers that two ways of counting must agree on: ``identity, left, right, holds``, each from a one-row frame."""
+    out = None
+    for name, (a, b) in pairs.items():
+        one = a.toDF("left").join(F.broadcast(b.toDF("right"))).select(F.lit(name).alias("identity"), "left", "right", F.col("left").eqNullSafe(F.col("right")).alias("holds"))
+        out = one if out is None else out.unionByName(one)
+    return out
