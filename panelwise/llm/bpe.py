@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelwise.llm.common import pieces
+from panelwise.llm.common import pieces, small_batches
 
 PAIR_BUCKETS = 1 << 15
 #: Text whose distinct words are folded together: more text gives fewer words a text.
@@ -158,6 +158,7 @@ def encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, column: str
     Null and empty texts have no ids. Special tokens are ordinary text. Rows that repeat, and rows with
     a null doc_id, are encoded one by one. Empty tables stay empty.
     """
+    small_batches(docs.sparkSession)
     made = {column.lower(), *(f"{column}_{x}".lower() for x in also)}
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in made]
     text = next(c for c in docs.columns if c.lower() == "text")

@@ -27,6 +27,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows and bytes of the Arrow batches that go to Python workers, where the session has Spark's own
+    numbers: those are for short rows, and texts are long."""
+    for key, usual, ours in (("maxRecordsPerBatch", "10000", "2000"), ("maxBytesPerBatch", "67108864b", "8m")):
+        key = f"spark.sql.execution.arrow.{key}"
+        if spark.conf.get(key, usual) == usual:
+            spark.conf.set(key, ours)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share; one of our own only where the session names none."""
     sc = spark.sparkContext
@@ -82,6 +91,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: int = 1, size: int = PIECE
     """The rows of ``batches`` in pieces of ``size`` bytes of ``column``, or of one row if that is longer, so
     that what is made of a piece stays small whatever the texts' lengths."""
     for batch in batches:
+        pa.default_memory_pool().release_unused()
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         ends, start = np.cumsum(sizes, dtype=np.int64), 0
         while start < batch.num_rows:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwise.llm.common import dropped, mixed_bits, pieces, written
+from panelwise.llm.common import dropped, mixed_bits, pieces, small_batches, written
 from panelwise.llm.components import connected_components
 
 WORDS = 5
@@ -102,6 +102,7 @@ def described(docs: DataFrame) -> DataFrame:
                 [batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.string()), pa.array(bands, pa.list_(pa.int64()))],
                 ["doc_id", "n_shingles", "set_key", "bands"])
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(describe, "doc_id bigint, n_shingles bigint, set_key string, bands array<bigint>")
 
 
