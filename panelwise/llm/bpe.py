@@ -67,22 +67,27 @@ def pair_table(ranks: dict[bytes, int]) -> Column:
     is part of a merge of lower rank, which then comes before the next place, or where two cuts of one
     token can overlap.
     """
-    cuts: dict[int, list[tuple[int, int]]] = {}
     alone = set()
     for piece, rank in ranks.items():
-        for k in range(1, len(piece)):
-            left, right = ranks.get(piece[:k]), ranks.get(piece[k:])
-            if left is not None and right is not None:
-                cuts.setdefault(rank, []).append((left, right))
-                alone |= {x for x in (left, right) if rank < x}
-    buckets: list[dict[str, str]] = [{} for _ in range(PAIR_BUCKETS)]
-    for rank, found in cuts.items():
-        if len(found) > 1 and {a for a, _ in found} & {b for _, b in found}:
+        cuts = list(_cuts(piece, ranks))
+        alone |= {x for cut in cuts for x in cut if rank < x}
+        if len(cuts) > 1 and {a for a, _ in cuts} & {b for _, b in cuts}:
             alone.add(rank)
-        for left, right in found:
+    buckets: list[list[str]] = [[] for _ in range(PAIR_BUCKETS)]
+    for piece, rank in ranks.items():
+        made = json.dumps(token_char(rank) + (MARK if rank in alone else ""), ensure_ascii=False)
+        for left, right in _cuts(piece, ranks):
             key = token_char(left) + token_char(right)
-            buckets[zlib.crc32(key.encode()) % PAIR_BUCKETS][key] = token_char(rank) + (MARK if rank in alone else "")
-    return F.from_json(F.lit(json.dumps(buckets, ensure_ascii=False, separators=(",", ":"))), "array<map<string,string>>")
+            buckets[zlib.crc32(key.encode()) % PAIR_BUCKETS].append(f"{json.dumps(key, ensure_ascii=False)}:{made}")
+    return F.from_json(F.lit("[" + ",".join("{" + ",".join(b) + "}" for b in buckets) + "]"), "array<map<string,string>>")
+
+
+def _cuts(piece: bytes, ranks: dict[bytes, int]) -> Iterator[tuple[int, int]]:
+    """The ways to cut a token into two tokens."""
+    for k in range(1, len(piece)):
+        left, right = ranks.get(piece[:k]), ranks.get(piece[k:])
+        if left is not None and right is not None:
+            yield left, right
 
 
 def pair_token(pairs: Column, pair: Column) -> Column:
@@ -222,7 +227,8 @@ def encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, column: str
     result = T.StructType([*columns, T.StructField("ids", numbers), *[T.StructField(f"ids_{x}", T.BinaryType()) for x in also]])
     out_names = [f.name for f in result.fields]
     words = packed.mapInArrow(split, split_schema)
-    tokens = _let(byte_tokens(F.col("word"), ranks), lambda t: fold_word(t, pair_table(ranks)))
+    # The table stands in the plan once, however often the fold looks into it.
+    tokens = _let(pair_table(ranks), lambda pairs: _let(byte_tokens(F.col("word"), ranks), lambda t: fold_word(t, pairs)))
     folded = words.select(*names[:n], F.when(F.col("word").isNotNull(), F.coalesce("own", tokens)).alias("word"), "places")
     out = folded.mapInArrow(assemble, result)
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], F.col("ids").alias(column), *[F.col(f"ids_{x}").alias(f"{column}_{x}") for x in also])

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -12,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelwise.sources.shared import shared_folder
+
 #: A value is heavy if the Misra-Gries summary finds it in about this share of all rows or more.
 HEAVY_ITEMS = 1000
 HEAVY_TRACKED = 8192
@@ -37,13 +38,11 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where the session names none."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", "") or sc.getConf().get("spark.checkpoint.dir", "")
-    if not found:
-        found = getattr(sc, "_panelwise_dir", None) or tempfile.mkdtemp(prefix="panelwise-")
-        sc._panelwise_dir = found
-    return found.rstrip("/")
+    """The folder that all executors share, with its file system's name, so that whoever opens a path in it
+    goes to that file system and not to a disk of its own."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return store.makeQualified(path).toString().rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:

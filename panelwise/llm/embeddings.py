@@ -3,7 +3,8 @@
 A rotation is three rounds of random signs and a fast Hadamard transform; the hash is the signed
 coordinate that is largest afterwards. HASHES rotations make a table's bucket, and each vector also
 goes to the buckets of its second-best coordinate in one rotation at a time (multiprobe). Vectors
-that share a bucket are compared by cosine in double precision; only links leave the task.
+that share a bucket are compared by cosine in double precision. A dense group has links in the square
+of its size, so links stay in the task: what leaves it is each vector's count and a forest of links.
 
 Equal vectors of a label are one class, compared once and counted with its size. A bucket with many
 vectors is cut into blocks, and each pair of blocks is a group of its own, so no task holds more
@@ -27,7 +28,7 @@ from panelwise.llm.components import connected_components
 LEAST_COSINE = 0.93
 TABLES, HASHES = 6, 2
 #: Vectors of a block of a bucket; a group holds two blocks at most.
-BLOCK = 256
+BLOCK = 512
 
 
 def _signs(size: int, table: int, k: int) -> np.ndarray:
@@ -91,7 +92,7 @@ def prepared(vectors: DataFrame) -> DataFrame:
 
 
 def hashed(classes: DataFrame) -> DataFrame:
-    """Adds ``buckets`` (array<bigint>) to ``label, rep, dim, vec``."""
+    """Adds ``buckets`` (array<bigint>) to ``label, rep, n, dim, vec``."""
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -104,7 +105,7 @@ def hashed(classes: DataFrame) -> DataFrame:
                     made[i] = codes
             yield batch.assign(buckets=made)
 
-    return classes.mapInPandas(add, "label bigint, rep bigint, dim int, vec binary, buckets array<bigint>")
+    return classes.mapInPandas(add, "label bigint, rep bigint, n bigint, dim int, vec binary, buckets array<bigint>")
 
 
 def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -114,16 +115,21 @@ def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def bucket_links(classes: DataFrame) -> DataFrame:
-    """Distinct links ``a < b`` between class representatives that share a bucket."""
+    """``a, b, n``: of the links between class representatives that share a bucket, what a component and a count
+    need. Rows with b are links that join what a group of vectors has of one component (fewer than it has
+    vectors); rows without b say that a has n more linked vectors, copies counted.
+
+    A pair that shares several buckets counts in the first of them only, so counts can be summed.
+    """
     rows = written(hashed(classes), "hashed")
-    member = rows.select(F.explode("buckets").alias("bucket"), "label", "dim", "rep", "vec")
+    member = rows.select(F.explode("buckets").alias("bucket"), "label", "dim", "rep", "n", "vec", "buckets")
     at = ["label", "dim", "bucket"]
-    sizes = written(member.groupBy(*at).agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "bucket_sizes")
-    n = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("rep", "bucket"), F.col("n")).cast("int")
-    placed = member.join(sizes, at).withColumn("n", n).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    sizes = written(rows.select(F.explode("buckets").alias("bucket"), "label", "dim").groupBy(*at).agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "bucket_sizes")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("rep", "bucket"), F.col("blocks")).cast("int")
+    placed = member.join(sizes, at).withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     group = F.xxhash64(*at, F.least("own", "other"), F.greatest("own", "other"))
-    placed = placed.select(group.alias("g"), "dim", (F.col("own") < F.col("other")).alias("first"), (F.col("own") == F.col("other")).alias("alone"), "rep", "vec")
+    placed = placed.select(group.alias("g"), "bucket", "dim", (F.col("own") < F.col("other")).alias("first"), (F.col("own") == F.col("other")).alias("alone"), "rep", "n", "vec", "buckets")
     dealt = placed.repartition("g").sortWithinPartitions("g")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -138,31 +144,74 @@ def bucket_links(classes: DataFrame) -> DataFrame:
         if rest is not None:
             yield _links(rest)
 
-    return dealt.mapInPandas(compare, "a bigint, b bigint").distinct()
+    return dealt.mapInPandas(compare, "a bigint, b bigint, n bigint")
+
+
+def first_shared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For each pair of rows of bucket numbers, as ``buckets`` orders them, the first of x that y has too."""
+    width = 1 + HASHES
+    out = np.full(len(x), -1, np.int64)
+    for table in range(TABLES - 1, -1, -1):  # buckets of different tables differ
+        own, other = x[:, table * width : (table + 1) * width], y[:, table * width : (table + 1) * width]
+        shared = (own[:, :, None] == other[:, None, :]).any(axis=2)
+        hit = shared.any(axis=1)
+        out[hit] = own[hit, shared[hit].argmax(axis=1)]
+    return out
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> list[int]:
+    """Positions of links that join different parts when taken in order."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = x = parent.get(up, up)
+        return x
+
+    out = []
+    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        x, y = root(x), root(y)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            out.append(k)
+    return out
 
 
 def _links(rows: pd.DataFrame) -> pd.DataFrame:
-    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    a, b, n = [], [], []
     g = rows["g"].to_numpy()
     starts = np.flatnonzero(np.r_[True, g[1:] != g[:-1]]) if len(g) else []
-    rep, vec, first, alone, dim = (rows[c].to_numpy() for c in ("rep", "vec", "first", "alone", "dim"))
+    rep, vec, first, alone, dim, copies, bucket = (rows[c].to_numpy() for c in ("rep", "vec", "first", "alone", "dim", "n", "bucket"))
     for s, e in zip(starts, [*starts[1:], len(g)], strict=True):
         if e - s < 2:
             continue
         x = np.frombuffer(b"".join(vec[s:e]), np.float64).reshape(e - s, dim[s])
-        ids = rep[s:e]
         if alone[s]:
             i, j = np.nonzero(np.triu(cosines(x, x) >= LEAST_COSINE, 1))
-            p, q = ids[i], ids[j]
         else:
-            f = first[s:e]
-            i, j = np.nonzero(cosines(x[f], x[~f]) >= LEAST_COSINE)
-            p, q = ids[f][i], ids[~f][j]
-        different = p != q
-        a.append(np.minimum(p, q)[different])
-        b.append(np.maximum(p, q)[different])
-    found = pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
-    return found.drop_duplicates()
+            f = np.flatnonzero(first[s:e].astype(bool))
+            h = np.flatnonzero(~first[s:e].astype(bool))
+            i, j = np.nonzero(cosines(x[f], x[h]) >= LEAST_COSINE)
+            i, j = f[i], h[j]
+        ids, sizes, all_buckets = rep[s:e], copies[s:e], np.stack(rows["buckets"].to_numpy()[s:e])
+        for k in range(0, len(i), 200_000):
+            p, q = i[k : k + 200_000], j[k : k + 200_000]
+            # Which of the two is asked for its first shared bucket must not depend on the group.
+            swap = ids[p] > ids[q]
+            p, q = np.where(swap, q, p), np.where(swap, p, q)
+            mine = first_shared(all_buckets[p], all_buckets[q]) == bucket[s]
+            p, q = p[mine], q[mine]
+            linked = np.zeros(e - s, np.int64)
+            np.add.at(linked, p, sizes[q])
+            np.add.at(linked, q, sizes[p])
+            some = np.flatnonzero(linked)
+            joins = forest(p, q)
+            a += [ids[some], ids[p[joins]]]
+            b += [np.full(len(some), None, object), ids[q[joins]].astype(object)]
+            n += [linked[some].astype(object), np.full(len(joins), None, object)]
+    if not a:
+        return pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64), "n": np.empty(0, np.int64)})
+    return pd.DataFrame({"a": np.concatenate(a), "b": pd.array(np.concatenate(b), "Int64"), "n": pd.array(np.concatenate(n), "Int64")})
 
 
 def near_vectors(vectors: DataFrame) -> DataFrame:
@@ -177,10 +226,9 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     rows = written(prepared(vectors), "vectors")
     able = rows.where(F.col("key").isNotNull() & F.col("vec_id").isNotNull())
     classes = written(able.groupBy("label", "key").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("dim").alias("dim"), F.first("vec").alias("vec")), "vector_classes")
-    links = written(bucket_links(classes.select("label", "rep", "dim", "vec")), "vector_links")
-    label = connected_components(links)
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    degree = both.join(classes.select(F.col("rep").alias("b"), "n"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
+    links = written(bucket_links(classes.select("label", "rep", "n", "dim", "vec")), "vector_links")
+    label = connected_components(links.where("b IS NOT NULL").select("a", "b"))
+    degree = links.where("b IS NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
     known = (classes.select("label", "key", "rep", "n").join(degree, "rep", "left").join(label.withColumnRenamed("node", "rep"), "rep", "left")
              .select("label", "key", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id")))
     known = written(known, "known")

@@ -18,6 +18,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelwise.llm.common import small_batches
+
 #: Labelled rows that the model is fitted on: this many of each class for the dictionaries, and
 #: as many again for the curve, at most. A fixed bound; all rows are scored.
 FIT_ROWS = 1500
@@ -39,7 +41,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Colu
     """At most ``rows`` texts of each class, in the order of a hash of doc_id: ``y, text, weight``.
 
     The ids are drawn from the labels first and sent to the scan of the documents, so no text is
-    shuffled. Documents that repeat an id give one row. ``weight`` makes up for the classes being
+    shuffled. Documents that repeat an id give one row, that of the least text. ``weight`` makes up for the classes being
     drawn in other shares than they have among the labels; it is 1 on average.
     """
     pool = labels.where(usable & F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("y"))
@@ -50,7 +52,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Colu
         ids = part if ids is None else ids.unionByName(part)
     ids = docs.sparkSession.createDataFrame(ids.collect(), "doc_id bigint, y int")
     found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
-    out = found.toPandas().drop_duplicates("doc_id")
+    # Rows that repeat an id are one row before anything comes to the driver: the least of their texts.
+    out = found.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y")).toPandas()
     drawn = out["y"].map(out["y"].value_counts())
     out["weight"] = out["y"].map(share) / drawn * len(out) / max(sum(share.values()), 1)
     order = pd.util.hash_array(out["doc_id"].to_numpy("int64"))
@@ -142,8 +145,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> CompressionModel:
 def with_scores(docs: DataFrame, model: CompressionModel, column: str = "score") -> DataFrame:
     """All rows and columns of ``docs`` and the probability of label 1 of their whole text.
 
-    Null text is the empty text, which has a score like any other. Empty tables stay empty.
+    Null text is the empty text, which has a score like any other. Rows that repeat are scored one by
+    one, whatever their doc_id; a column that has the result's name is replaced. Empty tables stay empty.
     """
+    small_batches(docs.sparkSession)
+
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         compressors, w = model.compressors(), np.array(model.weights)

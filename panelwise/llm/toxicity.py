@@ -1,12 +1,13 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
 A text is cut into clauses and each word becomes a symbol: insult, threat, target, negation,
-report or other. Insults and threats get the weight of their word from a dictionary. Three small
-transducers then read the symbols of a clause side by side, not composed into one machine, and their
-factors are multiplied onto that weight: the target transducer raises what stands in a
-clause that addresses someone (and a threat needs a target to count); the negation transducer
-lowers what follows a negation closely; the reported-speech transducer lowers what is quoted or
-told of others. A document's features are sums over its matched clauses, not over words.
+report or other, with a weight from the lexicon of the insult and the threat transducer. Five weighted
+transducers are composed into one machine, whose arcs carry the product of theirs: the insult and
+threat transducers accept their words and raise what follows another one in the clause; the target
+transducer raises what stands in a clause that addresses someone (and a threat needs a target to
+count); the negation transducer lowers what follows a negation closely; the reported-speech transducer
+lowers what is quoted or told of others. A document's features are sums over its matched clauses, not
+over words. The fixed words are of English, German, French and Spanish.
 
 The weights of insult arcs (words, or stems that match a word's beginning) are learned from
 labelled rows as smoothed log odds; a logistic curve over the features gives the score.
@@ -25,6 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelwise.llm.common import small_batches
 from panelwise.llm.quality import held_out, labelled_sample, logistic_fit
 
 #: Labelled rows that the model is fitted on, of each class, at most: one half for the arcs, one
@@ -33,12 +35,17 @@ FIT_ROWS = 6000
 THRESHOLD = 0.7
 FOLDS, HELD_OUT = 3, 1
 
-#: Fixed word lists of the grammar.
-INSULTS = ("idiot", "idiots", "stupid", "moron", "morons", "loser", "losers", "scum", "trash", "pathetic", "worthless", "disgusting", "clown")
-THREATS = ("kill", "hurt", "destroy", "beat", "burn", "shoot", "stab", "punish", "smash")
-TARGETS = ("you", "your", "yours", "yourself", "he", "him", "she", "her", "they", "them", "their", "people", "everyone")
-NEGATIONS = ("not", "never", "no", "none", "nobody", "neither", "nor", "isn", "aren", "wasn", "don", "doesn", "didn", "won", "without")
-REPORTS = ("said", "says", "wrote", "writes", "claimed", "claims", "called", "reported", "quoted", "quote", "according", "alleged", "allegedly")
+#: Fixed word lists of the grammar: English, German, French, Spanish.
+INSULTS = ("idiot", "idiots", "stupid", "moron", "morons", "loser", "losers", "scum", "trash", "pathetic", "worthless", "disgusting", "clown",
+           "dumm", "abschaum", "versager", "trottel", "imbécile", "ordure", "débile", "minable", "idiota", "estúpido", "basura", "imbécil")
+THREATS = ("kill", "hurt", "destroy", "beat", "burn", "shoot", "stab", "punish", "smash",
+           "töten", "verletzen", "vernichten", "verbrennen", "tuer", "frapper", "détruire", "brûler", "matar", "golpear", "destruir", "quemar")
+TARGETS = ("you", "your", "yours", "yourself", "he", "him", "she", "her", "they", "them", "their", "people", "everyone",
+           "du", "dich", "dir", "euch", "ihr", "tu", "toi", "vous", "eux", "tú", "usted", "ustedes", "ellos")
+NEGATIONS = ("not", "never", "no", "none", "nobody", "neither", "nor", "isn", "aren", "wasn", "don", "doesn", "didn", "won", "without",
+             "nicht", "kein", "keine", "niemals", "pas", "jamais", "aucun", "sans", "nunca", "jamás", "ningún", "sin")
+REPORTS = ("said", "says", "wrote", "writes", "claimed", "claims", "called", "reported", "quoted", "quote", "according", "alleged", "allegedly",
+           "sagte", "schrieb", "behauptete", "laut", "disait", "écrit", "selon", "dijo", "escribió", "según")
 
 #: Arcs are learned if they occur in so many toxic texts and their log odds stay above LEAST_ODDS
 #: after DEVIATIONS standard errors are taken off.
@@ -66,17 +73,36 @@ NEGATION = Transducer({(s, "n"): (3, 1.0) for s in range(4)} | {(s, x): (s - 1,
 REPORT = Transducer({(0, "r"): (1, 1.0), (1, "i"): (1, 0.4), (1, "t"): (1, 0.4)})
 #: State 1: the clause has a target (set before the clause is read, since it may come last).
 TARGET = Transducer({(0, "t"): (0, 0.0), (1, "i"): (1, 1.5), (1, "t"): (1, 1.0)})
+#: State 1: the clause has an insult (a threat) already, and another weighs more.
+INSULT = Transducer({(0, "i"): (1, 1.0), (1, "i"): (1, 1.1)})
+THREAT = Transducer({(0, "t"): (1, 1.0), (1, "t"): (1, 1.1)})
+SYMBOLS = "ityrno"
+
+
+def compose(machines: tuple[Transducer, ...], starts: list[tuple[int, ...]]) -> dict[tuple[tuple[int, ...], str], tuple[tuple[int, ...], float]]:
+    """The machine that reads as all of ``machines`` do at once: its states are theirs side by side, as far as
+    they can be reached from ``starts``, and an arc's factor is the product of theirs."""
+    arcs, todo = {}, list(starts)
+    while todo:
+        states = todo.pop()
+        for x in SYMBOLS:
+            if (states, x) in arcs:
+                continue
+            steps = [m.step(s, x) for m, s in zip(machines, states, strict=True)]
+            to = tuple(s for s, _ in steps)
+            arcs[states, x] = to, math.prod(f for _, f in steps)
+            todo.append(to)
+    return arcs
+
+
+CLAUSE = compose((NEGATION, REPORT, TARGET, INSULT, THREAT), [(0, r, t, 0, 0) for r in (0, 1) for t in (0, 1)])
 
 
 def clause_factors(symbols: str, reported: bool) -> list[float]:
-    """The product of the factors that the negation, report and target transducers give each symbol."""
-    states = [0, int(reported), int("y" in symbols)]
-    out = []
+    """The factors that the composed machine gives the symbols of a clause."""
+    state, out = (0, int(reported), int("y" in symbols), 0, 0), []
     for x in symbols:
-        factor = 1.0
-        for k, machine in enumerate((NEGATION, REPORT, TARGET)):
-            states[k], f = machine.step(states[k], x)
-            factor *= f
+        state, factor = CLAUSE[state, x]
         out.append(factor)
     return out
 
@@ -131,6 +157,7 @@ class Grammar:
         for token in tokens:
             if token in _ENDS:
                 close()
+                quoted = quoted and token != "\n"  # a mark without its partner reaches to the end of its line
             elif token in _QUOTES:
                 close()
                 quoted = not quoted
@@ -186,8 +213,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Grammar:
 def with_scores(docs: DataFrame, grammar: Grammar, column: str = "score") -> DataFrame:
     """All rows and columns of ``docs`` and the probability that their whole text is toxic.
 
-    Null text is the empty text, which has a score like any other. Empty tables stay empty.
+    Null text is the empty text, which has a score like any other. Rows that repeat are scored one by
+    one, whatever their doc_id; a column that has the result's name is replaced. Empty tables stay empty.
     """
+    small_batches(docs.sparkSession)
+
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         w = np.array(grammar.weights)
