@@ -11,10 +11,10 @@ from panelwise.llm.common import dropped, written
 def connected_components(links: DataFrame) -> DataFrame:
     """``node, component`` for every node of ``links`` (``a, b``); component is the smallest node.
 
-    In each round a node takes the smallest label among its neighbours and then the label of that
-    label, so long chains shrink by halves. Minima are taken map-side; a node with very many links
-    is only a skewed join side, which adaptive execution splits. Each round's labels are written to
-    the shared folder. Nulls and self links are ignored; no links give no rows.
+    In each round a node takes the smallest label among its own, its neighbours' and that which its label
+    has itself, so long chains shrink by halves. Minima are taken map-side; a node with very many links
+    is only a skewed join side, which adaptive execution splits. Each round's labels are written to the
+    shared folder, once. Nulls and self links are ignored; no links give no rows.
     """
     one = links.select("a", "b").where("a <> b")
     both = written(one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
@@ -22,12 +22,10 @@ def connected_components(links: DataFrame) -> DataFrame:
     while True:
         near = (both.join(labels.select(F.col("node").alias("b"), "component"), "b")
                 .groupBy(F.col("a").alias("node")).agg(F.min("component").alias("m")))
-        low = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "m").alias("c"))
-        low = written(low, "low")
-        to = low.select(F.col("node").alias("c"), F.col("c").alias("cc"))
-        new = written(low.join(to, "c", "left").select("node", "old", F.least("c", F.coalesce("cc", "c")).alias("component")), "labels")
+        to = labels.select(F.col("node").alias("component"), F.col("component").alias("further"))
+        new = labels.join(near, "node").join(to, "component").select("node", F.col("component").alias("old"), F.least("component", "m", "further").alias("component"))
+        new = written(new, "labels")
         changed = new.where("old <> component").limit(1).count()
-        dropped(low)
         dropped(labels)
         labels = new.select("node", "component")
         if not changed:

@@ -106,9 +106,10 @@ def described(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(describe, "doc_id bigint, n_shingles bigint, set_key string, bands array<bigint>")
 
 
-def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``doc_id, hs`` (the 64-bit shingle hashes, sorted as unsigned) of the documents in ``ids`` (doc_id, distinct)."""
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+def full_sets(docs: DataFrame, ids: DataFrame, most: int) -> DataFrame:
+    """``doc_id, hs`` (the 64-bit shingle hashes, sorted as unsigned) of the documents in ``ids`` (doc_id,
+    distinct), which has ``most`` rows or fewer."""
+    few = most <= BROADCAST_IDS
     chosen = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids.hint("shuffle_hash"), "doc_id", "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,13 +124,12 @@ def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Those ``pairs`` (a, b) whose full sets reach the similarity. Where rows repeat an id with other
     texts, a pair is confirmed if it is for any of the rows."""
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "candidate_ids")
-    sets = written(full_sets(docs, ids), "sets")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = written(full_sets(docs, ids, 2 * pairs.count()), "sets")
     left = sets.select(F.col("doc_id").alias("a"), F.col("hs").alias("sa"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("hs").alias("sb"))
     both, total = F.size(F.array_intersect("sa", "sb")), F.size("sa") + F.size("sb")
     links = written(pairs.join(right, "b").join(left, "a").where((100 + SIMILARITY) * both >= SIMILARITY * total).select("a", "b"), "confirmed")
-    dropped(ids)
     dropped(sets)
     return links
 
@@ -142,10 +142,10 @@ def prefixes(named: DataFrame, docs: DataFrame) -> DataFrame:
     SIMILARITY / (100 + SIMILARITY) * (n + m) of them; so ``most`` is the largest m that the shingle
     may link to, and shingles that cannot link to a set as small as SIMILARITY % of n are left out.
     """
-    sets = written(full_sets(docs, named.select(F.col("rep").alias("doc_id"))), "rest_sets")
+    sets = written(full_sets(docs, named.select(F.col("rep").alias("doc_id")), named.count()), "rest_sets")
     keyed = sets.select(F.col("doc_id").alias("rep"), F.xxhash64("hs").alias("set"), "hs")
     one = keyed.select("rep", "set", F.explode("hs").alias("h"))
-    common = written(one.groupBy("h").agg(F.count(F.lit(1)).alias("f")).where("f > 1"), "shingle_counts")
+    common = one.groupBy("h").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
     ranked = one.join(common, "h", "left").groupBy("rep", "set").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("f", F.lit(1)).alias("f"), "h"))).alias("hs"))
     n = F.size("hs")
     prefix = F.slice("hs", F.lit(1), n - F.ceil(n * SIMILARITY / 100).cast("int") + 1)
@@ -178,8 +178,7 @@ def prefix_pairs(named: DataFrame, docs: DataFrame) -> DataFrame:
     No link is lost: a linked pair's first common shingle, in the order of ``prefixes``, passes every test.
     """
     rows = written(prefixes(named, docs), "prefixes")
-    for _ in range(2):  # what the first pass drops leaves fewer components for the second
-        rows = written(fruitful(rows), "fruitful")
+    rows = written(fruitful(rows), "fruitful")
     other = rows.select("h", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), F.col("most").alias("mosta"))
     fits = (F.col("n") <= F.col("mosta")) & (F.col("na") <= F.col("most"))
     pairs = rows.join(other, "h").where((F.col("a") < F.col("rep")) & (F.col("c") != F.col("ca")) & fits).select("a", F.col("rep").alias("b")).distinct()
@@ -207,7 +206,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     company = crowd.groupBy("rep").agg(F.sum("size").alias("company"))
     crowd = written(crowd.join(company, "rep"), "crowd")
     buckets = crowd.groupBy("key").agg(F.max_by(F.struct("rep", "n"), F.struct("company", -F.col("rep"))).alias("centre"))
-    rows_in = written(crowd.join(written(buckets, "buckets"), "key"), "members")
+    rows_in = written(crowd.join(buckets, "key"), "members")
 
     def fits(n1: str, n2: str) -> F.Column:
         return 100 * F.least(n1, n2) >= SIMILARITY * F.greatest(n1, n2)
@@ -218,7 +217,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     label = connected_components(links)
     # Only documents of buckets whose members are in different components go on.
     named = rows_in.select("key", "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep"))
-    mixed = written(named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key"), "mixed_buckets")
+    mixed = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
     named = written(named.join(mixed, "key", "left_semi").groupBy("rep").agg(F.first("c").alias("c")), "named")
     rest = prefix_pairs(named, docs)
     if rest.limit(1).count():
