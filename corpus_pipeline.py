@@ -16,7 +16,11 @@ from panelwise.llm.common import table, written
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the compression classifier gives THRESHOLD or more."""
+    """Documents that the compression classifier gives THRESHOLD or more; a score at the threshold stays.
+
+    Null and empty texts are scored like any other and repeated rows one by one. Without labels of both
+    classes every text has the same score, so all stay or all go. Empty tables stay empty.
+    """
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
     score = "_score"
     while score.lower() in {c.lower() for c in docs.columns}:
@@ -25,17 +29,20 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts, the one with the largest doc_id."""
+    """One document of each group of equal texts, the one with the largest doc_id; null text is the empty
+    text, and of rows that repeat an id and a text one stays."""
     return exact_dedup.drop_duplicates(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates, the one with the smallest doc_id."""
+    """One document of each component of near duplicates, the one with the smallest doc_id. Empty texts link
+    with nothing and stay, as do rows with a null doc_id; rows that repeat a doc_id stay or go together."""
     return minhash.drop_near_duplicates(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: not at all, or up to three times."""
+    """Each document as often as the mix takes it: not at all, or up to three times. Null is a source of its
+    own; empty texts have no words and are not taken more than any other of their source. Reruns agree."""
     return mixing.repeated(docs)
 
 

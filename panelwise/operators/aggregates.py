@@ -144,3 +144,19 @@ def evidence_split(rows: DataFrame, person: str, variants: dict[str, dict[str, C
         share = paths.join(F.broadcast(total)).select(F.lit(name).alias("variant"), "path", "n_persons", (F.col("n_persons") / F.col("_t")).alias("share"))
         out = share if out is None else out.unionByName(share)
     return out.withColumn("response", F.when(F.col("share") >= threshold, "report").otherwise("note"))
+
+
+def exact_size(rows: DataFrame, n: int) -> DataFrame:
+    """``rows``, refused unless there are exactly ``n`` of them (an action: it counts once)."""
+    found = rows.count()
+    if found != n:
+        raise ValueError(f"{found} rows where {n} are due")
+    return rows
+
+
+def all_levels(rows: DataFrame, col: str, levels: Sequence[str]) -> DataFrame:
+    """``rows``, refused if one of the levels has none."""
+    seen = {r[0] for r in rows.where(F.col(col).isin(*levels)).select(col).distinct().collect()}
+    if missing := [x for x in levels if x not in seen]:
+        raise ValueError(f"no rows of {', '.join(missing)}")
+    return rows

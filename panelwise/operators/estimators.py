@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelwise.functions.columns import expit, logit
+from panelwise.functions.columns import expit, logit, spline_basis
 from panelwise.operators.aggregates import weighted_mean
 from panelwise.operators.running import running_sums
 from panelwise.sources.shared import shared_folder
@@ -162,8 +162,8 @@ def with_fitted(rows: DataFrame, x: Sequence[str], beta: Sequence[float], name:
 
 
 def set_terms(frame: pd.DataFrame, x: Sequence[str], beta: np.ndarray) -> np.ndarray:
-    """Log likelihood, gradient and information of whole matched sets, in one row."""
-    p, out = len(x), np.zeros(1 + len(x) + len(x) ** 2)
+    """Log likelihood, gradient, information and squared gradients of whole matched sets, in one row."""
+    p, out = len(x), np.zeros(1 + len(x) + 2 * len(x) ** 2)
     for _, g in frame.groupby("set_id", sort=False):
         z, case = g[list(x)].to_numpy(float), g["is_case"].to_numpy(bool)
         if case.sum() != 1 or len(g) < 2:
@@ -173,8 +173,10 @@ def set_terms(frame: pd.DataFrame, x: Sequence[str], beta: np.ndarray) -> np.nda
         pr = e / e.sum()
         mean = pr @ z
         out[0] += np.log(pr[case][0])
-        out[1 : 1 + p] += z[case][0] - mean
-        out[1 + p :] += ((z * pr[:, None]).T @ z - np.outer(mean, mean)).ravel()
+        slope = z[case][0] - mean
+        out[1 : 1 + p] += slope
+        out[1 + p : 1 + p + p * p] += ((z * pr[:, None]).T @ z - np.outer(mean, mean)).ravel()
+        out[1 + p + p * p :] += np.outer(slope, slope).ravel()
     return out
 
 
@@ -191,9 +193,9 @@ def fit_conditional_logit(rows: DataFrame, x: Sequence[str], steps: int = 30, ri
     rows.select("set_id", "is_case", *x).dropna().repartition("set_id").sortWithinPartitions("set_id").write.parquet(path)
     dealt = rows.sparkSession.read.parquet(path).repartition("set_id").sortWithinPartitions("set_id")
 
-    def at(beta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    def at(beta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
         def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total, rest = np.zeros(1 + p + p * p), None
+            total, rest = np.zeros(1 + p + 2 * p * p), None
             for batch in batches:
                 batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
                 last = (batch["set_id"] == batch["set_id"].iloc[-1]).to_numpy() if len(batch) else np.zeros(0, bool)
@@ -203,13 +205,13 @@ def fit_conditional_logit(rows: DataFrame, x: Sequence[str], steps: int = 30, ri
                 total += set_terms(rest, x, beta)
             yield pd.DataFrame({"k": np.arange(len(total)), "v": total})
 
-        v = np.zeros(1 + p + p * p)
+        v = np.zeros(1 + p + 2 * p * p)
         for r in dealt.mapInPandas(sums, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():
             v[r["k"]] = r["v"]
-        return v[0] - ridge * beta @ beta / 2, v[1 : 1 + p] - ridge * beta, v[1 + p :].reshape(p, p) + ridge * np.eye(p)
+        return v[0] - ridge * beta @ beta / 2, v[1 : 1 + p] - ridge * beta, v[1 + p : 1 + p + p * p].reshape(p, p) + ridge * np.eye(p), v[1 + p + p * p :].reshape(p, p)
 
     beta = np.zeros(p)
-    value, g, h = at(beta)
+    value, g, h, meat = at(beta)
     for _ in range(steps):
         step = np.linalg.solve(h + 1e-10 * np.eye(p), g)
         size = 1.0
@@ -218,12 +220,26 @@ def fit_conditional_logit(rows: DataFrame, x: Sequence[str], steps: int = 30, ri
             if new[0] >= value - 1e-12 or size < 1e-4:
                 break
             size /= 2
-        beta, (value, g, h) = beta + size * step, new
+        beta, (value, g, h, meat) = beta + size * step, new
         if np.abs(beta).max() > CEILING:
             raise ValueError("separated: a coefficient passes the ceiling")
         if np.abs(size * step).max() < 1e-8:
             break
-    return {"beta": beta, "cov": np.linalg.pinv(h), "loglik": value}
+    bread = np.linalg.pinv(h)
+    return {"beta": beta, "cov": bread, "robust": bread @ meat @ bread, "loglik": value}
+
+
+def association(members: DataFrame, ratio: str, structural: Column, reference: float = 1.0, most: float = 3.0, ridge: float = 1.0) -> list[tuple]:
+    """How an exposure ratio goes with being the case of a matched set: members that could have no exposure are
+    dropped, the ratio enters as tenths from the reference (0 where it is absent) beside an indicator of its
+    absence, and the fit's terms come with model and set-robust errors, and with the share of ratios at the
+    ceiling. ``members``: set_id, role and the ratio."""
+    d = members.where(~structural).select("set_id", (F.col("role") == "case").alias("is_case"), F.least(F.col(ratio), F.lit(most)).alias("r"))
+    d = d.select("set_id", "is_case", F.coalesce(10 * (F.col("r") - reference), F.lit(0.0)).alias("tenths"), F.col("r").isNull().cast("double").alias("absent"), "r")
+    at_most = d.agg(F.coalesce(F.avg((F.col("r") >= most).cast("double")), F.lit(0.0)).alias("s")).first()["s"]
+    fit = fit_conditional_logit(d.drop("r"), ["tenths", "absent"], ridge=ridge)
+    se, robust = (np.sqrt(np.diag(fit[k])) for k in ("cov", "robust"))
+    return [(n, float(fit["beta"][i]), float(se[i]), float(robust[i]), float(at_most)) for i, n in enumerate(("tenths", "absent"))]
 
 
 def replicates(units: DataFrame, unit: str, b: int, seed: int = 1) -> DataFrame:
@@ -249,6 +265,47 @@ def bootstrap_mean(rows: DataFrame, unit: str, group: str, value: str, b: int, s
     return point.join(q, group).select(group, "mean", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"), "n_replicates")
 
 
+def design(rows: DataFrame, splines: dict[str, Sequence[float]], levels: dict[str, Sequence[str]], logs: Sequence[str], centred: dict[str, float], products: Sequence[tuple[str, str]]) -> tuple[DataFrame, list[str]]:
+    """Design columns: spline bases, indicators of all levels but the first, log(1 + x), centred columns and
+    products of those. Columns that are constant over the rows are dropped, found by one aggregate."""
+    made: dict[str, Column] = {}
+    for c, knots in splines.items():
+        made |= {f"{c}_s{k}": v for k, v in enumerate(spline_basis(F.col(c), knots), 1)}
+    for c, names in levels.items():
+        made |= {f"{c}_{n}": (F.col(c) == n).cast("double") for n in names[1:]}
+    made |= {f"log_{c}": F.log1p(F.col(c).cast("double")) for c in logs}
+    made |= {f"{c}_centred": F.col(c).cast("double") - v for c, v in centred.items()}
+    made |= {f"{a}_x_{b}": made[a] * made[b] for a, b in products}
+    out = rows.withColumns(made)
+    ends = out.agg(*[F.struct(F.min(n).alias("lo"), F.max(n).alias("hi")).alias(n) for n in made]).first()
+    return out, [n for n in made if ends[n]["lo"] != ends[n]["hi"]]
+
+
+def exposure_block(rows: DataFrame, x: str, absent: str, knots: Sequence[float], reference: float) -> tuple[DataFrame, list[str]]:
+    """The exposure as spline columns that are 0 at the reference value and where the exposure is absent, and an
+    indicator of its absence; a contrast with the reference is then the spline at a value, by itself."""
+    at = spline_basis(F.coalesce(F.col(x), F.lit(reference)).cast("double"), knots)
+    zero = spline_basis(F.lit(float(reference)), knots)
+    there = (~F.col(absent)).cast("double")
+    made = {f"{x}_e{k}": (a - z) * there for k, (a, z) in enumerate(zip(at, zero, strict=True), 1)} | {f"{x}_absent": F.col(absent).cast("double")}
+    return rows.withColumns(made), list(made)
+
+
+def fit_or_step_down(attempts: Sequence[tuple[str, Callable[[], object]]]) -> tuple[object, list[tuple[int, str, str]]]:
+    """Estimators in order of preference: one that refuses (separation, a singular matrix) is recorded with its
+    reason and the next is tried. Returns the first result and the record of all that were tried."""
+    record: list[tuple[int, str, str]] = []
+    for k, (name, fit) in enumerate(attempts, 1):
+        try:
+            found = fit()
+        except (ValueError, np.linalg.LinAlgError) as why:
+            record.append((k, name, f"failed: {str(why).split(':')[0]}"))
+            continue
+        record.append((k, name, "fitted"))
+        return found, record
+    return None, record
+
+
 def fit_logit_each(rows: DataFrame, by: str, x: Sequence[str], y: str, weight: str, steps: int = 14) -> dict[int, np.ndarray | None]:
     """``fit_logit`` for every value of ``by`` (a replicate number), all in step: each Newton step is one
     aggregate that returns a row of sums for each replicate. None where a fit is singular or passes CEILING."""

@@ -15,7 +15,8 @@ from panelwise.sources.io import shared_folder
 
 
 #: Derived tables that many queries read: each is built once for a session and folder, written to
-#: the shared folder and read back, as the build of the reference tables does.
+#: the shared folder and read back, as the build of the reference tables does. The inputs are taken not to
+#: change within a session; a table that has gone from its folder is built again.
 _STORED = ("episodes", "minutes", "grid", "baseline", "elig", "features", "panel", "ev", "lm", "sets")
 _PATHS: dict[tuple[str, str, str], tuple[str, object]] = {}
 
@@ -35,7 +36,7 @@ class Chain:
 
     def _stored(self, name: str) -> DataFrame:
         key = (self.spark.sparkContext.applicationId, self.sf, name)
-        if key not in _PATHS:
+        if key not in _PATHS or not _there(self.spark, _PATHS[key][0]):
             made = _MAKERS[name](self)
             path = f"{shared_folder(self.spark)}/cohort-{uuid.uuid4().hex}/{name}"
             made.write.parquet(path)
@@ -44,6 +45,12 @@ class Chain:
         return self.spark.read.schema(schema).parquet(path)
 
 
+def _there(spark: SparkSession, path: str) -> bool:
+    """Whether a stored table is still in its folder."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 _MAKERS = {
     "zones": lambda c: A.zone_minutes(c.spark, c.sf),
     "activity": lambda c: A.activity(c.spark, c.sf),

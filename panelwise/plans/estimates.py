@@ -10,7 +10,7 @@ from panelwise.operators import estimators as E
 from panelwise.params import SCALED as P
 from panelwise.plans.chain import Chain, rounded
 from panelwise.plans.chain import with_tables as sql
-from panelwise.plans.fits import conditional_sql, covariance_sql, multiplicity_sql, newton_sql
+from panelwise.plans.fits import conditional_sql, covariance_sql, matched_sql, multiplicity_sql, newton_sql
 from panelwise.plans.registry import query
 
 
@@ -388,3 +388,72 @@ def e19c(c: Chain) -> DataFrame:
 def e19d(c: Chain) -> DataFrame:
     d = _scored(c)
     return rounded(E.alert_burden(d, "score", "y", E.confusion_at(d, "score", "y", 0.75)), "per_100_days", "per_caught")
+
+
+_KNOTS = (30.0, 45.0, 60.0, 75.0)
+
+
+def _spline_sql(x: str, knots: tuple[float, ...]) -> list[str]:
+    cube = lambda t: f"pow(greatest({x} - {t}, 0), 3)"
+    last, before, scale = knots[-1], knots[-2], (knots[-1] - knots[0]) ** 2
+    return [x] + [f"({cube(t)} - {cube(before)} * {(last - t) / (last - before)} + {cube(last)} * {(before - t) / (last - before)}) / {scale}" for t in knots[:-2]]
+
+
+_AGE = _spline_sql("age", _KNOTS)
+_DESIGN = {"age_s1": _AGE[0], "age_s2": _AGE[1], "age_s3": _AGE[2], "region_lumbar": "CAST(region = 'lumbar' AS DOUBLE)", "region_thoracic": "CAST(region = 'thoracic' AS DOUBLE)", "region_absent": "CAST(region = 'absent' AS DOUBLE)", "log_los_days": "ln(1 + los_days)",
+           "year_centred": "year(index_date) - 2024.0", "log_los_days_x_region_lumbar": "ln(1 + los_days) * CAST(region = 'lumbar' AS DOUBLE)"}
+
+
+@query("e01b_design", sql("SELECT name, round(mean, 6) AS mean FROM (SELECT unnest([" + ", ".join(f"'{n}'" for n in _DESIGN) + "]) AS name, unnest([" + ", ".join(f"avg({e})" for e in _DESIGN.values()) + "]) AS mean, unnest([" + ", ".join(f"min({e}) <> max({e})" for e in _DESIGN.values()) + "]) AS varies FROM features) WHERE varies", "features"))
+def e01b(c: Chain) -> DataFrame:
+    """Means of the design columns that vary: splines, indicators, logarithm, centred year, product."""
+    d = c.features.withColumn("year", F.year("index_date"))
+    out, names = E.design(d, {"age": _KNOTS}, {"region": ("cervical", "lumbar", "thoracic", "absent")}, ["los_days"], {"year": 2024.0}, [("log_los_days", "region_lumbar")])
+    one = out.agg(*[F.avg(n).alias(n) for n in names])
+    return rounded(one.unpivot([], names, "name", "mean"), "mean")
+
+
+_EXPOSED = "(SELECT least(3.0, coalesce(r, 1.0)) AS x, CAST(r IS NULL AS DOUBLE) AS a, role FROM (SELECT any_value(m.role) AS role, median(g.steps) / any_value(f.baseline_steps) AS r FROM sets m JOIN features f USING (episode_id) LEFT JOIN grid g ON g.person_id = m.person_id AND g.activity_date - f.discharge_date - m.day BETWEEN {lo} AND {hi} AND g.activity_date > f.discharge_date AND g.valid_wear AND g.steps IS NOT NULL GROUP BY m.set_id, m.episode_id, m.role, m.day))"
+_KN = (0.3, 0.8, 1.5)
+_AT, _ONE = _spline_sql("x", _KN), _spline_sql("1.0", _KN)
+
+
+@query("e02_exposure_block", sql("SELECT role, count(*) AS n, " + ", ".join(f"round(avg((1 - a) * ({u} - ({v}))), 6) AS ratio_e{k}" for k, (u, v) in enumerate(zip(_AT, _ONE, strict=True), 1)) + ", round(avg(a), 6) AS ratio_absent FROM " + _EXPOSED.format(lo=P.landmark[0], hi=P.landmark[1]) + " GROUP BY role", "sets", "grid"))
+def e02(c: Chain) -> DataFrame:
+    """Means by role of the exposure block: spline columns that vanish at ratio 1, and the indicator of absence."""
+    from panelwise.operators.events import member_exposure
+
+    m = member_exposure(c.sets, c.features, c.grid, P.landmark, 1).select("role", F.least("ratio", F.lit(3.0)).alias("ratio"), F.col("ratio").isNull().alias("none"))
+    out, names = E.exposure_block(m, "ratio", "none", _KN, 1.0)
+    return out.groupBy("role").agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(n), 6).alias(n) for n in names])
+
+
+@query("e23_attempts", sql("SELECT 1 AS attempt, 'logit_on_itself' AS estimator, CASE WHEN count_if(y = 1) * count_if(y = 0) > 0 THEN 'failed: separated' ELSE 'fitted' END AS status FROM days UNION ALL SELECT 2, 'fractional_logit', CASE WHEN min(deficit) < max(deficit) THEN 'fitted' END FROM days", "days"))
+def e23(c: Chain) -> DataFrame:
+    """A fit that is separated by construction, and the one that is stepped down to."""
+    d = _terms(c)
+    _, record = E.fit_or_step_down([("logit_on_itself", lambda: E.fit_logit(d, ("one", "y"), "y")), ("fractional_logit", lambda: E.fit_logit(d.where("deficit IS NOT NULL"), ("one", "day"), "deficit")), ("cell_means", lambda: E.cell_means(d, "region", "post_day", "deficit", "w"))])
+    return c.spark.createDataFrame(record, "attempt int, estimator string, status string")
+
+
+_MATCHED = "(SELECT m.set_id, any_value(m.role) = 'case' AS is_case, least(3.0, median(g.steps) / any_value(f.baseline_steps)) AS r FROM sets m JOIN features f USING (episode_id) LEFT JOIN grid g ON g.person_id = m.person_id AND g.activity_date - f.discharge_date - m.day BETWEEN {lo} AND {hi} AND g.activity_date > f.discharge_date AND g.valid_wear AND g.steps IS NOT NULL WHERE m.day > 3 GROUP BY m.set_id, m.episode_id, m.role, m.day)".format(lo=P.landmark[0], hi=P.landmark[1])
+
+
+@query("e26_association", sql("SELECT unnest(['tenths', 'absent']) AS term, round(unnest([b0, b1]), 5) AS beta, round(unnest([sqrt(v00), sqrt(v11)]), 5) AS se, round(unnest([sqrt(r00), sqrt(r11)]), 5) AS robust_se, round((SELECT coalesce(avg(CAST(r >= 3 AS DOUBLE)), 0) FROM " + _MATCHED + "), 6) AS at_ceiling FROM (" + matched_sql(f"(SELECT set_id, is_case, coalesce(10 * (r - 1), 0) AS tenths, CAST(r IS NULL AS DOUBLE) AS absent FROM {_MATCHED})", ["tenths", "absent"], 1.0) + ")", "sets", "grid"))
+def e26(c: Chain) -> DataFrame:
+    from panelwise.operators.events import member_exposure
+
+    m = member_exposure(c.sets, c.features, c.grid, P.landmark, 1)
+    found = [(r[0], *(round(v, 5) for v in r[1:4]), round(r[4], 6)) for r in E.association(m, "ratio", F.col("day") <= 3)]
+    return c.spark.createDataFrame(found, "term string, beta double, se double, robust_se double, at_ceiling double")
+
+
+@query("e27_discrete_time_fit", sql("SELECT unnest(['one', 'day', 'exposed']) AS term, round(unnest([b0, b1, b2]), 4) AS beta, round(unnest([sqrt(r00), sqrt(r11), sqrt(r22)]), 4) AS robust_se FROM (WITH dt AS MATERIALIZED (SELECT l.episode_id, (l.post_day - 5) / 5.0 AS day, CAST(l.has_landmark AS DOUBLE) AS exposed, CAST(coalesce(l.post_day = f.first_event, FALSE) AS DOUBLE) AS y FROM lm l LEFT JOIN (SELECT episode_id, min(event_day) AS first_event FROM ev GROUP BY episode_id) f USING (episode_id) WHERE NOT l.is_censored AND NOT l.no_window AND l.post_day <= coalesce(first_event, l.post_day)), dt_fit AS MATERIALIZED (" + newton_sql("dt", ["1", "day", "exposed"], "y") + ") SELECT * FROM (" + covariance_sql("dt", ["1", "day", "exposed"], "y", "dt_fit", "episode_id") + "))", "lm", "ev"))
+def e27(c: Chain) -> DataFrame:
+    """The discrete-time design (day, exposure) fitted to the first event, with cluster-robust errors."""
+    from panelwise.operators.events import discrete_time_panel
+
+    d = discrete_time_panel(c.lm.where("NOT no_window"), c.ev).select("episode_id", F.lit(1.0).alias("one"), ((F.col("post_day") - 5) / 5.0).alias("day"), F.col("has_landmark").cast("double").alias("exposed"), F.col("outcome").cast("double").alias("y"))
+    fit = E.fit_logit(d, ("one", "day", "exposed"), "y", cluster="episode_id")
+    se = np.sqrt(np.diag(fit["robust"]))
+    return c.spark.createDataFrame([(n, float(round(b, 4)), float(round(v, 4))) for n, b, v in zip(("one", "day", "exposed"), fit["beta"], se, strict=True)], "term string, beta double, robust_se double")

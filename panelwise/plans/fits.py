@@ -86,3 +86,23 @@ def thresholds() -> list[str]:
 def multiplicity_sql(b: str, unit: str, seed: int = 1) -> str:
     drawn = f"substr(md5(concat_ws('|', {b}, {unit}, {seed})), 1, 8)"
     return " + ".join(f"CAST({drawn} > '{t}' AS INTEGER)" for t in thresholds())
+
+
+def matched_sql(data: str, x: Sequence[str], ridge: float, steps: int = 20) -> str:
+    """One row of a ridge conditional logit over set_id, is_case and several covariates: b0.., the inverse
+    information v00.. and the set-robust covariance r00..."""
+    p = len(x)
+    pairs = [(i, j) for i in range(p) for j in range(i, p)]
+    b = ", ".join(f"b{i}" for i in range(p))
+    eta = " + ".join(f"b{i} * x{i}" for i in range(p))
+    per_set = [f"max(CASE WHEN is_case THEN x{i} END) - sum(x{i} * e) / sum(e) AS g{i}" for i in range(p)] + [f"sum(x{i} * x{j} * e) / sum(e) - sum(x{i} * e) * sum(x{j} * e) / (sum(e) * sum(e)) AS h{i}{j}" for i, j in pairs]
+    total = [f"sum(g{i}) - {ridge} * b{i} AS g{i}" for i in range(p)] + [f"sum(h{i}{j})" + (f" + {ridge}" if i == j else "") + f" AS h{i}{j}" for i, j in pairs] + [f"sum(g{i} * g{j}) AS m{i}{j}" for i, j in pairs]
+    v = lambda i, j: inverse(p, i, j)
+    m = lambda i, j: f"m{min(i, j)}{max(i, j)}"
+    step = ", ".join(f"b{i} + " + " + ".join(f"{v(i, j)} * g{j}" for j in range(p)) + f" AS b{i}" for i in range(p))
+    sums = f"SELECT i, {b}, {', '.join(total)} FROM (SELECT i, {b}, set_id, {', '.join(per_set)} FROM (SELECT *, exp({eta}) AS e FROM n, d) GROUP BY i, {b}, set_id) GROUP BY i, {b}"
+    last = f"SELECT {b}, {', '.join(total)} FROM (SELECT {b}, set_id, {', '.join(per_set)} FROM (SELECT *, exp({eta}) AS e FROM n, d WHERE i = {steps}) GROUP BY {b}, set_id) GROUP BY {b}"
+    robust = ", ".join(" + ".join(f"{v(i, k)} * {m(k, q)} * {v(q, j)}" for k in range(p) for q in range(p)) + f" AS r{i}{j}" for i, j in pairs)
+    return f"""WITH RECURSIVE d AS MATERIALIZED (SELECT set_id, is_case, {', '.join(f'CAST({c} AS DOUBLE) AS x{i}' for i, c in enumerate(x))} FROM {data} QUALIFY count_if(is_case) OVER (PARTITION BY set_id) = 1 AND count(*) OVER (PARTITION BY set_id) > 1),
+n AS (SELECT 0 AS i, {', '.join(f'CAST(0 AS DOUBLE) AS b{i}' for i in range(p))} UNION ALL SELECT i + 1, {step} FROM ({sums}) WHERE i < {steps})
+SELECT {b}, {', '.join(f'{v(i, j)} AS v{i}{j}' for i, j in pairs)}, {robust} FROM ({last})"""

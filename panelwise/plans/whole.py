@@ -268,3 +268,30 @@ def q33(c: Chain) -> DataFrame:
 
     folder = f"{shared_folder(c.spark)}/ledgers-{c.sf.strip('/').replace('/', '_')}"
     return build_tables(c.spark, {"set_sizes": lambda _: ledgers.set_size_ledger(c.sets)}, folder)["set_sizes"]
+
+
+@query("cp02b_exact_code_set", sql("SELECT c.code, c.region, c.procedure_class, count(r.code) AS n_records FROM codes c LEFT JOIN records r USING (code) GROUP BY ALL", "codes", "records"))
+def cp02b(c: Chain) -> DataFrame:
+    """The code list with its exact number of codes asserted, and how often each is used."""
+    codes = A.exact_size(c.codes, 100)
+    used = c.records.groupBy("code").agg(F.count(F.lit(1)).alias("n_records"))
+    return codes.join(used, "code", "left").select("code", "region", "procedure_class", F.coalesce("n_records", F.lit(0)).alias("n_records"))
+
+
+@query("cp03b_pattern_set_whole", sql("SELECT category, model FROM (SELECT DISTINCT model FROM devices), (VALUES ('any_view', '^VIEW'), ('odd', '[13579]$'), ('seven', '7')) p(category, pattern) WHERE regexp_matches(model, pattern)", "devices"))
+def cp03b(c: Chain) -> DataFrame:
+    """Every model with each category whose pattern it fits; refused if a category has none."""
+    from panelwise.plans.cohort import _PATTERNS
+
+    hits = F.array_compact(F.array(*[F.when(F.col("model").rlike(p), F.lit(n)) for n, p in _PATTERNS]))
+    found = c.devices.select("model").distinct().select(F.explode(hits).alias("category"), "model")
+    return A.all_levels(found, "category", [n for n, _ in _PATTERNS])
+
+
+@query("cp05b_minutes_checked", sql("SELECT person_id, date, wear_minutes FROM minutes", "minutes"))
+def cp05b(c: Chain) -> DataFrame:
+    """Daily minutes with the check of impossible days on: the stand-ins have more of them than real tables
+    (13 % of person-days), so the share that is refused is 25 % here and 5 % by default."""
+    from panelwise.operators.daily import daily_minutes
+
+    return daily_minutes(c.zones, c.spans, 0.25).select("person_id", "date", "wear_minutes")
