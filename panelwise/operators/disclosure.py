@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwise.functions.disclosure import FLOOR, HIDDEN, disclosable, is_legal_count, round20
-
-
-#: A table for display has no more cells than this.
-MOST_CELLS = 10_000
+from panelwise.sources.shared import shared_folder
 
 
 def suppress_frame(table: DataFrame, counts: Sequence[str]) -> DataFrame:
@@ -39,11 +37,10 @@ def complementary(table: DataFrame, partition: Sequence[str], count: str, order:
 def complementary_grid(table: DataFrame, row: str, col: str, count: str) -> DataFrame:
     """Hide cells of a table with margins until no row or column has a lone hidden member.
 
-    Every pass hides one more cell of each such line, so it ends within the number of cells. The table
-    is a small aggregate (MOST_CELLS at most, else refused), so each pass's result is held as rows.
+    Every pass hides one more cell of each such line, so it ends within the number of cells. Each pass's
+    result is written to the shared folder and read back, so a table of any size keeps a short plan.
     """
-    if table.limit(MOST_CELLS + 1).count() > MOST_CELLS:
-        raise ValueError("too many cells for a table with margins")
+    spark = table.sparkSession
     t = table.withColumn("hidden", ~disclosable(F.col(count)))
     while True:
         for line, other in ((row, col), (col, row)):
@@ -52,7 +49,9 @@ def complementary_grid(table: DataFrame, row: str, col: str, count: str) -> Data
             rank = F.row_number().over(w.orderBy(shown.desc(), F.col(count).asc(), F.col(other).asc()))
             lone = (F.sum(F.col("hidden").cast("int")).over(w) == 1) & (F.count_if(shown).over(w) > 0)
             t = t.withColumn("_new", F.col("hidden") | (lone & (rank == 1))).withColumn("hidden", F.col("_new")).drop("_new")
-        before = t.sparkSession.createDataFrame(t.collect(), t.schema)
+        path = f"{shared_folder(spark)}/grid-{uuid.uuid4().hex}"
+        t.write.parquet(path)
+        before = spark.read.schema(t.schema).parquet(path)
         lines = [before.groupBy(x).agg(F.count_if("hidden").alias("h"), F.count_if(~F.col("hidden") & (F.col(count) > 0)).alias("s")).where("h = 1 AND s > 0") for x in (row, col)]
         t = before
         if not any(x.limit(1).count() for x in lines):
