@@ -448,12 +448,13 @@ def e26(c: Chain) -> DataFrame:
     return c.spark.createDataFrame(found, "term string, beta double, se double, robust_se double, at_ceiling double")
 
 
-@query("e27_discrete_time_fit", sql("SELECT unnest(['one', 'day', 'exposed']) AS term, round(unnest([b0, b1, b2]), 4) AS beta, round(unnest([sqrt(r00), sqrt(r11), sqrt(r22)]), 4) AS robust_se FROM (WITH dt AS MATERIALIZED (SELECT l.episode_id, (l.post_day - 5) / 5.0 AS day, CAST(l.has_landmark AS DOUBLE) AS exposed, CAST(coalesce(l.post_day = f.first_event, FALSE) AS DOUBLE) AS y FROM lm l LEFT JOIN (SELECT episode_id, min(event_day) AS first_event FROM ev GROUP BY episode_id) f USING (episode_id) WHERE NOT l.is_censored AND NOT l.no_window AND l.post_day <= coalesce(first_event, l.post_day)), dt_fit AS MATERIALIZED (" + newton_sql("dt", ["1", "day", "exposed"], "y") + ") SELECT * FROM (" + covariance_sql("dt", ["1", "day", "exposed"], "y", "dt_fit", "episode_id") + "))", "lm", "ev"))
+@query("e27_discrete_time_fit", sql("SELECT unnest(['one', 'day', 'fusion']) AS term, round(unnest([b0, b1, b2]), 4) AS beta, round(unnest([sqrt(r00), sqrt(r11), sqrt(r22)]), 4) AS robust_se FROM (WITH dt AS MATERIALIZED (SELECT l.episode_id, (l.post_day - 5) / 5.0 AS day, CAST(x.is_fusion AS DOUBLE) AS fusion, CAST(coalesce(l.post_day = f.first_event, FALSE) AS DOUBLE) AS y FROM lm l JOIN features x ON x.episode_id = l.episode_id LEFT JOIN (SELECT episode_id, min(event_day) AS first_event FROM ev GROUP BY episode_id) f ON f.episode_id = l.episode_id WHERE NOT l.is_censored AND l.post_day <= coalesce(first_event, l.post_day)), dt_fit AS MATERIALIZED (" + newton_sql("dt", ["1", "day", "fusion"], "y") + ") SELECT * FROM (" + covariance_sql("dt", ["1", "day", "fusion"], "y", "dt_fit", "episode_id") + "))", "lm", "ev", "features"))
 def e27(c: Chain) -> DataFrame:
-    """The discrete-time design (day, exposure) fitted to the first event, with cluster-robust errors."""
+    """The discrete-time design (day, covariate) fitted to the first event, with cluster-robust errors."""
     from panelwise.operators.events import discrete_time_panel
 
-    d = discrete_time_panel(c.lm.where("NOT no_window"), c.ev).select("episode_id", F.lit(1.0).alias("one"), ((F.col("post_day") - 5) / 5.0).alias("day"), F.col("has_landmark").cast("double").alias("exposed"), F.col("outcome").cast("double").alias("y"))
-    fit = E.fit_logit(d, ("one", "day", "exposed"), "y", cluster="episode_id")
+    d = discrete_time_panel(c.lm, c.ev).join(c.features.select("episode_id", "is_fusion"), "episode_id")
+    d = d.select("episode_id", F.lit(1.0).alias("one"), ((F.col("post_day") - 5) / 5.0).alias("day"), F.col("is_fusion").cast("double").alias("fusion"), F.col("outcome").cast("double").alias("y"))
+    fit = E.fit_logit(d, _LOST, "y", cluster="episode_id")
     se = np.sqrt(np.diag(fit["robust"]))
-    return c.spark.createDataFrame([(n, float(round(b, 4)), float(round(v, 4))) for n, b, v in zip(("one", "day", "exposed"), fit["beta"], se, strict=True)], "term string, beta double, robust_se double")
+    return c.spark.createDataFrame([(n, float(round(b, 4)), float(round(v, 4))) for n, b, v in zip(_LOST, fit["beta"], se, strict=True)], "term string, beta double, robust_se double")
