@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from panelwise.llm import bpe, embeddings, exact_dedup, minhash, mixing, pii, quality, suffix, toxicity, warc
+from panelwise.llm import bpe, embeddings, exact_dedup, minhash, mixing, packing, pii, quality, search, suffix, toxicity, variants, warc
 from panelwise.llm.common import table
 
 
@@ -70,6 +70,19 @@ def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_back(pages, shards).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_vector_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.token_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packing.packed(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op12_trie_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_blocked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 OP5_SQL = """
 SELECT doc_id,
        max(doc_id) OVER w AS keep_id,
@@ -95,6 +108,35 @@ FROM f
 """
 
 
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+OP13_SQL = f"""
+WITH t AS (
+  SELECT row_number() OVER () AS k, doc_id, {_TERMS} AS ts FROM documents
+), d AS (
+  SELECT k, doc_id, len(ts) AS n FROM t WHERE len(ts) > 0
+), g AS (
+  SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM d
+), q AS (
+  SELECT DISTINCT item_no, item_id, unnest(ts) AS term
+  FROM (SELECT row_number() OVER () AS item_no, item_id, {_TERMS} AS ts FROM benchmark)
+), f AS (
+  SELECT k, term, count(*) AS tf FROM (SELECT k, unnest(ts) AS term FROM t)
+  WHERE term IN (SELECT term FROM q) GROUP BY k, term
+), w AS (
+  SELECT term, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM f, g GROUP BY term
+), s AS (
+  SELECT item_no, any_value(item_id) AS item_id, k, any_value(doc_id) AS doc_id,
+         sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms))))::BIGINT AS score
+  FROM q JOIN f USING (term) JOIN w USING (term) JOIN d USING (k), g
+  GROUP BY item_no, k
+), r AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_no ORDER BY score DESC, doc_id NULLS LAST) AS rank, doc_id, score
+  FROM s WHERE score > 0
+)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= 10
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_classifier": op1_quality_classifier,
@@ -107,8 +149,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_source_mix": op8_source_mix,
         "op9_minhash": op9_minhash,
         "op10_warc_index": op10_warc_index,
+        "op11_vector_best_fit": op11_vector_best_fit,
+        "op12_trie_frontier": op12_trie_frontier,
+        "op13_blocked_search": op13_blocked_search,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": OP5_SQL, "op10_warc_index": OP10_SQL}
+    return {"op5_exact_dedup": OP5_SQL, "op10_warc_index": OP10_SQL, "op13_blocked_search": OP13_SQL}
