@@ -168,9 +168,9 @@ def trie_nodes(words: DataFrame) -> DataFrame:
     edges = trie_rows(words).groupBy("node", "code", "child").agg(
         F.count(F.lit(1)).alias("n"), F.bit_or("next1").alias("next1"), F.bit_or("next2").alias("next2"), F.bit_or("left").alias("left"),
         F.min("id").alias("lo"), F.max("id").alias("hi"), F.min("from").alias("from"), F.max("to").alias("to"))
-    edge = F.struct(F.when(F.col("code") == 0, F.lit("")).otherwise(F.expr("char(code)")).alias("c"), "child", "n", "next1", "next2", "left", "lo", "hi")
-    nodes = edges.groupBy("node").agg(F.sum("n").alias("below"), F.min("from").alias("from"), F.max("to").alias("to"), F.collect_list(edge).alias("edges"))  # one for each letter at most
-    return nodes.where((F.col("below") > CONTAINER) | (F.col("from") == 0)).drop("below")
+    edge = F.struct(F.when(F.col("code") == 0, F.lit("")).otherwise(F.expr("char(code)")).alias("c"), "child", F.col("n").alias("below"), "next1", "next2", "left", "lo", "hi")
+    nodes = edges.groupBy("node").agg(F.sum("n").alias("words"), F.min("from").alias("from"), F.max("to").alias("to"), F.collect_list(edge).alias("edges"))  # one for each letter at most
+    return nodes.where((F.col("words") > CONTAINER) | (F.col("from") == 0)).drop("words")
 
 
 def _asks(mask: Column, value: Column) -> Column:
@@ -179,30 +179,29 @@ def _asks(mask: Column, value: Column) -> Column:
 
 def next_level(states: DataFrame, nodes: DataFrame) -> DataFrame:
     """States one level down and candidates (rows with ``other``), from states ``word, n, back, start, pos, edits, node``."""
-    e = F.col("e")
     size = F.length("word")
-    at = states.join(nodes.select("node", "edges"), "node").select("word", "n", "back", "start", "pos", "edits", F.explode("edges").alias("e"))
+    at = states.join(nodes.select("node", "edges"), "node").select("word", "n", "back", "start", "pos", "edits", F.inline("edges"))
     own = F.substring(F.col("word"), F.col("pos") + 1, F.lit(1))
-    follows, few = own == e["c"], e["n"] <= CONTAINER
-    at = at.where((F.col("edits") == 0) | follows).withColumns({"follows": follows, "few": few})
+    at = at.withColumn("follows", own == F.col("c")).where((F.col("edits") == 0) | F.col("follows"))
 
     def fits(pos: Column) -> Column:
         """Whether the rest of the word from ``pos`` may stand below the edge."""
         char = lambda k: F.coalesce(F.ascii(F.substring(F.col("word"), pos + k, F.lit(1))), F.lit(0))
-        return _asks(e["next1"], char(1)) & _asks(e["next2"], char(2)) & _asks(e["left"], F.greatest(size - pos, F.lit(0)))
+        return _asks(F.col("next1"), char(1)) & _asks(F.col("next2"), char(2)) & _asks(F.col("left"), F.greatest(size - pos, F.lit(0)))
 
-    other = (e["c"] != "") & ~F.col("follows") & (F.col("edits") == 0)
-    step = lambda pos, edits: F.struct(pos.cast("int").alias("pos"), F.lit(edits).alias("edits"))
+    exact, ends = F.col("edits") == 0, F.col("c") == ""
+    other = ~ends & ~F.col("follows") & exact
+    step = lambda pos, edits: F.struct(pos.cast("int").alias("to"), F.lit(edits).alias("made"))
     after = F.col("pos") + 1
     moves = F.filter(F.array(
-        F.when((F.col("edits") == 0) & F.col("follows") & (e["c"] != "") & (e["n"] > 1), step(after, 0)),  # alone below is the word itself
-        F.when((F.col("edits") == 1) & ((e["c"] == "") | fits(after)), step(after, 1)),
-        F.when(other & (own != "") & (e["c"] > own) & fits(after), step(after, 1)),
+        F.when(exact & F.col("follows") & ~ends & (F.col("below") > 1), step(after, 0)),  # alone below is the word itself
+        F.when(~exact & (ends | fits(after)), step(after, 1)),
+        F.when(other & (own != "") & (F.col("c") > own) & fits(after), step(after, 1)),
         F.when(other & fits(F.col("pos")), step(F.col("pos"), 1))), lambda x: x.isNotNull())
-    moved = at.withColumn("m", F.explode(moves))
-    both = F.when(F.col("few"), F.when(e["lo"] == e["hi"], F.array(e["lo"])).otherwise(F.array(e["lo"], e["hi"]))).otherwise(F.array(F.lit(None).cast("long")))
-    on = moved.where(F.col("few") | (e["c"] != "")).select("word", "n", "back", "start", F.col("m.pos").alias("pos"), F.col("m.edits").alias("edits"), e["child"].alias("node"), F.explode(both).alias("other"))
-    return on
+    few = F.col("below") <= CONTAINER
+    words_below = F.when(few, F.when(F.col("lo") == F.col("hi"), F.array("lo")).otherwise(F.array("lo", "hi"))).otherwise(F.array(F.lit(None).cast("long")))
+    moved = at.withColumn("words_below", words_below).select("word", "n", "back", "start", "child", "words_below", F.inline(moves))
+    return moved.select("word", "n", "back", "start", F.col("to").alias("pos"), F.col("made").alias("edits"), F.col("child").alias("node"), F.explode("words_below").alias("other"))
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
