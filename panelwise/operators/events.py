@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from panelwise.functions.columns import is_in_ci, log_ratio, ratio
 from panelwise.operators.episodes import AMBULATORY
 from panelwise.operators.joins import latest_first, window_join
+from panelwise.operators.matching import next_on_ring, ring_place
 from panelwise.params import CohortParams
 
 
@@ -88,38 +89,61 @@ def landmark_disagreements(lm: DataFrame, ev: DataFrame) -> DataFrame:
     return lm.join(a, ["episode_id", "post_day"]).where("n_valid <> ev_valid").select("episode_id", "post_day", "n_valid", "ev_valid")
 
 
-def risk_sets(features: DataFrame, ev: DataFrame, p: CohortParams, reach: int = 2, salts: int = 32) -> DataFrame:
-    """Incidence-density sampling in long form, one case and its controls per set.
-
-    A control is at risk, without an event up to then, on a day within ``reach`` of the case's; of its
-    days the one that matches best counts: the case's day and weekday, then the same part of the week,
-    then any, then the nearest, then by fingerprint. A set takes the strictest rung that leaves two
-    controls, five of them, and a person serves three times, in the order of an MD5 fingerprint.
+def risk_set_candidates(features: DataFrame, ev: DataFrame, p: CohortParams, reach: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Cases (``set_id`` and who and when they are) and, for each set and rung, at least the first few candidates in the set's
+    order: ``set_id, episode_id, person_id, rung, day, distance``.
 
-    The pool is dealt over ``salts`` tasks by episode, and every case meets each part of it once. A part
-    gives a set the first few of each rung only, which is all that the set's own ranking can use, so what
-    is shuffled after that grows with the cases and not with cases times pool.
+    What a candidate offers a set follows from the weekday of its discharge and its last day free of events alone.
+    So the pool is sorted in classes of (weekday, last day), and a set asks each class for its next keys on the
+    ring. Last days beyond the reach are all alike to a set: they are asked for by blocks of 1, 2, 4, ... days, of
+    which some four hold an episode and at most log2(panel_days) are asked. Candidates made
+    are at most a fixed number for each case, however large the pool is.
     """
     c = ev.where("is_first_event AND NOT no_window").select(F.col("event_id").alias("set_id"), F.col("episode_id").alias("case_episode"), F.col("person_id").alias("case_person"), F.col("event_day").alias("case_day"), F.col("landmark_dow").alias("case_dow"))
     first = ev.groupBy("episode_id").agg(F.min("event_day").alias("first_event"))
-    last = F.least(F.col("at_risk_last_day"), F.coalesce(F.col("first_event") - 1, F.col("at_risk_last_day")))
+    last = F.least(F.col("at_risk_last_day"), F.coalesce(F.col("first_event") - 1, F.col("at_risk_last_day"))).cast("int")
     pool = features.select("episode_id", "person_id", "discharge_date", "at_risk_last_day").join(first, "episode_id", "left").withColumn("last", last).where("last >= 1")
-    pool = pool.select("episode_id", "person_id", "discharge_date", "last", F.pmod(F.xxhash64("episode_id"), F.lit(salts)).cast("int").alias("salt")).repartition(salts, "salt")
-    asked = c.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).repartition(salts, "salt")
-    met = asked.join(pool.hint("shuffle_hash"), "salt").where((F.col("episode_id") != F.col("case_episode")) & (F.col("last") >= F.greatest(F.lit(1), F.col("case_day") - reach)))
-
-    def offer(day: Column) -> Column:
-        dow = F.dayofweek(F.date_add("discharge_date", day + p.landmark[1]))
-        rung = F.when((day == F.col("case_day")) & (dow == F.col("case_dow")), 1).when(dow.isin(1, 7) == F.col("case_dow").isin(1, 7), 2).otherwise(3)
-        fingerprint = F.md5(F.concat_ws("|", F.lit(p.salt), F.lit(str(p.seed)), "set_id", "episode_id", day.cast("string")))
-        return F.struct(rung.alias("rung"), F.abs(day - F.col("case_day")).alias("gap"), fingerprint.alias("fingerprint"), day.alias("day"))
-
-    days = F.sequence(F.greatest(F.lit(1), F.col("case_day") - reach), F.least("last", F.col("case_day") + reach))
-    best = met.select("salt", "set_id", "episode_id", "person_id", F.array_min(F.transform(days, offer)).alias("o")).select("salt", "set_id", "episode_id", "person_id", "o.rung", "o.fingerprint", "o.day")
-    few = latest_first(best, ["salt", "set_id", "rung"], [F.col("fingerprint").asc()], max(p.per_set, 2))
+    depth = (p.panel_days + reach).bit_length()
+
+    def class_of(dow: Column, level: Column, block: Column) -> Column:
+        return (dow * 64 + level).cast("long") * (1 << 32) + block.cast("long")
+
+    key = [F.lit(p.salt), F.lit(str(p.seed))]
+    held = F.filter(F.transform(F.sequence(F.lit(0), F.lit(depth)), lambda j: F.struct(j.alias("level"), F.floor(F.col("last") / F.pow(F.lit(2.0), j)).cast("int").alias("block"))), lambda b: (b["level"] == 0) | (b["block"] % 2 == 1))
+    items = pool.withColumn("b", F.explode(held)).select(class_of(F.dayofweek("discharge_date"), F.col("b.level"), F.col("b.block")).alias("class"), ring_place(*key, "episode_id").alias("place"), F.struct("episode_id", "person_id").alias("item"))
+
+    def offer(dow: Column, up_to: Column) -> Column:
+        """The best of the days that a candidate with this weekday, free up to a day, offers the case."""
+        def one(day: Column) -> Column:
+            of_day = F.pmod(dow - 1 + day + p.landmark[1], F.lit(7)) + 1
+            rung = F.when((day == F.col("case_day")) & (of_day == F.col("case_dow")), 1).when(of_day.isin(1, 7) == F.col("case_dow").isin(1, 7), 2).otherwise(3)
+            return F.struct(rung.alias("rung"), F.abs(day - F.col("case_day")).alias("gap"), day.alias("day"))
+        return F.array_min(F.transform(F.sequence(F.greatest(F.lit(1), F.col("case_day") - reach), up_to), one))
+
+    low, high = F.greatest(F.lit(1), F.col("case_day") - reach), F.col("case_day") + reach
+    single = F.transform(F.sequence(low, high - 1), lambda day: F.struct(F.lit(0).alias("level"), day.alias("block"), day.alias("up_to")))
+    beyond = F.filter(F.transform(F.sequence(F.lit(0), F.lit(depth)), lambda j: F.struct(j.alias("level"), (F.floor((high - 1) / F.pow(F.lit(2.0), j)).cast("int") + 1).alias("block"), high.alias("up_to"))), lambda b: b["block"] % 2 == 1)
+    asks = c.withColumn("dow", F.explode(F.sequence(F.lit(1), F.lit(7)))).withColumn("b", F.explode(F.concat(single, beyond))).withColumn("o", offer(F.col("dow"), F.col("b.up_to")))
+    asked = asks.select(class_of(F.col("dow"), F.col("b.level"), F.col("b.block")).alias("class"), ring_place(*key, "set_id").alias("place"), F.struct("set_id", "case_episode", "o.rung", "o.day").alias("ask"))
+    met = next_on_ring(items, asked, max(p.per_set, 2) + 1).where("item.episode_id <> ask.case_episode")  # one more, for the case itself
+    return c, met.select("ask.set_id", "item.episode_id", "item.person_id", "ask.rung", "ask.day", "distance")
+
+
+def risk_sets(features: DataFrame, ev: DataFrame, p: CohortParams, reach: int = 2) -> DataFrame:
+    """Incidence-density sampling in long form, one case and its controls per set.
+
+    A control is at risk, without an event up to then, on a day within ``reach`` of the case's; of its
+    days the one that matches best counts: the case's day and weekday, then the same part of the week,
+    then any, then the nearest, then the earlier. A set takes the strictest rung that leaves two
+    controls, five of them, and a person serves three times, in the order of the distance on a ring of hashed
+    episodes from the set's place. Only the next few keys of the sorted pool are met, see ``risk_set_candidates``.
+    """
+    c, met = risk_set_candidates(features, ev, p, reach)
+    order = [F.asc("distance"), F.asc("episode_id")]
+    few = latest_first(met, ["set_id", "rung"], order, max(p.per_set, 2))
     ranked = few.withColumn("match_rung", F.coalesce(F.get(F.array_sort(F.collect_list("rung").over(Window.partitionBy("set_id"))), F.lit(1)), F.lit(3)))
-    chosen = latest_first(ranked.where("rung <= match_rung"), ["set_id"], [F.col("fingerprint").asc()], p.per_set)
-    chosen = latest_first(chosen, ["person_id"], [F.col("fingerprint").asc()], p.per_person)
+    chosen = latest_first(ranked.where("rung <= match_rung"), ["set_id"], order, p.per_set)
+    chosen = latest_first(chosen, ["person_id"], [F.asc("distance"), F.asc("set_id"), F.asc("episode_id")], p.per_person)
     cases = c.select("set_id", F.lit("case").alias("role"), F.col("case_episode").alias("episode_id"), F.col("case_person").alias("person_id"), F.col("case_day").alias("day"), F.lit(1).alias("match_rung"))
     return cases.unionByName(chosen.select("set_id", F.lit("control").alias("role"), "episode_id", "person_id", "day", "match_rung"))
 

@@ -195,15 +195,15 @@ FROM counted c LEFT JOIN weeks w ON w.person_id = c.person_id AND w.last_day = c
 _SQL["sets"] = (("features", "ev"), f"""
 WITH cases AS (SELECT event_id AS set_id, episode_id AS own, person_id, event_day, landmark_dow FROM ev WHERE is_first_event AND NOT no_window),
 free AS (SELECT f.episode_id, f.person_id, f.discharge_date, least(f.at_risk_last_day, min(e.event_day) - 1) AS last_day FROM features f LEFT JOIN ev e USING (episode_id) GROUP BY f.episode_id, f.person_id, f.discharge_date, f.at_risk_last_day),
-offers AS (SELECT set_id, episode_id, person_id, day, abs(day - event_day) AS gap, md5(concat_ws('|', '{P.salt}', '{P.seed}', set_id, episode_id, day)) AS fingerprint,
+offers AS (SELECT set_id, episode_id, person_id, day, abs(day - event_day) AS gap, (CAST(concat('0x', md5(concat_ws('|', '{P.salt}', '{P.seed}', episode_id))[:13]) AS BIGINT) - CAST(concat('0x', md5(concat_ws('|', '{P.salt}', '{P.seed}', set_id))[:13]) AS BIGINT) + {1 << 52}) % {1 << 52} AS fingerprint,
   CASE WHEN day = event_day AND dow = landmark_dow THEN 1 WHEN (dow % 6 = 1) = (landmark_dow % 6 = 1) THEN 2 ELSE 3 END AS rank
  FROM (SELECT c.set_id, c.event_day, c.landmark_dow, p.episode_id, p.person_id, t.day, 1 + dayofweek(p.discharge_date + CAST(t.day + {P.landmark[1]} AS INTEGER)) AS dow
        FROM cases c JOIN range(1, {P.panel_days} + 1) t(day) ON t.day BETWEEN c.event_day - 2 AND c.event_day + 2 JOIN free p ON p.last_day >= t.day AND p.episode_id <> c.own)),
-best AS (SELECT set_id, unnest(arg_min(o, (rank, gap, fingerprint))) FROM (SELECT set_id, episode_id, person_id, rank, gap, fingerprint, {{'episode_id': episode_id, 'person_id': person_id, 'day': day, 'rank': rank, 'fingerprint': fingerprint}} AS o FROM offers) GROUP BY set_id, episode_id),
+best AS (SELECT set_id, unnest(arg_min(o, (rank, gap, day))) FROM (SELECT set_id, episode_id, person_id, rank, gap, fingerprint, {{'episode_id': episode_id, 'person_id': person_id, 'day': day, 'rank': rank, 'fingerprint': fingerprint}} AS o FROM offers) GROUP BY set_id, episode_id),
 allowed AS (SELECT set_id, coalesce(list_sort(list(rank))[2], 3) AS match_rung FROM best GROUP BY set_id),
-taken AS (SELECT b.*, a.match_rung FROM best b JOIN allowed a ON a.set_id = b.set_id AND b.rank <= a.match_rung QUALIFY row_number() OVER (PARTITION BY b.set_id ORDER BY b.fingerprint) <= {P.per_set})
+taken AS (SELECT b.*, a.match_rung FROM best b JOIN allowed a ON a.set_id = b.set_id AND b.rank <= a.match_rung QUALIFY row_number() OVER (PARTITION BY b.set_id ORDER BY b.fingerprint, b.episode_id) <= {P.per_set})
 SELECT set_id, 'case' AS role, own AS episode_id, person_id, event_day AS day, 1 AS match_rung FROM cases
-UNION ALL FROM (SELECT set_id, 'control', episode_id, person_id, day, match_rung FROM taken QUALIFY row_number() OVER (PARTITION BY person_id ORDER BY fingerprint) <= {P.per_person})""")
+UNION ALL FROM (SELECT set_id, 'control', episode_id, person_id, day, match_rung FROM taken QUALIFY row_number() OVER (PARTITION BY person_id ORDER BY fingerprint, set_id, episode_id) <= {P.per_person})""")
 
 
 _SQL["days"] = (("panel", "features"), "SELECT p.*, p.wear_minutes / 1440.0 AS w, (p.post_day - 5) / 5.0 AS day, CAST(dayofweek(p.calendar_date) IN (0, 6) AS DOUBLE) AS weekend, CAST(f.is_fusion AS DOUBLE) AS fusion, CAST(p.is_analyzable AS DOUBLE) AS y FROM panel p JOIN features f ON f.episode_id = p.episode_id WHERE p.in_accrual_window AND NOT p.is_censored")

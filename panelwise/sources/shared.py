@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -18,3 +19,11 @@ def shared_folder(spark: SparkSession) -> str:
         found = getattr(sc, "_panelwise_tables", None) or tempfile.mkdtemp(prefix="panelwise-tables-")
         sc._panelwise_tables = found
     return found.rstrip("/")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared folder and read it back, so that what is built on it does not make it anew
+    and a lost executor takes nothing of it away."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -58,7 +58,7 @@ def test_risk_sets_do_not_depend_on_the_parts(spark):
     features = [(f"e{k}", k, int(rng.integers(3, 15))) for k in range(60)]
     f = spark.createDataFrame(features, "episode_id string, person_id int, at_risk_last_day int").withColumn("discharge_date", F.date_add(F.lit("2024-01-01").cast("date"), F.col("person_id") % 9))
     ev = spark.createDataFrame([(f"e{k}-x", f"e{k}", k, int(rng.integers(4, 9)), int(rng.integers(1, 8)), True, False) for k in range(0, 60, 6)], "event_id string, episode_id string, person_id int, event_day int, landmark_dow int, is_first_event boolean, no_window boolean")
-    one, many = (sorted(map(tuple, events.risk_sets(f, ev, SCALED, salts=n).collect())) for n in (1, 13))
+    one, many = (sorted(map(tuple, events.risk_sets(f.repartition(n), ev.repartition(n), SCALED).collect())) for n in (1, 13))
     assert one == many and len(one) > 20
 
 
