@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwise.functions.columns import expit, logit, spline_basis
 from panelwise.operators.aggregates import weighted_mean
 from panelwise.operators.running import running_sums
-from panelwise.sources.shared import shared_folder
 
 #: Fits whose coefficients pass this in size are refused.
 CEILING = 10.0
@@ -161,98 +158,23 @@ def with_fitted(rows: DataFrame, x: Sequence[str], beta: Sequence[float], name:
     return rows.withColumn(name, F.least(F.lit(1 - 1e-6), F.greatest(F.lit(1e-6), expit(eta))))
 
 
-def set_terms(frame: pd.DataFrame, x: Sequence[str], beta: np.ndarray) -> np.ndarray:
-    """Log likelihood, gradient, information and squared gradients of whole matched sets, in one row."""
-    p, out = len(x), np.zeros(1 + len(x) + 2 * len(x) ** 2)
-    for _, g in frame.groupby("set_id", sort=False):
-        z, case = g[list(x)].to_numpy(float), g["is_case"].to_numpy(bool)
-        if case.sum() != 1 or len(g) < 2:
-            continue  # says nothing about beta
-        eta = z @ beta
-        e = np.exp(eta - eta.max())
-        pr = e / e.sum()
-        mean = pr @ z
-        out[0] += np.log(pr[case][0])
-        slope = z[case][0] - mean
-        out[1 : 1 + p] += slope
-        out[1 + p : 1 + p + p * p] += ((z * pr[:, None]).T @ z - np.outer(mean, mean)).ravel()
-        out[1 + p + p * p :] += np.outer(slope, slope).ravel()
-    return out
-
-
-def fit_conditional_logit(rows: DataFrame, x: Sequence[str], steps: int = 30, ridge: float = 0.0) -> dict:
-    """Conditional logistic regression over ``set_id, is_case`` and covariates.
-
-    Sets are kept whole by one partitioning on set_id and come sorted, so a task holds one set at a time;
-    the dealt rows are written once to the shared folder, as every Newton step reads them again. A step
-    sends back one row of sums for each partition, and is halved while the likelihood falls. ``ridge``
-    is a penalty on the squared coefficients, for data with few informative sets.
-    """
-    p = len(x)
-    path = f"{shared_folder(rows.sparkSession)}/sets-{uuid.uuid4().hex}"
-    rows.select("set_id", "is_case", *x).dropna().repartition("set_id").sortWithinPartitions("set_id").write.parquet(path)
-    dealt = rows.sparkSession.read.parquet(path).repartition("set_id").sortWithinPartitions("set_id")
-
-    def at(beta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
-        def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total, rest = np.zeros(1 + p + 2 * p * p), None
-            for batch in batches:
-                batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-                last = (batch["set_id"] == batch["set_id"].iloc[-1]).to_numpy() if len(batch) else np.zeros(0, bool)
-                rest = batch[last]  # its other rows may come with the next batch
-                total += set_terms(batch[~last], x, beta)
-            if rest is not None:
-                total += set_terms(rest, x, beta)
-            yield pd.DataFrame({"k": np.arange(len(total)), "v": total})
-
-        v = np.zeros(1 + p + 2 * p * p)
-        for r in dealt.mapInPandas(sums, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():
-            v[r["k"]] = r["v"]
-        return v[0] - ridge * beta @ beta / 2, v[1 : 1 + p] - ridge * beta, v[1 + p : 1 + p + p * p].reshape(p, p) + ridge * np.eye(p), v[1 + p + p * p :].reshape(p, p)
-
-    beta = np.zeros(p)
-    value, g, h, meat = at(beta)
-    for _ in range(steps):
-        step = np.linalg.solve(h + 1e-10 * np.eye(p), g)
-        size = 1.0
-        while True:
-            new = at(beta + size * step)
-            if new[0] >= value - 1e-12 or size < 1e-4:
-                break
-            size /= 2
-        beta, (value, g, h, meat) = beta + size * step, new
-        if np.abs(beta).max() > CEILING:
-            raise ValueError("separated: a coefficient passes the ceiling")
-        if np.abs(size * step).max() < 1e-8:
-            break
-    bread = np.linalg.pinv(h)
-    return {"beta": beta, "cov": bread, "robust": bread @ meat @ bread, "loglik": value}
-
-
-def association(members: DataFrame, ratio: str, structural: Column, reference: float = 1.0, most: float = 3.0, ridge: float = 1.0) -> list[tuple]:
-    """How an exposure ratio goes with being the case of a matched set: members that could have no exposure are
-    dropped, the ratio enters as tenths from the reference (0 where it is absent) beside an indicator of its
-    absence, and the fit's terms come with model and set-robust errors, and with the share of ratios at the
-    ceiling. ``members``: set_id, role and the ratio."""
-    d = members.where(~structural).select("set_id", (F.col("role") == "case").alias("is_case"), F.least(F.col(ratio), F.lit(most)).alias("r"))
-    d = d.select("set_id", "is_case", F.coalesce(10 * (F.col("r") - reference), F.lit(0.0)).alias("tenths"), F.col("r").isNull().cast("double").alias("absent"), "r")
-    at_most = d.agg(F.coalesce(F.avg((F.col("r") >= most).cast("double")), F.lit(0.0)).alias("s")).first()["s"]
-    fit = fit_conditional_logit(d.drop("r"), ["tenths", "absent"], ridge=ridge)
-    se, robust = (np.sqrt(np.diag(fit[k])) for k in ("cov", "robust"))
-    return [(n, float(fit["beta"][i]), float(se[i]), float(robust[i]), float(at_most)) for i, n in enumerate(("tenths", "absent"))]
-
-
-def replicates(units: DataFrame, unit: str, b: int, seed: int = 1) -> DataFrame:
-    """Bootstrap multiplicities ``b, unit, multiplicity`` by a Poisson draw from an MD5 of (b, unit, seed), so
-    reruns, partitions and engines agree; additive statistics take the multiplicity as a weight."""
-    drawn = F.substring(F.md5(F.concat_ws("|", F.col("b").cast("string"), F.col(unit).cast("string"), F.lit(str(seed)))), 1, 8)
+def multiplicity(b: Column, unit: Column, seed: int = 1) -> Column:
+    """How often a unit stands in resample ``b``: a Poisson draw from an MD5 of (b, unit, seed), so reruns, partitions and
+    engines agree."""
+    drawn = F.substring(F.md5(F.concat_ws("|", b.cast("string"), unit.cast("string"), F.lit(str(seed)))), 1, 8)
     m = F.lit(0)
     total, term = 0.0, np.exp(-1.0)
     for k in range(8):
         total += term
         term /= k + 1
         m = m + (drawn > f"{min(int(total * 2**32), 2**32 - 1):08x}").cast("int")
-    return units.select(unit).distinct().withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(b)))).withColumn("multiplicity", m).where("multiplicity > 0")
+    return m
+
+
+def replicates(units: DataFrame, unit: str, b: int, seed: int = 1) -> DataFrame:
+    """Bootstrap multiplicities ``b, unit, multiplicity``; additive statistics take the multiplicity as a weight."""
+    each = units.select(unit).distinct().withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(b))))
+    return each.withColumn("multiplicity", multiplicity(F.col("b"), F.col(unit), seed)).where("multiplicity > 0")
 
 
 def bootstrap_mean(rows: DataFrame, unit: str, group: str, value: str, b: int, seed: int = 1) -> DataFrame:

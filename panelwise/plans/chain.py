@@ -199,7 +199,7 @@ offers AS (SELECT set_id, episode_id, person_id, day, abs(day - event_day) AS ga
   CASE WHEN day = event_day AND dow = landmark_dow THEN 1 WHEN (dow % 6 = 1) = (landmark_dow % 6 = 1) THEN 2 ELSE 3 END AS rank
  FROM (SELECT c.set_id, c.event_day, c.landmark_dow, p.episode_id, p.person_id, t.day, 1 + dayofweek(p.discharge_date + CAST(t.day + {P.landmark[1]} AS INTEGER)) AS dow
        FROM cases c JOIN range(1, {P.panel_days} + 1) t(day) ON t.day BETWEEN c.event_day - 2 AND c.event_day + 2 JOIN free p ON p.last_day >= t.day AND p.episode_id <> c.own)),
-best AS (SELECT set_id, unnest(arg_min(o, (rank, gap, day))) FROM (SELECT set_id, episode_id, person_id, rank, gap, fingerprint, {{'episode_id': episode_id, 'person_id': person_id, 'day': day, 'rank': rank, 'fingerprint': fingerprint}} AS o FROM offers) GROUP BY set_id, episode_id),
+best AS (SELECT set_id, unnest(arg_min(o, (rank, gap, day))) FROM (SELECT set_id, episode_id, person_id, rank, gap, day, {{'episode_id': episode_id, 'person_id': person_id, 'day': day, 'rank': rank, 'fingerprint': fingerprint}} AS o FROM offers) GROUP BY set_id, episode_id),
 allowed AS (SELECT set_id, coalesce(list_sort(list(rank))[2], 3) AS match_rung FROM best GROUP BY set_id),
 taken AS (SELECT b.*, a.match_rung FROM best b JOIN allowed a ON a.set_id = b.set_id AND b.rank <= a.match_rung QUALIFY row_number() OVER (PARTITION BY b.set_id ORDER BY b.fingerprint, b.episode_id) <= {P.per_set})
 SELECT set_id, 'case' AS role, own AS episode_id, person_id, event_day AS day, 1 AS match_rung FROM cases

@@ -7,10 +7,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelwise.operators import estimators as E
+from panelwise.operators import matched as M
 from panelwise.params import SCALED as P
 from panelwise.plans.chain import Chain, rounded
 from panelwise.plans.chain import with_tables as sql
-from panelwise.plans.fits import conditional_sql, covariance_sql, matched_sql, multiplicity_sql, newton_sql
+from panelwise.plans.fits import conditional_sql, covariance_sql, matched_sql, multiplicity_sql, newton_sql, resampled_sql
 from panelwise.plans.registry import query
 
 
@@ -123,7 +124,7 @@ def e07(c: Chain) -> DataFrame:
 
     m = member_exposure(c.sets, c.features, c.grid, P.landmark, 1).where("ratio IS NOT NULL")
     d = m.select("set_id", (F.col("role") == "case").alias("is_case"), (10 * F.least("ratio", F.lit(3.0))).alias("tenths"))
-    fit = E.fit_conditional_logit(d, ["tenths"], ridge=1.0)
+    fit = M.fit_conditional_logit(d, ["tenths"], ridge=1.0)
     return c.spark.createDataFrame([("tenths", float(round(fit["beta"][0], 6)), float(round(np.sqrt(fit["cov"][0, 0]), 6)))], "term string, beta double, se double")
 
 
@@ -443,11 +444,63 @@ _MATCHED = "(SELECT m.set_id, any_value(m.role) = 'case' AS is_case, least(3.0,
 def e26(c: Chain) -> DataFrame:
     from panelwise.operators.events import member_exposure
 
-    m = member_exposure(c.sets, c.features, c.grid, P.landmark, 1)
-    found = [(r[0], *(round(v, 5) for v in r[1:4]), round(r[4], 6)) for r in E.association(m, "ratio", F.col("day") <= 3)]
+    m = member_exposure(c.sets, c.features, c.grid, P.landmark, 1).where("day > 3")
+    d = m.select("set_id", (F.col("role") == "case").alias("is_case"), F.least("ratio", F.lit(3.0)).alias("r"))
+    at_most = d.agg(F.coalesce(F.avg((F.col("r") >= 3).cast("double")), F.lit(0.0)).alias("s")).first()["s"]
+    fit = M.fit_conditional_logit(d.withColumns({"tenths": F.coalesce(10 * (F.col("r") - 1), F.lit(0.0)), "absent": F.col("r").isNull().cast("double")}), ["tenths", "absent"], ridge=1.0)
+    se, robust = (np.sqrt(np.diag(fit[k])) for k in ("cov", "robust"))
+    found = [(n, float(round(fit["beta"][i], 5)), float(round(se[i], 5)), float(round(robust[i], 5)), round(at_most, 6)) for i, n in enumerate(("tenths", "absent"))]
     return c.spark.createDataFrame(found, "term string, beta double, se double, robust_se double, at_ceiling double")
 
 
+#: Members of the matched sets with the exposure block of their own landmark window: the spline of the ratio, 0 at ratio 1, and
+#: the indicator of an absent ratio. Members whose window cannot lie after discharge are left out.
+_BLOCK = f"(SELECT set_id, CAST(person_id AS VARCHAR) AS person, is_case, {', '.join(f'(1 - a) * ({u} - ({v})) AS e{k}' for k, (u, v) in enumerate(zip(_AT, _ONE, strict=True), 1))}, a FROM (SELECT set_id, person_id, is_case, least(3.0, coalesce(r, 1.0)) AS x, CAST(r IS NULL AS DOUBLE) AS a FROM (SELECT m.set_id, m.person_id, any_value(m.role) = 'case' AS is_case, median(g.steps) / any_value(f.baseline_steps) AS r FROM sets m JOIN features f USING (episode_id) LEFT JOIN grid g ON g.person_id = m.person_id AND g.activity_date - f.discharge_date - m.day BETWEEN {P.landmark[0]} AND {P.landmark[1]} AND g.activity_date > f.discharge_date AND g.valid_wear AND g.steps IS NOT NULL WHERE m.day > 3 GROUP BY m.set_id, m.person_id, m.episode_id, m.role, m.day)))"
+_LOWER = 0.8
+
+
+def _exposed_members(c: Chain) -> tuple[DataFrame, list[str]]:
+    from panelwise.operators.events import member_exposure
+
+    m = member_exposure(c.sets, c.features, c.grid, P.landmark, 1).select("set_id", "role", "person_id", "day", F.least("ratio", F.lit(3.0)).alias("ratio"), F.col("ratio").isNull().alias("none"))
+    return E.exposure_block(m, "ratio", "none", _KN, 1.0)
+
+
+@query("e07b_clustered", sql("SELECT unnest(['ratio_e1', 'ratio_e2', 'ratio_absent']) AS term, round(unnest([b0, b1, b2]), 5) AS beta, round(unnest([sqrt(v00), sqrt(v11), sqrt(v22)]), 5) AS se, round(unnest([sqrt(r00), sqrt(r11), sqrt(r22)]), 5) AS set_se, round(unnest([sqrt(p00), sqrt(p11), sqrt(p22)]), 5) AS person_se FROM (" + matched_sql(_BLOCK, ["e1", "e2", "a"], 1.0, person="person") + ")", "sets", "grid"))
+def e07b(c: Chain) -> DataFrame:
+    """Conditional fit of the exposure block with model errors and errors robust to sets and to persons."""
+    m, block = _exposed_members(c)
+    fit = M.fit_conditional_logit(m.where("day > 3").withColumn("is_case", F.col("role") == "case"), block, "person_id", ridge=1.0)
+    se = {k: np.sqrt(np.diag(fit[k])) for k in ("cov", "robust", "clustered")}
+    return c.spark.createDataFrame([(n, *(float(round(v, 5)) for v in (fit["beta"][i], se["cov"][i], se["robust"][i], se["clustered"][i]))) for i, n in enumerate(block)], "term string, beta double, se double, set_se double, person_se double")
+
+
+def _spline_at(v: float) -> list[float]:
+    cube = lambda t: max(v - t, 0.0) ** 3
+    last, before, scale = _KN[-1], _KN[-2], (_KN[-1] - _KN[0]) ** 2
+    return [v] + [(cube(t) - cube(before) * (last - t) / (last - before) + cube(last) * (before - t) / (last - before)) / scale for t in _KN[:-2]]
+
+
+_LOW = [a - b for a, b in zip(_spline_at(_LOWER), _spline_at(1.0), strict=True)]
+_CONTRASTS = {"lower_ratio": np.array([*_LOW, 0.0]), "absent": np.array([0.0, 0.0, 1.0])}
+_Z = 1.959963984540054
+
+
+@query("e26b_association", sql(f"""WITH block AS MATERIALIZED (SELECT * FROM {_BLOCK}), fit AS MATERIALIZED ({matched_sql('block', ['e1', 'e2', 'a'], 1.0, person='person')}),
+reps AS MATERIALIZED (SELECT unit, b, {multiplicity_sql('b', 'unit')} AS k FROM (SELECT unit, CAST(b AS INTEGER) AS b FROM (SELECT DISTINCT person AS unit FROM block), range(1, {_DRAWS + 1}) t(b))),
+refit AS MATERIALIZED ({resampled_sql('block', ['e1', 'e2', 'a'], 1.0, 'reps', 'person')}),
+est AS (SELECT 'lower_ratio' AS contrast, {_LOW[0]} * b0 + {_LOW[1]} * b1 AS estimate, {' + '.join(f'({_LOW[i]}) * ({_LOW[j]}) * v{min(i, j)}{max(i, j)}' for i in range(2) for j in range(2))} AS v, {' + '.join(f'({_LOW[i]}) * ({_LOW[j]}) * p{min(i, j)}{max(i, j)}' for i in range(2) for j in range(2))} AS pv FROM fit UNION ALL SELECT 'absent', b2, v22, p22 FROM fit),
+many AS (SELECT 'lower_ratio' AS contrast, {_LOW[0]} * b0 + {_LOW[1]} * b1 AS est, greatest(abs(b0), abs(b1), abs(b2)) > 10 AS above FROM refit UNION ALL SELECT 'absent', b2, greatest(abs(b0), abs(b1), abs(b2)) > 10 FROM refit)
+SELECT contrast, round(estimate, 4) AS estimate, round(sqrt(v), 4) AS se, round(sqrt(pv), 4) AS person_se, round(estimate - {_Z} * sqrt(pv), 4) AS low, round(estimate + {_Z} * sqrt(pv), 4) AS high, round(b_low, 4) AS boot_low, round(b_high, 4) AS boot_high, round(failed, 6) AS failed, round(above, 6) AS above
+FROM est JOIN (SELECT contrast, CASE WHEN avg(CAST(above AS DOUBLE)) <= 0.25 THEN quantile_cont(est, 0.025) END AS b_low, CASE WHEN avg(CAST(above AS DOUBLE)) <= 0.25 THEN quantile_cont(est, 0.975) END AS b_high, 1 - count(*) / {_DRAWS} AS failed, avg(CAST(above AS DOUBLE)) AS above FROM many GROUP BY contrast) USING (contrast)""", "sets", "grid"))
+def e26b(c: Chain) -> DataFrame:
+    """The association in full: exposure block, contrasts, clustered and bootstrap intervals over whole persons."""
+    m, block = _exposed_members(c)
+    found = M.association(m, block, F.col("day") <= 3, _CONTRASTS, b=_DRAWS, ridge=1.0)
+    rows = [(r[0], *(float(round(v, 4)) if np.isfinite(v) else None for v in r[1:8]), round(r[8], 6), round(r[9], 6)) for r in found]
+    return c.spark.createDataFrame(rows, "contrast string, estimate double, se double, person_se double, low double, high double, boot_low double, boot_high double, failed double, above double")
+
+
 @query("e27_discrete_time_fit", sql("SELECT unnest(['one', 'day', 'fusion']) AS term, round(unnest([b0, b1, b2]), 4) AS beta, round(unnest([sqrt(r00), sqrt(r11), sqrt(r22)]), 4) AS robust_se FROM (WITH dt AS MATERIALIZED (SELECT l.episode_id, (l.post_day - 5) / 5.0 AS day, CAST(x.is_fusion AS DOUBLE) AS fusion, CAST(coalesce(l.post_day = f.first_event, FALSE) AS DOUBLE) AS y FROM lm l JOIN features x ON x.episode_id = l.episode_id LEFT JOIN (SELECT episode_id, min(event_day) AS first_event FROM ev GROUP BY episode_id) f ON f.episode_id = l.episode_id WHERE NOT l.is_censored AND l.post_day <= coalesce(first_event, l.post_day)), dt_fit AS MATERIALIZED (" + newton_sql("dt", ["1", "day", "fusion"], "y") + ") SELECT * FROM (" + covariance_sql("dt", ["1", "day", "fusion"], "y", "dt_fit", "episode_id") + "))", "lm", "ev", "features"))
 def e27(c: Chain) -> DataFrame:
     """The discrete-time design (day, covariate) fitted to the first event, with cluster-robust errors."""

@@ -88,9 +88,9 @@ def multiplicity_sql(b: str, unit: str, seed: int = 1) -> str:
     return " + ".join(f"CAST({drawn} > '{t}' AS INTEGER)" for t in thresholds())
 
 
-def matched_sql(data: str, x: Sequence[str], ridge: float, steps: int = 20) -> str:
+def matched_sql(data: str, x: Sequence[str], ridge: float, steps: int = 20, person: str = "") -> str:
     """One row of a ridge conditional logit over set_id, is_case and several covariates: b0.., the inverse
-    information v00.. and the set-robust covariance r00..."""
+    information v00.., the set-robust covariance r00.. and, if a person is named, the person-robust one p00..."""
     p = len(x)
     pairs = [(i, j) for i in range(p) for j in range(i, p)]
     b = ", ".join(f"b{i}" for i in range(p))
@@ -103,6 +103,31 @@ def matched_sql(data: str, x: Sequence[str], ridge: float, steps: int = 20) -> s
     sums = f"SELECT i, {b}, {', '.join(total)} FROM (SELECT i, {b}, set_id, {', '.join(per_set)} FROM (SELECT *, exp({eta}) AS e FROM n, d) GROUP BY i, {b}, set_id) GROUP BY i, {b}"
     last = f"SELECT {b}, {', '.join(total)} FROM (SELECT {b}, set_id, {', '.join(per_set)} FROM (SELECT *, exp({eta}) AS e FROM n, d WHERE i = {steps}) GROUP BY {b}, set_id) GROUP BY {b}"
     robust = ", ".join(" + ".join(f"{v(i, k)} * {m(k, q)} * {v(q, j)}" for k in range(p) for q in range(p)) + f" AS r{i}{j}" for i, j in pairs)
-    return f"""WITH RECURSIVE d AS MATERIALIZED (SELECT set_id, is_case, {', '.join(f'CAST({c} AS DOUBLE) AS x{i}' for i, c in enumerate(x))} FROM {data} QUALIFY count_if(is_case) OVER (PARTITION BY set_id) = 1 AND count(*) OVER (PARTITION BY set_id) > 1),
+    who = f"{person}, " if person else ""
+    clustered, tail = "", f"FROM ({last})"
+    if person:
+        score = ", ".join(f"sum((CAST(is_case AS INTEGER) - e / total) * x{i}) AS u{i}" for i in range(p))
+        scored = f"SELECT {score} FROM (SELECT d.*, exp({eta}) AS e, sum(exp({eta})) OVER (PARTITION BY set_id) AS total FROM n, d WHERE i = {steps}) GROUP BY {person}"
+        q = lambda i, j: f"q{min(i, j)}{max(i, j)}"
+        tail = f"FROM ({last}), (SELECT {', '.join(f'sum(u{i} * u{j}) AS q{i}{j}' for i, j in pairs)} FROM ({scored}))"
+        clustered = ", " + ", ".join(" + ".join(f"{v(i, k)} * {q(k, t)} * {v(t, j)}" for k in range(p) for t in range(p)) + f" AS p{i}{j}" for i, j in pairs)
+    return f"""WITH RECURSIVE d AS MATERIALIZED (SELECT set_id, {who}is_case, {', '.join(f'CAST({c} AS DOUBLE) AS x{i}' for i, c in enumerate(x))} FROM {data} QUALIFY count_if(is_case) OVER (PARTITION BY set_id) = 1 AND count(*) OVER (PARTITION BY set_id) > 1),
 n AS (SELECT 0 AS i, {', '.join(f'CAST(0 AS DOUBLE) AS b{i}' for i in range(p))} UNION ALL SELECT i + 1, {step} FROM ({sums}) WHERE i < {steps})
-SELECT {b}, {', '.join(f'{v(i, j)} AS v{i}{j}' for i, j in pairs)}, {robust} FROM ({last})"""
+SELECT {b}, {', '.join(f'{v(i, j)} AS v{i}{j}' for i, j in pairs)}, {robust}{clustered} {tail}"""
+
+
+def resampled_sql(data: str, x: Sequence[str], ridge: float, reps: str, person: str, steps: int = 25) -> str:
+    """Rows ``b, b0..``: the ridge conditional logit in every resample of ``reps`` (unit, b, k), whose multiplicities weight the
+    members of sets that keep their identity. Resamples without an informative set have no row."""
+    p = len(x)
+    b = ", ".join(f"b{i}" for i in range(p))
+    eta = " + ".join(f"b{i} * x{i}" for i in range(p))
+    pairs = [(i, j) for i in range(p) for j in range(i, p)]
+    per_set = ["sum(k * y) AS c", "sum(k * e) AS s"] + [f"sum(k * y * x{i}) AS cx{i}" for i in range(p)] + [f"sum(k * e * x{i}) / sum(k * e) AS s{i}" for i in range(p)] + [f"sum(k * e * x{i} * x{j}) / sum(k * e) AS s{i}{j}" for i, j in pairs]
+    total = [f"sum(cx{i} - c * s{i}) - {ridge} * b{i} AS g{i}" for i in range(p)] + [f"sum(c * (s{i}{j} - s{i} * s{j}))" + (f" + {ridge}" if i == j else "") + f" AS h{i}{j}" for i, j in pairs]
+    step = ", ".join(f"b{i} + " + " + ".join(f"{inverse(p, i, j)} * g{j}" for j in range(p)) + f" AS b{i}" for i in range(p))
+    sums = f"SELECT i, b, {b}, {', '.join(total)} FROM (SELECT i, b, {b}, set_id, {', '.join(per_set)} FROM (SELECT n.*, d.* EXCLUDE (b), exp({eta}) AS e FROM n JOIN d USING (b)) GROUP BY i, b, {b}, set_id) WHERE c > 0 GROUP BY i, b, {b}"
+    return f"""WITH RECURSIVE d AS MATERIALIZED (SELECT r.b, r.k, m.set_id, CAST(m.is_case AS INTEGER) AS y, {', '.join(f'CAST(m.{c} AS DOUBLE) AS x{i}' for i, c in enumerate(x))}
+ FROM (SELECT * FROM {data} QUALIFY count_if(is_case) OVER (PARTITION BY set_id) = 1 AND count(*) OVER (PARTITION BY set_id) > 1) m JOIN {reps} r ON r.unit = m.{person} WHERE r.k > 0),
+n AS (SELECT DISTINCT 0 AS i, b, {', '.join(f'CAST(0 AS DOUBLE) AS b{i}' for i in range(p))} FROM d UNION ALL SELECT i + 1, b, {step} FROM ({sums}) WHERE i < {steps})
+SELECT b, {b} FROM n WHERE i = {steps}"""

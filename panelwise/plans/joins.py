@@ -12,14 +12,9 @@ from panelwise.plans.registry import query
 from panelwise.sources import io
 
 
-@query("io1_scan", "SELECT event_id, user_id FROM events WHERE value > 99")
-def io1(c: Chain) -> DataFrame:
-    return io.scan(c.spark, f"{c.sf}/events.parquet", ["event_id", "user_id", "value"]).where("value > 99").drop("value")
-
-
 @query("io1b_scan_all", "SELECT event_id, user_id FROM events")
 def io1b(c: Chain) -> DataFrame:
-    """The column list of io1 over every row of events."""
+    """Two columns of every row of events."""
     return io.scan(c.spark, f"{c.sf}/events.parquet", ["event_id", "user_id"])
 
 
@@ -29,15 +24,9 @@ def io3(c: Chain) -> DataFrame:
     return io.table_rows({"events": read("events"), "orders": read("orders"), "nation": read("nation")}, "^(events|orders)$")
 
 
-@query("io5_resolve_roles", "SELECT user_id AS person, ts AS at FROM events WHERE event_id % 97 = 0")
-def io5(c: Chain) -> DataFrame:
-    e = c.spark.read.parquet(f"{c.sf}/events.parquet").where("event_id % 97 = 0")
-    return io.resolve_roles(e, {"person": ("person_id", "user_id"), "at": ("time(stamp)?", "ts")})
-
-
 @query("io5b_resolve_all", "SELECT user_id AS person, ts AS at FROM events")
 def io5b(c: Chain) -> DataFrame:
-    """io5 over every row of events."""
+    """The roles of every row of events."""
     return io.resolve_roles(c.spark.read.parquet(f"{c.sf}/events.parquet"), {"person": ("person_id", "user_id"), "at": ("time(stamp)?", "ts")})
 
 

@@ -65,14 +65,9 @@ def pf09(c: Chain) -> DataFrame:
     return c.elig.groupBy("first_fail_step").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("pf10_all_but", sql("SELECT * EXCLUDE (zone) FROM zones WHERE minute_in_zone > 590", "zones"))
-def pf10(c: Chain) -> DataFrame:
-    return c.zones.where("minute_in_zone > 590").drop("zone")
-
-
 @query("pf10b_all_but_whole", sql("SELECT * EXCLUDE (zone) FROM zones", "zones"))
 def pf10b(c: Chain) -> DataFrame:
-    """pf10 over every zone row."""
+    """All columns but one of every zone row."""
     return c.zones.drop("zone")
 
 

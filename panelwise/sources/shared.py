@@ -27,3 +27,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stored_by(df: DataFrame, key: str, name: str, buckets: int = 0) -> DataFrame:
+    """``stored`` as a table in the session's catalogue, in buckets of ``key`` and sorted by it: what groups by the key,
+    or joins on it with a table of as many buckets, reads it where it lies. Buckets are as many as the session's
+    shuffle partitions unless told otherwise."""
+    spark = df.sparkSession
+    n = buckets or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    table = f"{name}_{uuid.uuid4().hex}"
+    writer = df.repartition(n, key).write.format("parquet").bucketBy(n, key).sortBy(key)
+    writer.option("path", f"{shared_folder(spark)}/{table}").saveAsTable(table)
+    return spark.table(table)

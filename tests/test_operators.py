@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelwise.operators import aggregates, daily, disclosure, episodes, estimators, groups, joins, ledgers
+from panelwise.operators import aggregates, daily, disclosure, episodes, estimators, groups, joins, ledgers, matched
 from panelwise.params import SCALED, CohortParams
 from panelwise.sources import io
 
@@ -134,7 +134,7 @@ def test_conditional_logit_recovers_a_coefficient(spark):
         case = rng.choice(4, p=p / p.sum())
         rows += [(s, bool(i == case), float(v)) for i, v in enumerate(x)]
     rows += [(1000, True, 1.0), (1001, False, 0.0), (1001, False, 1.0)]  # sets that say nothing
-    fit = estimators.fit_conditional_logit(spark.createDataFrame(rows, "set_id int, is_case boolean, x double"), ["x"])
+    fit = matched.fit_conditional_logit(spark.createDataFrame(rows, "set_id int, is_case boolean, x double"), ["x"])
     assert abs(fit["beta"][0] - 0.9) < 3 * np.sqrt(fit["cov"][0, 0]) and fit["cov"][0, 0] < 0.02
 
 
