@@ -18,6 +18,7 @@ import json
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -57,6 +58,22 @@ class Capacity:
             raise ValueError("a sequence must hold one full piece")
 
 
+#: The tokenizer's split of lowered text, for the characters up to U+00FF: letters, digits one by one, and runs of what is neither
+#: those nor white space.
+_LATIN_PARTS = "'s|'t|'re|'ve|'m|'ll|'d|[{0}]+|[{1}]|[^{2}{0}{1}]+".format(r"a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", r"0-9\xb2\xb3\xb9\xbc-\xbe", r"\x09-\x0d\x20\x85\xa0")
+
+
+def is_latin(text: str) -> bool:
+    """Whether no character is above U+00FF: such text is in normal form already and is lowered character by character."""
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 def _words_alone(path: str) -> bool:
     """Whether the tokenizer drops white space and lowers case before it splits words off, so that a text's
     ids are those of its words one after the other."""
@@ -73,9 +90,9 @@ def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     """A function from texts to their ids as little-endian unsigned 32-bit integers.
 
     Where ids are those of the words one after the other, a word is encoded once for as long as it is
-    remembered. Words of ASCII and Latin letters are lowered and split here by the tokenizer's own pattern
-    and merged by its model; all others go to the tokenizer as they are. Special tokens' strings are
-    ordinary text.
+    remembered. Texts of Latin-1 characters are lowered and split here by the tokenizer's own pattern and
+    their parts merged by its model; words of others go to the tokenizer as they are. Special tokens'
+    strings are ordinary text.
     """
     from tokenizers import Tokenizer
 
@@ -88,41 +105,44 @@ def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
         return lambda texts: [raw(e.ids) for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     model, bytewise = tokenizer.model, tokenizer.pre_tokenizer[1]
-    plain = re.compile(r"[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]+").fullmatch
-    split = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\sa-z0-9\xdf-\xf6\xf8-\xff]+").findall
-    words: dict[str, bytes] = {"": b""}
+    split = re.compile(_LATIN_PARTS).findall
     parts: dict[str, bytes] = {}
+    words: dict[str, bytes] = {"": b""}
 
-    def part(p: str) -> bytes:
-        found = parts.get(p)
-        if found is None:
-            units = p if p.isascii() else bytewise.pre_tokenize_str(p)[0][0]
-            found = raw([t.id for t in model.tokenize(units)])
-            if len(p) <= LONG_WORD:
-                if len(parts) >= REMEMBERED:
-                    parts.clear()
-                parts[p] = found
-        return found
+    def forget(memory: dict[str, bytes]) -> None:
+        if len(memory) >= REMEMBERED:
+            memory.clear()
+            memory[""] = b""
+
+    def latin(texts: list[str]) -> list[bytes]:
+        split_up = [split(t.lower()) for t in texts]
+        forget(parts)
+        new = set().union(*split_up).difference(parts)
+        for p in new:
+            units = p if p.isascii() and p.isprintable() else bytewise.pre_tokenize_str(p)[0][0]
+            parts[p] = array("I", [t.id for t in model.tokenize(units)]).tobytes()
+        out = [b"".join([parts[p] for p in one]) for one in split_up]
+        for p in new:
+            if len(p) > LONG_WORD:
+                del parts[p]
+        return out
 
-    def encoded(texts: list[str]) -> list[bytes]:
+    def other(texts: list[str]) -> list[bytes]:
         split_up = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(words) >= REMEMBERED:
-            words.clear()
-        new = {w for one in split_up for w in one if w not in words}
-        odd = []
-        for w in new:
-            if plain(w):
-                words[w] = b"".join(map(part, split(w.lower())))
-            else:
-                odd.append(w)
-        for w, e in zip(odd, tokenizer.encode_batch(odd, add_special_tokens=False), strict=True):
-            words[w] = raw(e.ids)
-        out = [b"".join(map(words.__getitem__, one)) for one in split_up]
+        forget(words)
+        new = list(set().union(*split_up).difference(words))
+        words.update(zip(new, (raw(e.ids) for e in tokenizer.encode_batch(new, add_special_tokens=False)), strict=True))
+        out = [b"".join([words[w] for w in one]) for one in split_up]
         for w in new:
             if len(w) > LONG_WORD:
                 del words[w]
         return out
 
+    def encoded(texts: list[str]) -> list[bytes]:
+        plain = [is_latin(t) for t in texts]
+        one, two = (iter(f([t for t, q in zip(texts, plain, strict=True) if q == k])) for f, k in ((latin, True), (other, False)))
+        return [next(one if q else two) for q in plain]
+
     return encoded
 
 
