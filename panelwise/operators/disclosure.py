@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwise.functions.disclosure import FLOOR, HIDDEN, disclosable, is_legal_count, round20
-from panelwise.sources.shared import shared_folder
+from panelwise.sources.shared import shared_folder, stored
 
 
 def suppress_frame(table: DataFrame, counts: Sequence[str]) -> DataFrame:
@@ -58,6 +58,66 @@ def complementary_grid(table: DataFrame, row: str, col: str, count: str) -> Data
             return t
 
 
+def equal_classes(pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``by.., node, class`` for the nodes of ``pairs`` (by.., a, b): nodes that a chain of pairs joins share the class of the
+    smallest of them. Labels take the least of their neighbours' and jump to their label's own, so chains halve."""
+    by = list(by)
+    both = stored(pairs.select(*by, "a", "b").unionByName(pairs.select(*by, F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "pairs")
+    labels = both.select(*by, F.col("a").alias("node")).distinct().withColumn("class", F.col("node"))
+    while True:
+        near = both.join(labels.withColumnRenamed("node", "b"), [*by, "b"]).groupBy(*by, F.col("a").alias("node")).agg(F.min("class").alias("_near"))
+        of = labels.select(*by, F.col("node").alias("class"), F.col("class").alias("_own"))
+        new = labels.join(near, [*by, "node"]).join(of, [*by, "class"]).select(*by, "node", F.least("_near", "_own", "class").alias("_new"), "class")
+        new = stored(new, "classes")
+        labels = new.select(*by, "node", F.col("_new").alias("class"))
+        if new.where("_new < class").isEmpty():
+            return labels
+
+
+def suppressed_equations(cells: DataFrame, terms: DataFrame, equal: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``cells`` (by.., cell, n) with ``class`` and ``hidden``: counts below the floor and what must be hidden with them so that no
+    hidden count follows from the shown ones.
+
+    ``equal`` (by.., a, b) names cells that hold the same count; they are hidden together. ``terms`` (by.., equation,
+    cell) names the cells of each equation, whose signed sum is 0: an equation with a lone unknown class would
+    give it away, so its smallest shown class (ties: the first) is hidden as well, and so on to a fixpoint. This is
+    enough where the equations form a forest over the unknowns, as a ladder's do (each count stands in two at
+    most). Null counts are hidden. Every pass hides a class in each such equation, so passes are at most the
+    classes of the longest chain; all work is on small tables and each pass is stored.
+    """
+    by = list(by)
+    classes = equal_classes(equal, by)
+    c = cells.join(classes.withColumnRenamed("node", "cell"), [*by, "cell"], "left").withColumn("class", F.coalesce("class", "cell"))
+    c = stored(c, "cells")
+    of_class = c.groupBy(*by, "class").agg(F.max("n").alias("n"), F.bool_or(~F.coalesce(disclosable(F.col("n")), F.lit(False))).alias("hidden"))
+    # A class that stands twice in an equation (in = dropped + out with in and out alike) cancels or is known by its twin:
+    # it is one unknown there.
+    inside = stored(terms.join(c.select(*by, "cell", "class"), [*by, "cell"]).select(*by, "equation", "class").distinct(), "terms")
+    state = stored(of_class, "state")
+    while True:
+        w = Window.partitionBy(*by, "equation")
+        seen = inside.join(state, [*by, "class"]).withColumns({
+            "_unknown": F.sum(F.col("hidden").cast("int")).over(w), "_all": F.count(F.lit(1)).over(w),
+            "_place": F.row_number().over(w.orderBy(F.col("hidden").asc(), F.col("n").asc(), F.col("class").asc()))})
+        more = seen.where("_unknown = 1 AND _all > 1 AND _place = 1").select(*by, "class").distinct().withColumn("_more", F.lit(True))
+        new = stored(state.join(more, [*by, "class"], "left").select(*by, "class", "n", (F.col("hidden") | F.col("_more").isNotNull()).alias("hidden"), F.col("_more").isNotNull().alias("_more")), "state")
+        state = new.drop("_more")
+        if new.where("_more").isEmpty():
+            return c.join(state.select(*by, "class", "hidden"), [*by, "class"]).select(*by, "cell", "n", "class", "hidden")
+
+
+def ladder_cells(ladder: DataFrame, by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Cells, equations and equalities of ladders with columns ``by.., step, n_in, n_dropped, n_out``: in = dropped + out in every
+    rung, and a rung's out is the next one's in."""
+    by = list(by)
+    step = F.lpad(F.col("step").cast("string"), 4, "0")
+    name = lambda f: F.concat(step, F.lit(f"/{f}"))
+    cells = ladder.select(*by, F.explode(F.array(*[F.struct(name(f).alias("cell"), F.col(f"n_{f}").alias("n")) for f in ("in", "dropped", "out")])).alias("c")).select(*by, "c.cell", "c.n")
+    terms = ladder.select(*by, step.alias("equation"), F.explode(F.array(*map(name, ("in", "dropped", "out")))).alias("cell"))
+    after = F.lead(name("in")).over(Window.partitionBy(*by).orderBy("step"))
+    return cells, terms, ladder.select(*by, name("out").alias("a"), after.alias("b")).where("b IS NOT NULL")
+
+
 def rendered_strata(rows: DataFrame, a: str, b: str) -> DataFrame:
     """Exact margins first, then complementary suppression inside each row of ``a``, then rounding."""
     cells = rows.groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))

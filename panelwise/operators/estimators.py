@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from panelwise.functions.columns import expit, logit, spline_basis
 from panelwise.operators.aggregates import weighted_mean
 from panelwise.operators.running import running_sums
+from panelwise.sources.shared import stored
 
 #: Fits whose coefficients pass this in size are refused.
 CEILING = 10.0
@@ -228,20 +229,20 @@ def fit_or_step_down(attempts: Sequence[tuple[str, Callable[[], object]]]) -> tu
     return None, record
 
 
-def fit_logit_each(rows: DataFrame, by: str, x: Sequence[str], y: str, weight: str, steps: int = 14) -> dict[int, np.ndarray | None]:
-    """``fit_logit`` for every value of ``by`` (a replicate number), all in step: each Newton step is one
+def fit_logit_each(rows: DataFrame, by: str, keys: Sequence[int], x: Sequence[str], y: str, weight: str, steps: int = 14) -> dict[int, np.ndarray | None]:
+    """``fit_logit`` for every replicate number of ``keys`` in ``by``, all in step: each Newton step is one
     aggregate that returns a row of sums for each replicate. None where a fit is singular or passes CEILING."""
     p = len(x)
     pairs = [(i, j) for i in range(p) for j in range(i, p)]
-    keys = [r[by] for r in rows.select(by).distinct().collect()]
     beta: dict[int, np.ndarray | None] = {k: np.zeros(p) for k in keys}
     for _ in range(steps):
         now = rows.sparkSession.createDataFrame([(k, *map(float, v)) for k, v in beta.items() if v is not None], f"{by} int, " + ", ".join(f"_b{i} double" for i in range(p)))
         mu = expit(sum((F.col(f"_b{i}") * F.col(c) for i, c in enumerate(x)), F.lit(0.0)))
         w = F.col(weight)
         sums = [F.sum(w * F.col("_m") * (1 - F.col("_m")) * F.col(x[i]) * F.col(x[j])).alias(f"h{i}_{j}") for i, j in pairs] + [F.sum(w * (F.col(y) - F.col("_m")) * F.col(c)).alias(f"g{i}") for i, c in enumerate(x)]
-        moved = 0.0
+        moved, seen = 0.0, set()
         for r in rows.join(F.broadcast(now), by).withColumn("_m", mu).groupBy(by).agg(*sums).collect():
+            seen.add(r[by])
             h = np.zeros((p, p))
             for i, j in pairs:
                 h[i, j] = h[j, i] = r[f"h{i}_{j}"]
@@ -253,18 +254,33 @@ def fit_logit_each(rows: DataFrame, by: str, x: Sequence[str], y: str, weight: s
             new = beta[r[by]] + step
             beta[r[by]] = new if np.abs(new).max() <= CEILING else None
             moved = max(moved, np.abs(step).max())
+        beta = {k: v if k in seen else None for k, v in beta.items()}
         if moved < 1e-9:
             break
     return beta
 
 
+def patterns(rows: DataFrame, unit: str, x: Sequence[str], y: str, weight: str | None = None) -> DataFrame:
+    """``unit, x.., n, wy``: rows of a unit that agree in all covariates as one, with the sum of their weights and of
+    weight times response, which is all that a fit or a rank statistic of a score of x needs of them."""
+    w = F.col(weight) if weight else F.lit(1.0)
+    return rows.where(F.col(y).isNotNull()).groupBy(unit, *x).agg(F.sum(w).alias("n"), F.sum(w * F.col(y)).alias("wy"))
+
+
+def resampled(units: DataFrame, unit: str, b: int, seed: int = 1) -> DataFrame:
+    """The rows of ``patterns`` in every resample of whole units that holds them, with their multiplicity ``m``, stored
+    once: each Newton step reads it and joins nothing but coefficients."""
+    each = units.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(b)))).withColumn("m", multiplicity(F.col("b"), F.col(unit), seed)).where("m > 0")
+    return stored(each.withColumns({"w": F.col("m") * F.col("n"), "y": F.col("wy") / F.col("n")}).where("n > 0"), "resampled")
+
+
 def bootstrap_fit(rows: DataFrame, unit: str, x: Sequence[str], y: str, weight: str, b: int, seed: int = 1) -> list[tuple]:
     """Refits with whole units resampled: per term the estimate, percentile interval, two-sided p-value, share
-    of refits that failed and number of replicates. The replicate table is a join, so rows are weighted, not copied by hand."""
+    of refits that failed and number of replicates. Rows are weighted by multiplicities and never copied; those of
+    a unit that agree in all terms are one."""
     full = fit_logit(rows, x, y, weight)["beta"]
-    cols = [unit, *x, y, weight]
-    many = rows.select(*cols).join(replicates(rows, unit, b, seed), unit).withColumn("_w", F.col(weight) * F.col("multiplicity"))
-    found = fit_logit_each(many.select("b", *x, y, "_w"), "b", x, y, "_w")
+    many = resampled(patterns(rows, unit, x, y, weight), unit, b, seed)
+    found = fit_logit_each(many, "b", range(1, b + 1), x, "y", "w")
     good = np.array([v for v in found.values() if v is not None])
     failed = 1 - len(good) / max(b, 1)
     out = []
@@ -275,6 +291,46 @@ def bootstrap_fit(rows: DataFrame, unit: str, x: Sequence[str], y: str, weight:
     return out
 
 
+def roc_each(rows: DataFrame, by: Sequence[str], score: str, n: str, hits: str) -> DataFrame:
+    """``by.., auc``: the ROC area of every replicate at once, from rows that carry their number (or weight) ``n`` and, of it, ``hits``.
+
+    The rows become a histogram of (replicate, score), whose running sums of negatives give each positive's
+    rank, ties at half. Null where a replicate has one class only.
+    """
+    h = rows.groupBy(*by, score).agg(F.sum(hits).alias("_pos"), F.sum(F.col(n) - F.col(hits)).alias("_neg"))
+    h = running_sums(h, by, [F.col(score).asc()], {"_upto": F.col("_neg")})
+    area = F.sum(F.col("_pos") * (F.col("_upto") - F.col("_neg") / 2))
+    return h.groupBy(*by).agg(F.try_divide(area, F.sum("_pos") * F.sum("_neg")).alias("auc"))
+
+
+def optimism_corrected(rows: DataFrame, unit: str, x: Sequence[str], y: str, b: int, seed: int = 1, digits: int = 9) -> DataFrame:
+    """Internal validation of a logistic model's ROC area by whole units resampled: ``apparent, on_resamples, on_original,
+    optimism, corrected, n_replicates, failed``.
+
+    Each resample's fit is scored on the resample and on the original rows; the mean difference is the
+    optimism, and the apparent area less it the corrected one. Linear predictors are rounded to ``digits``, so
+    that ties are ties in any order of sums. Refits that fail or that leave one class only are counted as failed.
+    """
+    spark = rows.sparkSession
+    units = stored(patterns(rows, unit, x, y), "patterns")
+    full = fit_logit(units.withColumn("y", F.col("wy") / F.col("n")), x, "y", "n")["beta"]
+    many = resampled(units, unit, b, seed)
+    found = {k: v for k, v in fit_logit_each(many, "b", range(1, b + 1), x, "y", "w").items() if v is not None}
+    betas = [("apparent", 0, full), *((kind, k, v) for k, v in found.items() for kind in ("resample", "original"))]
+    fits = spark.createDataFrame([(kind, k, *map(float, v)) for kind, k, v in betas], "kind string, b int, " + ", ".join(f"_b{i} double" for i in range(len(x))))
+    once = units.groupBy(*x).agg(F.sum("n").alias("n"), F.sum("wy").alias("hits"))
+    on_original = once.join(F.broadcast(fits.where("kind <> 'resample'")))  # one row for each fit
+    on_resample = many.select("b", *x, F.col("w").alias("n"), (F.col("m") * F.col("wy")).alias("hits")).join(F.broadcast(fits.where("kind = 'resample'")), "b")
+    eta = F.round(sum((F.col(f"_b{i}") * F.col(c) for i, c in enumerate(x)), F.lit(0.0)), digits)
+    scored = on_original.select("kind", "b", eta.alias("score"), "n", "hits").unionByName(on_resample.select("kind", "b", eta.alias("score"), "n", "hits"))
+    area = roc_each(scored, ["kind", "b"], "score", "n", "hits")
+    each = area.groupBy("b").agg(*[F.max(F.when(F.col("kind") == k, F.col("auc"))).alias(k) for k in ("apparent", "resample", "original")])
+    both = F.col("resample").isNotNull() & F.col("original").isNotNull()
+    one = each.agg(F.max("apparent").alias("apparent"), F.avg(F.when(both, F.col("resample"))).alias("on_resamples"), F.avg(F.when(both, F.col("original"))).alias("on_original"), F.count_if(both).alias("_used"))
+    optimism = F.col("on_resamples") - F.col("on_original")
+    return one.select("apparent", "on_resamples", "on_original", optimism.alias("optimism"), (F.col("apparent") - optimism).alias("corrected"), F.lit(b).alias("n_replicates"), (1 - F.col("_used") / b).alias("failed"))
+
+
 def inverse_weights(rows: DataFrame, observed: str, fitted: str, group: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Stabilised weights of observed rows, clipped at two percentiles. A row that was not observed has none;
     a fitted probability outside (0, 1] of a row that was is refused when the rows are computed."""

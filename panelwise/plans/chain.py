@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,14 +11,14 @@ from panelwise.operators import daily, episodes, events
 from panelwise.params import SCALED as P
 from panelwise.plans.fits import newton_sql
 from panelwise.sources import adapters as A
-from panelwise.sources.io import shared_folder
+from panelwise.sources.shared import stored, stored_by
 
 
 #: Derived tables that many queries read: each is built once for a session and folder, written to
 #: the shared folder and read back, as the build of the reference tables does. The inputs are taken not to
 #: change within a session; a table that has gone from its folder is built again.
 _STORED = ("episodes", "minutes", "grid", "baseline", "elig", "features", "panel", "ev", "lm", "sets")
-_PATHS: dict[tuple[str, str, str], tuple[str, object]] = {}
+_TABLES: dict[tuple[str, str, str], DataFrame] = {}
 
 
 class Chain:
@@ -26,6 +26,8 @@ class Chain:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf = spark, sf_dir
+        # The tables lie in buckets of the person, which serve joins on the person and more columns as well.
+        spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_") or name not in _MAKERS:
@@ -35,19 +37,24 @@ class Chain:
         return made
 
     def _stored(self, name: str) -> DataFrame:
+        return self.kept(name, lambda: _MAKERS[name](self))
+
+    def kept(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A table that is made once for the session and folder. It lies in buckets of the person, if it has one, so that
+        joins and groups by person read it without an exchange."""
         key = (self.spark.sparkContext.applicationId, self.sf, name)
-        if key not in _PATHS or not _there(self.spark, _PATHS[key][0]):
-            made = _MAKERS[name](self)
-            path = f"{shared_folder(self.spark)}/cohort-{uuid.uuid4().hex}/{name}"
-            made.write.parquet(path)
-            _PATHS[key] = (path, made.schema)
-        path, schema = _PATHS[key]
-        return self.spark.read.schema(schema).parquet(path)
+        if key not in _TABLES or not _there(self.spark, _TABLES[key]):
+            made = make()
+            _TABLES[key] = stored_by(made, "person_id", f"cohort_{name}") if "person_id" in made.columns else stored(made, f"cohort-{name}")
+        return _TABLES[key]
 
 
-def _there(spark: SparkSession, path: str) -> bool:
+def _there(spark: SparkSession, table: DataFrame) -> bool:
     """Whether a stored table is still in its folder."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    files = table.inputFiles()
+    if not files:
+        return True  # empty: nothing to lose
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0])
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwise.functions import disclosure as K
 from panelwise.operators import disclosure as D
+from panelwise.operators.episodes import LADDER
 from panelwise.plans.chain import Chain
 from panelwise.plans.chain import with_tables as sql
 from panelwise.plans.registry import query
@@ -65,6 +66,37 @@ def dc07b(c: Chain) -> DataFrame:
     return D.complementary_grid(cells, "visit_kind", "origin", "n")
 
 
+#: One ladder for each region. A rung's out and the next one's in are one node, v<step of the next rung>; d<step> is what the rung
+#: drops. A lone unknown of v(s) = d(s) + v(s + 1) is joined by the smallest shown node, until none is left.
+_STEPS = range(3, 3 + len(LADDER))
+_LADDERS = f"""WITH RECURSIVE rungs AS MATERIALIZED (SELECT region, s.step, count_if(first_fail_step IS NULL OR first_fail_step = 2 OR first_fail_step >= s.step) AS n_in, count_if(first_fail_step = s.step) AS n_dropped FROM elig, (SELECT unnest({list(_STEPS)}) AS step) s GROUP BY ALL),
+nodes AS MATERIALIZED (SELECT region, printf('%04d/in', step) AS node, n_in AS n FROM rungs UNION ALL SELECT region, printf('%04d/out', step), n_in - n_dropped FROM rungs WHERE step = {_STEPS[-1]} UNION ALL SELECT region, printf('%04d/dropped', step), n_dropped FROM rungs),
+named AS MATERIALIZED (SELECT region, n, CASE WHEN node LIKE '%/in' AND node[:4] <> '{_STEPS[0]:04d}' THEN printf('%04d/in', CAST(node[:4] AS INTEGER)) ELSE node END AS node FROM nodes),
+eqs AS MATERIALIZED (SELECT r.region, r.step, t.node, t.n FROM rungs r JOIN named t ON t.region = r.region AND t.node IN (printf('%04d/in', r.step), printf('%04d/dropped', r.step), CASE WHEN r.step = {_STEPS[-1]} THEN printf('%04d/out', r.step) ELSE printf('%04d/in', r.step + 1) END)),
+h AS (SELECT region, 0 AS i, list(node) FILTER (n BETWEEN 1 AND 20) AS hidden FROM named GROUP BY region
+ UNION ALL SELECT region, i + 1, list_distinct(hidden || more) FROM (
+  SELECT region, i, hidden, list(pick) AS more FROM (
+   SELECT h.region, h.i, h.hidden, e.step, arg_min(e.node, (e.n, e.node)) FILTER (NOT list_contains(h.hidden, e.node)) AS pick, count_if(list_contains(h.hidden, e.node)) AS k
+   FROM h JOIN eqs e ON e.region = h.region WHERE h.hidden IS NOT NULL GROUP BY h.region, h.i, h.hidden, e.step) WHERE k = 1 AND pick IS NOT NULL GROUP BY region, i, hidden)),
+final AS (SELECT region, arg_max(hidden, i) AS hidden FROM h GROUP BY region)
+SELECT r.region, r.step, f.field, coalesce(list_contains(x.hidden, CASE f.field WHEN 'dropped' THEN printf('%04d/dropped', r.step) WHEN 'in' THEN printf('%04d/in', r.step) ELSE CASE WHEN r.step = {_STEPS[-1]} THEN printf('%04d/out', r.step) ELSE printf('%04d/in', r.step + 1) END END), FALSE) AS hidden
+FROM rungs r, (SELECT unnest(['in', 'dropped', 'out']) AS field) f JOIN final x ON x.region = r.region"""
+
+
+@query("dc07c_ladders", sql(_LADDERS, "elig"))
+def dc07c(c: Chain) -> DataFrame:
+    """Which counts of each region's ladder must stay hidden so that none follows from the others."""
+    # Out and the next in are one class, named here by its smaller cell; ties go by the in, as the class's name would not.
+    rows = c.elig.groupBy("region", F.col("first_fail_step").alias("step")).agg(F.count(F.lit(1)).alias("n"))
+    steps = c.spark.createDataFrame([(i,) for i in _STEPS], "step int")
+    total = rows.groupBy("region").agg(F.sum("n").alias("_all"))
+    w = Window.partitionBy("region").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
+    ladder = total.join(F.broadcast(steps)).join(rows, ["region", "step"], "left").withColumn("n_dropped", F.coalesce("n", F.lit(0)))
+    ladder = ladder.withColumn("n_in", F.col("_all") - F.coalesce(F.sum("n_dropped").over(w), F.lit(0))).withColumn("n_out", F.col("n_in") - F.col("n_dropped"))
+    found = D.suppressed_equations(*D.ladder_cells(ladder.select("region", "step", "n_in", "n_dropped", "n_out"), ["region"]), ["region"])
+    return found.select("region", F.substring("cell", 1, 4).cast("int").alias("step"), F.substring_index("cell", "/", -1).alias("field"), "hidden")
+
+
 @query("dc08_export_violations", sql(f"SELECT * FROM (SELECT 'illegal_count' AS rule, 'n' AS \"column\", count_if(NOT (n = 0 OR (n > 20 AND n % 20 = 0))) AS n FROM ({_CELLS}) UNION ALL SELECT 'near_unique', 'label', CASE WHEN count(*) > 20 AND count(DISTINCT code) > 0.9 * count(*) THEN count(DISTINCT code) ELSE 0 END FROM ({_CELLS})) WHERE n > 0", "conditions", "codes"))
 def dc08(c: Chain) -> DataFrame:
     return D.export_violations(_cells(c).withColumn("label", F.concat(F.lit("code "), F.col("code").cast("string"))), ["n"], texts=["label"])

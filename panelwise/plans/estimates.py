@@ -45,6 +45,10 @@ _SEEN, _LOST = ("one", "day", "weekend"), ("one", "day", "fusion")
 
 
 def _terms(c: Chain) -> DataFrame:
+    return c.kept("days", lambda: _make_terms(c))
+
+
+def _make_terms(c: Chain) -> DataFrame:
     d = _days(c).join(c.features.select("episode_id", "is_fusion"), "episode_id")
     return d.withColumns({"one": F.lit(1.0), "day": (F.col("post_day") - 5) / 5.0, "weekend": F.col("day_of_week").isin(1, 7).cast("double"), "fusion": F.col("is_fusion").cast("double"), "y": F.col("is_analyzable").cast("double")})
 
@@ -52,7 +56,7 @@ def _terms(c: Chain) -> DataFrame:
 def _observed(c: Chain) -> DataFrame:
     """Days with the probability of being observed, from the fitted observation model, and their weight."""
     d = _terms(c)
-    return E.inverse_weights(E.with_fitted(d, _SEEN, E.fit_logit(d, _SEEN, "y")["beta"], "observed"), "is_analyzable", "observed", "region")
+    return c.kept("weighted", lambda: E.inverse_weights(E.with_fitted(d, _SEEN, E.fit_logit(d, _SEEN, "y")["beta"], "observed"), "is_analyzable", "observed", "region"))
 
 
 def _modelled(c: Chain) -> tuple[DataFrame, np.ndarray]:
@@ -62,8 +66,11 @@ def _modelled(c: Chain) -> tuple[DataFrame, np.ndarray]:
 
 
 def _predicted(c: Chain) -> DataFrame:
-    d, beta = _modelled(c)
-    return E.with_fitted(d, _LOST, beta, "pred")
+    def make() -> DataFrame:
+        d, beta = _modelled(c)
+        return E.with_fitted(d, _LOST, beta, "pred")
+
+    return c.kept("fitted", make)
 
 
 @query("e01_design_columns", sql("SELECT min(age) <> max(age) AS age_varies, min(x) <> max(x) AS constant_varies, round(avg(CAST(sex = 'F' AS INTEGER)), 6) AS share_f, round(avg(ln(1 + los_days)), 6) AS mean_log_los FROM (SELECT *, 1 AS x FROM features)", "features"))
@@ -230,6 +237,24 @@ def e19b(c: Chain) -> DataFrame:
     return rounded(E.confusion_at(_scored(c), "score", "y", 0.75), "sensitivity", "specificity", "ppv")
 
 
+_FOLDS = 60
+_PATTERNS = "SELECT person_id AS unit, day, weekend, count(*) AS n, sum(y) AS hits FROM days GROUP BY ALL"
+
+
+@query("e19e_optimism_corrected", sql(f"""WITH pat AS MATERIALIZED ({_PATTERNS}),
+drawn AS MATERIALIZED (SELECT b, k, p.* FROM (SELECT unit, b, {multiplicity_sql('b', 'unit')} AS k FROM (SELECT DISTINCT unit FROM pat), (SELECT CAST(b AS INTEGER) AS b FROM range(1, {_FOLDS + 1}) t(b))) JOIN pat p USING (unit) WHERE k > 0),
+refit AS MATERIALIZED ({newton_sql("(SELECT b, day, weekend, k * n AS kn, hits / n AS share FROM drawn)", ["1", "day", "weekend"], "share", "kn", by="b")}),
+scored AS (SELECT 'apparent' AS kind, 0 AS b, round(b0 + b1 * day + b2 * weekend, 9) AS s, n, hits FROM pat, observed_fit
+ UNION ALL SELECT 'original', r.b, round(b0 + b1 * day + b2 * weekend, 9), n, hits FROM pat, refit r
+ UNION ALL SELECT 'resample', b, round(b0 + b1 * day + b2 * weekend, 9), k * n, k * hits FROM drawn JOIN refit USING (b)),
+areas AS (SELECT kind, b, sum(pos * (upto - neg / 2)) / nullif(sum(pos) * sum(neg), 0) AS auc FROM (SELECT *, sum(neg) OVER (PARTITION BY kind, b ORDER BY s) AS upto FROM (SELECT kind, b, s, sum(hits) AS pos, sum(n - hits) AS neg FROM scored GROUP BY ALL)) GROUP BY kind, b),
+pairs AS (SELECT r.auc AS r, o.auc AS o FROM areas r JOIN areas o ON r.b = o.b AND r.kind = 'resample' AND o.kind = 'original' WHERE r.auc IS NOT NULL AND o.auc IS NOT NULL)
+SELECT round(a.auc, 6) AS apparent, round(avg(r), 6) AS on_resamples, round(avg(o), 6) AS on_original, round(avg(r) - avg(o), 6) AS optimism, round(a.auc - (avg(r) - avg(o)), 6) AS corrected, {_FOLDS} AS n_replicates, round(1 - count(*) / {_FOLDS}, 6) AS failed FROM pairs, (SELECT auc FROM areas WHERE kind = 'apparent') a GROUP BY a.auc""", "days", "observed_fit"))
+def e19e(c: Chain) -> DataFrame:
+    """The ROC area of the observation model, corrected for optimism over resamples of whole persons."""
+    return rounded(E.optimism_corrected(_terms(c), "person_id", _SEEN, "y", _FOLDS), "apparent", "on_resamples", "on_original", "optimism", "corrected", "failed")
+
+
 @query("e20_lead_time", sql(f"SELECT e.episode_id, e.event_day, e.event_day - min(CASE WHEN a.post_day BETWEEN e.event_day - 6 AND e.event_day - 1 THEN a.post_day END) AS lead_days FROM ev e LEFT JOIN (SELECT episode_id, post_day FROM lm WHERE no_signal) a USING (episode_id) GROUP BY e.episode_id, e.event_day", "lm"))
 def e20(c: Chain) -> DataFrame:
     return E.lead_time(c.ev, c.lm.where("no_signal"))
@@ -281,8 +306,11 @@ def _design(c: Chain) -> DataFrame:
 
 def _weighted(c: Chain) -> DataFrame:
     """Days with ``observed``, the fitted probability that a day is observed, and the weight from it."""
-    d = _design(c)
-    return E.inverse_weights(E.with_fitted(d, _OBSERVED_X, E.fit_logit(d, _OBSERVED_X, "y")["beta"], "observed"), "is_analyzable", "observed", "region")
+    def make() -> DataFrame:
+        d = c.kept("design", lambda: _design(c))
+        return E.inverse_weights(E.with_fitted(d, _OBSERVED_X, E.fit_logit(d, _OBSERVED_X, "y")["beta"], "observed"), "is_analyzable", "observed", "region")
+
+    return c.kept("weighted_full", make)
 
 
 def _deficit_fit(c: Chain) -> tuple[DataFrame, np.ndarray]:
@@ -292,8 +320,11 @@ def _deficit_fit(c: Chain) -> tuple[DataFrame, np.ndarray]:
 
 
 def _fitted(c: Chain) -> DataFrame:
-    d, beta = _deficit_fit(c)
-    return E.with_fitted(d, _DEFICIT_X, beta, "pred")
+    def make() -> DataFrame:
+        d, beta = _deficit_fit(c)
+        return E.with_fitted(d, _DEFICIT_X, beta, "pred")
+
+    return c.kept("fitted_full", make)
 
 
 @query("e03b_fitted_weights")
