@@ -15,6 +15,9 @@ second one, in the trie of reversed words, at that of its second half; the dense
 searched. What stands two characters further down an edge, and how many characters are left there, is kept as
 bits with the edge, and a state whose word asks for something else ends before it is made. Hashes may collide, which
 adds candidates and loses none; all candidates are held against the words themselves.
+
+Words of LONGEST_WALK characters or more would take a level for each character that they share. Their pairs come from
+hashes of the word with one character taken out or left open, in rows that grow with their lengths.
 """
 
 from __future__ import annotations
@@ -38,6 +41,8 @@ FORM_FACTOR = 2
 MISSPELT = 97
 #: Distinct words that a worker counts before it sends them on.
 HELD = 300_000
+#: Words from this length on are not walked: a walk has a level for each character.
+LONGEST_WALK = 64
 #: Words of an edge that are compared directly.
 CONTAINER = 2
 
@@ -173,6 +178,42 @@ def trie_nodes(words: DataFrame) -> DataFrame:
     return nodes.where((F.col("words") > CONTAINER) | (F.col("from") == 0)).drop("words")
 
 
+def long_keys(words: DataFrame) -> DataFrame:
+    """``key, kind, id`` of words too long for a walk: the hash of the word (0), of the word without each of its characters
+    (1) and of the word with each of its characters left open (2)."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        back_one = np.uint64(pow(int(_BASE), -1, 1 << 64))
+        for batch in batches:
+            for word, i in zip(_latin(batch), batch.column("id").to_pylist(), strict=True):
+                trie = _Prefixes([word], False)
+                sums, codes, m = trie.sums, _CODES[trie.codes], len(word)
+                powers = np.r_[_ONE, np.cumprod(np.full(m, _BASE, np.uint64), dtype=np.uint64)][1:]
+                whole, short = mixed_bits(sums[m:] + np.uint64(m)), mixed_bits(sums[:-1] + (sums[m] - sums[1:]) * back_one + np.uint64(m - 1))
+                open_ = mixed_bits(sums[m] - codes * powers + np.arange(m, dtype=np.uint64) * _SEEDS[0] + np.uint64(m))
+                keys = np.r_[whole, short, open_].view(np.int64)
+                kinds = np.repeat(np.array([0, 1, 2], np.int32), [1, m, m])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(kinds), pa.array(np.full(len(keys), i, np.int64))], ["key", "kind", "id"])
+
+    return words.select("id", "word").mapInArrow(emit, "key bigint, kind int, id bigint")
+
+
+def long_pairs(words: DataFrame) -> DataFrame:
+    """``a, n_a, b, n_b``: near pairs of words of LONGEST_WALK characters or more, whose common prefixes would take a level for
+    each character. Words that agree with one character left open differ in that character alone, so a group is as small as the alphabet."""
+    keys = written(long_keys(words).distinct(), "long_keys")
+    of = lambda kind, name: keys.where(F.col("kind") == kind).select("key", F.col("id").alias(name))
+    found = of(0, "i").join(of(1, "j"), "key").select("i", "j").unionByName(of(2, "i").join(of(2, "j"), "key").where("i <> j").select("i", "j")).distinct()
+    side = lambda name, end: words.select(F.col("id").alias(name), F.col("word").alias(end), F.col("n").alias(f"n_{end}"))
+    pairs = found.join(side("i", "a"), "i").join(side("j", "b"), "j")
+    return pairs.where(_ordered() & (F.levenshtein("a", "b", 1) == 1)).select("a", "n_a", "b", "n_b").distinct()
+
+
+def _ordered() -> Column:
+    size = F.length("a")
+    return (size < F.length("b")) | ((size == F.length("b")) & (F.col("a") < F.col("b")))
+
+
 def _asks(mask: Column, value: Column) -> Column:
     return F.getbit(mask, F.pmod(value, F.lit(64)).cast("int")) == 1
 
@@ -206,14 +247,14 @@ def next_level(states: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def near_pairs(words: DataFrame) -> DataFrame:
     """``a, n_a, b, n_b``: each pair of ``words`` (id, word, n) that one inserted, deleted or replaced character
-    parts, once."""
-    nodes = written(trie_nodes(words), "trie_nodes")
-    states = start_states(words).select("word", "n", "back", F.col("pos").alias("start"), "pos", F.lit(0).alias("edits"), "node")
-    level, made, candidates = 0, [], None
+    parts, once. The walk makes those whose shorter word has less than LONGEST_WALK characters, ``long_pairs`` the rest."""
+    walked, beyond = words.where(F.length("word") <= LONGEST_WALK), words.where(F.length("word") >= LONGEST_WALK)
+    nodes = written(trie_nodes(walked), "trie_nodes")
+    states = start_states(walked.where(F.length("word") < LONGEST_WALK)).select("word", "n", "back", F.col("pos").alias("start"), "pos", F.lit(0).alias("edits"), "node")
+    level, candidates = 0, None
     while True:
         here = nodes.where((F.col("from") <= level) & (F.col("to") >= level))
         frontier = written(next_level(states, here), f"level{level}")
-        made.append(frontier)
         found = frontier.where("other IS NOT NULL").select("word", "n", "back", "start", "other")
         candidates = found if candidates is None else candidates.unionByName(found)
         states = frontier.where("other IS NULL").drop("other")
@@ -221,14 +262,13 @@ def near_pairs(words: DataFrame) -> DataFrame:
         if states.isEmpty():
             break
     dropped(nodes)
-    other = words.select(F.col("id").alias("other"), F.col("word").alias("b"), F.col("n").alias("n_b"))
+    other = walked.select(F.col("id").alias("other"), F.col("word").alias("b"), F.col("n").alias("n_b"))
     a = F.when(F.col("back"), F.reverse("word")).otherwise(F.col("word"))
     pairs = candidates.join(other, "other").select(a.alias("a"), F.col("n").alias("n_a"), "b", "n_b", "back")
-    size = F.length("a")
-    ordered = (size < F.length("b")) | ((size == F.length("b")) & (F.col("a") < F.col("b")))
-    half = F.floor(size / 2).cast("int")
+    half = F.floor(F.length("a") / 2).cast("int")
     first_half = F.substring(F.col("a"), F.lit(1), half) == F.substring(F.col("b"), F.lit(1), half)  # found by the first frontier
-    return pairs.where(ordered & (F.levenshtein("a", "b", 1) == 1) & ~(F.col("back") & first_half)).select("a", "n_a", "b", "n_b").distinct()
+    short = pairs.where(_ordered() & (F.levenshtein("a", "b", 1) == 1) & ~(F.col("back") & first_half)).select("a", "n_a", "b", "n_b").distinct()
+    return short if beyond.isEmpty() else short.unionByName(long_pairs(beyond))
 
 
 def roots(forms: DataFrame) -> DataFrame:
