@@ -108,6 +108,27 @@ def test_mixing_targets_and_taken(spark):
     assert sorted((r["doc_id"], r["taken"]) for r in got) == sorted((r["doc_id"], r["taken"]) for r in again)
 
 
+def test_mixing_misses_by_less_than_a_median_document(spark):
+    docs_ = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "source", "text")
+    by = defaultdict(list)
+    for r in mixing.mixed(docs_).collect():
+        by[r["source"]].append((r["size"], r["taken"], r["target"]))
+    assert len(by) > 10
+    for s, rows in by.items():
+        miss = abs(sum(r[1] for r in rows) - rows[0][2])
+        assert miss <= max(0.01 * rows[0][2], np.median([r[0] for r in rows])), s
+
+
+def test_mixing_counts_repeated_rows_before_it_deals_them(spark):
+    rows = [(7, "w w w", "a")] * 700 + [(None, "w", "a")] * 300 + [(k, "w w", "b") for k in range(200)]
+    got = mixing.mixed(docs(spark, rows)).collect()
+    assert len(got) == len(rows) and Counter((r["doc_id"], r["size"]) for r in got) == Counter((i, len(t.split())) for i, t, _ in rows)
+    taken = Counter()
+    for r in got:
+        taken[r["source"]] += r["taken"]
+    assert all(abs(taken[r["source"]] - r["target"]) <= 3 for r in got) and len({r["copies"] for r in got if r["doc_id"] == 7}) <= 2
+
+
 def test_mixing_is_unbiased(spark):
     rows = [(k, "w " * (1 + k % 7), "a" if k % 3 else "b") for k in range(300)]
     mean = Counter()
