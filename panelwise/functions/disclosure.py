@@ -27,8 +27,9 @@ def reason(n: Column) -> Column:
 
 
 def is_legal_count(n: Column) -> Column:
-    """A count that may be shown: 0, or a multiple of the floor above it."""
-    return F.coalesce((n == 0) | ((n > FLOOR) & (n % FLOOR == 0)), F.lit(False))
+    """A count as it may be written down: 0, or a positive multiple of the floor, which is all that rounding makes. A written
+    20 stands for 21 to 29, where a true 20 may not be shown (``disclosable``)."""
+    return F.coalesce((n >= 0) & (n % FLOOR == 0), F.lit(False))
 
 
 def render_count(n: Column) -> Column:

@@ -74,6 +74,56 @@ def table_digest(rows: DataFrame, cols: Sequence[str], within: str = "|", betwee
     return piece.mapInArrow(digest, "n long, digest string").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.max("digest").alias("digest"))
 
 
+#: Rows of a leaf of ``tree_leaves``, on average.
+LEAF_ROWS = 4096
+
+
+def _row_key(cols: Sequence[str]) -> Column:
+    return F.concat_ws("|", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in cols])
+
+
+def leaf_digits(rows: DataFrame) -> int:
+    """Hexadecimal digits of the leaf name that make leaves of about LEAF_ROWS rows."""
+    n, digits = rows.count(), 0
+    while n > LEAF_ROWS * 16**digits:
+        digits += 1
+    return digits
+
+
+def tree_leaves(rows: DataFrame, cols: Sequence[str], digits: int) -> DataFrame:
+    """``leaf, n, digest``: the leaves of a hash tree over the rows' keys. A row's leaf is the first ``digits`` hexadecimal digits of
+    its key's MD5, and a leaf's digest the MD5 of its sorted key digests; repeated rows count each time."""
+    key = rows.select(F.md5(_row_key(cols)).alias("_k"))
+    leaf = F.substring("_k", 1, digits) if digits else F.lit("")
+    return key.groupBy(leaf.alias("leaf")).agg(F.count(F.lit(1)).alias("n"), F.md5(F.array_join(F.array_sort(F.collect_list("_k")), "")).alias("digest"))
+
+
+def tree_digest(rows: DataFrame, cols: Sequence[str], digits: int | None = None) -> DataFrame:
+    """``n, digest``: the root of the tree, the MD5 of the ordered leaves' names and digests, level by level: sixteen
+    children make a node, so no task ever holds more than a leaf. An empty table has no digest."""
+    digits = leaf_digits(rows) if digits is None else digits
+    level = tree_leaves(rows, cols, digits)
+    for k in range(digits, 0, -1):
+        child = F.concat_ws(":", "leaf", "digest")
+        level = level.groupBy(F.substring("leaf", 1, k - 1).alias("leaf")).agg(F.sum("n").alias("n"), F.md5(F.array_join(F.array_sort(F.collect_list(child)), ",")).alias("digest"))
+    return level.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.max("digest").alias("digest"))
+
+
+def changed_rows(a: DataFrame, b: DataFrame, cols: Sequence[str], digits: int | None = None) -> DataFrame:
+    """``cols.., n_a, n_b``: the rows that two tables do not hold equally often. Only rows of leaves whose digests differ
+    are compared; where the tables are alike that is next to none of them."""
+    digits = leaf_digits(a) if digits is None else digits
+    x, y = (tree_leaves(d, cols, digits).select("leaf", F.col("digest").alias(n)) for d, n in ((a, "_x"), (b, "_y")))
+    differ = x.join(y, "leaf", "full_outer").where(~F.col("_x").eqNullSafe(F.col("_y"))).select(F.col("leaf").alias("_leaf"))
+
+    def of(d: DataFrame, name: str) -> DataFrame:
+        own = F.substring(F.md5(_row_key(cols)), 1, digits) if digits else F.lit("")
+        return d.select(*cols).withColumn("_leaf", own).join(differ, "_leaf", "left_semi").drop("_leaf").withColumns({"n_a": F.lit(int(name == "a")), "n_b": F.lit(int(name == "b"))})
+
+    both = of(a, "a").unionByName(of(b, "b")).groupBy(*cols).agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"))
+    return both.where("n_a <> n_b")
+
+
 def big_digest(rows: DataFrame, cols: Sequence[str]) -> DataFrame:
     """An order-free digest of a table of any size: 60 bits of each row's MD5 are combined map-side."""
     key = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols])

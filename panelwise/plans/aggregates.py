@@ -102,6 +102,24 @@ def a22b(c: Chain) -> DataFrame:
     return A.big_digest(c.grid, ["person_id", "activity_date", "steps", "wear_minutes"])
 
 
+_KEY = "md5(concat_ws('|', coalesce(CAST(person_id AS VARCHAR), ''), coalesce(CAST(activity_date AS VARCHAR), ''), coalesce(CAST(steps AS VARCHAR), ''), coalesce(CAST(wear_minutes AS VARCHAR), '')))"
+_GRID_COLS = ["person_id", "activity_date", "steps", "wear_minutes"]
+
+
+@query("a22c_tree_digest", sql(f"WITH leaves AS (SELECT k[:2] AS leaf, count(*) AS n, md5(string_agg(k, '' ORDER BY k)) AS d FROM (SELECT {_KEY} AS k FROM grid) GROUP BY 1), inner_nodes AS (SELECT leaf[:1] AS leaf, sum(n) AS n, md5(string_agg(concat(leaf, ':', d), ',' ORDER BY leaf)) AS d FROM leaves GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS n, md5(string_agg(concat(leaf, ':', d), ',' ORDER BY leaf)) AS digest FROM inner_nodes", "grid"))
+def a22c(c: Chain) -> DataFrame:
+    """The root of a hash tree of two levels over the grid."""
+    return A.tree_digest(c.grid, _GRID_COLS, 2)
+
+
+@query("a22d_changed_rows", sql("SELECT person_id, activity_date, coalesce(steps, -1) + d.k AS steps, 1 - d.k AS n_a, d.k AS n_b FROM grid, (VALUES (0), (1)) d(k) WHERE wear_minutes > 1200", "grid"))
+def a22d(c: Chain) -> DataFrame:
+    """The rows that differ between the grid and a copy with other steps on very long days, found by their leaves."""
+    a = c.grid.select("person_id", "activity_date", F.coalesce("steps", F.lit(-1)).cast("long").alias("steps"), "wear_minutes")
+    b = a.withColumn("steps", F.when(F.col("wear_minutes") > 1200, F.col("steps") + 1).otherwise(F.col("steps")))
+    return A.changed_rows(a, b, ["person_id", "activity_date", "steps"]).select("person_id", "activity_date", "steps", F.col("n_a").cast("int").alias("n_a"), F.col("n_b").cast("int").alias("n_b"))
+
+
 @query("a23_evidence_path", sql("SELECT path, count(*) AS n_persons FROM (SELECT person_id, CASE WHEN bool_or(category = 'trauma') THEN 'trauma' WHEN bool_or(category = 'malignancy') THEN 'malignancy' WHEN bool_or(category = 'degenerative') THEN 'degenerative' ELSE 'none' END AS path FROM conditions GROUP BY person_id) GROUP BY path", "conditions"))
 def a23(c: Chain) -> DataFrame:
     return A.evidence_path(c.conditions, "person_id", {n: F.col("category") == n for n in ("trauma", "malignancy", "degenerative")})

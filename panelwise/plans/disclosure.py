@@ -23,7 +23,7 @@ _OK = "(n = 0 OR n > 20)"
 _R20 = "CASE WHEN n = 0 THEN 0 WHEN n > 20 THEN (n + 10) // 20 * 20 END"
 
 
-@query("dc01_disclosable", sql(f"SELECT code, n, {_OK} AS ok, {_R20} AS shown, CASE WHEN NOT {_OK} THEN 'suppressed' END AS reason, n % 20 = 0 AND n <> 20 AS legal FROM ({_CELLS})", "conditions", "codes"))
+@query("dc01_disclosable", sql(f"SELECT code, n, {_OK} AS ok, {_R20} AS shown, CASE WHEN NOT {_OK} THEN 'suppressed' END AS reason, n % 20 = 0 AS legal FROM ({_CELLS})", "conditions", "codes"))
 def dc01(c: Chain) -> DataFrame:
     n = F.col("n")
     return _cells(c).select("code", "n", K.disclosable(n).alias("ok"), K.round20(n).alias("shown"), K.reason(n).alias("reason"), K.is_legal_count(n).alias("legal"))
@@ -97,7 +97,7 @@ def dc07c(c: Chain) -> DataFrame:
     return found.select("region", F.substring("cell", 1, 4).cast("int").alias("step"), F.substring_index("cell", "/", -1).alias("field"), "hidden")
 
 
-@query("dc08_export_violations", sql(f"SELECT * FROM (SELECT 'illegal_count' AS rule, 'n' AS \"column\", count_if(NOT (n = 0 OR (n > 20 AND n % 20 = 0))) AS n FROM ({_CELLS}) UNION ALL SELECT 'near_unique', 'label', CASE WHEN count(*) > 20 AND count(DISTINCT code) > 0.9 * count(*) THEN count(DISTINCT code) ELSE 0 END FROM ({_CELLS})) WHERE n > 0", "conditions", "codes"))
+@query("dc08_export_violations", sql(f"SELECT * FROM (SELECT 'illegal_count' AS rule, 'n' AS \"column\", count_if(n < 0 OR n % 20 <> 0) AS n FROM ({_CELLS}) UNION ALL SELECT 'near_unique', 'label', CASE WHEN count(*) > 20 AND count(DISTINCT code) > 0.9 * count(*) THEN count(DISTINCT code) ELSE 0 END FROM ({_CELLS})) WHERE n > 0", "conditions", "codes"))
 def dc08(c: Chain) -> DataFrame:
     return D.export_violations(_cells(c).withColumn("label", F.concat(F.lit("code "), F.col("code").cast("string"))), ["n"], texts=["label"])
 

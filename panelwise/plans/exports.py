@@ -92,7 +92,7 @@ def io13(c: Chain) -> DataFrame:
 _DC8 = f"(SELECT visit_kind, origin, CASE WHEN n % 3 = 0 THEN n ELSE {_R('n')} END AS n, CASE WHEN n > 0 THEN 50 END AS pct FROM {_VISITS})"
 
 
-@query("dc08b_all_refusals", sql(f"SELECT * FROM (SELECT '1_extension' AS class, 'cells.xlsx' AS \"column\", count(DISTINCT 1) AS n FROM {_DC8} UNION ALL SELECT '2_illegal_count', 'n', count_if(n IS NOT NULL AND NOT (n % 20 = 0 AND n <> 20)) FROM {_DC8} UNION ALL SELECT '3_percent_beside_hidden', 'pct', count_if(pct IS NOT NULL AND n IS NULL) FROM {_DC8} UNION ALL SELECT '4_lone_hidden', 'n', count(*) FROM (SELECT visit_kind FROM {_DC8} GROUP BY visit_kind HAVING count_if(n IS NULL) = 1 AND count_if(n > 0) > 0) UNION ALL SELECT '5_banned_character', 'label', count_if(n IS NULL) FROM {_DC8} UNION ALL SELECT '7_identifier', 'episode_id', count(DISTINCT 1) FROM {_DC8}) WHERE n > 0", "visits"))
+@query("dc08b_all_refusals", sql(f"SELECT * FROM (SELECT '1_extension' AS class, 'cells.xlsx' AS \"column\", count(DISTINCT 1) AS n FROM {_DC8} UNION ALL SELECT '2_illegal_count', 'n', count_if(n IS NOT NULL AND n % 20 <> 0) FROM {_DC8} UNION ALL SELECT '3_percent_beside_hidden', 'pct', count_if(pct IS NOT NULL AND n IS NULL) FROM {_DC8} UNION ALL SELECT '4_lone_hidden', 'n', count(*) FROM (SELECT visit_kind FROM {_DC8} GROUP BY visit_kind HAVING count_if(n IS NULL) = 1 AND count_if(n > 0) > 0) UNION ALL SELECT '5_banned_character', 'label', count_if(n IS NULL) FROM {_DC8} UNION ALL SELECT '7_identifier', 'episode_id', count(DISTINCT 1) FROM {_DC8}) WHERE n > 0", "visits"))
 def dc08b(c: Chain) -> DataFrame:
     """A table with something wrong in each class, and what the gate finds."""
     n = F.col("n")
@@ -152,7 +152,7 @@ def dc12b(c: Chain) -> DataFrame:
     return d.select("variable", "level", K.round20(F.col("n")).alias("n"), F.when(ok, F.round(100.0 * F.col("n") / F.col("t"))).cast("long").alias("pct"))
 
 
-@query("dc13_bundle_checks", sql(f"SELECT count(*) AS n_rows, count_if(x IS NULL) AS n_hidden, count_if(x % 20 <> 0 OR x = 20) AS n_illegal, TRUE AS same_digest FROM (SELECT {_R('n')} AS x FROM {_VISITS})", "visits"))
+@query("dc13_bundle_checks", sql(f"SELECT count(*) AS n_rows, count_if(x IS NULL) AS n_hidden, count_if(x % 20 <> 0) AS n_illegal, TRUE AS same_digest FROM (SELECT {_R('n')} AS x FROM {_VISITS})", "visits"))
 def dc13(c: Chain) -> DataFrame:
     """A file that was exported, read back: its counts are legal and its digest is that of the table."""
     from panelwise.operators.aggregates import table_digest
@@ -195,8 +195,52 @@ def dc21(c: Chain) -> DataFrame:
     return out.select("path", "value", "suppressed", F.col("path").isin(*need).alias("required"))
 
 
-@query("q32_print_gate", sql(f"SELECT count(*) AS n_rows, count_if(x IS NOT NULL AND (x % 20 <> 0 OR x = 20)) AS n_illegal, count_if(regexp_matches(concat(visit_kind, origin), '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}')) AS n_dates, count(DISTINCT (visit_kind, origin)) = count(*) AS keyed_once FROM (SELECT visit_kind, origin, {_R('n')} AS x FROM {_VISITS})", "visits"))
+@query("q32_print_gate", sql(f"SELECT count(*) AS n_rows, count_if(x IS NOT NULL AND x % 20 <> 0) AS n_illegal, count_if(regexp_matches(concat(visit_kind, origin), '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}')) AS n_dates, count(DISTINCT (visit_kind, origin)) = count(*) AS keyed_once FROM (SELECT visit_kind, origin, {_R('n')} AS x FROM {_VISITS})", "visits"))
 def q32(c: Chain) -> DataFrame:
     """What is checked before a table is printed: legal counts, no dates, each row once."""
     d = D.suppress_frame(c.visits.groupBy("visit_kind", "origin").agg(F.count(F.lit(1)).alias("n")), ["n"])
     return d.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("n").isNotNull() & ~K.is_legal_count(F.col("n"))).alias("n_illegal"), F.count_if(F.concat("visit_kind", "origin").rlike("[0-9]{4}-[0-9]{2}-[0-9]{2}")).alias("n_dates"), (F.countDistinct("visit_kind", "origin") == F.count(F.lit(1))).alias("keyed_once"))
+
+
+@query("io10b_signed_build", sql("SELECT stage, built_first, built_again, n_rows FROM (SELECT 'cohort' AS stage, TRUE AS built_first, FALSE AS built_again, count(*) AS n_rows FROM features UNION ALL SELECT 'long_stays', TRUE, TRUE, count(*) FROM features WHERE los_days >= 1 UNION ALL SELECT 'by_region', TRUE, TRUE, count(DISTINCT coalesce(region, '')) FROM features WHERE los_days >= 1 UNION ALL SELECT 'by_sex', TRUE, FALSE, count(DISTINCT coalesce(sex, '')) FROM features)", "features"))
+def io10b(c: Chain) -> DataFrame:
+    """A signed build run twice with another parameter of its second stage: that stage and what reads it are made anew, the rest is read."""
+    def stages(least: int) -> dict[str, io.Stage]:
+        return {"cohort": io.Stage(lambda _: c.features), "long_stays": io.Stage(lambda t: t["cohort"].where(F.col("los_days") >= least), ("cohort",), {"least": least}),
+                "by_region": io.Stage(lambda t: t["long_stays"].groupBy("region").count(), ("long_stays",)), "by_sex": io.Stage(lambda t: t["cohort"].groupBy("sex").count(), ("cohort",))}
+
+    folder = _folder(c, "signed")
+    _, first = io.build_signed(c.spark, stages(0), folder, "2024-01-31")
+    tables, again = io.build_signed(c.spark, stages(1), folder, "2024-01-31")
+    out = None
+    for name, t in tables.items():
+        one = t.agg(F.lit(name).alias("stage"), F.lit(name in first).alias("built_first"), F.lit(name in again).alias("built_again"), F.count(F.lit(1)).alias("n_rows"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_BUNDLE = f"(SELECT 'cells' AS exhibit, count(*) AS n_rows FROM {_VISITS} UNION ALL SELECT 'regions', count(DISTINCT coalesce(region, '')) FROM features UNION ALL SELECT 'kinds', count(DISTINCT event_kind) FROM ev)"
+
+
+@query("dc13b_bundle_problems", sql(f"SELECT CASE exhibit WHEN 'gone' THEN 'gone' ELSE exhibit END AS exhibit, problem, n_rows FROM (SELECT exhibit, n_rows, CASE exhibit WHEN 'cells' THEN 'damaged' WHEN 'regions' THEN 'extra' ELSE 'recount' END AS problem FROM {_BUNDLE} UNION ALL SELECT 'gone', 0, 'missing')", "visits", "features", "ev"))
+def dc13b(c: Chain) -> DataFrame:
+    """Three exhibits written with a manifest that is then wrong in four ways, each of which is named."""
+    count = lambda d, *by: D.suppress_frame(d.groupBy(*by).agg(F.count(F.lit(1)).alias("n")), ["n"]).drop("n_reason")
+    tables = {"cells": count(c.visits, "visit_kind", "origin"), "regions": count(c.features, "region"), "kinds": count(c.ev, "event_kind")}
+    counts = dict.fromkeys(tables, "n")
+    told = io.write_bundle(tables, counts, folder := _folder(c, "bundle13"))
+    exhibit = F.substring_index("file", "/", 1)
+    wrong = told.where(exhibit != "regions").withColumns({"md5": F.when(exhibit == "cells", F.md5(F.lit("other"))).otherwise(F.col("md5")), "n_rows": F.when(exhibit == "kinds", F.col("n_rows") + 1).otherwise(F.col("n_rows"))})
+    wrong = wrong.unionByName(c.spark.createDataFrame([("gone/part.csv", 1, "x", 0, 0)], told.schema))
+    found = io.bundle_problems(c.spark, folder, wrong, counts)
+    return found.join(io.file_facts(c.spark, folder, counts), "file", "left").select(exhibit.alias("exhibit"), "problem", F.coalesce("n_rows", F.lit(0)).cast("long").alias("n_rows"))
+
+
+@query("io13b_json_gate", sql(f"SELECT visit_kind AS doc, concat('$.origins.', replace(origin, ' ', '_')) AS path, 'lone_hidden' AS rule FROM (SELECT *, count_if(n BETWEEN 1 AND 20) OVER w AS h, count_if(n > 20) OVER w AS s FROM {_VISITS} WINDOW w AS (PARTITION BY visit_kind)) WHERE n BETWEEN 1 AND 20 AND h = 1 AND s > 0", "visits"))
+def io13b(c: Chain) -> DataFrame:
+    """Nested results of each kind of visit, held against the rules at every depth: lone hidden counts are named by their path."""
+    cells = c.visits.groupBy("visit_kind", "origin").agg(F.count(F.lit(1)).alias("n"))
+    node = F.struct(K.disclosable(F.col("n")).alias("_ok"), F.struct(K.round20(F.col("n")).alias("value"), (~K.disclosable(F.col("n"))).alias("suppressed"), F.lit("count").alias("unit")).alias("v"))
+    doc = F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct(F.replace("origin", F.lit(" "), F.lit("_")), F.col("_n.v")))).alias("origins")), {"ignoreNullFields": "false"})
+    docs = cells.withColumn("_n", node).groupBy("visit_kind").agg(doc.alias("doc"))  # a few origins a kind
+    return io.json_refusals(docs, "visit_kind", "doc")

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from panelwise.functions.disclosure import is_legal_count
 from panelwise.operators.aggregates import table_digest
 from panelwise.operators.disclosure import export_violations
-from panelwise.sources.shared import shared_folder  # noqa: F401
+from panelwise.sources.shared import shared_folder, stored  # noqa: F401
 
 
 def scan(spark: SparkSession, path: str, cols: Sequence[str]) -> DataFrame:
@@ -87,10 +91,52 @@ def build_tables(spark: SparkSession, stages: dict[str, Callable[[dict[str, Data
     return done
 
 
-def stamped(df: DataFrame, source: DataFrame, date: str) -> DataFrame:
-    """Adds the build time and the source's last date."""
+def stamped(df: DataFrame, source: DataFrame, date: str, params: dict | None = None) -> DataFrame:
+    """Adds the build time, the source's last date and, if given, the parameters as JSON."""
     cutoff = source.agg(F.max(date).alias("source_cutoff"))
-    return df.withColumn("built_at", F.current_timestamp()).join(F.broadcast(cutoff))
+    told = {"params": F.lit(json.dumps(params, sort_keys=True, default=str))} if params is not None else {}
+    return df.withColumns({"built_at": F.current_timestamp(), **told}).join(F.broadcast(cutoff))
+
+
+@dataclass(frozen=True)
+class Stage:
+    """One table of a build: how it is made from those that it reads, and the parameters that decide its content."""
+
+    make: Callable[[dict[str, DataFrame]], DataFrame]
+    reads: tuple[str, ...] = ()
+    params: dict = field(default_factory=dict)
+
+
+def stage_stamps(stages: dict[str, Stage], cutoff: str) -> dict[str, str]:
+    """A signature for each stage: its name, its parameters, the source's cutoff and the signatures of what it reads."""
+    out: dict[str, str] = {}
+    for name, stage in stages.items():
+        unknown = [r for r in stage.reads if r not in out]
+        if unknown:
+            raise ValueError(f"{name} reads {', '.join(unknown)}, which no earlier stage makes")
+        told = [name, stage.params, cutoff, [out[r] for r in stage.reads]]
+        out[name] = hashlib.md5(json.dumps(told, sort_keys=True, default=str).encode(), usedforsecurity=False).hexdigest()
+    return out
+
+
+def build_signed(spark: SparkSession, stages: dict[str, Stage], folder: str, cutoff: str) -> tuple[dict[str, DataFrame], list[str]]:
+    """Build the tables whose signature is not there yet, in order; those that are there are read.
+
+    A table lies in a folder named by its signature, so a changed parameter or cutoff makes that stage and all that read it
+    anew and none before it, and an attempt that broke off leaves no marker of success and is made again.
+    Returns the tables and the names of those that were built.
+    """
+    done: dict[str, DataFrame] = {}
+    built = []
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    for name, stamp in stage_stamps(stages, cutoff).items():
+        path = f"{folder}/{name}-{stamp}"
+        marker = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        if not marker.getFileSystem(hadoop).exists(marker):
+            stages[name].make({r: done[r] for r in stages[name].reads}).write.mode("overwrite").parquet(path)
+            built.append(name)
+        done[name] = spark.read.parquet(path)
+    return done, built
 
 
 def csv_text(df: DataFrame) -> DataFrame:
@@ -125,6 +171,107 @@ def manifest(tables: dict[str, DataFrame], counts: dict[str, str]) -> DataFrame:
     return out
 
 
+def bundle_files(spark: SparkSession, folder: str) -> DataFrame:
+    """``file, bytes, md5`` of every CSV file of a bundle, from the files' bytes; a file is named by its exhibit's folder and its own name."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").load(folder)
+    name = F.regexp_extract(F.col("path"), "([^/]+/[^/]+)$", 1)
+    return files.select(name.alias("file"), F.col("length").alias("bytes"), F.md5("content").alias("md5")).where(~F.col("file").startswith("manifest/"))
+
+
+def file_facts(spark: SparkSession, folder: str, counts: dict[str, str]) -> DataFrame:
+    """``file, n_rows, n_hidden, n_illegal``: what the files of each exhibit hold, counted from the files."""
+    out = None
+    for exhibit, column in counts.items():
+        d = spark.read.option("header", True).csv(f"{folder}/{exhibit}").select("*", F.regexp_extract(F.col("_metadata.file_path"), "([^/]+/[^/]+)$", 1).alias("file"))
+        n = F.col(f"`{column}`").try_cast("double")
+        one = d.groupBy("file").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(n.isNull()).alias("n_hidden"), F.count_if(n.isNotNull() & ~is_legal_count(n)).alias("n_illegal"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def write_bundle(tables: dict[str, DataFrame], counts: dict[str, str], folder: str) -> DataFrame:
+    """Write each exhibit through the refusal rules, then a manifest of the files as they lie: ``file, bytes, md5, n_rows, n_hidden``."""
+    for exhibit, df in tables.items():
+        gated_export(df, f"{folder}/{exhibit}", counts=[counts[exhibit]])
+    spark = next(iter(tables.values())).sparkSession
+    told = bundle_files(spark, folder).join(file_facts(spark, folder, counts).drop("n_illegal"), "file", "left").na.fill(0, ["n_rows", "n_hidden"])
+    told.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{folder}/manifest")
+    return spark.read.option("header", True).schema("file string, bytes long, md5 string, n_rows long, n_hidden long").csv(f"{folder}/manifest")
+
+
+def bundle_problems(spark: SparkSession, folder: str, manifest: DataFrame, counts: dict[str, str], budget: int | None = None) -> DataFrame:
+    """``file, problem``: what a bundle's files and its manifest disagree about, read from the files.
+
+    missing: listed and not there; extra: there and not listed; damaged: another MD5; recount: other numbers of rows or
+    hidden cells than listed; illegal_count: a count that may not be shown; over_budget: the bundle as
+    a whole (file '*') has more bytes than ``budget``. An untouched bundle gives no rows.
+    """
+    listed = manifest.select("file", *[F.col(c).alias(f"_{c}") for c in ("bytes", "md5", "n_rows", "n_hidden")], F.lit(True).alias("_listed"))
+    files = bundle_files(spark, folder).withColumn("_there", F.lit(True))
+    both = files.join(listed, "file", "full_outer").join(file_facts(spark, folder, counts), "file", "left")
+    there, named = F.col("_there").isNotNull(), F.col("_listed").isNotNull()
+    rules = {"missing": named & ~there, "extra": there & ~named, "damaged": there & named & (F.col("md5") != F.col("_md5")),
+             "recount": there & named & ((F.coalesce("n_rows", F.lit(0)) != F.col("_n_rows")) | (F.coalesce("n_hidden", F.lit(0)) != F.col("_n_hidden"))), "illegal_count": F.col("n_illegal") > 0}
+    found = both.select("file", F.explode(F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in rules.items()]))).alias("problem"))
+    if budget is None:
+        return found
+    return found.unionByName(files.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("_b")).where(F.col("_b") > budget).select(F.lit("*").alias("file"), F.lit("over_budget").alias("problem")))
+
+
+def json_nodes(docs: DataFrame, doc: str, text: str) -> DataFrame:
+    """``doc, path, parent, depth, kind, value``: every node of JSON documents, walked level by level: objects and arrays of one level are
+    exploded into the next, which is stored, until none is left. Text that is no JSON is one node of kind ``unreadable``."""
+    spark = docs.sparkSession
+    v = F.try_parse_json(F.col(text))
+    level = stored(docs.select(F.col(doc).alias("doc"), F.lit("$").alias("path"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth"), v.alias("node"), F.col(text).isNotNull().alias("_was")), "nodes")
+    out = None
+    while True:
+        kind = F.when(F.col("node").isNull(), F.when(F.col("_was"), "unreadable").otherwise("null")).otherwise(F.lower(F.regexp_extract(F.schema_of_variant("node"), "^([A-Z]+)", 1)))
+        told = level.withColumn("kind", F.when(kind == "void", "null").otherwise(kind))
+        flat = told.select("doc", "path", "parent", "depth", "kind", F.when(~F.col("kind").isin("object", "array"), F.try_variant_get("node", "$", "string")).alias("value"))
+        out = flat if out is None else out.unionByName(flat)
+        inner = told.where("kind IN ('object', 'array')")
+        if inner.isEmpty():
+            return out
+        step = "concat(t.path, if(e.key IS NULL, concat('[', e.pos, ']'), concat('.', e.key)))"
+        level = stored(spark.sql(f"SELECT t.doc, {step} AS path, t.path AS parent, t.depth + 1 AS depth, e.value AS node, false AS _was FROM {{t}} t, LATERAL variant_explode(t.node) e", t=inner), "nodes")
+
+
+def json_refusals(docs: DataFrame, doc: str, text: str, banned: str = r"[<>\x00-\x08]", dates: str = r"[0-9]{4}-[0-9]{2}-[0-9]{2}") -> DataFrame:
+    """``doc, path, rule``: what a results document may not carry, at any depth.
+
+    A value node is an object with ``suppressed``. Refused: unreadable text; a value beside ``suppressed`` true; a shown
+    count (``unit`` 'count') that is not legal; a lone hidden node among shown count nodes of one parent; a string with a banned
+    character or a date, names of members too.
+    """
+    n = stored(json_nodes(docs, doc, text), "json")
+    member = F.substring_index("path", ".", -1)
+    fields = n.where("parent IS NOT NULL").groupBy("doc", F.col("parent").alias("path")).agg(
+        *[F.max(F.when(member == m, F.col("value"))).alias(m) for m in ("suppressed", "value", "unit")], F.bool_or(member == "suppressed").alias("is_node")).where("is_node")
+    fields = fields.join(n.select("doc", "path", "parent"), ["doc", "path"])
+    hidden, count = F.col("suppressed") == "true", F.col("unit") == "count"
+    number = F.col("value").try_cast("double")
+    w = Window.partitionBy("doc", "parent")
+    lone = fields.where(count).withColumns({"_h": F.count_if(hidden).over(w), "_s": F.count_if(~hidden & (number > 0)).over(w)}).where(hidden & (F.col("_h") == 1) & (F.col("_s") > 0))
+    name = F.regexp_extract("path", r"\.([^.\[]*)$", 1)
+    rules = [(n.where("kind = 'unreadable'"), "unreadable"), (fields.where(hidden & F.col("value").isNotNull()), "value_beside_hidden"),
+             (fields.where(count & ~hidden & ~F.coalesce(is_legal_count(number), F.lit(False))), "illegal_count"), (lone, "lone_hidden"),
+             (n.where((F.col("kind") == "string") & F.col("value").rlike(banned) | name.rlike(banned)), "banned_character"), (n.where((F.col("kind") == "string") & F.col("value").rlike(dates) | name.rlike(dates)), "date")]
+    out = None
+    for d, rule in rules:
+        one = d.select("doc", "path", F.lit(rule).alias("rule"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def gated_json(docs: DataFrame, doc: str, text: str, path: str) -> None:
+    """Write results documents as lines of JSON, unless a rule refuses one of them."""
+    found = json_refusals(docs, doc, text).limit(20).collect()  # named in the refusal
+    if found:
+        raise ValueError("refused: " + "; ".join(f"{r['rule']} at {r['path']} of {r['doc']}" for r in found))
+    docs.select(text).write.mode("overwrite").text(path)
+
+
 def json_rows(df: DataFrame, digits: int = 6) -> DataFrame:
     cols = [F.round(c, digits).alias(c) if kind in ("double", "float") else F.col(c) for c, kind in df.dtypes]
     return df.select(F.to_json(F.struct(*cols)).alias("value"))
