@@ -399,6 +399,84 @@ def marginal_mean(rows: DataFrame, linear: str, sd: float, draws: Sequence[float
     return rows.withColumn("marginal", inner)
 
 
+#: Draws of the marginal mean, of its recheck and beyond the tolerance.
+DRAWS = (2000, 4000, 10_000)
+TOLERANCE = 0.05
+
+
+def intercept_variance(rows: DataFrame, unit: str, linear: str, value: str) -> DataFrame:
+    """``variance``: of a random intercept of the units on the logit scale, by moments from one pass of unit sums: the products
+    of two residuals of a unit hold the variance times the products of their slopes mu (1 - mu)."""
+    mu = expit(F.col(linear))
+    left, slope = F.col(value) - mu, mu * (1 - mu)
+    u = rows.where(F.col(value).isNotNull()).groupBy(unit).agg(F.sum(left).alias("r"), F.sum(left * left).alias("rr"), F.sum(slope).alias("d"), F.sum(slope * slope).alias("dd"))
+    pairs = F.try_divide(F.sum(F.col("r") * F.col("r") - F.col("rr")), F.sum(F.col("d") * F.col("d") - F.col("dd")))
+    return u.agg(F.greatest(F.lit(0.0), F.coalesce(pairs, F.lit(0.0))).alias("variance"))
+
+
+def marginal_mean_drawn(rows: DataFrame, unit: str, linear: str, value: str, seed: int = 1, draws: Sequence[int] = DRAWS, tolerance: float = TOLERANCE) -> DataFrame:
+    """``sd, mean_total, rechecked, n_draws``: the mean unit total of expit(linear + random intercept), by draws that all rows share.
+
+    A draw is a normal number from an MD5 of its own number, so draws are the same on every task and the first 2,000 of 4,000
+    are those of a run of 2,000. The mean over the first count is checked against the second, and beyond the tolerance the third is
+    used. Linear predictors that agree to nine digits are drawn for once. Units without rows do not exist.
+    """
+    one = intercept_variance(rows, unit, linear, value).select(F.sqrt("variance").alias("sd"))
+    eta = rows.groupBy(unit, F.round(linear, 9).alias("eta")).agg(F.count(F.lit(1)).alias("n"))
+    eta = stored(eta, "predictors")
+    n_units = eta.agg(F.countDistinct(unit).alias("units"))
+    each = eta.groupBy("eta").agg(F.sum("n").alias("n")).join(F.broadcast(one))
+    z = rows.sparkSession.range(1, draws[-1] + 1).select(normal_draw(F.col("id"), F.lit(seed)).alias("z"), "id")
+
+    def mean(of: DataFrame, names: dict[str, int]) -> DataFrame:
+        """Totals over a block of draws for each distinct predictor; the draws are a table of fixed size."""
+        block = z.where(F.col("id") <= max(names.values()))
+        p = expit(F.col("eta") + F.col("sd") * F.col("z"))
+        sums = of.join(F.broadcast(block)).groupBy("eta", "n", "sd").agg(*[(F.sum(F.when(F.col("id") <= k, p)) / k).alias(n) for n, k in names.items()])
+        return sums.agg(F.first("sd").alias("sd"), *[F.sum(F.col("n") * F.col(n)).alias(n) for n in names]).join(F.broadcast(n_units)).select("sd", *[(F.col(n) / F.col("units")).alias(n) for n in names])
+
+    first = mean(each, {"mean_total": draws[0], "rechecked": draws[1]}).first()
+    if first is None or first["mean_total"] is None or abs(first["mean_total"] - first["rechecked"]) <= tolerance:
+        return rows.sparkSession.createDataFrame([(*(tuple(first) if first else (None,) * 3), draws[0])], "sd double, mean_total double, rechecked double, n_draws int")
+    more = mean(each, {"mean_total": draws[2], "rechecked": draws[1]})
+    return more.select("sd", "mean_total", "rechecked", F.lit(draws[2]).alias("n_draws"))
+
+
+def shifted_contrast(rows: DataFrame, unit: str, person: str, group: str, predicted: str, observed: str, shifts: Sequence[float], b: int, seed: int = 1) -> DataFrame:
+    """``shift, contrast, low, high``: the difference in mean unit total between units with and without ``group``, when the
+    predictions for unobserved days of the former go down by each shift on the logit scale, with percentile intervals over resamples of whole
+    persons.
+
+    One pass makes the sums of each person, group and shift; a joint table of (resample, shift) is made of those. A resample
+    without units of one group has no contrast and drops out.
+    """
+    g = rows.withColumn("shift", F.explode(F.array(*[F.lit(float(x)) for x in shifts])))
+    value = F.coalesce(F.col(observed), expit(logit(F.col(predicted)) - F.when(F.col(group), F.col("shift")).otherwise(0.0)))
+    total = g.groupBy(unit, person, group, "shift").agg(F.sum(value).alias("t"))
+    people = stored(total.groupBy(person, group, "shift").agg(F.sum("t").alias("t"), F.count(F.lit(1)).alias("n")), "totals")
+
+    def contrast(d: DataFrame, by: Sequence[str], m: Column) -> DataFrame:
+        side = lambda yes: F.try_divide(F.sum(F.when(F.col(group) == yes, m * F.col("t"))), F.sum(F.when(F.col(group) == yes, m * F.col("n"))))
+        return d.groupBy(*by).agg((side(True) - side(False)).alias("contrast"))
+
+    drawn = people.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(b)))).withColumn("m", multiplicity(F.col("b"), F.col(person), seed)).where("m > 0")
+    many = contrast(drawn, ["b", "shift"], F.col("m")).groupBy("shift").agg(F.percentile("contrast", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
+    return contrast(people, ["shift"], F.lit(1)).join(many, "shift", "left").select("shift", "contrast", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+
+
+def tipping_points(curve: DataFrame) -> DataFrame:
+    """``crossing, already, falling, interval_crossing, interval_already``: of a curve ``shift, contrast, low, high``, the first shift at which the contrast is 0 or
+    less after one above it (none where it starts there), whether it never rises, and the first at which the interval holds 0.
+    The curve has one row for each shift of a fixed grid."""
+    w = Window.orderBy("shift")
+    d = curve.withColumns({"_last": F.lag("contrast").over(w), "_i": F.row_number().over(w), "_in": F.coalesce((F.col("low") <= 0) & (F.col("high") >= 0), F.lit(False))})
+    started = F.max(F.when(F.col("_i") == 1, F.col("contrast") <= 0))
+    out = d.agg(F.min(F.when((F.col("_last") > 0) & (F.col("contrast") <= 0), F.col("shift"))).alias("crossing"), started.alias("already"),
+                F.coalesce(F.every(F.col("contrast") <= F.col("_last") + 1e-9), F.lit(True)).alias("falling"), F.min(F.when(F.col("_in"), F.col("shift"))).alias("interval_crossing"),
+                F.max(F.when(F.col("_i") == 1, F.col("_in"))).alias("interval_already"))
+    return out.withColumn("crossing", F.when(~F.col("already"), F.col("crossing")))
+
+
 def under_exposure(rows: DataFrame, unit: str, x: Sequence[str], beta: Sequence[float], exposure: str, levels: Sequence[float]) -> DataFrame:
     """g-computation: the mean unit total had every row each exposure level."""
     d = rows.withColumn("level", F.explode(F.array(*[F.lit(float(v)) for v in levels])))

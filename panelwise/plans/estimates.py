@@ -150,6 +150,22 @@ def e09(c: Chain) -> DataFrame:
     return E.marginal_mean(d, "e", 0.5, (-1.0, 0.0, 1.0)).groupBy("episode_id").agg(F.round(F.avg("marginal"), 6).alias("marginal"))
 
 
+_Z32 = "(CAST(concat('0x', md5(concat_ws('|', k, 1))[{}:{}]) AS BIGINT) + 0.5) / 4294967296"
+_MC = "SELECT k, sqrt(-2 * ln({})) * cos(2 * pi() * {}) AS z FROM range(1, 10001) r(k)".format(_Z32.format(1, 8), _Z32.format(9, 16))
+
+
+@query("e09b_drawn_mean", sql(f"""WITH d AS MATERIALIZED (SELECT episode_id, deficit, ln(pred / (1 - pred)) AS eta FROM fitted), z AS MATERIALIZED ({_MC}),
+u AS (SELECT episode_id, sum(r) AS r, sum(r * r) AS rr, sum(s) AS s, sum(s * s) AS ss FROM (SELECT episode_id, deficit - 1 / (1 + exp(-eta)) AS r, 1 / (1 + exp(-eta)) * (1 - 1 / (1 + exp(-eta))) AS s FROM d WHERE deficit IS NOT NULL) GROUP BY episode_id),
+v AS (SELECT sqrt(greatest(0, coalesce(sum(r * r - rr) / nullif(sum(s * s - ss), 0), 0))) AS sd FROM u),
+e AS MATERIALIZED (SELECT round(eta, 9) AS eta, count(*) AS n FROM d GROUP BY 1),
+m AS (SELECT sd, sum(n * p2) / units AS t2, sum(n * p4) / units AS t4, sum(n * p10) / units AS t10 FROM (SELECT eta, n, sd, sum(p) FILTER (WHERE k <= 2000) / 2000 AS p2, sum(p) FILTER (WHERE k <= 4000) / 4000 AS p4, sum(p) / 10000 AS p10 FROM (SELECT e.eta, e.n, v.sd, z.k, 1 / (1 + exp(-(e.eta + v.sd * z.z))) AS p FROM e, v, z) GROUP BY eta, n, sd), (SELECT count(DISTINCT episode_id) AS units FROM d) GROUP BY sd, units)
+SELECT round(sd, 5) AS sd, round(CASE WHEN abs(t2 - t4) <= 0.05 THEN t2 ELSE t10 END, 5) AS mean_total, round(t4, 5) AS rechecked, CASE WHEN abs(t2 - t4) <= 0.05 THEN 2000 ELSE 10000 END AS n_draws FROM m""", "fitted"))
+def e09b(c: Chain) -> DataFrame:
+    """The mean unit total over a random intercept whose variance comes from the data, by shared draws with a recheck."""
+    d = _predicted(c).withColumn("eta", F.ln(F.col("pred") / (1 - F.col("pred"))))
+    return rounded(E.marginal_mean_drawn(d, "episode_id", "eta", "deficit"), "sd", "mean_total", "rechecked", digits=5)
+
+
 _DRAWS = 100
 _B = f"(SELECT unit, CAST(b AS INTEGER) AS b FROM (SELECT DISTINCT {{}} AS unit FROM {{}}), range(1, {_DRAWS + 1}) t(b))"
 
@@ -190,6 +206,30 @@ def e12b(c: Chain) -> DataFrame:
     return E.crossings(E.logit_shift(_predicted(c), "episode_id", "pred", "deficit", _SHIFTS), "shift", "mean_total", 4.0)
 
 
+_GRID = tuple(k / 4 for k in range(13))
+_MOVED = f"""WITH people AS MATERIALIZED (SELECT person_id, fusion, shift, sum(t) AS t, count(*) AS n FROM (SELECT episode_id, person_id, fusion, shift, sum(coalesce(deficit, 1 / (1 + exp(-(ln(pred / (1 - pred)) - fusion * shift))))) AS t FROM (SELECT episode_id, person_id, fusion, deficit, pred, unnest({list(_GRID)}::DOUBLE[]) AS shift FROM fitted) GROUP BY ALL) GROUP BY ALL),
+reps AS MATERIALIZED (SELECT unit, b, {multiplicity_sql('b', 'unit')} AS k FROM {_B.format('person_id', 'people')}),
+many AS (SELECT b, shift, sum(k * t) FILTER (WHERE fusion = 1) / nullif(sum(k * n) FILTER (WHERE fusion = 1), 0) - sum(k * t) FILTER (WHERE fusion = 0) / nullif(sum(k * n) FILTER (WHERE fusion = 0), 0) AS c FROM people JOIN reps ON unit = person_id WHERE k > 0 GROUP BY ALL),
+curve AS (SELECT shift, any_value(p.c) AS c, quantile_cont(m.c, 0.025) AS low, quantile_cont(m.c, 0.975) AS high FROM (SELECT shift, sum(t) FILTER (WHERE fusion = 1) / sum(n) FILTER (WHERE fusion = 1) - sum(t) FILTER (WHERE fusion = 0) / sum(n) FILTER (WHERE fusion = 0) AS c FROM people GROUP BY shift) p LEFT JOIN many m USING (shift) GROUP BY shift)"""
+
+
+def _moved(c: Chain) -> DataFrame:
+    d = _predicted(c).withColumn("is_fused", F.col("fusion") == 1)
+    return E.shifted_contrast(d, "episode_id", "person_id", "is_fused", "pred", "deficit", _GRID, _DRAWS)
+
+
+@query("e12e_shifted_contrast", sql(_MOVED + " SELECT shift, round(c, 5) AS contrast, round(low, 5) AS low, round(high, 5) AS high FROM curve", "fitted"))
+def e12e(c: Chain) -> DataFrame:
+    """The contrast of the two groups under shifts of the unobserved days of one, with intervals over whole persons."""
+    return rounded(_moved(c), "contrast", "low", "high", digits=5)
+
+
+@query("e12f_tipping_points", sql(_MOVED + ", steps AS (SELECT *, lag(c) OVER (ORDER BY shift) AS last, row_number() OVER (ORDER BY shift) AS i FROM curve) SELECT CASE WHEN NOT bool_or(i = 1 AND c <= 0) THEN min(CASE WHEN last > 0 AND c <= 0 THEN shift END) END AS crossing, bool_or(i = 1 AND c <= 0) AS already, bool_and(coalesce(c <= last + 1e-9, TRUE)) AS falling, min(CASE WHEN low <= 0 AND high >= 0 THEN shift END) AS interval_crossing, bool_or(i = 1 AND coalesce(low <= 0 AND high >= 0, FALSE)) AS interval_already FROM steps", "fitted"))
+def e12f(c: Chain) -> DataFrame:
+    """First shift at which the contrast, and at which its interval, reaches 0."""
+    return E.tipping_points(_moved(c))
+
+
 @query("e13_variants", sql("SELECT variant, count(v) AS n, round(avg(v), 6) AS mean FROM (SELECT unnest(['primary', 'untruncated', 'weekdays', 'not_inpatient']) AS variant, unnest([deficit, deficit_untruncated, CASE WHEN dayofweek(calendar_date) NOT IN (0, 6) THEN deficit END, CASE WHEN NOT is_inpatient THEN deficit END]) AS v FROM panel) GROUP BY variant", "panel"))
 def e13(c: Chain) -> DataFrame:
     pairs = {"primary": F.col("deficit"), "untruncated": F.col("deficit_untruncated"), "weekdays": F.when(~F.col("day_of_week").isin(1, 7), F.col("deficit")), "not_inpatient": F.when(~F.col("is_inpatient"), F.col("deficit"))}

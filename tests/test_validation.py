@@ -125,6 +125,31 @@ def test_optimism_against_single_fits(spark):
     assert one_class["failed"] >= 0
 
 
+def test_marginal_mean_against_an_integral(spark):
+    rng = np.random.default_rng(10)
+    b = rng.normal(size=400) * 0.9
+    eta = rng.choice([-1.0, 0.2, 1.5], (400, 8))
+    y = (rng.random((400, 8)) < 1 / (1 + np.exp(-(eta + b[:, None])))).astype(float)
+    rows = [(u, float(eta[u, k]), float(y[u, k])) for u in range(400) for k in range(8)]
+    d = spark.createDataFrame(rows, "u int, eta double, y double")
+    got = estimators.marginal_mean_drawn(d, "u", "eta", "y").first()
+    z, w = np.polynomial.hermite_e.hermegauss(60)
+    want = sum((w * 1 / (1 + np.exp(-(e + got["sd"] * z)))).sum() / w.sum() for e in eta.ravel()) / 400
+    assert abs(got["mean_total"] - want) < 0.1 and got["n_draws"] == 2000 and 0.4 < got["sd"] < 1.2
+    more = estimators.marginal_mean_drawn(d, "u", "eta", "y", draws=(20, 40, 500), tolerance=0.0).first()
+    assert more["n_draws"] == 500 and abs(more["mean_total"] - want) < 0.3
+    assert estimators.marginal_mean_drawn(d.where("false"), "u", "eta", "y", draws=(2, 4, 8)).first()["mean_total"] is None
+
+
+def test_tipping_points(spark):
+    def told(*rows):
+        return tuple(estimators.tipping_points(spark.createDataFrame([(float(s), c, lo, hi) for s, (c, lo, hi) in enumerate(rows)], "shift double, contrast double, low double, high double")).first())
+
+    assert told((2.0, 1.0, 3.0), (1.0, -0.1, 2.0), (0.0, -1.0, 1.0), (-1.0, -2.0, -0.5)) == (2.0, False, True, 1.0, False)
+    assert told((-1.0, -2.0, 0.5), (1.0, 0.5, 2.0)) == (None, True, False, 0.0, True)
+    assert told((2.0, 1.0, 3.0), (1.5, None, None)) == (None, False, True, None, False)
+
+
 def follows(values, hidden, equations):
     """Cells among the hidden whose value the equations and the shown cells fix."""
     unknown = sorted(hidden)
