@@ -34,6 +34,22 @@ def worst_case_bounds(rows: DataFrame, unit: str, group: str, value: str) -> Dat
     return u.groupBy(group).agg(F.count(F.lit(1)).alias("n_units"), F.avg("low").alias("lower"), F.avg(F.col("low") + F.col("missing")).alias("upper"))
 
 
+def contrast_bounds(bounds: DataFrame, group: str) -> DataFrame:
+    """``a, b, low, high, undecided`` for each pair of groups a < b of ``worst_case_bounds``: the difference in means is least with a's
+    missing days at 0 and b's at 1 and greatest the other way around; undecided if it may be 0. A row for each pair of groups, which are few."""
+    a = bounds.select(F.col(group).alias("a"), F.col("lower").alias("_la"), F.col("upper").alias("_ua"))
+    b = bounds.select(F.col(group).alias("b"), F.col("lower").alias("_lb"), F.col("upper").alias("_ub"))
+    low, high = F.col("_la") - F.col("_ub"), F.col("_ua") - F.col("_lb")
+    return a.join(b, F.col("a") < F.col("b")).select("a", "b", low.alias("low"), high.alias("high"), ((low <= 0) & (high >= 0)).alias("undecided"))
+
+
+def implied_deficit(rows: DataFrame, predicted: str, observed: str, shifts: Sequence[float]) -> DataFrame:
+    """``shift, n_days, implied, observed_mean``: what each shift says that the mean of the unobserved days is, beside the mean of the observed ones."""
+    d = rows.withColumn("shift", F.explode(F.array(*[F.lit(float(x)) for x in shifts])))
+    hidden = F.when(F.col(observed).isNull(), expit(logit(F.col(predicted)) + F.col("shift")))
+    return d.groupBy("shift").agg(F.count(hidden).alias("n_days"), F.avg(hidden).alias("implied"), F.avg(observed).alias("observed_mean"))
+
+
 def logit_shift(rows: DataFrame, unit: str, predicted: str, observed: str, shifts: Sequence[float]) -> DataFrame:
     """Mean unit total when predictions for unobserved days move by each shift on the logit scale."""
     g = rows.withColumn("shift", F.explode(F.array(*map(F.lit, shifts))))

@@ -192,6 +192,18 @@ def e11(c: Chain) -> DataFrame:
     return rounded(E.worst_case_bounds(_days(c), "episode_id", "region", "deficit"), "lower", "upper")
 
 
+@query("e11b_contrast_bounds", sql("WITH r AS (SELECT region, avg(s) AS lo, avg(s + miss) AS hi FROM (SELECT episode_id, region, coalesce(sum(deficit), 0) AS s, count_if(deficit IS NULL) AS miss FROM " + _DAYS + " GROUP BY ALL) GROUP BY region) SELECT x.region AS a, y.region AS b, round(x.lo - y.hi, 6) AS low, round(x.hi - y.lo, 6) AS high, x.lo <= y.hi AND x.hi >= y.lo AS undecided FROM r x JOIN r y ON x.region < y.region", "panel"))
+def e11b(c: Chain) -> DataFrame:
+    """Worst-case bounds of the difference between each two regions."""
+    return rounded(E.contrast_bounds(E.worst_case_bounds(_days(c), "episode_id", "region", "deficit"), "region"), "low", "high")
+
+
+@query("e28c_implied_deficit", sql("SELECT shift, count(h) AS n_days, round(avg(h), 6) AS implied, round(avg(deficit), 6) AS observed_mean FROM (SELECT shift, deficit, CASE WHEN deficit IS NULL THEN 1 / (1 + exp(-(ln(pred / (1 - pred)) + shift))) END AS h FROM (SELECT deficit, pred, unnest([-1.0, -0.5, 0.0, 0.5, 1.0]::DOUBLE[]) AS shift FROM fitted)) GROUP BY shift", "fitted"))
+def e28c(c: Chain) -> DataFrame:
+    """The mean deficit that each shift implies for the unobserved days."""
+    return rounded(E.implied_deficit(_predicted(c), "pred", "deficit", _SHIFTS), "implied", "observed_mean")
+
+
 _SHIFTS = (-1.0, -0.5, 0.0, 0.5, 1.0)
 _SHIFT_SQL = "SELECT shift, avg(total) AS mean_total FROM (SELECT shift, episode_id, sum(coalesce(deficit, 1 / (1 + exp(-(ln(pred / (1 - pred)) + shift))))) AS total FROM (SELECT episode_id, deficit, pred, unnest([-1.0, -0.5, 0.0, 0.5, 1.0]) AS shift FROM fitted) GROUP BY ALL) GROUP BY shift"
 
