@@ -19,7 +19,7 @@ def collapse_level(rows: DataFrame, a: str, b: str) -> DataFrame:
 
 def tier_for_count(n: Column) -> Column:
     """Fixed bands of the number of events: what analyses it allows."""
-    return F.when(n >= 100, "full").when(n >= 50, "reduced").when(n > FLOOR, "descriptive").otherwise("none")
+    return F.when(n >= 100, "full").when(n >= 50, "reduced").when(n >= 20, "descriptive").otherwise("none")
 
 
 def with_surrogate(rows: DataFrame, key: str, name: str) -> DataFrame:

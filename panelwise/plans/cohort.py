@@ -200,7 +200,7 @@ def cp23(c: Chain) -> DataFrame:
     return collapse_level(c.features.withColumn("is_female", F.col("sex") == "F"), "is_fusion", "is_female")
 
 
-@query("cp24_tier", sql("SELECT count(*) AS n_events, CASE WHEN count(*) >= 100 THEN 'full' WHEN count(*) >= 50 THEN 'reduced' WHEN count(*) > 20 THEN 'descriptive' ELSE 'none' END AS tier FROM ev WHERE has_landmark", "ev"))
+@query("cp24_tier", sql("SELECT count(*) AS n_events, CASE WHEN count(*) >= 100 THEN 'full' WHEN count(*) >= 50 THEN 'reduced' WHEN count(*) >= 20 THEN 'descriptive' ELSE 'none' END AS tier FROM ev WHERE has_landmark", "ev"))
 def cp24(c: Chain) -> DataFrame:
     from panelwise.operators.groups import tier_for_count
 

@@ -162,7 +162,7 @@ _PERMITTED = tuple((a, t) for a, t in (("counts", "none"), ("distributions", "de
 _TIERS = ("none", "descriptive", "reduced", "full")
 
 
-@query("cp24b_permitted_analyses", sql("SELECT analysis, least_tier, tier, list_position(" + str(list(_TIERS)) + ", tier) >= list_position(" + str(list(_TIERS)) + ", least_tier) AS permitted FROM (VALUES " + ", ".join(f"('{a}', '{t}')" for a, t in _PERMITTED) + ") v(analysis, least_tier), (SELECT CASE WHEN n >= 100 THEN 'full' WHEN n >= 50 THEN 'reduced' WHEN n > 20 THEN 'descriptive' ELSE 'none' END AS tier FROM (SELECT count_if(has_landmark) AS n FROM ev))", "ev"))
+@query("cp24b_permitted_analyses", sql("SELECT analysis, least_tier, tier, list_position(" + str(list(_TIERS)) + ", tier) >= list_position(" + str(list(_TIERS)) + ", least_tier) AS permitted FROM (VALUES " + ", ".join(f"('{a}', '{t}')" for a, t in _PERMITTED) + ") v(analysis, least_tier), (SELECT CASE WHEN n >= 100 THEN 'full' WHEN n >= 50 THEN 'reduced' WHEN n >= 20 THEN 'descriptive' ELSE 'none' END AS tier FROM (SELECT count_if(has_landmark) AS n FROM ev))", "ev"))
 def cp24b(c: Chain) -> DataFrame:
     from panelwise.operators.groups import tier_for_count
 
@@ -263,11 +263,7 @@ def q31b(c: Chain) -> DataFrame:
 @query("q33_stored_ledger", sql("SELECT n_controls, count(*) AS n_sets FROM (SELECT set_id, count_if(role = 'control') AS n_controls FROM sets GROUP BY set_id) GROUP BY n_controls", "sets"))
 def q33(c: Chain) -> DataFrame:
     """A ledger that was stored, read through for comparison."""
-    from panelwise.sources.io import build_tables
-    from panelwise.sources.shared import shared_folder
-
-    folder = f"{shared_folder(c.spark)}/ledgers-{c.sf.strip('/').replace('/', '_')}"
-    return build_tables(c.spark, {"set_sizes": lambda _: ledgers.set_size_ledger(c.sets)}, folder)["set_sizes"]
+    return c.kept("set_sizes", lambda: ledgers.set_size_ledger(c.sets))
 
 
 @query("cp02b_exact_code_set", sql("SELECT c.code, c.region, c.procedure_class, count(r.code) AS n_records FROM codes c LEFT JOIN records r USING (code) GROUP BY ALL", "codes", "records"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from panelwise.functions.disclosure import is_legal_count
 from panelwise.operators.aggregates import table_digest
-from panelwise.operators.disclosure import export_violations
+from panelwise.operators.disclosure import export_refusals
 from panelwise.sources.shared import shared_folder, stored  # noqa: F401
 
 
@@ -34,6 +35,21 @@ def table_rows(tables: dict[str, DataFrame], pattern: str) -> DataFrame:
     return out.where(F.col("table").rlike(pattern))
 
 
+def table_sizes(tables: dict[str, DataFrame], pattern: str) -> DataFrame:
+    """``table, n_rows, n_files, n_bytes`` of the tables whose name fits a pattern; sizes are those of the files that the scan
+    reads, so a table that lies in no files has none."""
+    out = None
+    for name, df in tables.items():
+        if not re.search(pattern, name):
+            continue
+        files = df.groupBy("_metadata.file_path").agg(F.max("_metadata.file_size").alias("size"), F.count(F.lit(1)).alias("n"))
+        one = files.agg(F.lit(name).alias("table"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.count(F.lit(1)).alias("n_files"), F.coalesce(F.sum("size"), F.lit(0)).alias("n_bytes"))
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        raise ValueError(f"no table fits {pattern}")
+    return out
+
+
 def require_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     missing = [c for c in cols if c not in df.columns]
     if missing:
@@ -151,11 +167,12 @@ def csv_text(df: DataFrame) -> DataFrame:
     return df.withColumns(out)
 
 
-def gated_export(df: DataFrame, path: str, counts: Sequence[str] = (), percents: dict[str, str] | None = None, texts: Sequence[str] = ()) -> None:
-    """Write one CSV of an aggregate, unless a refusal rule finds something."""
-    found = export_violations(df, counts, percents, texts).collect() if counts or percents or texts else []
+def gated_export(df: DataFrame, path: str, counts: Sequence[str] = (), percents: dict[str, str] | None = None, texts: Sequence[str] = (), partitions: dict[str, Sequence[str]] | None = None, kind: str = "table") -> None:
+    """Write one CSV of an aggregate, unless one of the seven classes of refusals finds something. ``partitions`` names for a
+    count the columns within which its cells sum to a shown total. All findings are named, not the first only."""
+    found = export_refusals(df, "export.csv", kind, counts, percents, partitions, texts).collect()
     if found:
-        raise ValueError("refused: " + "; ".join(f"{r['rule']} in {r['column']} ({r['n']})" for r in found))
+        raise ValueError("refused: " + "; ".join(f"{r['class']} in {r['column']} ({r['n']})" for r in found))
     csv_text(df).coalesce(1).write.mode("overwrite").option("header", True).option("lineSep", "\n").csv(path)
 
 
