@@ -27,7 +27,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Callable[[Chain], Data
 
 
 def _load() -> None:
-    from panelwise.plans import aggregates, cohort, disclosure, estimates, exports, gates, joins, profiles, scalars, whole  # noqa: F401
+    from panelwise.plans import aggregates, cohort, disclosure, estimates, exports, gates, joins, profiles, scalars, variants, whole  # noqa: F401
 
 
 def _runner(make: Callable[[Chain], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
