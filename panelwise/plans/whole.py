@@ -66,7 +66,16 @@ _REASONS = {
 }
 
 
-@query("cp16b_reasons_by_rung", sql("SELECT unnest([" + ", ".join(f"'{s}'" for s, _ in _REASONS) + "]) AS slug, unnest([" + ", ".join(f"'{r}'" for _, r in _REASONS) + "]) AS reason, unnest([" + ", ".join(f"count_if({a})" for a, _ in _REASONS.values()) + "]) AS n, unnest([" + ", ".join(f"count_if({b})" for _, b in _REASONS.values()) + "]) AS n_denominator FROM elig", "elig"))
+_REASONS_SQL = f"""WITH e AS (SELECT *, coalesce(first_fail_step, 99) AS step FROM elig), r AS (
+ SELECT step, 'baseline' AS slug, CASE WHEN n_valid_baseline_days = 0 THEN 'no_valid_day' WHEN n_valid_baseline_days < {P.least_baseline_days} THEN 'too_few_days' WHEN baseline_span_days < {P.least_baseline_span} THEN 'short_span' END AS reason FROM e WHERE step = 12
+ UNION ALL SELECT step, 'no_window', 'no_analyzable_day' FROM e WHERE step = 14 AND n_analyzable_days < 1 UNION ALL SELECT step, 'no_window', 'not_at_risk' FROM e WHERE step = 14 AND n_at_risk_days < 1
+ UNION ALL SELECT step, 'truncated', censor_reason FROM e WHERE step = 15 UNION ALL SELECT step, 'analytic_cohort', concat('censoring_', censor_reason) FROM e WHERE step = 99),
+k AS (SELECT slug, reason, count(*) AS n FROM r GROUP BY ALL), d AS (SELECT step, count(*) AS n FROM e GROUP BY step)
+SELECT slug, reason, coalesce(k.n, 0) AS n, coalesce(d.n, 0) AS n_denominator FROM (VALUES ('baseline', 'no_valid_day', 12), ('baseline', 'too_few_days', 12), ('baseline', 'short_span', 12), ('no_window', 'no_analyzable_day', 14), ('no_window', 'not_at_risk', 14), ('truncated', 'death', 15), ('truncated', 'repeat_operation', 15),
+ ('analytic_cohort', 'censoring_none', 99), ('analytic_cohort', 'censoring_death', 99), ('analytic_cohort', 'censoring_repeat_operation', 99), ('analytic_cohort', 'censoring_observation_end', 99)) v(slug, reason, step) LEFT JOIN k USING (slug, reason) LEFT JOIN d ON d.step = v.step"""
+
+
+@query("cp16b_reasons_by_rung", sql(_REASONS_SQL, "elig"))
 def cp16b(c: Chain) -> DataFrame:
     return ledgers.reasons_by_rung(c.elig, {k: (F.expr(a), F.expr(b)) for k, (a, b) in _REASONS.items()})
 
@@ -175,7 +184,10 @@ def cp24b(c: Chain) -> DataFrame:
 _Q5 = {"no_minutes_valid": "NOT (wear_minutes IS NULL AND valid_wear)", "no_minutes_analyzable": "NOT (wear_minutes IS NULL AND is_analyzable)", "no_steps_analyzable": "NOT (steps IS NULL AND is_analyzable)", "over_a_day_valid": "NOT (coalesce(wear_minutes, 0) > 1440 AND valid_wear)", "zero_minutes_valid": "NOT (coalesce(wear_minutes, 1) = 0 AND valid_wear)"}
 
 
-@query("q05b_must_be_zero", sql(_long(_Q5, "grid"), "grid"))
+_Q5_SQL = "SELECT rule, CAST(n AS BIGINT) AS n_broken FROM (SELECT sum(CASE WHEN wear_minutes IS NULL AND valid_wear THEN 1 ELSE 0 END) AS no_minutes_valid, sum(CASE WHEN wear_minutes IS NULL AND is_analyzable THEN 1 ELSE 0 END) AS no_minutes_analyzable, sum(CASE WHEN steps IS NULL AND is_analyzable THEN 1 ELSE 0 END) AS no_steps_analyzable, sum(CASE WHEN wear_minutes > 1440 AND valid_wear THEN 1 ELSE 0 END) AS over_a_day_valid, sum(CASE WHEN wear_minutes = 0 AND valid_wear THEN 1 ELSE 0 END) AS zero_minutes_valid FROM grid) UNPIVOT (n FOR rule IN (no_minutes_valid, no_minutes_analyzable, no_steps_analyzable, over_a_day_valid, zero_minutes_valid))"
+
+
+@query("q05b_must_be_zero", sql(_Q5_SQL, "grid"))
 def q05b(c: Chain) -> DataFrame:
     return A.invariants(c.grid, _rules(_Q5))
 
@@ -188,7 +200,14 @@ _Q8 = {"never_zero": "baseline_steps IS NULL OR baseline_steps <> 0", "never_neg
        **{f"{n}_never_zero": f"baseline_steps_{n} IS NULL OR baseline_steps_{n} <> 0" for n in _ALT}, **{f"{n}_value_with_days": f"(baseline_steps_{n} IS NULL) = (n_valid_baseline_days_{n} = 0)" for n in _ALT}}
 
 
-@query("q08b_baseline_rules", sql(_long({n: e.replace("cardinality(", "len(").replace("[A0]", "[1]").replace("[A1]", "[2]").replace("[A2]", "[3]").replace("[A3]", "[4]").replace("[A4]", "[5]").replace("[A5]", "[6]").replace("[A6]", "[7]") for n, e in _Q8.items()}, "baseline"), "baseline"))
+_DOW = "list_sum(baseline_dow_counts)"
+_Q8_BROKEN = {"never_zero": "baseline_steps = 0", "never_negative": "baseline_steps <= 0", "no_null_with_days": "baseline_steps IS NULL AND n_valid_baseline_days <> 0", "no_value_without_days": "baseline_steps IS NOT NULL AND n_valid_baseline_days < 1", "seven_weekdays": "len(baseline_dow_counts) <> 7",
+              "weekdays_add_up": f"{_DOW} <> n_valid_baseline_days", "weekend_is_first_and_last": "list_first(baseline_dow_counts) + list_last(baseline_dow_counts) <> n_valid_baseline_days_weekend", "band_with_value": "baseline_steps IS NOT NULL AND baseline_band IS NULL", "floor_with_value": "baseline_steps IS NOT NULL AND meets_baseline_floor IS NULL",
+              "span_with_value": "baseline_steps IS NOT NULL AND baseline_span_days <= 0", "span_not_negative": "baseline_span_days < 0", "span_within_window": f"baseline_span_days > {P.baseline[1] - P.baseline[0] + 1}"}
+_Q8_BROKEN |= {f"{n}_never_zero": f"baseline_steps_{n} = 0" for n in _ALT} | {f"{n}_value_with_days": f"baseline_steps_{n} IS NULL AND n_valid_baseline_days_{n} > 0 OR baseline_steps_{n} IS NOT NULL AND n_valid_baseline_days_{n} = 0" for n in _ALT}
+
+
+@query("q08b_baseline_rules", sql("SELECT rule, CAST(n AS BIGINT) AS n_broken FROM (SELECT " + ", ".join(f"sum(CASE WHEN {e} THEN 1 ELSE 0 END) AS {n}" for n, e in _Q8_BROKEN.items()) + f" FROM baseline) UNPIVOT (n FOR rule IN ({', '.join(_Q8_BROKEN)}))", "baseline"))
 def q08b(c: Chain) -> DataFrame:
     return A.invariants(c.baseline, _rules({n: e.replace("[A", "[") for n, e in _Q8.items()}))
 
@@ -209,7 +228,13 @@ _Q15 = {"event_in_panel": "ev_day IS NULL OR post_day IS NOT NULL", "event_flag"
 _LM_EV = "(SELECT l.*, e.event_day AS ev_day, e.n_valid AS ev_valid FROM lm l LEFT JOIN ev e ON e.episode_id = l.episode_id AND e.event_day = l.post_day)"
 
 
-@query("q15b_landmark_event_rules", sql(_long(_Q15, _LM_EV), "lm", "ev"))
+_Q15_SQL = f"""SELECT rule, CAST(n AS BIGINT) AS n_broken FROM (SELECT sum(CASE WHEN ev_day IS NOT NULL AND post_day IS NULL THEN 1 ELSE 0 END) AS event_in_panel, sum(CASE WHEN is_event AND ev_day IS NULL OR NOT is_event AND ev_day IS NOT NULL THEN 1 ELSE 0 END) AS event_flag, sum(CASE WHEN is_first AND NOT is_event THEN 1 ELSE 0 END) AS first_is_event,
+ sum(CASE WHEN ev_valid IS NOT NULL AND n_valid > n_days THEN 1 ELSE 0 END) AS valid_agrees, sum(CASE WHEN n_calendar_days > {P.lag_days} THEN 1 ELSE 0 END) AS calendar_days_at_most, sum(CASE WHEN calendar_lag IS NULL AND n_calendar_days > 0 OR calendar_lag IS NOT NULL AND n_calendar_days = 0 THEN 1 ELSE 0 END) AS calendar_lag_given,
+ sum(CASE WHEN landmark_lag IS NOT NULL AND post_day <= 3 THEN 1 ELSE 0 END) AS lag_needs_days, sum(CASE WHEN has_landmark AND n_valid < 2 THEN 1 ELSE 0 END) AS landmark_needs_days FROM {_LM_EV})
+ UNPIVOT (n FOR rule IN (event_in_panel, event_flag, first_is_event, valid_agrees, calendar_days_at_most, calendar_lag_given, lag_needs_days, landmark_needs_days))"""
+
+
+@query("q15b_landmark_event_rules", sql(_Q15_SQL, "lm", "ev"))
 def q15b(c: Chain) -> DataFrame:
     e = c.ev.select("episode_id", F.col("event_day").alias("post_day"), F.col("event_day").alias("ev_day"), F.col("n_valid").alias("ev_valid"))
     return A.invariants(c.lm.join(e, ["episode_id", "post_day"], "left"), _rules(_Q15))
@@ -242,7 +267,10 @@ def q22b(c: Chain) -> DataFrame:
 _Q25 = {"set_has_role": "role IN ('case', 'control')", "case_rung": "role <> 'case' OR match_rung = 1", "rung_known": "match_rung BETWEEN 1 AND 3", "set_named": "set_id IS NOT NULL", "member_named": "episode_id IS NOT NULL AND person_id IS NOT NULL"}
 
 
-@query("q25b_set_rules", sql(_long(_Q25, "sets"), "sets"))
+_Q25_SQL = "SELECT rule, CAST(n AS BIGINT) AS n_broken FROM (SELECT count(*) - sum(CASE WHEN role = 'case' OR role = 'control' THEN 1 ELSE 0 END) AS set_has_role, sum(CASE WHEN role = 'case' AND match_rung <> 1 THEN 1 ELSE 0 END) AS case_rung, sum(CASE WHEN match_rung IN (1, 2, 3) THEN 0 ELSE 1 END) AS rung_known, count(*) - count(set_id) AS set_named, sum(CASE WHEN episode_id IS NULL OR person_id IS NULL THEN 1 ELSE 0 END) AS member_named FROM sets) UNPIVOT (n FOR rule IN (set_has_role, case_rung, rung_known, set_named, member_named))"
+
+
+@query("q25b_set_rules", sql(_Q25_SQL, "sets"))
 def q25b(c: Chain) -> DataFrame:
     return A.invariants(c.sets, _rules(_Q25))
 
