@@ -80,12 +80,13 @@ def write_clustered(df: DataFrame, path: str, key: str) -> None:
 
 
 def write_by_month(df: DataFrame, path: str, date: str) -> None:
-    """Partitioned by month: daily partitions of person-days would be many small files."""
-    df.withColumn("month", F.date_format(date, "yyyy-MM")).repartition("month").write.mode("overwrite").partitionBy("month").parquet(path)
+    """Partitioned by month: daily partitions of person-days would be many small files. A month that is large is dealt over
+    several tasks, each with a file of its own, so that no task writes it alone."""
+    df.withColumn("month", F.date_format(date, "yyyy-MM")).hint("rebalance", "month").write.mode("overwrite").partitionBy("month").parquet(path)
 
 
 def write_by_bucket(df: DataFrame, path: str, col: str, width: int = 5) -> None:
-    df.withColumn("bucket", (F.floor(F.col(col) / width) * width).cast("int")).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+    df.withColumn("bucket", (F.floor(F.col(col) / width) * width).cast("int")).hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
 def read_bucket(spark: SparkSession, path: str, col: str, lo: int, hi: int, width: int = 5) -> DataFrame:
