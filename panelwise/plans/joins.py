@@ -77,9 +77,9 @@ def j06(c: Chain) -> DataFrame:
 
 @query("j08_panel_offset", sql("SELECT episode_id, post_day, n_valid FROM lm", "lm"))
 def j08(c: Chain) -> DataFrame:
-    a, b = c.panel.select("episode_id", "post_day"), c.panel.select(F.col("episode_id").alias("_e"), F.col("post_day").alias("_d"), (F.col("valid_wear") & F.col("steps").isNotNull()).alias("_ok"))
-    j = a.join(b, (F.col("episode_id") == F.col("_e")) & F.col("_d").between(F.col("post_day") - 5, F.col("post_day") - 3), "left")
-    return j.groupBy("episode_id", "post_day").agg(F.count_if("_ok").alias("n_valid"))
+    a, b = c.panel.select("person_id", "episode_id", "post_day"), c.panel.select(F.col("person_id").alias("_p"), F.col("episode_id").alias("_e"), F.col("post_day").alias("_d"), (F.col("valid_wear") & F.col("steps").isNotNull()).alias("_ok"))
+    j = a.join(b, (F.col("person_id") == F.col("_p")) & (F.col("episode_id") == F.col("_e")) & F.col("_d").between(F.col("post_day") - 5, F.col("post_day") - 3), "left")
+    return j.groupBy("person_id", "episode_id", "post_day").agg(F.count_if("_ok").alias("n_valid")).drop("person_id")
 
 
 @query("j10_semi_within", sql("SELECT condition_id FROM conditions k WHERE EXISTS (SELECT 1 FROM visits v WHERE v.person_id = k.person_id AND v.visit_kind = 'inpatient' AND k.condition_start_date BETWEEN v.visit_start_date AND coalesce(v.visit_end_date, v.visit_start_date))", "conditions", "visits"))
