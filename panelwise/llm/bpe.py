@@ -1,12 +1,12 @@
 """Byte-level BPE with Spark's higher-order functions.
 
 Texts go through in pieces of bounded size. A first pass splits a piece's texts into words and gives
-out one row for each distinct word of the piece, as its bytes, and then one row for each text, as the
-places of its words among them. On the word rows a fold merges, step by step, the leftmost adjacent
+out one row for each word that is new to the task, as its bytes, and then one row for each text, as the
+places of its words among the task's. On the word rows a fold merges, step by step, the leftmost adjacent
 pair of the lowest rank; ranks come from a literal map, cut into small buckets since Spark searches a
 map from its first key on, and a token is held as one character that sorts as its rank does. A second pass puts the ids of the words in the
-places of the texts. The three follow each other in one task: nothing is shuffled or sent to the
-driver, and what a task holds is one piece's words.
+places of the texts. The three follow each other in one task, whose rows keep their order: nothing is shuffled or sent to the
+driver, and what a task holds is one piece and the words it remembers, all of which it forgets when they are many.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ import base64
 import json
 import zlib
 from collections.abc import Iterator, Sequence
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -28,8 +29,10 @@ from pyspark.sql import types as T
 from panelwise.llm.common import pieces, small_batches
 
 PAIR_BUCKETS = 1 << 15
-#: Text whose distinct words are folded together: more text gives fewer words a text.
+#: Text that is split at a time.
 TEXT_BYTES = 4 << 20
+#: A task forgets its words before a piece that would begin with more than this; they are folded again where they come again.
+REMEMBERED = 400_000
 #: Word rows of one Arrow batch.
 WORD_ROWS = 5_000
 #: Words of more bytes are merged in rounds; the tokens are the same.
@@ -170,17 +173,21 @@ def encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, column: str
     packed = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], F.col(f"`{text}`").alias("text"))
     columns = [T.StructField(f.name, f.dataType, True) for f in packed.schema.fields[:-1]]
     text_at = len(columns)
-    tables = [byte_table(ranks) if x == "back" else id_table(ranks) for x in also]
+    tables = [pa.array(byte_table(ranks) if x == "back" else id_table(ranks), pa.binary()) for x in also]
     numbers = T.ArrayType(T.IntegerType(), True)
     split_schema = T.StructType([*columns, T.StructField("word", T.BinaryType()), T.StructField("own", T.StringType()), T.StructField("places", numbers)])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = regex.compile(pattern).findall
+        known = _Places()
         for batch in pieces(batches, text_at, TEXT_BYTES):
-            known = _Places()
+            if len(known) > REMEMBERED:  # a row of nulls says so
+                known = _Places()
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, t) for t in (*batch.schema.types[:-1], pa.binary(), pa.string(), pa.list_(pa.int32()))], names)
+            old = len(known)
             found = (find(t.as_py() or "") for t in batch.column(text_at))
             places = [np.fromiter(map(known.__getitem__, words), np.int32, len(words)) for words in found]
-            raw = [w.encode() for w in known]
+            raw = [w.encode() for w in islice(known, old, None)]
             for start in range(0, len(raw), WORD_ROWS):
                 part = raw[start : start + WORD_ROWS]
                 # A word that is itself a token is that token, however its merges would go.
@@ -194,34 +201,35 @@ def encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, column: str
     n = len(columns)
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words_of: list[pa.Array] = []
-        flat = starts = lengths = None
+        new: list[pa.Array] = []  # words that are not among those of flat yet
+        flat, starts, lengths = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int32)
         for batch in batches:
-            places = batch.column(n + 1)  # after the columns kept and the words
+            places = batch.column(n)  # after the columns kept, before the words
             is_word = places.is_null().to_numpy(zero_copy_only=False)
             cuts = np.r_[0, np.flatnonzero(np.diff(is_word)) + 1, len(is_word)] if len(is_word) else [0]
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
                 if is_word[lo]:
-                    if flat is not None:  # the words of the next piece
-                        words_of, flat = [], None
-                    words_of.append(batch.column(n).slice(lo, hi - lo))
+                    words = batch.column(n + 1).slice(lo, hi - lo)
+                    if words.null_count:  # the row of nulls, before the words of its piece
+                        new, flat, lengths = [], flat[:0], lengths[:0]
+                        words = words.slice(int(np.flatnonzero(words.is_null())[-1]) + 1)
+                    new.append(words)
                     continue
-                if flat is None:
-                    tokens = pa.chunked_array(words_of, pa.string())
+                if new:
+                    tokens = pa.chunked_array(new, pa.string())
                     points = "".join(tokens.to_pylist()).encode("utf-32-le")
-                    flat = char_ranks(np.frombuffer(points, "<u4").astype(np.int32))
-                    lengths = pc.utf8_length(tokens).to_numpy()
-                    starts = np.cumsum(lengths) - lengths
+                    flat = np.concatenate([flat, char_ranks(np.frombuffer(points, "<u4").astype(np.int32)).astype(np.int32)])
+                    lengths = np.concatenate([lengths, pc.utf8_length(tokens).to_numpy()])
+                    starts, new = np.cumsum(lengths, dtype=np.int64) - lengths, []
                 for at in range(lo, hi, 256):
                     part = places.slice(at, min(256, hi - at))
                     words = part.flatten().to_numpy(zero_copy_only=False)
                     each = lengths[words]
-                    ends = np.cumsum(each)
+                    ends = np.cumsum(each, dtype=np.int64)
                     found = flat[np.repeat(starts[words] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)]
                     bounds = np.r_[0, ends][np.r_[0, np.cumsum(part.value_lengths().to_numpy(zero_copy_only=False))]]
                     rows = [batch.column(i).slice(at, len(part)) for i in range(n)]
-                    lists = [found[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)] if tables else []
-                    more = [pa.array([_join(x, table) for x in lists], pa.binary()) for table in tables]
+                    more = [_joins(found, bounds, table) for table in tables]
                     yield pa.RecordBatch.from_arrays([*rows, _lists(found, np.diff(bounds)), *more], out_names)
 
     result = T.StructType([*columns, T.StructField("ids", numbers), *[T.StructField(f"ids_{x}", T.BinaryType()) for x in also]])
@@ -229,7 +237,7 @@ def encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, column: str
     words = packed.mapInArrow(split, split_schema)
     # The table stands in the plan once, however often the fold looks into it.
     tokens = _let(pair_table(ranks), lambda pairs: _let(byte_tokens(F.col("word"), ranks), lambda t: fold_word(t, pairs)))
-    folded = words.select(*names[:n], F.when(F.col("word").isNotNull(), F.coalesce("own", tokens)).alias("word"), "places")
+    folded = words.select(*names[:n], "places", F.when(F.col("word").isNotNull(), F.coalesce("own", tokens)).alias("word"))
     out = folded.mapInArrow(assemble, result)
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], F.col("ids").alias(column), *[F.col(f"ids_{x}").alias(f"{column}_{x}") for x in also])
 
@@ -247,6 +255,12 @@ def id_table(ranks: dict[bytes, int]) -> list[bytes]:
     return [i.to_bytes(4, "little") for i in range(max(ranks.values(), default=-1) + 1)]
 
 
+def _joins(ids: np.ndarray, bounds: np.ndarray, table: pa.BinaryArray) -> pa.BinaryArray:
+    """For each run of ids between two bounds, its pieces of the table one after the other."""
+    _, ends, data = table.take(pa.array(ids)).buffers()
+    return pa.BinaryArray.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(np.frombuffer(ends, np.int32)[bounds]), data])
+
+
 def _join(ids: np.ndarray, table: list[bytes]) -> bytes:
     return b"".join([table[i] for i in ids.tolist()])
 

@@ -221,3 +221,17 @@ def test_pieces_hold_all_rows():
     batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(["a" * 10, None, "b" * 50, "", "c" * 5, "d" * 5])], ["i", "t"])
     for size in (1, 10, 12, 1000):
         assert [i for b in common.pieces([batch], 1, size) for i in b.column(0).to_pylist()] == list(range(6))
+
+
+def test_bpe_words_of_a_task(spark, monkeypatch):
+    """Words stay known from piece to piece, are folded once, and again when the task has forgotten them."""
+    ranks, own = ranks_and_twin()
+    rows = [(i, f"reatheer andertioninat number{i % 7} \u00e9{i % 3} ofhethhath " * 3, "a") for i in range(40)] + [(40, "", "a"), (41, None, "a"), (42, "zqzqzq" * 30, "a")]
+    table = docs(spark, rows).coalesce(1)
+    for remembered in (400_000, 0, 9):
+        monkeypatch.setattr(bpe, "TEXT_BYTES", 300)
+        monkeypatch.setattr(bpe, "REMEMBERED", remembered)
+        got = {r["doc_id"]: r for r in bpe.encoded(table, ranks, public_tokenizers.PATTERN, also=["raw", "back"]).collect()}
+        assert {k: list(r["ids"]) for k, r in got.items()} == {k: own.encode_ordinary(t or "") for k, t, _ in rows}
+        assert all(bytes(r["ids_back"]) == (r["text"] or "").encode() for r in got.values())
+        assert all(bytes(r["ids_raw"]) == b"".join(i.to_bytes(4, "little") for i in r["ids"]) for r in got.values())
