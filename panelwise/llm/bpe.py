@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelwise.llm.common import pieces, small_batches
+from panelwise.llm.common import pieces, short_plans, small_batches
 
 PAIR_BUCKETS = 1 << 15
 #: Text that is split at a time.
@@ -167,6 +167,7 @@ def encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, column: str
     a null doc_id, are encoded one by one. Empty tables stay empty.
     """
     small_batches(docs.sparkSession)
+    short_plans(docs.sparkSession)
     made = {column.lower(), *(f"{column}_{x}".lower() for x in also)}
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in made]
     text = next(c for c in docs.columns if c.lower() == "text")
@@ -237,6 +238,7 @@ def encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, column: str
     words = packed.mapInArrow(split, split_schema)
     # The table stands in the plan once, however often the fold looks into it.
     tokens = _let(pair_table(ranks), lambda pairs: _let(byte_tokens(F.col("word"), ranks), lambda t: fold_word(t, pairs)))
+    # It is in the last column, which the text of a plan leaves out.
     folded = words.select(*names[:n], "places", F.when(F.col("word").isNotNull(), F.coalesce("own", tokens)).alias("word"))
     out = folded.mapInArrow(assemble, result)
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], F.col("ids").alias(column), *[F.col(f"ids_{x}").alias(f"{column}_{x}") for x in also])

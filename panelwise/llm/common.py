@@ -37,6 +37,13 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, ours)
 
 
+def short_plans(spark: SparkSession) -> None:
+    """Fields of a node that the text of a plan shows, where the session has Spark's own number: the driver keeps the text of
+    a thousand plans, each with the whole text of its literals, of which the merge table of a tokenizer is some megabytes."""
+    if spark.conf.get("spark.sql.debug.maxToStringFields", "25") == "25":
+        spark.conf.set("spark.sql.debug.maxToStringFields", "2")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, with its file system's name, so that whoever opens a path in it
     goes to that file system and not to a disk of its own."""

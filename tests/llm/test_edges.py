@@ -235,3 +235,11 @@ def test_bpe_words_of_a_task(spark, monkeypatch):
         assert {k: list(r["ids"]) for k, r in got.items()} == {k: own.encode_ordinary(t or "") for k, t, _ in rows}
         assert all(bytes(r["ids_back"]) == (r["text"] or "").encode() for r in got.values())
         assert all(bytes(r["ids_raw"]) == b"".join(i.to_bytes(4, "little") for i in r["ids"]) for r in got.values())
+
+
+def test_bpe_plan_text_without_the_merge_table(spark):
+    """The driver keeps the text of every plan that ran; it had the whole merge table in it."""
+    ranks, _ = ranks_and_twin()
+    for keep in (["doc_id"], None):
+        plan = bpe.encoded(docs(spark, [(1, "a text", "a")]), ranks, public_tokenizers.PATTERN, keep=keep)._jdf.queryExecution().executedPlan()
+        assert len(plan.toString()) < 20_000
