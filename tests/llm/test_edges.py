@@ -243,3 +243,45 @@ def test_bpe_plan_text_without_the_merge_table(spark):
     for keep in (["doc_id"], None):
         plan = bpe.encoded(docs(spark, [(1, "a text", "a")]), ranks, public_tokenizers.PATTERN, keep=keep)._jdf.queryExecution().executedPlan()
         assert len(plan.toString()) < 20_000
+
+
+def _dense_vectors():
+    """300 vectors near one direction, 120 less near another, 80 anywhere, all of one label."""
+    rng = np.random.default_rng(17)
+    c, d = rng.normal(size=(2, 32))
+    x = np.concatenate([c + 0.05 * rng.normal(size=(300, 32)), d + 0.26 * rng.normal(size=(120, 32)), rng.normal(size=(80, 32))])
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    return [(i, [float(v) for v in e], 1) for i, e in enumerate(x)], (u @ u.T >= 0.93).sum(1) - 1
+
+
+def test_dense_vectors_are_not_copied_to_every_block(spark, monkeypatch):
+    rows, true = _dense_vectors()
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    plain = {r["vec_id"]: r for r in embeddings.near_vectors(table).collect()}
+    monkeypatch.setattr(embeddings, "BLOCK", 16)
+    monkeypatch.setattr(embeddings, "BALL_FROM", 40)
+    counted, places = [], embeddings._places
+
+    def counting(member, vectors):
+        placed = places(member, vectors)
+        counted.append((member.where("rep < 300").count(), placed.where("rep < 300").count()))
+        return placed
+
+    monkeypatch.setattr(embeddings, "_places", counting)
+    got = {r["vec_id"]: r for r in embeddings.near_vectors(table).collect()}
+    # Of the dense group each goes to the few blocks of others, or to none: by the block it would be some ten copies.
+    (before, after), = counted
+    assert after <= 3 * before
+    assert all(got[i]["n_links"] == true[i] == 299 and got[i]["component_id"] == 0 for i in range(300))
+    assert all(plain[i]["n_links"] <= got[i]["n_links"] <= true[i] for i in got) and sum(true[300:420]) > 1000
+    assert {i: (r["component_id"], r["kept"]) for i, r in got.items()} == {i: (r["component_id"], r["kept"]) for i, r in plain.items()}
+
+
+def test_buckets_in_rounds_give_the_same_links(spark, monkeypatch):
+    table = spark.createDataFrame(_dense_vectors()[0], "vec_id long, embedding array<double>, label int")
+    once = sorted(map(tuple, embeddings.near_vectors(table).collect()))
+    monkeypatch.setattr(embeddings, "ROUND_BYTES", 1_000_000)
+    monkeypatch.setattr(embeddings, "BLOCK", 16)
+    dealt = []
+    monkeypatch.setattr(embeddings, "_release", lambda spark: dealt.append(1))
+    assert sorted(map(tuple, embeddings.near_vectors(table).collect())) == once and len(dealt) > 1
